@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import default_vocabulary, encode_and_digest
 from tidemark.llm.common import bound_arrow_batches, table
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_counts
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.substring_dedup import removal_digest
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole text's ids and of their decoding."""
+    return encode_and_digest(table(spark, sf_dir, "documents"), *default_vocabulary())
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +27,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a window of 50 words repeats from a smaller document."""
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
