@@ -9,6 +9,7 @@ from tidemark.llm.common import bound_arrow_batches, table
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_counts
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.simhash import fingerprint_components
 from tidemark.llm.substring_dedup import removal_digest
 
 
@@ -22,6 +23,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those within two bits."""
+    return fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of near equal bytes; equal texts share a shard."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -37,7 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op8_sharding, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_simhash, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
