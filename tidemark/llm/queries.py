@@ -11,6 +11,7 @@ from tidemark.llm.mixing import mix_counts
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import fingerprint_components
 from tidemark.llm.substring_dedup import removal_digest
+from tidemark.llm.toxicity import judge_toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of near equal bytes; equal texts share a shard."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -43,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_simhash, op8_sharding, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_simhash, op6_toxicity, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
