@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             work.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "rid")).alias("top")).where("n > 1"),
             f"radix-groups-{level}",
         )
-        out = work.join(shared, ["grp", "digit"], "left").select(
+        out = work.join(shared.hint("merge"), ["grp", "digit"], "left").select(
             "doc_id", "rid", "text_sha256", F.col("top.rid").alias("grp"), F.coalesce("n", F.lit(1)).alias("n"), F.col("top.doc_id").alias("top_id"),
             F.when(F.col("n").isNotNull() & ~ended, F.substring("rest", width + 1, 2147483647)).alias("rest"),
             (F.col("n").isNotNull() & ~ended).alias("open"),
