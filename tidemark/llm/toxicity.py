@@ -18,10 +18,13 @@ SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 5000
 #: Terms hash to so many buckets; the model keeps the buckets whose label rates differ most, this many at most.
 HASH_BUCKETS = 1 << 22
-KEPT_TERMS = 1024
+KEPT_TERMS = 512
 MIN_Z = 4.0
 FACTORS = 4
 STEPS = 300
+BATCH = 512
+#: Share of a text's terms that a training step keeps: terms that always come together must each carry the decision.
+TERM_KEEP = 0.3
 LEARNING_RATE = 0.05
 L2 = 1e-4
 THRESHOLD = 0.7
@@ -90,21 +93,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> FactorModel:
     x[row[hit], place[at][hit]] = 1.0
     rng = np.random.default_rng(11)
     bias, w, v = float(np.log(n1 / n0)), np.zeros(len(kept), np.float32), rng.normal(0, 0.01, (len(kept), FACTORS)).astype(np.float32)
-    y = labels.astype(np.float32)
-    state = [np.zeros(1), np.zeros_like(w), np.zeros_like(v)], [np.zeros(1), np.zeros_like(w), np.zeros_like(v)]
+    mean, spread = [np.zeros(1), np.zeros_like(w), np.zeros_like(v)], [np.zeros(1), np.zeros_like(w), np.zeros_like(v)]
     for step in range(1, STEPS + 1):
-        xv = x @ v
-        logit = bias + x @ w + 0.5 * ((xv**2) - x @ (v**2)).sum(axis=1)
-        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
-        gx = x.T @ g
-        grads = [np.array([g.sum()]), gx + L2 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + L2 * v]
-        moved = []
-        for k, gr in enumerate(grads):
-            state[0][k][...] = 0.9 * state[0][k] + 0.1 * gr
-            state[1][k][...] = 0.999 * state[1][k] + 0.001 * gr**2
-            moved.append(LEARNING_RATE * (state[0][k] / (1 - 0.9**step)) / (np.sqrt(state[1][k] / (1 - 0.999**step)) + 1e-8))
-        bias -= float(moved[0][0])
-        w, v = w - moved[1].astype(np.float32), v - moved[2].astype(np.float32)
+        part = rng.integers(0, len(labels), BATCH)
+        keep = TERM_KEEP + (1 - TERM_KEEP) * rng.random((BATCH, 1), np.float32)
+        xb = x[part] * (rng.random((BATCH, len(kept)), np.float32) < keep)
+        xv = xb @ v
+        logit = bias + xb @ w + 0.5 * ((xv**2) - xb @ (v**2)).sum(axis=1)
+        g = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / BATCH).astype(np.float32)
+        gx = xb.T @ g
+        for k, grad in enumerate((np.array([g.sum()]), gx + L2 * w, xb.T @ (g[:, None] * xv) - gx[:, None] * v + L2 * v)):
+            mean[k][...] = 0.9 * mean[k] + 0.1 * grad
+            spread[k][...] = 0.999 * spread[k] + 0.001 * grad**2
+            move = LEARNING_RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(spread[k] / (1 - 0.999**step)) + 1e-8)
+            if k == 0:
+                bias -= float(move[0])
+            elif k == 1:
+                w = w - move.astype(np.float32)
+            else:
+                v = v - move.astype(np.float32)
     return FactorModel(bias, {int(names[k]): i for i, k in enumerate(kept)}, w.astype(float), v.astype(float))
 
 
