@@ -8,6 +8,7 @@ from tidemark.llm.bpe import default_vocabulary, encode_and_digest
 from tidemark.llm.common import bound_arrow_batches, table
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.mixing import mix_counts
+from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import fingerprint_components
 from tidemark.llm.substring_dedup import removal_digest
@@ -24,6 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents: the fixed rules' and those that the inferred formats add."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     return fingerprint_components(table(spark, sf_dir, "documents"))
@@ -49,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_simhash, op6_toxicity, op8_sharding, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_secrets, op5_simhash, op6_toxicity, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
