@@ -12,7 +12,9 @@ from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import fingerprint_components
 from tidemark.llm.substring_dedup import removal_digest
+from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import judge_toxicity
+from tidemark.llm.url_filter import judge_urls
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every URL."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of those within two bits."""
     return fingerprint_components(table(spark, sf_dir, "documents"))
@@ -40,6 +47,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of each query vector."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of near equal bytes; equal texts share a shard."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -55,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_secrets, op5_simhash, op6_toxicity, op8_sharding, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_secrets, op4_url_filter, op5_simhash, op6_toxicity, op7_topk, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
@@ -63,4 +75,9 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

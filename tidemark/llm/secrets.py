@@ -197,7 +197,7 @@ def labelled_strings(text: str) -> list[tuple[str, str]]:
 def fit_on_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     """Automata of the drawn formats, and of what the fixed rules label in a bounded sample: SAMPLE_DOCUMENTS whole
     documents, SAMPLE_STRINGS strings of each kind. A kind with under MIN_CREDENTIALS strings gives no automaton;
-    other long tokens of the sample give the background, or a drawn digit string does where there are none."""
+    other long tokens of the sample and drawn numbers give the background."""
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     chosen = ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
@@ -215,10 +215,16 @@ def fit_on_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fit(strings)
 
 
+def drawn_numbers(n: int = EXAMPLES, seed: int = 6) -> list[str]:
+    """Long plain numbers, such as those of cards and orders: no secrets by their form."""
+    rng = random.Random(seed)
+    return ["".join(rng.choices(_DIGITS, k=rng.randint(16, 20))) for _ in range(n)]
+
+
 def fit(strings: dict[str, list[str]]) -> SecretModel:
     """Automata of the drawn formats and of the labelled ``strings`` by kind; kind ``ordinary`` is the background."""
     labelled = drawn_examples() | {n: strings[n] for n in KINDS[:3] if len(strings.get(n, [])) >= MIN_CREDENTIALS}
-    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(strings.get("ordinary") or ["0123456789" * 2]))
+    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(strings.get("ordinary", []) + drawn_numbers()))
 
 
 class Scanner:
