@@ -66,7 +66,11 @@ def blocks(n_bits: int, parts: int) -> list[tuple[int, int]]:
 def block_keys(max_distance: int) -> list[int]:
     """Bit masks such that two fingerprints within the distance agree on all bits of at least one mask: with
     ``max_distance + 2`` blocks at least two are untouched, so each pair of blocks is a mask."""
-    cut = blocks(64, max_distance + 2)
+    return pair_masks(max_distance + 2)
+
+
+def pair_masks(n_blocks: int) -> list[int]:
+    cut = blocks(64, n_blocks)
     masks = [((1 << w) - 1) << s for s, w in cut]
     return [a | b for a, b in combinations(masks, 2)]
 
@@ -88,29 +92,41 @@ def _near_pairs(group: np.ndarray, fp: np.ndarray, max_distance: int) -> Iterato
         step += 1
 
 
-def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distance: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links ``node -> smallest node`` of the components that near pairs form within each group: as many as rows at
-    most, however many pairs there are. Groups beyond DIRECT are split by blocks of the bits that vary in them."""
+def _merge(root: np.ndarray, rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after joining the pairs ``i, j``; the root of a component is its member of lowest rank."""
+    if len(i):
+        for a, b in np.unique(np.stack([root[i], root[j]], axis=1), axis=0).tolist():
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                low, high = (a, b) if rank[a] <= rank[b] else (b, a)
+                root[high] = low
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distance: int = MAX_DISTANCE, verify=None, direct: int | None = DIRECT) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``node -> smallest node`` of the components that near pairs form within each group (groups are runs): as
+    many as rows at most, however many pairs there are. ``verify(i, j)`` may turn pairs down. Groups beyond
+    ``direct`` are split by blocks of the bits that vary in them."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    small = np.repeat(sizes <= DIRECT, sizes)
-    a_all, b_all = [], []
-    g, f, n = group[small], fp[small], node[small]
-    pairs = list(_near_pairs(g, f, max_distance))
-    if pairs:
-        i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        label = n.copy()
-        while True:
-            low = np.minimum(label[i], label[j])
-            before = label.copy()
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            if (label == before).all():
-                break
-        moved = label != n
-        a_all.append(n[moved])
-        b_all.append(label[moved])
-    for k in np.flatnonzero(sizes > DIRECT):
+    small = np.flatnonzero(np.repeat(sizes <= (direct or len(group)), sizes))
+    root, rank = np.arange(len(fp)), np.argsort(np.argsort(node, kind="stable"), kind="stable")
+    for i, j in _near_pairs(group[small], fp[small], max_distance):
+        i, j = small[i], small[j]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if verify is not None and len(i):
+            fine = verify(i, j)
+            i, j = i[fine], j[fine]
+        root = _merge(root, rank, i, j)
+    moved = root != np.arange(len(root))
+    a_all, b_all = [node[moved]], [node[root[moved]]]
+    for k in np.flatnonzero(sizes > direct) if direct else ():
         f, n = fp[starts[k] : starts[k] + sizes[k]], node[starts[k] : starts[k] + sizes[k]]
         varying = [b for b in range(64) if ((f >> np.uint64(b)) & np.uint64(1)).any() and not ((f >> np.uint64(b)) & np.uint64(1)).all()]
         for shift, width in blocks(len(varying), max_distance + 1):
@@ -119,11 +135,38 @@ def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distanc
             a, b = local_links(key[order], f[order], n[order], max_distance)
             a_all.append(a)
             b_all.append(b)
-    if not a_all:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(a_all), np.concatenate(b_all)
 
 
+def _whole_buckets(batches, n_keys: int):
+    """Columns (as arrays) of successive batches of rows sorted by their first ``n_keys`` columns, cut so that no
+    bucket is torn; and the number of each row's bucket."""
+    held: list[np.ndarray] | None = None
+
+    def numbered(cols):
+        new = np.zeros(len(cols[0]), bool)
+        new[0] = True
+        for c in cols[:n_keys]:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new), cols
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        same = np.ones(len(cols[0]), bool)  # rows of the last bucket wait: it may go on in the next batch
+        for c in cols[:n_keys]:
+            same &= c == c[-1]
+        last = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        held = [c[last:] for c in cols]
+        if last:
+            yield numbered([c[:last] for c in cols])
+    if held is not None:
+        yield numbered(held)
+
+
 def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """Links ``a, b`` between the nodes of distinct fingerprints (columns ``node, fp``): their components are those
     of all pairs within the distance."""
@@ -145,29 +188,9 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket:
     )
 
     def link(batches):
-        held: list[np.ndarray] | None = None
-
-        def links(cols):
-            t, key, u, sub, fp, node = cols
-            new = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (u[1:] != u[:-1]) | (sub[1:] != sub[:-1])]
-            a, b = local_links(np.cumsum(new), fp.view(np.uint64), node, max_distance)
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            same = np.ones(len(cols[0]), bool)  # rows of the last group wait: it may go on in the next batch
-            for c in cols[:4]:
-                same &= c == c[-1]
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = [c[last:] for c in cols]
-            if last:
-                yield links([c[:last] for c in cols])
-        if held is not None:
-            yield links(held)
+        for group, cols in _whole_buckets(batches, 4):
+            a, b = local_links(group, cols[4].astype(np.int64).view(np.uint64), cols[5].astype(np.int64), max_distance)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return split.select("t", "key", "u", "sub", "fp", "node").mapInArrow(link, "a long, b long")
 
@@ -192,3 +215,93 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprint_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of :func:`near_components` at its production parameters."""
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by words: the form that the corpus pipeline uses.
+
+TEXT_SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: Blocks of a fingerprint of distinct words. Any two blocks are a key, so all pairs within BLOCKS - 2 bits meet, and
+#: most within TEXT_DISTANCE; texts of similarity 0.8 over five words differ in about four bits.
+TEXT_BLOCKS = 8
+TEXT_DISTANCE = 10
+#: Bins of the sketch of five-word shingles, a byte each, that decides similarity after the Hamming distance.
+BINS = 256
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte a bin: of the least hash in the bin, never 0; 0 for an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    h = np.sort(hashes)
+    b = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    out[b[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Whether rows of two sketch arrays show a Jaccard similarity of ``least``; chance equality of bytes is taken off."""
+    filled = ((x | y) != 0).sum(axis=1)
+    same = ((x == y) & (x != 0)).sum(axis=1)
+    share = np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
+    return (share - 1 / 255) / (1 - 1 / 255) >= least
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` of each row that has a near copy: five-word shingles (A-Z lower-cased, white space as
+    single spaces) of Jaccard similarity ``similarity`` or more, by a sketch of BINS bins, directly or over others.
+
+    Rows with equal sketches and fingerprints are one node. Blank texts are not near anything; null ids neither.
+    """
+    bound_arrow_batches(docs.sparkSession)
+
+    def prints(batches):
+        for batch in batches:
+            fps, sketches = [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                fps.append(fingerprint(shingle_hashes(sorted(set(words)), 1)) if words else None)
+                sketches.append(sketch(shingle_hashes(words, TEXT_SHINGLE_WORDS)).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    found = written(rows.mapInArrow(prints, "doc_id long, fp long, sketch binary").where("fp is not null"), "near-prints")
+    nodes = written(found.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "near-nodes")
+    masks = pair_masks(TEXT_BLOCKS)
+    keyed = nodes.groupBy("fp").agg(F.min("node").alias("n")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+
+    def met(batches):
+        """Buckets and fingerprints that are near another one there; the first such table of a pair is enough."""
+        for group, (t, key, fp) in _whole_buckets(batches, 2):
+            f = fp.astype(np.int64).view(np.uint64)
+            near = np.zeros(len(f), bool)
+            for i, j in _near_pairs(group, f, TEXT_DISTANCE):
+                apart = f[i] ^ f[j]
+                earlier = np.zeros(len(i), bool)
+                for k, m in enumerate(masks):
+                    earlier |= (t[i] > k) & ((apart & np.uint64(m)) == 0)
+                near[i[~earlier]] = True
+                near[j[~earlier]] = True
+            yield pa.record_batch([pa.array(t[near], pa.int32()), pa.array(key[near], pa.int64()), pa.array(fp[near], pa.int64())], ["t", "key", "fp"])
+
+    close = keyed.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(met, "t int, key long, fp long")
+    same = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(-1).alias("t"), F.col("fp").alias("key"), "fp")
+    sides = written(close.unionByName(same), "near-buckets").join(nodes.hint("merge"), "fp")
+
+    def link(batches):
+        for group, (_, _, fp, node, sketches) in _whole_buckets(batches, 2):
+            s = np.frombuffer(b"".join(sketches.tolist()), np.uint8).reshape(-1, BINS)
+            a, b = local_links(group, fp.astype(np.int64).view(np.uint64), node.astype(np.int64), TEXT_DISTANCE, lambda i, j: similar(s[i], s[j], similarity), None)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = sides.select("t", "key", "fp", "node", "sketch").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long")
+    linked = connected_components(links)
+    label = written(nodes.join(linked, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    return found.join(label.hint("merge"), ["fp", "sketch"]).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one with the smallest
+    id. Rows of one id stay or go together; blank texts and null ids stay."""
+    gone = near_copies(docs, id_col, text_col, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
