@@ -62,7 +62,7 @@ def ranked(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def _rank_corr() -> Column:
     flat = (F.min("rs") == F.max("rs")) | (F.min("rf") == F.max("rf"))
-    return F.when(~flat & (F.count(F.lit(1)) >= 3), F.corr("rs", "rf"))
+    return F.when(~flat & (F.count(F.lit(1)) >= 3), F.try_divide(F.covar_pop("rs", "rf"), F.stddev_pop("rs") * F.stddev_pop("rf")))
 
 
 def cross_sectional_ic(long: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 LAMBDA = 0.94
 YEAR_DAYS = 252
 PARTICIPATION = 0.20
@@ -50,7 +52,7 @@ def common_sample(rets: DataFrame, column: str = "log_ret") -> DataFrame:
     there = rets.where(F.col(column).isNotNull())
     n = there.agg(F.countDistinct("symbol").alias("n"))
     full = there.groupBy("date").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(n)).where("k = n").select("date")
-    return there.join(full, "date", "left_semi").select("symbol", "date", F.col(column).alias("x"))
+    return cut(there.join(full, "date", "left_semi").select("symbol", "date", F.col(column).alias("x")))  # read by every measure of the book
 
 
 def ewma_weights(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
@@ -72,7 +74,8 @@ def ewma_cov(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
     mean = weighted.groupBy("symbol").agg(F.sum(F.col("w") * F.col("x")).alias("mu"))
     centred = weighted.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("mu"))
     other = centred.select(F.col("symbol").alias("b"), "date", F.col("x").alias("xb"))
-    return centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
+    out = centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
+    return cut(out)  # one row a pair of names; what reads it reads it several times
 
 
 def _with_variances(cov: DataFrame) -> DataFrame:

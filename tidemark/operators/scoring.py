@@ -116,7 +116,7 @@ def attention(cards: DataFrame, weights: dict[str, float] | None = None) -> Data
     scored = cards.withColumns({f"s_{d}": s for d, s in subs.items()})
     num = _sum(_present([F.col(f"s_{d}") * w[d] for d in subs]))
     den = _sum(_present([F.when(F.col(f"s_{d}").isNotNull(), F.lit(float(w[d]))) for d in subs]))
-    return scored.withColumns({"attention": F.round(F.when(den > 0, num / den), 1), "drivers": drivers()})
+    return scored.withColumns({"attention": F.round(F.when(den > 0, num / den + 1e-9), 1), "drivers": drivers()})
 
 
 def confidence(cards: DataFrame) -> DataFrame:

@@ -1,0 +1,16 @@
+"""Cutting long plans: results that are read many times become leaves."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the cluster's checkpoint folder; plans on top start from there. A folder of our
+    own is set only where the session names none."""
+    sc = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
