@@ -27,7 +27,7 @@ OVERLAP_CHARS = 1 << 10
 #: A match may be decided by this many characters after it (contractions, the white-space look-ahead), so matches
 #: that end nearer to a cut are left to the next chunk.
 LOOKAHEAD_CHARS = 8
-CACHED_PIECES = 1 << 18
+CACHED_PIECES = 1 << 17
 CACHED_CHARS = 24
 #: Vocabularies are shipped to the executors, so their files must be small.
 MAX_RANKS_BYTES = 64 << 20
@@ -125,8 +125,9 @@ def _codec(shared, pattern: str) -> Codec:
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers in a binary).
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decode: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers in a binary); with
+    ``decode`` also ``decoded``, the ids' bytes, made by the same workers.
 
     Texts of one chunk are encoded where they are read. Longer ones are cut, their chunks dealt out and
     pre-tokenised in parallel, then stitched and encoded by document. Null text counts as empty and has no
@@ -137,12 +138,15 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     step = chunk_chars
+    schema = ENCODED + (", decoded binary" if decode else "")
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decode
 
     def whole(batches):
         codec = _codec(shared, pattern)
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            more = [pa.array([codec.decode(x) for x in ids], pa.binary())] if decode else []
+            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names)
 
     def cut(batches):
         for batch in batches:
@@ -170,9 +174,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         pdf = pdf.iloc[: first_last + 1]
         spans = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf["spans"]]
         ids = codec.encode_pieces(codec.stitch("".join(pdf["core"]), spans))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4], "ids": [ids]})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4], "ids": [ids]} | ({"decoded": [codec.decode(ids)]} if decode else {}))
 
-    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, ENCODED)
+    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
     chunks = (
         rows.where(F.length("text") > chunk_chars)
         .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
@@ -180,7 +184,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         .repartition("rid", "start")
         .mapInArrow(split, "rid long, doc_id long, start long, last boolean, core string, spans binary")
     )
-    long = chunks.groupBy("rid").applyInPandas(join, ENCODED)
+    long = chunks.groupBy("rid").applyInPandas(join, schema)
     return short.unionByName(long)
 
 
@@ -206,5 +210,5 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode_and_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` by encoding every text and decoding its ids again."""
-    decoded = decode_tokens(encode_texts(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern)
+    decoded = encode_texts(docs, ranks_path, pattern, id_col, text_col, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

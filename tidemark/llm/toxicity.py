@@ -31,7 +31,7 @@ THRESHOLD = 0.7
 #: Word stems of these lengths are terms beside whole words, as inflections share them.
 STEMS = (4, 5, 6)
 FOLDS, HELD_OUT_FOLD = 3, 1
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
