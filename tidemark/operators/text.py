@@ -25,28 +25,39 @@ TOKENS = "([a-z&/'-]+)"
 TOKENS_WITH_DIGITS = "([a-z0-9&/'-]+)"
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def polarity(title: Column) -> Column:
     """(positive - negative) / (positive + negative) tokens; 0 without any."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("([a-z']+)"), 1)
-    count = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words))).cast("double")
-    p, n = count(POSITIVE), count(NEGATIVE)
-    return F.when(p + n == 0, 0.0).otherwise((p - n) / (p + n))
+
+    def share(found: Column) -> Column:
+        p, n = (F.size(F.filter(found, lambda t: t.isin(*words))).cast("double") for words in (POSITIVE, NEGATIVE))
+        return F.when(p + n == 0, 0.0).otherwise((p - n) / (p + n))
+
+    return _bound(tokens, share)
 
 
 def event_class(title: Column, digits: bool = False) -> Column:
     """First catalyst class that matches, else null. Tokens hold no digits unless asked for, so q1 to q4 never match."""
     text = F.lower(F.coalesce(title, F.lit("")))
     tokens = F.regexp_extract_all(text, F.lit(TOKENS_WITH_DIGITS if digits else TOKENS), 1)
-    out = F.lit(None).cast("string")
-    for label, words in reversed(EVENT_RULES):
-        long, short = [w for w in words if len(w) >= 5], [w for w in words if len(w) < 5]
-        hit = F.lit(False)
-        for w in long:
-            hit = hit | text.contains(w)
-        if short:
-            hit = hit | F.arrays_overlap(tokens, F.array(*map(F.lit, short)))
-        out = F.when(hit, F.lit(label)).otherwise(out)
-    return out
+
+    def first_class(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for label, words in reversed(EVENT_RULES):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | x["text"].contains(w) if len(w) >= 5 else hit
+            if short := [w for w in words if len(w) < 5]:
+                hit = hit | F.arrays_overlap(x["tokens"], F.array(*map(F.lit, short)))
+            out = F.when(hit, F.lit(label)).otherwise(out)
+        return out
+
+    return _bound(F.struct(text.alias("text"), tokens.alias("tokens")), first_class)
 
 
 def sentiment_label(mean: Column) -> Column:
