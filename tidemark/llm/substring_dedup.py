@@ -264,13 +264,13 @@ def kept_mask(hashes: np.ndarray, lost: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches):
-    schema = pa.schema([("c_sha", pa.string()), ("n_removed", pa.int64()), ("kept_text", pa.binary())])
+    schema = pa.schema([("c_id", pa.int64()), ("c_sha", pa.string()), ("n_removed", pa.int64()), ("kept_text", pa.binary())])
     for batch in batches:
         out = []
-        for sha, text, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for doc_id, sha, text, lists in zip(*(batch.column(k).to_pylist() for k in range(4))):
             words = text.split()
             keep = kept_mask(word_hashes(words), np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in lists])))
-            out.append((sha, int((~keep).sum()), b" ".join([words[i] for i in np.flatnonzero(keep)])))
+            out.append((doc_id, sha, int((~keep).sum()), b" ".join([words[i] for i in np.flatnonzero(keep)])))
         yield _rows(out, schema)
 
 
@@ -309,10 +309,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lost = windows.where("kind = 'W'").select("bucket", "a", "b").groupBy("bucket").applyInPandas(_meet_windows, "doc_id long, a binary")
     lost = windows.where("kind = 'X'").select("doc_id", "a").unionByName(lost).groupBy("doc_id").agg(F.collect_list("a").alias("keys"))
     texts = windows.where("kind = 'T'").select("doc_id", "sha", "text").dropDuplicates(["doc_id", "sha"])
-    cut = texts.join(lost, "doc_id").select("sha", "text", "keys").mapInArrow(_cut, "c_sha string, n_removed long, kept_text binary")
+    cut = texts.join(lost, "doc_id").select("doc_id", "sha", "text", "keys").mapInArrow(_cut, "c_id long, c_sha string, n_removed long, kept_text binary")
 
     marked = whole.join(smallest, "sha", "left").withColumn("copy", (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW))
-    out = marked.join(cut, (F.col("sha") == F.col("c_sha")) & (F.col("doc_id") == F.col("first_id")), "left")
+    out = marked.join(cut, (F.col("sha") == F.col("c_sha")) & (F.col("doc_id") == F.col("c_id")), "left")  # by id too: copies share a digest
     copy = F.coalesce("copy", F.lit(False))
     removed = F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return out.select("doc_id", F.col("n").alias("n_words"), removed.cast("long").alias("n_removed"), F.col("sha").alias("whole_sha256"), F.when(~copy, F.col("kept_text")).alias("kept_text"))
