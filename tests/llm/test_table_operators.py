@@ -127,6 +127,19 @@ def test_mix(spark, make_docs):
     assert mix_counts(make_docs([])).count() == 0 and mixed_documents(make_docs([])).count() == 0
 
 
+def test_mix_keeps_rows_of_null_and_repeated_ids(spark, make_docs):
+    rows = [*ODD, (7, "p q", "a"), (7, "k " * 900, "a"), (7, "u v w", "d"), (None, "y " * 40, "b"), (None, "z " * 90, "d")]
+    docs = make_docs(rows)
+    got = Counter()
+    for r in mixed_documents(docs, block_words=8).collect():
+        assert len(set(r.text.split())) == 1 or r.text in {t for _, t, _ in rows}
+        got[r.doc_id] += len(r.text.split())
+    want = Counter()
+    for r in mix_counts(docs, block_words=8).collect():
+        want[r.doc_id] += r.taken
+    assert got == +want and got[None] and got[7]
+
+
 @pytest.mark.parametrize("name", ["op2_exact_dedup", "op7_topk"])
 def test_queries_match_their_sql(spark, name):
     import duckdb

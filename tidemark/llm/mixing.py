@@ -84,8 +84,8 @@ def draw_slots(blocks: dict[int, int], wanted: dict[int, int], shards: int = OUT
     return rows
 
 
-def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS, weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, buckets=BUCKETS):
-    """``(offsets, slots, per_source)``.
+def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS, weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, buckets=BUCKETS, rid_col=None):
+    """``(offsets, slots, per_source)``. ``rid_col`` names a unique long column of ``docs``; without it rows are numbered.
 
     ``offsets``: each row's ``doc_id, rid, source, size, sid, first_word`` - the words of a source are laid end to
     end in a hashed order. ``slots``: ``sid, shard, slot, block`` - what each output slot holds. ``per_source``:
@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
+        F.col(id_col).cast("long").alias("doc_id"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"),
         F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     )
     rows = written(rows.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int")), "mix-rows")
@@ -172,16 +172,18 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The mix as documents, with all columns of ``docs``: a row for each pass over a document, its text cut to the
     stretches that this pass takes. A whole document keeps its text as it is; stretches keep the white space inside
-    them and are joined by a line feed. Documents with nothing taken go. ``n_chars``, if there, is counted anew."""
+    them and are joined by a line feed. Documents with nothing taken go. ``n_chars``, if there, is counted anew. Rows
+    are numbered once and joined by that number, so rows with a null or a repeated id are rows of their own."""
     bound_arrow_batches(docs.sparkSession)
     block_words = options.get("block_words", BLOCK_WORDS)
-    offsets, slots, _ = mix_plan(docs, id_col=id_col, text_col=text_col, **options)
+    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
+    offsets, slots, _ = mix_plan(numbered, id_col=id_col, text_col=text_col, rid_col="__rid", **options)
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     runs = (
         blocks_of(written(offsets, "mix-offsets"), block_words).join(times, ["sid", "block"])
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("__runs"))
+        .groupBy(F.col("rid").alias("__rid")).agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("__runs"))
     )
-    joined = docs.join(runs.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id")).drop("__id")
+    joined = numbered.join(runs, "__rid").select(*docs.columns, "__runs")
     schema = docs.schema
     names, at, runs_at = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
