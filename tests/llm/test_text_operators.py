@@ -197,3 +197,14 @@ def test_near_copies(spark, make_docs):
         rows.append((10 * g + 12, " ".join(far)))
     kept = {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()}
     assert kept == {d for d, _ in rows if d is None or d % 10 != 1 or d == 1}
+
+
+def test_near_copies_of_appended_and_cut_texts(spark, make_docs):
+    rng = random.Random(8)
+    rows = []
+    for g in range(300):
+        n = (60, 200, 600)[g % 3]
+        w = [f"t{rng.randrange(10**6)}" for _ in range(n)]
+        pair = [" ".join(w), " ".join(w + [f"u{rng.randrange(10**6)}" for _ in range((n - 4) // 4)])]
+        rows += [(2 * g + k, t) for k, t in enumerate(pair if g % 2 else pair[::-1])]
+    assert {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()} == {2 * g for g in range(300)}

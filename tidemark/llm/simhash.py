@@ -221,83 +221,91 @@ def fingerprint_components(docs: DataFrame) -> DataFrame:
 
 TEXT_SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Blocks of a fingerprint of distinct words. Any two blocks are a key, so all pairs within BLOCKS - 2 bits meet, and
-#: most within TEXT_DISTANCE; texts of similarity 0.8 over five words differ in about four bits.
-TEXT_BLOCKS = 8
-TEXT_DISTANCE = 10
-#: Bins of the sketch of five-word shingles, a byte each, that decides similarity after the Hamming distance.
-BINS = 256
+#: Tables of a signature and MinHash values in a table's key. Two texts of Jaccard similarity s over their shingles
+#: share a key with probability 1 - (1 - s ** KEY_VALUES) ** TABLES, however they differ: 1 - 3e-6 at 0.8.
+TABLES = 24
+KEY_VALUES = 4
+#: Signatures may agree by this much less than the similarity asked for: a pair at 0.8 falls below with a probability
+#: of 3e-6.
+SLACK = 0.2
+_HASHES = TABLES * KEY_VALUES
+_FLIP, _FACTOR = (np.random.Generator(np.random.PCG64(HASH_SEED)).integers(0, 1 << 64, (2, _HASHES, 1), np.uint64))
+_FACTOR = _FACTOR | np.uint64(1)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """A byte a bin: of the least hash in the bin, never 0; 0 for an empty bin."""
-    out = np.zeros(BINS, np.uint8)
-    h = np.sort(hashes)
-    b = (h >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    out[b[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
-    return out
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's five-word shingles: A-Z lower-cased, split at ASCII white space."""
+    return np.unique(shingle_hashes((text or b"").lower().split(), TEXT_SHINGLE_WORDS))
 
 
-def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Whether rows of two sketch arrays show a Jaccard similarity of ``least``; chance equality of bytes is taken off."""
-    filled = ((x | y) != 0).sum(axis=1)
-    same = ((x == y) & (x != 0)).sum(axis=1)
-    share = np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
-    return (share - 1 / 255) / (1 - 1 / 255) >= least
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each of ``_HASHES`` MinHash values of a set that isn't empty."""
+    least = np.full((_HASHES, 1), np.uint64((1 << 64) - 1))
+    for a in range(0, len(hashes), 2048):
+        part = (hashes[None, a : a + 2048] ^ _FLIP) * _FACTOR
+        least = np.minimum(least, part.min(axis=1, keepdims=True))
+    return (_mixed(least[:, 0]) >> np.uint64(48)).astype("<u2")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id`` of each row that has a near copy: five-word shingles (A-Z lower-cased, white space as
-    single spaces) of Jaccard similarity ``similarity`` or more, by a sketch of BINS bins, directly or over others.
+    """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
+    shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
+    its own, directly or over others.
 
-    Rows with equal sketches and fingerprints are one node. Blank texts are not near anything; null ids neither.
+    MinHash tables find the pairs and signatures decide, in favour of a link. Rows of equal sets are one node. Blank texts are not near anything; null ids neither.
     """
     bound_arrow_batches(docs.sparkSession)
+    enough = int(np.floor((similarity - SLACK) * _HASHES))
 
     def prints(batches):
         for batch in batches:
-            fps, sketches = [], []
+            digests, signatures = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
-                fps.append(fingerprint(shingle_hashes(sorted(set(words)), 1)) if words else None)
-                sketches.append(sketch(shingle_hashes(words, TEXT_SHINGLE_WORDS)).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "sketch"])
+                hashes = shingle_set(text)
+                digests.append(set_digest(hashes) if len(hashes) else None)
+                signatures.append(signature(hashes).tobytes() if len(hashes) else None)
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "digest", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(rows.mapInArrow(prints, "doc_id long, fp long, sketch binary").where("fp is not null"), "near-prints")
-    nodes = written(found.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")), "near-nodes")
-    masks = pair_masks(TEXT_BLOCKS)
-    keyed = nodes.groupBy("fp").agg(F.min("node").alias("n")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary").where("digest is not null"), "near-prints")
+    nodes = written(found.groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "near-nodes")
+
+    def keyed(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+            t, node = np.tile(np.arange(TABLES, dtype=np.int32), batch.num_rows), np.repeat(batch.column(0).to_numpy(), TABLES)
+            yield pa.record_batch([pa.array(t), pa.array(keys), pa.array(node)], ["t", "key", "node"])
 
     def met(batches):
-        """Buckets and fingerprints that are near another one there; the first such table of a pair is enough."""
-        for group, (t, key, fp) in _whole_buckets(batches, 2):
-            f = fp.astype(np.int64).view(np.uint64)
-            near = np.zeros(len(f), bool)
-            for i, j in _near_pairs(group, f, TEXT_DISTANCE):
-                apart = f[i] ^ f[j]
-                earlier = np.zeros(len(i), bool)
-                for k, m in enumerate(masks):
-                    earlier |= (t[i] > k) & ((apart & np.uint64(m)) == 0)
-                near[i[~earlier]] = True
-                near[j[~earlier]] = True
-            yield pa.record_batch([pa.array(t[near], pa.int32()), pa.array(key[near], pa.int64()), pa.array(fp[near], pa.int64())], ["t", "key", "fp"])
-
-    close = keyed.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(met, "t int, key long, fp long")
-    same = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(-1).alias("t"), F.col("fp").alias("key"), "fp")
-    sides = written(close.unionByName(same), "near-buckets").join(nodes.hint("merge"), "fp")
+        """Rows of buckets with more than one row."""
+        for group, (t, key, node) in _whole_buckets(batches, 2):
+            size = np.bincount(group)[group]
+            yield pa.record_batch([pa.array(x[size > 1], k) for x, k in ((t, pa.int32()), (key, pa.int64()), (node, pa.int64()))], ["t", "key", "node"])
+
+    tables = nodes.select("node", "sig").mapInArrow(keyed, "t int, key long, node long")
+    close = written(tables.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(met, "t int, key long, node long").distinct(), "near-buckets")
+    sides = close.join(nodes.hint("merge"), "node")
 
     def link(batches):
-        for group, (_, _, fp, node, sketches) in _whole_buckets(batches, 2):
-            s = np.frombuffer(b"".join(sketches.tolist()), np.uint8).reshape(-1, BINS)
-            a, b = local_links(group, fp.astype(np.int64).view(np.uint64), node.astype(np.int64), TEXT_DISTANCE, lambda i, j: similar(s[i], s[j], similarity), None)
+        for group, (_, _, node, sigs) in _whole_buckets(batches, 2):
+            s = np.frombuffer(b"".join(sigs.tolist()), "<u2").reshape(-1, _HASHES)
+            alike = lambda i, j: (s[i] == s[j]).sum(axis=1) >= enough
+            a, b = local_links(group, np.zeros(len(node), np.uint64), node.astype(np.int64), 64, alike, None)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = sides.select("t", "key", "fp", "node", "sketch").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long")
+    links = sides.select("t", "key", "node", "sig").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long")
     linked = connected_components(links)
-    label = written(nodes.join(linked, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id")), "near-labels")
-    return found.join(label.hint("merge"), ["fp", "sketch"]).select("doc_id", "component_id")
+    label = written(nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    return found.select("doc_id", "digest").join(label.hint("merge"), "digest").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
