@@ -208,3 +208,14 @@ def test_near_copies_of_appended_and_cut_texts(spark, make_docs):
         pair = [" ".join(w), " ".join(w + [f"u{rng.randrange(10**6)}" for _ in range((n - 4) // 4)])]
         rows += [(2 * g + k, t) for k, t in enumerate(pair if g % 2 else pair[::-1])]
     assert {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()} == {2 * g for g in range(300)}
+
+
+def test_near_copies_are_decided_by_their_shingles(spark, make_docs):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for g in range(120):
+        w = [f"t{rng.randrange(10**6)}" for _ in range(504)]
+        k = 110 if g % 2 else 140
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w + [f"u{rng.randrange(10**6)}" for _ in range(k)]))]
+        want |= {2 * g} if 500 / (500 + k) >= 0.8 else {2 * g, 2 * g + 1}
+    assert {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()} == want

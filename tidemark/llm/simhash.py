@@ -225,8 +225,8 @@ SIMILARITY = 0.8
 #: share a key with probability 1 - (1 - s ** KEY_VALUES) ** TABLES, however they differ: 1 - 3e-6 at 0.8.
 TABLES = 24
 KEY_VALUES = 4
-#: Signatures may agree by this much less than the similarity asked for: a pair at 0.8 falls below with a probability
-#: of 3e-6.
+#: Signatures that agree by less than this under the similarity asked for are not compared exactly: a pair at 0.8
+#: falls below it with a probability of 1e-6.
 SLACK = 0.2
 _HASHES = TABLES * KEY_VALUES
 _FLIP, _FACTOR = (np.random.Generator(np.random.PCG64(HASH_SEED)).integers(0, 1 << 64, (2, _HASHES, 1), np.uint64))
@@ -256,12 +256,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def exact_links(sets: list[np.ndarray], node: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For each set the smallest node of its component, over pairs of sets whose Jaccard similarity is ``least`` or
+    more, by intersection: every pair is counted, save those already joined over others."""
+    sizes = np.array([len(x) for x in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    root, rank = np.arange(len(sets)), np.argsort(np.argsort(node, kind="stable"), kind="stable")
+    mine = np.zeros(len(values), bool)
+    later = np.arange(len(sets))
+    for i in range(len(sets)):
+        j = later[i + 1 :]
+        j = j[(root[j] != root[i]) & (np.minimum(sizes[j], sizes[i]) + 1e-9 >= least * np.maximum(sizes[j], sizes[i]))]
+        if not len(j):
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        mine[own] = True
+        shared = np.array([np.count_nonzero(mine[ids[ends[k] - sizes[k] : ends[k]]]) for k in j.tolist()])
+        mine[own] = False
+        j = j[shared + 1e-9 >= least * (sizes[i] + sizes[j] - shared)]
+        root = _merge(root, rank, np.full(len(j), i), j)
+    return node[root]
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
     shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
     its own, directly or over others.
 
-    MinHash tables find the pairs and signatures decide, in favour of a link. Rows of equal sets are one node. Blank texts are not near anything; null ids neither.
+    MinHash tables and signatures only find groups of candidates; within a group the sets themselves decide. Rows of
+    equal sets are one node. Blank texts are not near anything; null ids neither.
     """
     bound_arrow_batches(docs.sparkSession)
     enough = int(np.floor((similarity - SLACK) * _HASHES))
@@ -304,6 +328,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = sides.select("t", "key", "node", "sig").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long")
     linked = connected_components(links)
+    grouped = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    members = written(nodes.join(grouped, "node").select("component", F.col("node").alias("__node"), "digest"), "near-members")
+    texts = rows.join(members, F.col("doc_id") == F.col("__node")).select("component", "doc_id", "digest", "text")
+
+    def decide(batches):
+        """``node, component_id`` of the members of each group; a row whose text isn't that of the digest is another
+        row of the same id. The sets of a group, not its texts, are held."""
+        group, sets, node = None, [], []
+        for batch in batches:
+            for component, doc, digest, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()).to_pylist()):
+                if component != group and sets:
+                    yield settled(sets, node)
+                    sets, node = [], []
+                group, hashes = component, shingle_set(text)
+                if set_digest(hashes) == digest:
+                    sets.append(hashes)
+                    node.append(doc)
+        if sets:
+            yield settled(sets, node)
+
+    def settled(sets, node):
+        nodes_ = np.array(node, np.int64)
+        return pa.record_batch([pa.array(nodes_), pa.array(exact_links(sets, nodes_, similarity))], ["node", "component"])
+
+    pairs = written(texts.repartition("component").sortWithinPartitions("component").mapInArrow(decide, "node long, component long"), "near-pairs")
+    linked = connected_components(pairs.select(F.col("node").alias("a"), F.col("component").alias("b")))
     label = written(nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
     return found.select("doc_id", "digest").join(label.hint("merge"), "digest").select("doc_id", "component_id")
 
