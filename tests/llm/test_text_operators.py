@@ -76,16 +76,39 @@ def test_toxicity_learns_and_spares(spark, make_docs):
                 words.insert(rng.randrange(40), w)
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    docs, lab = make_docs([*rows, (9000, None), (9001, ""), (None, "moron idiotic")]), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    more = [(9000, None), (9001, ""), (None, "moron idiotic"), (9002, "moron " * 30000), (0, rows[0][1])]
+    docs, lab = make_docs([*rows, *more]), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
     out = judge_toxicity(docs, lab).collect()
     truth = dict(labels)
     held = [r for r in out if r.held_out and r.doc_id in truth]
     assert len(held) > 200 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.98 * len(held)
-    assert all(0 <= r.score <= 1 for r in out) and len(out) == 903
+    assert all(0 <= r.score <= 1 for r in out) and len(out) == 905
     assert drop_toxic(docs, lab).count() == sum(r.predicted == 0 for r in out)
     assert {r.score < 0.01 for r in judge_toxicity(docs, lab.limit(0)).collect()} == {True}
 
 
+def test_toxicity_learns_pairs_whose_words_say_nothing_alone(spark, make_docs):
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    rows, labels = [], []
+    for i in range(4000):
+        both = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(vocabulary, 40) + [w for w, there in zip(("kwarmen", "zelotik"), both) if there]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(both[0] == both[1])))
+    out = judge_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r.predicted == labels[r.doc_id][1] for r in out) >= 0.95 * len(out) > 1000
+
+
+def test_toxicity_on_held_out_rows_of_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = judge_toxicity(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg({"predicted": "sum", "doc_id": "count"}).collect()
+    found = {r.toxic: (r["sum(predicted)"], r["count(doc_id)"]) for r in rows}
+    assert found[1][0] >= 0.85 * found[1][1] and found[0][0] <= 0.005 * found[0][1]
+
+
 def brute_removal(rows, window=50):
     docs = [(d, (t or "").encode().split()) for d, t in rows]
     first = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -16,17 +17,26 @@ from tidemark.llm.common import bound_arrow_batches
 #: Bound of the labelled sample that the model is fitted on: so many rows of each label, first by a hash of the id.
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 5000
-#: Terms hash to so many buckets; the model keeps the buckets whose label rates differ most, this many at most.
+#: Terms hash to so many buckets. The model keeps every bucket whose label rates differ by MIN_Z standard errors, and
+#: every word of a pair whose label rate differs by MIN_PAIR_Z from what its two words say each for itself.
 HASH_BUCKETS = 1 << 22
-KEPT_TERMS = 512
 MIN_Z = 4.0
+MIN_PAIR_Z = 7.0
+#: Pairs are counted in so many buckets first, then one by one in the buckets that stand out; words of pairs and pairs
+#: occur in so many texts at least.
+PAIR_BUCKETS = 1 << 22
+MIN_PAIR_ROWS = 12
+PAIR_SLICE = 1 << 21
 FACTORS = 4
-STEPS = 300
+STEPS = 800
 BATCH = 512
 #: Share of a text's terms that a training step keeps: terms that always come together must each carry the decision.
-TERM_KEEP = 0.3
-LEARNING_RATE = 0.05
+#: The last steps see whole texts, so that scores are those of whole texts.
+TERM_KEEP = 0.15
+WHOLE_STEPS = 40
+LEARNING_RATE = 0.02
 L2 = 1e-4
+INITIAL_FACTOR = 0.1
 THRESHOLD = 0.7
 #: Word stems of these lengths are terms beside whole words, as inflections share them.
 STEMS = (4, 5, 6)
@@ -70,70 +80,158 @@ class FactorModel:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> FactorModel:
-    """Fit on the distinct term buckets of each text and its label (0 or 1). With one label only, or none, every
-    score is that label's: 0 for none."""
+def _differing(names: np.ndarray, at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Of ``names`` those whose rates among rows of label 1 and of label 0 differ by MIN_Z standard errors;
+    ``names[at]`` are the terms of all rows and ``y`` the labels of their rows."""
+    c1 = np.bincount(at, weights=y, minlength=len(names))
+    c0 = np.bincount(at, minlength=len(names)) - c1
+    p = (c1 + c0) / (n1 + n0)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    return names[z >= MIN_Z]
+
+
+def _pair_slices(lists: list[np.ndarray], labels: np.ndarray):
+    """``(first word, second word, label)`` of the pairs of each row's words (sorted numbers), slice by slice."""
+    held, size = [], 0
+    for words, label in zip(lists, labels.tolist()):
+        for k in range(1, len(words)):
+            held.append((words[:-k], words[k:], label))
+            size += len(words) - k
+            if size >= PAIR_SLICE:
+                yield tuple(np.concatenate([x[i] for x in held]) for i in (0, 1)) + (np.repeat([x[2] for x in held], [len(x[0]) for x in held]),)
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate([x[i] for x in held]) for i in (0, 1)) + (np.repeat([x[2] for x in held], [len(x[0]) for x in held]),)
+
+
+def interacting(words: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Words that are in a pair whose label rate isn't what its two words' own rates, added up as log odds, say.
+
+    All pairs of words of MIN_PAIR_ROWS rows or more are counted: residuals are summed in hashed buckets, and the
+    pairs in buckets that stand out are then counted one by one.
+    """
+    names, at = np.unique(np.concatenate(words), return_inverse=True)
+    owner = np.repeat(labels, [len(x) for x in words])
+    count = np.bincount(at, minlength=len(names))
+    logit = lambda hit, n: np.log((hit + 0.5) / (n - hit + 0.5))
+    base = logit(labels.sum(), len(labels))
+    odds = (logit(np.bincount(at, weights=owner, minlength=len(names)) + labels.mean(), count + 1) - base).astype(np.float32)
+    frequent = (count >= MIN_PAIR_ROWS)[at]
+    ends = np.cumsum([0, *(len(x) for x in words)])
+    lists = [at[a:b][frequent[a:b]] for a, b in zip(ends[:-1], ends[1:])]
+
+    def spread(a, b):
+        return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)).astype(np.int64) % PAIR_BUCKETS
+
+    def sums(a, b, y, place, n):
+        p = 1 / (1 + np.exp(-np.clip(base + odds[a] + odds[b], -4, 4)))
+        return np.bincount(place, weights=y - p, minlength=n), np.bincount(place, weights=p * (1 - p), minlength=n)
+
+    off, var = np.zeros(PAIR_BUCKETS), np.zeros(PAIR_BUCKETS)
+    for a, b, y in _pair_slices(lists, labels):
+        for total, part in zip((off, var), sums(a, b, y, spread(a, b), PAIR_BUCKETS)):
+            total += part
+    stands_out = np.abs(off) >= MIN_PAIR_Z * np.sqrt(var)
+    stands_out &= var > 0
+    if not stands_out.any():
+        return np.zeros(0, names.dtype)
+    found = []
+    for a, b, y in _pair_slices(lists, labels):
+        hit = stands_out[spread(a, b)]
+        found.append((a[hit], b[hit], y[hit]))
+    a, b, y = (np.concatenate([x[i] for x in found]) for i in range(3))
+    pairs, place, n = np.unique(a * len(names) + b, return_inverse=True, return_counts=True)
+    off, var = sums(a, b, y, place, len(pairs))
+    pairs = pairs[(n >= MIN_PAIR_ROWS) & (np.abs(off) >= MIN_PAIR_Z * np.sqrt(var))]
+    return names[np.unique(np.concatenate([pairs // len(names), pairs % len(names)]))]
+
+
+def fit(rows: list[np.ndarray], words: list[np.ndarray], labels: np.ndarray, share: float | None = None) -> FactorModel:
+    """Fit on the distinct term buckets of each text, those of its whole words, and its label (0 or 1). ``share`` is
+    the share of label 1 in the population: rows are weighted to it. With one label only, or none, every score is
+    that label's: 0 for none."""
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return FactorModel(30.0 if n1 else -30.0, {}, np.zeros(0), np.zeros((0, FACTORS)))
-    bucket = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(labels, [len(r) for r in rows])
+    lengths = np.array([len(r) for r in rows])
+    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     names, at = np.unique(bucket, return_inverse=True)
-    c1 = np.bincount(at, weights=owner, minlength=len(names))
-    c0 = np.bincount(at, minlength=len(names)) - c1
-    p = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    order = np.lexsort((names, -z))[:KEPT_TERMS]
-    kept = np.sort(order[z[order] >= MIN_Z])
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hit = place[at] >= 0
-    x[row[hit], place[at][hit]] = 1.0
+    kept = np.union1d(_differing(names, at, labels[row], n1, n0), interacting(words, labels))
+    index = np.full(len(names), -1)
+    index[np.searchsorted(names, kept)] = np.arange(len(kept))
+    hit = index[at] >= 0
+    term, ends = index[at[hit]], np.searchsorted(row[hit], np.arange(len(rows) + 1))
+    share = n1 / (n1 + n0) if share is None else share
+    weight = np.where(labels == 1, share * len(labels) / n1, (1 - share) * len(labels) / n0)
     rng = np.random.default_rng(11)
-    bias, w, v = float(np.log(n1 / n0)), np.zeros(len(kept), np.float32), rng.normal(0, 0.01, (len(kept), FACTORS)).astype(np.float32)
-    mean, spread = [np.zeros(1), np.zeros_like(w), np.zeros_like(v)], [np.zeros(1), np.zeros_like(w), np.zeros_like(v)]
+    table = np.concatenate([np.zeros((len(kept), 1)), rng.normal(0, INITIAL_FACTOR, (len(kept), FACTORS))], axis=1)
+    bias = np.array([math.log(share / (1 - share))])
+    mean, spread = [np.zeros(1), np.zeros_like(table)], [np.zeros(1), np.zeros_like(table)]
     for step in range(1, STEPS + 1):
         part = rng.integers(0, len(labels), BATCH)
-        keep = TERM_KEEP + (1 - TERM_KEEP) * rng.random((BATCH, 1), np.float32)
-        xb = x[part] * (rng.random((BATCH, len(kept)), np.float32) < keep)
-        xv = xb @ v
-        logit = bias + xb @ w + 0.5 * ((xv**2) - xb @ (v**2)).sum(axis=1)
-        g = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / BATCH).astype(np.float32)
-        gx = xb.T @ g
-        for k, grad in enumerate((np.array([g.sum()]), gx + L2 * w, xb.T @ (g[:, None] * xv) - gx[:, None] * v + L2 * v)):
-            mean[k][...] = 0.9 * mean[k] + 0.1 * grad
-            spread[k][...] = 0.999 * spread[k] + 0.001 * grad**2
-            move = LEARNING_RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(spread[k] / (1 - 0.999**step)) + 1e-8)
-            if k == 0:
-                bias -= float(move[0])
-            elif k == 1:
-                w = w - move.astype(np.float32)
-            else:
-                v = v - move.astype(np.float32)
-    return FactorModel(bias, {int(names[k]): i for i, k in enumerate(kept)}, w.astype(float), v.astype(float))
+        size = ends[part + 1] - ends[part]
+        own = np.repeat(np.arange(BATCH), size)
+        active = term[np.repeat(ends[part] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        if step <= STEPS - WHOLE_STEPS:
+            keep = rng.random(len(own)) < (TERM_KEEP + (1 - TERM_KEEP) * rng.random(BATCH))[own]
+            own, active = own[keep], active[keep]
+        at_term = table[active]
+        total = _sums(at_term, own, BATCH)
+        square = _sums((at_term[:, 1:] ** 2).sum(axis=1, keepdims=True), own, BATCH)[:, 0]
+        z = bias[0] + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - square)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * weight[part] / BATCH
+        each = np.concatenate([g[own, None], g[own, None] * (total[own, 1:] - at_term[:, 1:])], axis=1)
+        for value, m, s, grad in ((bias, mean[0], spread[0], np.array([g.sum()])), (table, mean[1], spread[1], _sums(each, active, len(kept)) + L2 * table)):
+            m[...] = 0.9 * m + 0.1 * grad
+            s[...] = 0.999 * s + 0.001 * grad**2
+            value -= LEARNING_RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    return FactorModel(float(bias[0]), {int(k): i for i, k in enumerate(kept)}, table[:, 0], table[:, 1:])
+
+
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by group 0..n-1."""
+    return np.stack([np.bincount(group, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorModel:
-    """Fit on whole texts of a bounded sample of labelled rows outside the held-out fold. Rows without a label of 0
-    or 1 are left out; a document labelled both ways counts as 1."""
+    """Fit on whole texts of a bounded sample of labelled rows outside the held-out fold, weighted to the share of
+    label 1 among all of them. Rows without a label of 0 or 1 are left out; a document labelled both ways counts as
+    1; of the texts of a repeated id one counts; null texts have no terms.
+
+    One task fits, on the hashed terms of SAMPLE_TOXIC + SAMPLE_CLEAN documents at most; only the model, its kept
+    terms' weights, comes to the driver.
+    """
     bound_arrow_batches(docs.sparkSession)
     lab = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     lab = lab.where(fold(F.col("id")) != HELD_OUT_FOLD).groupBy("id").agg(F.max("y").alias("y"))
+    known, toxic = lab.agg(F.count(F.lit(1)), F.sum("y")).first()
+    share = toxic / known if known else None
     order = F.xxhash64("id")
     chosen = lab.where("y = 1").orderBy(order, "id").limit(SAMPLE_TOXIC).unionByName(lab.where("y = 0").orderBy(order, "id").limit(SAMPLE_CLEAN))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def hashed(batches):
         for batch in batches:
-            out = [np.unique([t for w in words_of(text) for t in terms(w)]).astype("<i4").tobytes() for text in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "terms"])
-
-    got = picked.select("id", "y", "text").mapInArrow(hashed, "id long, y int, terms binary").toArrow().sort_by([("id", "ascending"), ("terms", "ascending")])
-    rows = [np.frombuffer(b, "<i4").astype(np.int64) for b in got.column("terms").to_pylist()]
-    return fit(rows, np.array(got.column("y").to_pylist(), np.int64))
-
+            each = [words_of(text) for text in batch.column(2).to_pylist()]
+            whole = [np.unique([terms(w)[0] for w in words]).astype("<i4").tobytes() for words in each]
+            out = [np.unique([t for w in words for t in terms(w)]).astype("<i4").tobytes() for words in each]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(whole, pa.binary())], ["id", "y", "terms", "words"])
+
+    def fitted(batches):
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary()), ("words", pa.binary())]))
+        got = got.sort_by([("id", "ascending"), ("terms", "ascending")])
+        rows, words = ([np.frombuffer(b, "<i4").astype(np.int64) for b in got.column(c).to_pylist()] for c in ("terms", "words"))
+        model = fit(rows, words, np.array(got.column("y").to_pylist(), np.int64), share)
+        names = np.array(list(model.index), np.int64)
+        yield pa.record_batch([pa.array([model.bias]), *(pa.array([x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes()], pa.binary()) for x in (names, model.weights, model.factors))], ["bias", "names", "weights", "factors"])
+
+    sample = picked.select("id", "y", "text").mapInArrow(hashed, "id long, y int, terms binary, words binary")
+    sample = sample.groupBy("id", "y").agg(F.max(F.struct("terms", "words")).alias("of")).select("id", "y", "of.terms", "of.words").coalesce(1)
+    got = sample.mapInArrow(fitted, "bias double, names binary, weights binary, factors binary").first()
+    if got is None:
+        return fit([], [], np.zeros(0, np.int64))
+    names = np.frombuffer(got.names, "<i8").tolist()
+    return FactorModel(got.bias, {k: i for i, k in enumerate(names)}, np.frombuffer(got.weights, "<f8"), np.frombuffer(got.factors, "<f8").reshape(-1, FACTORS))
 
 
 class _Scorer:
@@ -160,7 +258,7 @@ class _Scorer:
 
 
 def score_texts(docs: DataFrame, model: FactorModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of each row."""
+    """``doc_id, score`` of each row, repeated ones and null ids too; null and empty texts score by the bias alone."""
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches):
@@ -183,7 +281,8 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD, with all their columns."""
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns. Null and empty texts score by the bias
+    alone; repeated rows stay or go alike; null ids are judged like others; an empty table gives no rows."""
     model = fit_on_sample(docs, labels)
     bound_arrow_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
