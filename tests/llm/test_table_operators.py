@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm.mixing import mix_counts, mixed_documents, permuted, targets
+from tidemark.llm.mixing import draw_slots, mix_counts, mix_plan, mixed_documents, permuted, targets
 from tidemark.llm.sharding import lpt_runs, shard_documents
 from tidemark.llm.topk import search, top_k
 from tidemark.llm.url_filter import judge_urls
@@ -120,13 +120,55 @@ def test_mix(spark, make_docs):
     for r in out:
         source[r.source_size] = r.target
     assert all(abs(taken[s] - t) <= max(16, 0.02 * t) for s, t in source.items())
-    mixed = mixed_documents(docs.where("doc_id >= 100"), block_words=8)
-    plain = mix_counts(docs.where("doc_id >= 100"), block_words=8)
+    mixed, plain = mixed_documents(docs, block_words=8), mix_counts(docs, block_words=8)
     assert mixed.columns == docs.columns
     assert sum(len(r.text.split()) for r in mixed.collect()) == plain.agg({"taken": "sum"}).first()[0]
     assert mix_counts(make_docs([])).count() == 0 and mixed_documents(make_docs([])).count() == 0
 
 
+def brute_taken(docs, **options):
+    """Words taken of each row, and of each row and shard, slot by slot."""
+    offsets, slots, _ = mix_plan(docs, block_words=8, **options)
+    rows, taken, by_shard = [r.asDict() for r in offsets.collect()], Counter(), Counter()
+    for s in slots.collect():
+        for r in rows:
+            if r["sid"] == s.sid:
+                words = min(r["first_word"] + r["size"], 8 * s.block + 8) - max(r["first_word"], 8 * s.block)
+                if words > 0:
+                    taken[r["doc_id"]] += words
+                    by_shard[s.shard] += words
+    return taken, by_shard
+
+
+def test_mix_is_what_its_slots_hold(spark, make_docs):
+    rng = random.Random(6)
+    docs = make_docs([(i, "w " * rng.randrange(1, 90), rng.choice("abcd")) for i in range(150)]).persist()
+    taken, by_shard = brute_taken(docs)
+    got = mix_counts(docs, block_words=8).collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == taken
+    assert {r.doc_id for r in mix_counts(docs, block_words=8, draw_seed=9).join(mix_counts(docs, block_words=8), ["doc_id", "taken"], "anti").collect()}
+    placed = mixed_documents(docs, shard_column="shard", block_words=8).collect()
+    words = Counter()
+    for r in placed:
+        words[r.shard] += len(r.text.split())
+    assert words == by_shard and len(by_shard) > 40
+    assert {(r.doc_id, s) for r in got for s in r.shards.split(",") if s} == {(r.doc_id, str(r.shard)) for r in placed}
+
+
+def test_draw():
+    blocks, wanted = [1000, 20, 400, 0], [500, 60, 860, 0]
+    rows = draw_slots(blocks, wanted, 16, 3)
+    total, of_shard, ends = Counter(), Counter(), Counter()
+    for shard, source, first, n in rows:
+        assert first == ends[source] and n > 0
+        ends[source] += n
+        total[source] += n
+        of_shard[shard] += n
+    assert set(of_shard.values()) <= {89, 85} and sum(total.values()) == 1420 and total[1] <= 60
+    assert all(abs(total[k] - wanted[k]) <= 15 for k in range(4)) and draw_slots(blocks, wanted, 16, 4) != rows
+    assert draw_slots([], []) == [] and draw_slots([0], [0]) == []
+
+
 def test_mix_keeps_rows_of_null_and_repeated_ids(spark, make_docs):
     rows = [*ODD, (7, "p q", "a"), (7, "k " * 900, "a"), (7, "u v w", "d"), (None, "y " * 40, "b"), (None, "z " * 90, "d")]
     docs = make_docs(rows)

@@ -27,13 +27,16 @@ def bound_arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and all
+    executors are threads of this machine's one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -69,6 +72,18 @@ def _quiet_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as no column of ``df`` has (names in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -1,5 +1,9 @@
-"""Mixing sources to target weights: fixed-length token blocks, multinomial slot counts a shard, per-source
-pseudorandom block permutations, and a join of blocks by index."""
+"""Mixing sources to target weights: fixed-length token blocks, a multinomial draw of source counts for each output
+shard, per-source pseudorandom block permutations, and a join of blocks by index.
+
+All output shards have the same number of slots, save the last. Shard by shard, a multinomial draw gives the slots of
+each source, with probabilities by what is left of the sources' targets: a shard's draw makes up for the ones before,
+so a source's total misses its target by no more than about three standard deviations of one shard's draw."""
 
 from __future__ import annotations
 
@@ -9,15 +13,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import bound_arrow_batches, written
+from tidemark.llm.common import bound_arrow_batches, fresh_names, written
 
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 64
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 SEED = 20240607
+DRAW_SEED = 8
+#: The plan has a row for each source and shard on the driver: more sources than this are refused.
+MAX_SOURCES = 10_000
+#: Slots that are placed in one go.
+PIECE = 1 << 16
 #: Buckets of a source within which running offsets are summed.
 BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,25 +79,34 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def draw_slots(blocks: dict[int, int], wanted: dict[int, int], shards: int = OUTPUT_SHARDS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """``(source, shard, first slot, slots)``: each source's slots fall to the output shards by a multinomial draw."""
+def draw_slots(blocks: list[int], wanted: list[int], shards: int = OUTPUT_SHARDS, seed: int = DRAW_SEED, most: float = MAX_REPEATS) -> list[tuple[int, int, int, int]]:
+    """``(shard, source, first slot, slots)``, by shard and source, of sources 0, 1, ... with so many ``blocks`` and
+    ``wanted`` slots. No source gets more than ``most`` times its blocks: what a draw gives beyond is drawn again
+    among the others."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    rows = []
-    for source in sorted(blocks):
-        first = 0
-        for shard, n in enumerate(rng.multinomial(wanted[source], [1 / shards] * shards)):
-            if n:
-                rows.append((source, shard, first, int(n)))
-            first += int(n)
+    want, used, most_slots = np.array(wanted, np.int64), np.zeros(len(wanted), np.int64), (np.array(blocks, np.int64) * most).astype(np.int64)
+    total, rows = int(want.sum()), []
+    each = -(-total // shards)
+    for shard in range(shards):
+        todo, drawn = min(each, total - shard * each), np.zeros_like(used)
+        while todo > 0:
+            room = most_slots - used - drawn
+            chance = np.where(room > 0, np.maximum(want - used, 0), 0).astype(float)
+            chance = chance if chance.any() else np.maximum(room, 0).astype(float)
+            got = np.minimum(rng.multinomial(todo, chance / chance.sum()), room)
+            drawn, todo = drawn + got, todo - int(got.sum())
+        rows += [(shard, int(k), int(used[k]), int(drawn[k])) for k in np.flatnonzero(drawn)]
+        used += drawn
     return rows
 
 
-def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS, weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, buckets=BUCKETS, rid_col=None):
+def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS, weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, draw_seed=DRAW_SEED, buckets=BUCKETS, rid_col=None):
     """``(offsets, slots, per_source)``. ``rid_col`` names a unique long column of ``docs``; without it rows are numbered.
 
     ``offsets``: each row's ``doc_id, rid, source, size, sid, first_word`` - the words of a source are laid end to
     end in a hashed order. ``slots``: ``sid, shard, slot, block`` - what each output slot holds. ``per_source``:
-    ``sid, source, source_size, target, blocks, slots`` (a row for each source; sources are taken to be few).
+    ``sid, source, source_size, target, blocks, slots`` (a row for each source, MAX_SOURCES at most). ``seed`` keys the
+    permutations, ``draw_seed`` the draw.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -100,13 +117,18 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     rows = written(rows.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int")), "mix-rows")
     sums = written(rows.groupBy("source", "b").agg(F.sum("size").alias("words")), "mix-sums")
     sizes = [(r.source, int(r.words)) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()]
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"{len(sizes)} sources; a plan holds {MAX_SOURCES} at most")
     want = targets(sizes, weights, most)
-    per_source, blocks, wanted = [], {}, {}
-    for sid, (source, words) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))):
-        n = -(-words // block_words)
-        k = min(round(want[source] * n / words), most * n) if words else 0
-        blocks[sid], wanted[sid] = n, k
-        per_source.append((sid, source, words, float(want[source]), n, k))
+    blocks, wanted, ordered = [], [], sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    for source, words in ordered:
+        blocks.append(-(-words // block_words))
+        wanted.append(min(round(want[source] * blocks[-1] / words), math.floor(most * blocks[-1])) if words else 0)
+    runs = draw_slots(blocks, wanted, shards, draw_seed, most)
+    given = [0] * len(blocks)
+    for _, sid, _, n in runs:
+        given[sid] += n
+    per_source = [(sid, source, words, float(want[source]), blocks[sid], given[sid]) for sid, (source, words) in enumerate(ordered)]
     per_source_df = spark.createDataFrame(per_source, "sid int, source string, source_size long, target double, blocks long, slots long")
 
     prior = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,24 +141,24 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
         .select("doc_id", "rid", "source", "size", "sid", (F.col("start") + F.col("inner")).alias("first_word"))
     )
 
-    runs = draw_slots(blocks, wanted, shards, seed)
-    schema = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType())])
-    piece = 1 << 16
-    cut = [(sid, shard, first + at, min(piece, n - at)) for sid, shard, first, n in runs for at in range(0, n, piece)]
-    parts = max(1, min(len(cut), spark.sparkContext.defaultParallelism * 4))
-    run_df = spark.createDataFrame(cut, schema).repartition(parts)
-    n_blocks = dict(blocks)
+    total = sum(given)
+    ends = np.cumsum([n for *_, n in runs])
+    pieces = -(-total // PIECE)
 
     def place(batches):
         for pdf in batches:
-            for sid, shard, first, n in pdf.itertuples(index=False):
-                slot = np.arange(first, first + n, dtype=np.int64)
-                size = np.full(n, n_blocks[sid], np.int64)
-                epoch = slot // n_blocks[sid]
-                block = permuted(slot % n_blocks[sid], size, epoch + np.int64(seed) + np.int64(sid) * 1_000_003)
-                yield pd.DataFrame({"sid": np.int32(sid), "shard": np.int32(shard), "slot": slot, "block": block})
-
-    slots = run_df.mapInPandas(place, "sid int, shard int, slot long, block long")
+            for piece in pdf["id"]:
+                at = np.arange(piece * PIECE, min((piece + 1) * PIECE, total), dtype=np.int64)
+                run = np.searchsorted(ends, at, side="right")
+                shard, sid, first, n = (np.array(x, np.int64) for x in zip(*runs[run[0] : run[-1] + 1]))
+                of = run - run[0]
+                slot = first[of] + at - (ends[run] - n[of])
+                sid, size = sid[of], np.array(blocks, np.int64)[sid[of]]
+                block = permuted(slot % size, size, slot // size + np.int64(seed) + sid * 1_000_003)
+                yield pd.DataFrame({"sid": sid.astype(np.int32), "shard": shard[of].astype(np.int32), "slot": slot, "block": block})
+
+    parts = max(1, min(pieces, spark.sparkContext.defaultParallelism * 4))
+    slots = spark.range(0, pieces, 1, parts).mapInPandas(place, "sid int, shard int, slot long, block long")
     return offsets, slots, per_source_df
 
 
@@ -150,40 +172,51 @@ def blocks_of(offsets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, shards``.
 
     ``taken`` counts the words that the mix takes of the row, repeats included: at most ``most`` times its size,
-    as each epoch of slots takes a block once. Null text has no words; null source is a source of its own, last;
-    repeated rows are rows of their own; an empty table gives no rows. Same input, same seed, same result.
+    as each epoch of slots takes a block once. ``shards`` lists the output shards that hold some of them, ascending
+    and comma-joined. Null text has no words; null source is a source of its own, last; repeated rows are rows of
+    their own; an empty table gives no rows. Same input, same seeds, same result.
     """
     bound_arrow_batches(docs.sparkSession)
     block_words = options.get("block_words", BLOCK_WORDS)
     offsets, slots, per_source = mix_plan(docs, **options)
     offsets = written(offsets, "mix-offsets")
-    times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = blocks_of(offsets, block_words).join(times, ["sid", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("held_by"))
+    taken = blocks_of(offsets, block_words).join(times, ["sid", "block"])
+    taken = taken.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held_by")))).alias("held_by"))
     return (
         offsets.join(taken, "rid", "left")
         .join(F.broadcast(per_source.select("sid", "source_size", "target")), "sid")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.concat_ws(",", F.col("held_by").cast("array<string>")).alias("shards"))
     )
 
 
-def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", shard_column: str | None = None, **options) -> DataFrame:
     """The mix as documents, with all columns of ``docs``: a row for each pass over a document, its text cut to the
-    stretches that this pass takes. A whole document keeps its text as it is; stretches keep the white space inside
-    them and are joined by a line feed. Documents with nothing taken go. ``n_chars``, if there, is counted anew. Rows
-    are numbered once and joined by that number, so rows with a null or a repeated id are rows of their own."""
+    stretches that this pass takes. With ``shard_column``, that column names the output shard, and each shard has
+    rows of its own. A whole document keeps its text as it is; stretches keep the white space inside them and are
+    joined by a line feed. Documents with nothing taken go. ``n_chars``, if there, is counted anew. Rows are
+    numbered once and joined by that number, so rows with a null or a repeated id are rows of their own; null and
+    blank texts have no words and go; an empty table gives no rows."""
     bound_arrow_batches(docs.sparkSession)
     block_words = options.get("block_words", BLOCK_WORDS)
-    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
-    offsets, slots, _ = mix_plan(numbered, id_col=id_col, text_col=text_col, rid_col="__rid", **options)
-    times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    rid, runs_col = fresh_names(docs, "rid", "runs")
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
+    offsets, slots, _ = mix_plan(numbered, id_col=id_col, text_col=text_col, rid_col=rid, **options)
+    by = ["sid", "block"] + ["shard"] * bool(shard_column)
+    times = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("times"))
     runs = (
         blocks_of(written(offsets, "mix-offsets"), block_words).join(times, ["sid", "block"])
-        .groupBy(F.col("rid").alias("__rid")).agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("__runs"))
+        .groupBy(F.col("rid").alias(rid), *by[2:]).agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias(runs_col))
     )
-    joined = numbered.join(runs, "__rid").select(*docs.columns, "__runs")
+    if shard_column:
+        if shard_column in docs.columns:
+            raise ValueError(f"there is a column {shard_column} already")
+        runs = runs.withColumnRenamed("shard", shard_column)
+        docs = docs.withColumn(shard_column, F.lit(0))
+    joined = numbered.join(runs, rid).select(*docs.columns, runs_col)
     schema = docs.schema
     names, at, runs_at = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
