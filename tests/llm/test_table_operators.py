@@ -10,7 +10,7 @@ import pytest
 
 from tidemark.llm.mixing import draw_slots, mix_counts, mix_plan, mixed_documents, permuted, targets
 from tidemark.llm.sharding import lpt_runs, shard_documents
-from tidemark.llm.topk import search, top_k
+from tidemark.llm.topk import Candidates, farthest_first, top_k
 from tidemark.llm.url_filter import judge_urls
 
 ODD = [(1, None, None), (2, "", "b"), (3, "one two  three", "b"), (4, "one two  three", "c"), (4, "one two  three", "c"), (None, "x " * 5000, "a"), (6, "solo", "d")]
@@ -52,11 +52,26 @@ def test_top_k_is_exact(spark):
 def test_bounds_skip_candidates():
     rng = np.random.default_rng(0)
     m = np.concatenate([rng.integers(-5, 5, (2000, 8)), rng.integers(-5, 5, (50, 8)) + 200])
-    pivots = m[[0, 2010]].astype(float)
-    far = np.sqrt(((m[:, None, :] - pivots[None]) ** 2).sum(axis=2))
-    ids = np.arange(len(m))
-    found, _, seen = search(ids, m, far, 2020, m[2020], far[2020], 5)
+    pivots = farthest_first(m, 8)
+    far = np.sqrt(((m[:, None, :] - pivots[None]).astype(float) ** 2).sum(axis=2))
+    found, _, seen = Candidates(np.arange(len(m)), m, far).search(2020, m[2020], far[2020], 5)
     assert seen < 600 and set(found) <= set(range(2000, 2050)) - {2020}
+    assert len(farthest_first(np.ones((9, 3), int), 4)) == 1
+
+
+def test_search_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for scale in (4, 300, 10**6, 2**28):
+        m = rng.integers(-scale, scale + 1, (900, 5))
+        m[100:130] = m[7]
+        far = np.sqrt(((m[:, None, :] - m[None, :6]).astype(float) ** 2).sum(axis=2))
+        block = Candidates(np.arange(900), m, far)
+        for q in (0, 7, 110, 899):
+            score = [int(sum(int(a) * int(b) for a, b in zip(x, m[q]))) for x in m]
+            want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]
+            found, got, _ = block.search(q, m[q], far[q], 5, -want[3][0])
+            kept = [w for w in want if w[0] <= want[3][0]]
+            assert list(zip((-got).tolist(), found.tolist())) == kept
 
 
 def test_lpt_equals_the_plain_heap():
@@ -92,6 +107,11 @@ def test_shards(spark, make_docs):
         slots = sorted(r.slot for r in out if r.shard == s)
         assert slots == list(range(len(slots)))
     assert shard_documents(make_docs([])).count() == 0
+    coarse = shard_documents(make_docs([(i, "z" * (5000 + i), "a") for i in range(400)]), max_sizes=100).collect()
+    loads = Counter()
+    for r in coarse:
+        loads[r.shard] += r.size
+    assert len(coarse) == 400 and len(loads) == 16 and max(loads.values()) - min(loads.values()) <= 5400
 
 
 def test_targets():

@@ -37,6 +37,35 @@ def test_bpe_matches_the_library_and_round_trips(spark, make_docs):
     assert encode_and_digest(make_docs([]), path, pattern).count() == 0
 
 
+def test_bpe_of_texts_beyond_a_chunk(spark, make_docs):
+    path, pattern = default_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(read_ranks(path)), special_tokens={})
+    rng = random.Random(2)
+    rows = [(1, " ".join(rng.choice(["it's", "naïve", "\n\n", "12345", "  ", "x" * 40]) for _ in range(60000))), (2, "z" * 70000), (2, "z" * 70000), (None, " " * 150000 + "end")]
+    out = encode_and_digest(make_docs(rows), path, pattern).collect()
+    want = {}
+    for i, t in rows:
+        ids = library.encode_ordinary(t)
+        want[i] = (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t.encode()))
+    assert len(out) == 4 and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.doc_id] for r in out)
+
+
+def test_whole_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys = sorted(rng.randrange(30) for _ in range(500))
+    for step in (1, 3, 7, 500):
+        batches = [pa.record_batch([pa.array(keys[a : a + step]), pa.array(range(a, min(a + step, 500)))], ["k", "v"]) for a in range(0, 500, step)]
+        got, runs = [], []
+        for group, (k, v) in simhash._whole_buckets(batches, 1):
+            assert all((np.diff(k) != 0) == (np.diff(group) != 0))
+            got += list(zip(k.tolist(), v.tolist()))
+            runs += sorted(set(k.tolist()))
+        assert got == list(zip(keys, range(500))) and len(runs) == len(set(runs))
+
+
 def test_exact_groups(spark, make_docs):
     rows = [*ODD, (20, "x" * 5000), (21, "x" * 5000), (22, "x" * 5001), (23, "X" * 64), (24, "x" * 64)]
     out = exact_groups(make_docs(rows)).collect()

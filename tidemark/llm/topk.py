@@ -2,7 +2,8 @@
 
 Distances of every vector to many pivots are computed once. For a query q and a vector x, the largest gap between
 their distances to a pivot bounds |q - x| from below and so q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 from above.
-Candidates are evaluated in the order of this bound until it falls below the k-th best score.
+Candidates are evaluated in the order of this bound until it falls below the k-th best score. Pivots are rows of the
+table: a query's scores with them give a first k-th best score, which holds for each block of candidates.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from tidemark.llm.common import bound_arrow_batches, written
 K = 5
 QUERY_EVERY = 50
 SCALE = 256
-PIVOTS = 16
+PIVOTS = 32
+#: Pivots are chosen among so many rows, each as far as can be from those before.
+PIVOT_SAMPLE = 512
+#: Rows of a block of candidates: at most, and at least where that makes more tasks.
 CANDIDATE_BLOCK = 16384
+LEAST_BLOCK = 2048
 QUERY_BLOCK = 8192
-#: Candidates evaluated between two looks at the bound.
+#: Candidates evaluated before the first look at the bound; twice as many before each later one.
 STRIDE = 256
 
 
@@ -47,29 +52,63 @@ def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((x - p) ** 2).sum(axis=1) for p in pivots.astype(np.float64)], axis=1)) if len(pivots) else np.zeros((len(m), 0))
 
 
-def dot(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by floating point where no sum can leave its 53 bits, else in integers."""
-    top = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, m.shape[1])
-    return (m.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if top < 2**52 else m @ q
-
-
-def search(ids: np.ndarray, m: np.ndarray, far: np.ndarray, q_id: int, q: np.ndarray, q_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(vec_id, score, candidates evaluated)``: the k best rows of a block for one query, ties to smaller ids."""
-    gap = np.abs(far - q_far).max(axis=1) if far.shape[1] else np.zeros(len(ids))
-    norms = (m.astype(np.float64) ** 2).sum(axis=1) + float((q.astype(np.float64) ** 2).sum())
-    bound = (norms - gap**2) / 2 + 1e-9 * norms + 1e-6
-    bound[ids == q_id] = -np.inf
-    order = np.argsort(-bound, kind="stable")
-    order = order[: int((bound > -np.inf).sum())]
-    best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = 0
-    while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
-        part = order[at : at + STRIDE]
-        all_id, all_score = np.concatenate([best_id, ids[part]]), np.concatenate([best, dot(m[part], q)])
-        top = np.lexsort((all_id, -all_score))[:k]
-        best_id, best = all_id[top], all_score[top]
-        at += len(part)
-    return best_id, best, at
+def farthest_first(m: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``m``, the first one and then each the farthest from those before; equal rows only once."""
+    x = m.astype(np.float64)
+    chosen, gap = [], np.full(len(x), np.inf)
+    while len(chosen) < min(n, len(x)):
+        k = int(gap.argmax())
+        if not gap[k]:
+            break
+        chosen.append(k)
+        gap = np.minimum(gap, ((x - x[k]) ** 2).sum(axis=1))
+    return m[chosen]
+
+
+class Candidates:
+    """A block of candidates: ids, vectors and their distances to the pivots; norms are taken once."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, far: np.ndarray):
+        self.ids, self.m, self.far = ids, m, far
+        self.norms = (m.astype(np.float64) ** 2).sum(axis=1)
+        self.top = float(np.abs(m).max(initial=0)) * max(1, m.shape[1])
+        self.single, self.double = m.astype(np.float32) if self.top < 2**24 else None, None
+
+    def dot(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact integer inner products of some rows: by floating point where no sum can leave its bits."""
+        top = self.top * float(np.abs(q).max(initial=0))
+        if top < 2**24 and self.single is not None:
+            return (self.single[at] @ q.astype(np.float32)).astype(np.int64)
+        if top < 2**52:
+            self.double = self.m.astype(np.float64) if self.double is None else self.double
+            return (self.double[at] @ q.astype(np.float64)).astype(np.int64)
+        return self.m[at] @ q
+
+    def search(self, q_id: int, q: np.ndarray, q_far: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """``(vec_id, score, candidates evaluated)``: of the ``k`` best rows for a query, ties to smaller ids, those
+        that score ``least`` or more."""
+        gap = np.abs(self.far - q_far).max(axis=1) if self.far.shape[1] else np.zeros(len(self.ids))
+        norms = self.norms + float((q.astype(np.float64) ** 2).sum())
+        bound = (norms - gap**2) / 2 + 1e-9 * norms + 1e-6
+        slack = least if np.isinf(least) else least - 1e-9 * abs(least)
+        left = np.flatnonzero((bound >= slack) & (self.ids != q_id))
+        best_id, best, seen, stride = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STRIDE
+        while len(left):
+            if len(left) > stride:
+                cut = np.argpartition(-bound[left], stride)
+                part, left = left[cut[:stride]], left[cut[stride:]]
+            else:
+                part, left = left, left[:0]
+            all_id, all_score = np.concatenate([best_id, self.ids[part]]), np.concatenate([best, self.dot(part, q)])
+            if len(all_id) > k:
+                near = all_score >= np.partition(all_score, -k)[-k]
+                all_id, all_score = all_id[near], all_score[near]
+            top = np.lexsort((all_id, -all_score))[:k]
+            best_id, best, seen, stride = all_id[top], all_score[top], seen + len(part), 2 * stride
+            if len(best) == k:
+                left = left[bound[left] >= best[-1]]
+        fine = best >= slack
+        return best_id[fine], best[fine], seen
 
 
 def _blocks(rows: DataFrame, n_rows: int, size: int, width: int, pivots: np.ndarray, name: str) -> DataFrame:
@@ -98,10 +137,13 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
     n_queries = queries.count()
     width = max(1, width or 0)
-    pivots = _matrix([r.v for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(n_pivots).collect()], width)
-    n_c, n_q = max(1, -(-n // candidate_block)), max(1, -(-n_queries // query_block))
+    some = _matrix([r.v for r in rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(PIVOT_SAMPLE).collect()], width)
+    pivots = farthest_first(some, n_pivots)
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    size = min(candidate_block, max(LEAST_BLOCK, -(-n // tasks)))
+    n_c, n_q = max(1, -(-n // size)), max(1, -(-n_queries // query_block))
     bound_arrow_batches(rows.sparkSession)
-    c = _blocks(rows, n, candidate_block, width, pivots, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    c = _blocks(rows, n, size, width, pivots, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     q = _blocks(queries, n_queries, query_block, width, pivots, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
     pairs = c.join(q.hint("merge"), ["c", "q"]).drop("c", "q")
     n_p = len(pivots)
@@ -113,10 +155,13 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 for s in ("c", "q"):
                     kind = np.int32 if row[f"{s}_narrow"] else np.int64
                     side[s] = (np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_m"], kind).astype(np.int64).reshape(-1, width), np.frombuffer(row[f"{s}_far"], np.float64).reshape(-1, n_p))
-                ids, m, far = side["c"]
+                block, of_pivots = Candidates(*side["c"]), Candidates(np.arange(n_p), pivots, np.zeros((n_p, 0)))
                 out_q, out_id, out_score = [], [], []
                 for q_id, q_v, q_far in zip(*side["q"]):
-                    found, score, _ = search(ids, m, far, int(q_id), q_v, q_far, k)
+                    # Distinct rows, so k + 1 of them hold k that aren't the query's own.
+                    known = np.sort(of_pivots.dot(np.arange(n_p), q_v)) if n_p > k else []
+                    least = float(known[-k - 1]) if len(known) else -np.inf
+                    found, score, _ = block.search(int(q_id), q_v, q_far, k, least)
                     out_q.append(np.full(len(found), q_id))
                     out_id.append(found)
                     out_score.append(score)
