@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, ascii_lower_bytes, written
+from tidemark.llm.common import ascii_lower, ascii_lower_bytes, fresh_names, written
 
 #: Bytes in the first digit; each later digit is WIDEN times as wide, so rounds grow with the log of the longest text.
 FIRST_DIGIT = 64
@@ -26,7 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each round counts the groups with a map-side combine and joins the counts back, so a group of a third of
     all rows arrives as one count row per task, and the join's hot side is split by adaptive execution. Only
-    members of groups that are still open carry their remaining bytes into the next round.
+    members of groups that are still open carry their remaining bytes into the next round. Rows are numbered once
+    and written with their numbers, as a second reading of ``docs`` need not give them in the same order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     work = docs.select(
@@ -36,6 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.lit(-1).cast("long").alias("grp"),
         text.cast("binary").alias("rest"),
     )
+    work = written(work, "radix-rows")
     done: list[DataFrame] = []
     width, level = first_digit, 0
     while True:
@@ -72,13 +74,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat an id and its text leave one row;
-    rows that share an id but not the text are judged as one: they stay if any of them is kept."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names. Rows that repeat an id and its
+    text leave one row; rows that share an id but not the text are judged as one: they stay if any of them is kept.
+    Null text counts as empty; rows of a null id are judged as one; an empty table gives no rows."""
+    gone_id, norm = fresh_names(docs, "gone_id", "norm")
     groups = written(exact_groups(docs, id_col, text_col).select("doc_id", "kept"), "exact-kept")
-    by_id = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
-    gone = by_id.where("not any_kept").select("__id")
-    left = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    by_id = groups.groupBy(F.col("doc_id").alias(gone_id)).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
+    gone = by_id.where("not any_kept").select(gone_id)
+    left = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
     if by_id.where("n > 1").isEmpty():
         return left
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return left.withColumn("__norm", ascii_lower(text)).dropDuplicates([id_col, "__norm"]).drop("__norm")
+    return left.withColumn(norm, ascii_lower(text)).dropDuplicates([id_col, norm]).drop(norm)
