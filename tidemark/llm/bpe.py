@@ -53,7 +53,7 @@ class _Pieces(dict):
         self.encode_piece = encode_piece
 
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.encode_piece(piece.encode("utf-8", "replace"))).tobytes()
+        packed = array("I", self.encode_piece(piece)).tobytes()
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
                 self.clear()
@@ -68,8 +68,8 @@ class Codec:
     def __init__(self, ranks_data: bytes, pattern: str):
         self.ranks = parse_ranks(ranks_data)
         self.pattern = regex.compile(pattern)
-        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.pieces = _Pieces(library._core_bpe.encode_single_piece)
+        library = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.pieces = _Pieces(library.encode_ordinary)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
 
     def encode_pieces(self, pieces) -> bytes:
@@ -189,7 +189,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 
 def decode_tokens(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``encoded`` with a column ``decoded`` (binary) more: the tokens' bytes, joined."""
+    """``doc_id, n_tokens, ids`` of ``encoded`` and a column ``decoded`` (binary) more: the tokens' bytes, joined; no
+    ids, no bytes. Null ids and repeated rows stay rows; an empty table gives no rows; other columns are left out."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def decode(batches):
@@ -209,6 +210,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_and_digest(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` by encoding every text and decoding its ids again."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` by encoding every text and decoding its ids again. Null and
+    empty texts have no tokens; null ids and repeated rows stay rows of their own; an empty table gives no rows."""
     decoded = encode_texts(docs, ranks_path, pattern, id_col, text_col, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
