@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow_batches, written
+from tidemark.llm.common import bound_arrow_batches, fresh_names, written
 from tidemark.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -140,10 +140,11 @@ def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distanc
 
 def _whole_buckets(batches, n_keys: int):
     """Columns (as arrays) of successive batches of rows sorted by their first ``n_keys`` columns, cut so that no
-    bucket is torn; and the number of each row's bucket."""
-    held: list[np.ndarray] | None = None
+    bucket is torn; and the number of each row's bucket. The parts of a bucket are joined once, at its end."""
+    held: list[list[np.ndarray]] = []
 
-    def numbered(cols):
+    def numbered(parts):
+        cols = [np.concatenate(c) for c in zip(*parts)]
         new = np.zeros(len(cols[0]), bool)
         new[0] = True
         for c in cols[:n_keys]:
@@ -154,16 +155,18 @@ def _whole_buckets(batches, n_keys: int):
         if not batch.num_rows:
             continue
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         same = np.ones(len(cols[0]), bool)  # rows of the last bucket wait: it may go on in the next batch
         for c in cols[:n_keys]:
             same &= c == c[-1]
         last = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
-        held = [c[last:] for c in cols]
-        if last:
-            yield numbered([c[:last] for c in cols])
-    if held is not None:
+        goes_on = bool(held) and all(h[0] == c[0] for h, c in zip(held[0][:n_keys], cols))
+        if held and (last or not goes_on):
+            yield numbered(held + ([[c[:last] for c in cols]] if last else []))
+            held = []
+        elif last:
+            yield numbered([[c[:last] for c in cols]])
+        held.append([c[last:] for c in cols])
+    if held:
         yield numbered(held)
 
 
@@ -359,7 +362,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one with the smallest
-    id. Rows of one id stay or go together; blank texts and null ids stay."""
-    gone = near_copies(docs, id_col, text_col, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: of each group of near copies the
+    one with the smallest id. Rows of one id stay or go together; blank texts and null ids stay; an empty table gives
+    no rows."""
+    (gone_id,) = fresh_names(docs, "gone_id")
+    gone = near_copies(docs, id_col, text_col, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
