@@ -11,14 +11,16 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow_batches
+from tidemark.llm.common import bound_arrow_batches, written
 
 # The base rules' patterns, the least lengths, and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -26,16 +28,29 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Least length of a candidate, as of the value that the base rules ask for.
+LEAST_LENGTH = 8
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{8,}")
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Bound of the sample that the automata are fitted on: documents, first by a hash of their id, and strings of a format.
 SAMPLE_DOCUMENTS = 4000
-SAMPLE_STRINGS = 2000
+SAMPLE_STRINGS = 1500
 #: States merge when their branching differs by less than the Hoeffding bound at this confidence.
 ALPHA = 0.05
-MAX_DEPTH = 64
+#: Longer strings are no examples to learn a format from: the sample is bounded by this too. All are scored.
+LONGEST_EXAMPLE = 256
+#: Texts whose candidates are scored together.
+JUDGED_TEXTS = 200
 #: A candidate is a secret when its best format beats the background by so many nats a character.
 MARGIN = 0.75
+REPEATED = 1.0
+#: And by so many nats in all, as most tokens aren't secrets: short ones have to be likelier by far.
+EVIDENCE = 24.0
 MIN_CREDENTIALS = 8
+#: Tokens longer than this are scored one by one, others many at once.
+MANY_LENGTH = 512
+MANY_CELLS = 1 << 21
 
 
 # Public credential formats as (name, literal and (alphabet, length) parts). Labelled examples are drawn from them.
@@ -87,21 +102,32 @@ def _differ(f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
     return abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
 
-@dataclass(frozen=True)
-class Automaton:
-    """Deterministic probabilistic automaton: log probability and next state by state and symbol."""
+_CODE = np.full(128, len(SYMBOLS), np.int64)
+_CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
 
-    steps: tuple[dict[str, tuple[float, int]], ...]
-    unseen: float
 
-    def log_likelihood(self, text: str) -> float:
-        """Mean log probability of a character of ``text``, its end included."""
-        at, total = 0, 0.0
-        for c in text:
-            found = self.steps[at].get(c)
-            total, at = (total + self.unseen, 0) if found is None else (total + found[0], found[1])
-        end = self.steps[at].get(END)
-        return (total + (self.unseen if end is None else end[0])) / (len(text) + 1)
+class Automaton:
+    """Deterministic probabilistic automaton: log probability and next state by state and symbol, the last symbol
+    being the end."""
+
+    def __init__(self, steps: list[dict[str, tuple[float, int]]], unseen: float):
+        self.log_p = np.full((len(steps), len(SYMBOLS) + 1), unseen)
+        self.next = np.zeros((len(steps), len(SYMBOLS) + 1), np.int64)
+        for state, found in enumerate(steps):
+            for symbol, (log_p, to) in found.items():
+                at = len(SYMBOLS) if symbol == END else SYMBOLS.index(symbol)
+                self.log_p[state, at], self.next[state, at] = log_p, to
+
+    def log_likelihoods(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Mean log probability of a character, the end included, of strings as rows of symbol numbers. Rows are in
+        order of falling length."""
+        state, total = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+        for k in range(codes.shape[1]):
+            n = int(np.searchsorted(-lengths, -k))  # rows longer than k
+            c = codes[:n, k]
+            total[:n] += self.log_p[state[:n], c]
+            state[:n] = self.next[state[:n], c]
+        return (total + self.log_p[state, -1]) / (lengths + 1)
 
 
 def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
@@ -109,7 +135,7 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     whole subtree are compatible with by the Hoeffding test, else it is kept."""
     tree = _Tree()
     for s in strings:
-        tree.add(s[:MAX_DEPTH])
+        tree.add(s)
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     nxt, moves = tree.next, tree.moves
 
@@ -159,7 +185,7 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     for r in red:
         total = sum(moves[r].values()) + 1
         steps.append({s: (math.log(n / total), place.get(nxt[r].get(s, -1), 0)) for s, n in moves[r].items() if n})
-    return Automaton(tuple(steps), math.log(1e-4))
+    return Automaton(steps, math.log(1e-4))
 
 
 @dataclass(frozen=True)
@@ -169,9 +195,34 @@ class SecretModel:
     formats: dict[str, Automaton]
     background: Automaton
 
-    def score(self, token: str) -> float:
-        """Nats a character by which the best format beats the background."""
-        return max(a.log_likelihood(token) for a in self.formats.values()) - self.background.log_likelihood(token)
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """Nats a character by which the best format beats the background; minus infinity where that is less than
+        EVIDENCE in all, and where a token's own symbol counts beat the format by REPEATED: what repeats itself so much
+        is no credential."""
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        order, out, at = np.argsort(-lengths, kind="stable"), np.zeros(len(tokens)), 0
+        while at < len(order):
+            longest = max(1, int(lengths[order[at]]))
+            part = order[at : at + max(1, MANY_CELLS // longest if longest <= MANY_LENGTH else 1)]
+            joined = np.frombuffer("".join(tokens[i] for i in part).encode("ascii"), np.uint8)
+            codes = np.full((len(part), longest), len(SYMBOLS), np.int64)
+            codes[np.arange(longest) < lengths[part, None]] = _CODE[joined]
+            best = np.max([a.log_likelihoods(codes, lengths[part]) for a in self.formats.values()], axis=0)
+            out[part] = best - self.background.log_likelihoods(codes, lengths[part])
+            out[part[out[part] * (lengths[part] + 1) < EVIDENCE]] = -np.inf
+            for k in np.flatnonzero(out[part] >= MARGIN).tolist():
+                if own_log_likelihood(tokens[part[k]]) > best[k] + REPEATED:
+                    out[part[k]] = -np.inf
+            at += len(part)
+        return out
+
+
+def own_log_likelihood(token: str) -> float:
+    """Mean log probability of a character of ``token`` when each symbol's chance is learned from those before it
+    (half a count for each symbol to begin with)."""
+    half = len(SYMBOLS) / 2
+    total = math.lgamma(half) - math.lgamma(len(token) + half) + sum(math.lgamma(n + 0.5) - math.lgamma(0.5) for n in Counter(token).values())
+    return total / len(token)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -182,32 +233,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def labelled_strings(text: str) -> list[tuple[str, str]]:
-    """``(format, string)``: what the fixed rules label as a credential, and ``ordinary`` for other long tokens."""
-    spans, out = base_spans(text), []
-    for start, kind, end in spans:
-        value = ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
-        out.append((KINDS[kind], value))
-    for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in spans):
-            out.append(("ordinary", m.group()))
+def _covered(spans: list[tuple[int, int, int]]):
+    """A test whether ``start, end`` meets one of the spans (sorted by start), in the logarithm of their number."""
+    starts, ends, furthest = [a for a, _, _ in spans], [], 0
+    for _, _, b in spans:
+        furthest = max(furthest, b)
+        ends.append(furthest)
+    return lambda a, b: (k := bisect_left(starts, b)) > 0 and ends[k - 1] > a
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """``(start, end)`` of what may be a credential where no span lies: for each run of token characters first the
+    run without punctuation at its ends, then its pieces between ``/``, ``.`` and ``=``."""
+    met, out = _covered(spans), []
+    for m in RUN.finditer(text):
+        run = m.group()
+        a = m.start() + len(run) - len(run.lstrip("+/_.=-"))
+        b = m.end() - len(run) + len(run.rstrip("+/_.=-"))
+        each = [(a, b)] if b - a >= LEAST_LENGTH else []
+        if "/" in run or "." in run or "=" in run:
+            each += [p.span() for p in PIECE.finditer(text, m.start(), m.end()) if p.span() != (a, b)]
+        each = [x for x in each if not met(*x)] if spans else each
+        if each:
+            out.append(each)
     return out
 
 
+def labelled_strings(text: str) -> list[tuple[str, str]]:
+    """``(format, string)``: what the fixed rules label as a credential, and ``ordinary`` for all other candidates."""
+    spans = base_spans(text)
+    out = [(KINDS[kind], ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]) for start, kind, end in spans]
+    return out + [("ordinary", text[a:b]) for each in candidates(text, spans) for a, b in each]
+
+
 def fit_on_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     """Automata of the drawn formats, and of what the fixed rules label in a bounded sample: SAMPLE_DOCUMENTS whole
     documents, SAMPLE_STRINGS strings of each kind. A kind with under MIN_CREDENTIALS strings gives no automaton;
-    other long tokens of the sample and drawn numbers give the background."""
+    all other candidates of the sample and drawn numbers give the background."""
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     chosen = ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCUMENTS)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def found(batches):
         for batch in batches:
-            got = [x for t in batch.column(0).to_pylist() for x in dict.fromkeys(labelled_strings(t or ""))]
-            yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1][:MAX_DEPTH] for x in got], pa.string())], ["format", "value"])
+            got = [x for t in batch.column(0).to_pylist() for x in dict.fromkeys(labelled_strings(t or "")) if len(x[1]) <= LONGEST_EXAMPLE]
+            yield pa.record_batch([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], ["format", "value"])
 
-    each = picked.select("text").mapInArrow(found, "format string, value string").groupBy("format", "value").count().drop("count")
+    each = written(picked.select("text").mapInArrow(found, "format string, value string").distinct(), "secret-strings")
     strings: dict[str, list[str]] = defaultdict(list)
     for name in (*KINDS[:3], "ordinary"):
         for r in each.where(F.col("format") == name).orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS).collect():
@@ -216,37 +288,55 @@ def fit_on_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drawn_numbers(n: int = EXAMPLES, seed: int = 6) -> list[str]:
-    """Long plain numbers, such as those of cards and orders: no secrets by their form."""
+    """Numbers that are no secrets by their form: long plain ones as of cards and orders, groups between dots or
+    hyphens as of network addresses, dates and telephones."""
     rng = random.Random(seed)
-    return ["".join(rng.choices(_DIGITS, k=rng.randint(16, 20))) for _ in range(n)]
+    group = lambda k: "".join(rng.choices(_DIGITS, k=k))
+    plain = [group(rng.randint(8, 20)) for _ in range(n)]
+    addresses = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(n)]
+    return plain + addresses + ["-".join(group(rng.randint(2, 4)) for _ in range(rng.randint(3, 5))) for _ in range(n)]
 
 
 def fit(strings: dict[str, list[str]]) -> SecretModel:
-    """Automata of the drawn formats and of the labelled ``strings`` by kind; kind ``ordinary`` is the background."""
+    """Automata of the drawn formats and of the labelled ``strings`` by kind; kind ``ordinary`` is the background, in
+    capitals too, as headings are."""
     labelled = drawn_examples() | {n: strings[n] for n in KINDS[:3] if len(strings.get(n, [])) >= MIN_CREDENTIALS}
-    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(strings.get("ordinary", []) + drawn_numbers()))
+    ordinary = strings.get("ordinary", [])
+    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(ordinary + [s.upper() for s in ordinary] + drawn_numbers()))
 
 
 class Scanner:
-    """Spans of a text: the fixed rules' and, where none of those lies, candidates that the model takes for secrets."""
+    """Spans of texts: the fixed rules' and, where none of those lies, candidates that the model takes for secrets: of
+    a run of token characters and its pieces those that score best and don't overlap."""
 
     def __init__(self, model: SecretModel):
         self.model = model
-        self.known: dict[str, bool] = {}
-
-    def secret(self, token: str) -> bool:
-        hit = self.known.get(token)
-        if hit is None:
-            if len(self.known) >= 1 << 17:
-                self.known.clear()
-            hit = self.known[token] = self.model.score(token) >= MARGIN
-        return hit
-
-    def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """``(base, all)``, each by start and then kind."""
-        base = base_spans(text)
-        more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if self.secret(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in base)]
-        return base, sorted(base + more)
+        self.known: dict[str, float] = {}
+
+    def judge(self, tokens: set[str]) -> None:
+        if len(self.known) >= 1 << 17:
+            self.known.clear()
+        new = sorted(t for t in tokens if t not in self.known)
+        self.known.update(zip(new, self.model.scores(new).tolist()))
+
+    def spans(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """``(base, all)`` of each text, each by start and then kind."""
+        base = [base_spans(t) for t in texts]
+        found = [candidates(t, spans) for t, spans in zip(texts, base)]
+        out = []
+        for at in range(0, len(texts), JUDGED_TEXTS):
+            here = range(at, min(at + JUDGED_TEXTS, len(texts)))
+            self.judge({texts[i][a:b] for i in here for each in found[i] for a, b in each})
+            for i in here:
+                more: list[tuple[int, int, int]] = []
+                for each in found[i]:
+                    taken: list[tuple[int, int, int]] = []
+                    for score, a, b in sorted((-self.known[texts[i][a:b]], a, b) for a, b in each):
+                        if -score >= MARGIN and all(b <= x or y <= a for x, _, y in taken):
+                            taken.append((a, 3, b))
+                    more += taken
+                out.append((base[i], sorted(base[i] + more)))
+        return out
 
 
 def _shown(spans: list[tuple[int, int, int]]) -> str:
@@ -265,7 +355,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         scanner = Scanner(model)
         for batch in batches:
-            got = [scanner.spans(t or "") for t in batch.column(1).to_pylist()]
+            got = scanner.spans([t or "" for t in batch.column(1).to_pylist()])
             counts = [Counter(k for _, k, _ in found) for _, found in got]
             yield pa.record_batch(
                 [
