@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: A-Z and their lower-case forms: the only letters that normalisation folds.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Arrow batches stay small even when single texts are long.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ MIN_PAIR_Z = 7.0
 #: occur in so many texts at least.
 PAIR_BUCKETS = 1 << 22
 MIN_PAIR_ROWS = 12
-PAIR_SLICE = 1 << 21
+PAIR_SLICE = 1 << 18
 FACTORS = 4
 STEPS = 800
 BATCH = 512
@@ -118,19 +118,20 @@ def interacting(words: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     odds = (logit(np.bincount(at, weights=owner, minlength=len(names)) + labels.mean(), count + 1) - base).astype(np.float32)
     frequent = (count >= MIN_PAIR_ROWS)[at]
     ends = np.cumsum([0, *(len(x) for x in words)])
-    lists = [at[a:b][frequent[a:b]] for a, b in zip(ends[:-1], ends[1:])]
+    lists = [at[a:b][frequent[a:b]].astype(np.int32) for a, b in zip(ends[:-1], ends[1:])]
 
     def spread(a, b):
         return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)).astype(np.int64) % PAIR_BUCKETS
 
-    def sums(a, b, y, place, n):
+    def residuals(a, b, y):
         p = 1 / (1 + np.exp(-np.clip(base + odds[a] + odds[b], -4, 4)))
-        return np.bincount(place, weights=y - p, minlength=n), np.bincount(place, weights=p * (1 - p), minlength=n)
+        return y - p, p * (1 - p)
 
     off, var = np.zeros(PAIR_BUCKETS), np.zeros(PAIR_BUCKETS)
     for a, b, y in _pair_slices(lists, labels):
-        for total, part in zip((off, var), sums(a, b, y, spread(a, b), PAIR_BUCKETS)):
-            total += part
+        place = spread(a, b)
+        for total, part in zip((off, var), residuals(a, b, y)):
+            np.add.at(total, place, part)
     stands_out = np.abs(off) >= MIN_PAIR_Z * np.sqrt(var)
     stands_out &= var > 0
     if not stands_out.any():
@@ -140,8 +141,8 @@ def interacting(words: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         hit = stands_out[spread(a, b)]
         found.append((a[hit], b[hit], y[hit]))
     a, b, y = (np.concatenate([x[i] for x in found]) for i in range(3))
-    pairs, place, n = np.unique(a * len(names) + b, return_inverse=True, return_counts=True)
-    off, var = sums(a, b, y, place, len(pairs))
+    pairs, place, n = np.unique(a.astype(np.int64) * len(names) + b, return_inverse=True, return_counts=True)
+    off, var = (np.bincount(place, weights=x) for x in residuals(a, b, y))
     pairs = pairs[(n >= MIN_PAIR_ROWS) & (np.abs(off) >= MIN_PAIR_Z * np.sqrt(var))]
     return names[np.unique(np.concatenate([pairs // len(names), pairs % len(names)]))]
 
@@ -159,8 +160,10 @@ def fit(rows: list[np.ndarray], words: list[np.ndarray], labels: np.ndarray, sha
     kept = np.union1d(_differing(names, at, labels[row], n1, n0), interacting(words, labels))
     index = np.full(len(names), -1)
     index[np.searchsorted(names, kept)] = np.arange(len(kept))
-    hit = index[at] >= 0
-    term, ends = index[at[hit]], np.searchsorted(row[hit], np.arange(len(rows) + 1))
+    term = index[at]
+    hit = term >= 0
+    term, ends = term[hit], np.searchsorted(row[hit], np.arange(len(rows) + 1))
+    del bucket, at, row, hit
     share = n1 / (n1 + n0) if share is None else share
     weight = np.where(labels == 1, share * len(labels) / n1, (1 - share) * len(labels) / n0)
     rng = np.random.default_rng(11)
@@ -212,15 +215,17 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def hashed(batches):
         for batch in batches:
-            each = [words_of(text) for text in batch.column(2).to_pylist()]
-            whole = [np.unique([terms(w)[0] for w in words]).astype("<i4").tobytes() for words in each]
-            out = [np.unique([t for w in words for t in terms(w)]).astype("<i4").tobytes() for words in each]
+            whole, out = [], []
+            for text in batch.column(2):
+                each = [terms(w) for w in words_of(text.as_py())]
+                whole.append(np.unique([t[0] for t in each]).astype("<i4").tobytes())
+                out.append(np.unique([t for found in each for t in found]).astype("<i4").tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(whole, pa.binary())], ["id", "y", "terms", "words"])
 
     def fitted(batches):
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary()), ("words", pa.binary())]))
         got = got.sort_by([("id", "ascending"), ("terms", "ascending")])
-        rows, words = ([np.frombuffer(b, "<i4").astype(np.int64) for b in got.column(c).to_pylist()] for c in ("terms", "words"))
+        rows, words = ([np.frombuffer(b, "<i4") for b in got.column(c).to_pylist()] for c in ("terms", "words"))
         model = fit(rows, words, np.array(got.column("y").to_pylist(), np.int64), share)
         names = np.array(list(model.index), np.int64)
         yield pa.record_batch([pa.array([model.bias]), *(pa.array([x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes()], pa.binary()) for x in (names, model.weights, model.factors))], ["bias", "names", "weights", "factors"])
@@ -241,11 +246,11 @@ class _Scorer:
         self.model = model
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
+    def __call__(self, texts: pa.Array) -> list[float]:
         active = []
         for text in texts:
             found: set[int] = set()
-            for word in words_of(text):
+            for word in words_of(text.as_py()):
                 hit = self.known.get(word)
                 if hit is None:
                     hit = tuple(i for t in terms(word) if (i := self.model.index.get(t)) is not None)
@@ -264,7 +269,7 @@ def score_texts(docs: DataFrame, model: FactorModel, id_col: str = "doc_id", tex
     def run(batches):
         scorer = _Scorer(model)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scorer(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -290,6 +295,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     def run(batches):
         scorer = _Scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array([score < THRESHOLD for score in scorer(batch.column(at).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([score < THRESHOLD for score in scorer(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
