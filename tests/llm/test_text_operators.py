@@ -309,6 +309,52 @@ def test_near_copies_of_appended_and_cut_texts(spark, make_docs):
     assert {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()} == {2 * g for g in range(300)}
 
 
+def brute_near(rows, least=0.8):
+    import re
+
+    sets = {}
+    for d, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        if d is not None and w:
+            sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("limits", [{}, {"group_sets": 3, "large_bucket": 2}])
+def test_near_copies_of_a_large_group(spark, make_docs, monkeypatch, limits):
+    """A chain of edits whose ends are no copies of each other, beside copies of one text; groups beyond the limits
+    are decided by representatives and blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 4)
+    rng = random.Random(10)
+    rows, w = [], [f"t{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(40):
+        rows.append((1000 + i * 7 % 40, " ".join(w)))
+        w = w[3:] + [f"n{i}_{k}" for k in range(3)]
+    base = [f"b{k}" for k in range(200)]
+    rows += [(2000 + i, " ".join(base[:-1] + [f"end{i}"])) for i in range(30)]
+    rows += [*ODD[:3], (2005, " ".join(base[:-1] + ["end5"])), (None, " ".join(base))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(make_docs(rows), **limits).collect()}
+    assert got == brute_near(rows) and len(set(got.values())) == 3
+
+
+def test_near_copies_find_those_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == brute_near([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_near_copies_are_decided_by_their_shingles(spark, make_docs):
     rng = random.Random(9)
     rows, want = [], set()

@@ -231,6 +231,13 @@ KEY_VALUES = 4
 #: Signatures that agree by less than this under the similarity asked for are not compared exactly: a pair at 0.8
 #: falls below it with a probability of 1e-6.
 SLACK = 0.2
+#: A group of candidates is decided in one task up to so many sets and bytes; else by representatives, one a round,
+#: and then in blocks of so many sets and bytes.
+GROUP_SETS = 2048
+GROUP_BYTES = 64 << 20
+REPRESENTATIVES = 4
+BLOCK_SETS = 1024
+BLOCK_BYTES = 16 << 20
 _HASHES = TABLES * KEY_VALUES
 _FLIP, _FACTOR = (np.random.Generator(np.random.PCG64(HASH_SEED)).integers(0, 1 << 64, (2, _HASHES, 1), np.uint64))
 _FACTOR = _FACTOR | np.uint64(1)
@@ -282,45 +289,53 @@ def exact_links(sets: list[np.ndarray], node: np.ndarray, least: float = SIMILAR
     return node[root]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
-    shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
-    its own, directly or over others.
+class _Shared:
+    """How many values a set shares with each of some sets, by one look-up of its values."""
 
-    MinHash tables and signatures only find groups of candidates; within a group the sets themselves decide. Rows of
-    equal sets are one node. Blank texts are not near anything; null ids neither.
-    """
-    bound_arrow_batches(docs.sparkSession)
-    enough = int(np.floor((similarity - SLACK) * _HASHES))
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.values, self.first = np.unique(every[order], return_index=True)
+        self.last = np.r_[self.first[1:], len(every)]
 
-    def prints(batches):
-        for batch in batches:
-            digests, signatures = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                hashes = shingle_set(text)
-                digests.append(set_digest(hashes) if len(hashes) else None)
-                signatures.append(signature(hashes).tobytes() if len(hashes) else None)
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "digest", "sig"])
+    def alike(self, x: np.ndarray, least: float) -> np.ndarray:
+        """Numbers of the sets whose Jaccard similarity with ``x`` is ``least`` or more."""
+        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
+        at = at[self.values[at] == x]
+        first, n = self.first[at], self.last[at] - self.first[at]
+        owners = self.owner[np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(at) else at
+        shared = np.bincount(owners, minlength=len(self.sizes))
+        return np.flatnonzero((shared > 0) & (shared + 1e-9 >= least * (self.sizes + len(x) - shared)))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary").where("digest is not null"), "near-prints")
-    nodes = written(found.groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "near-nodes")
 
-    def keyed(batches):
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-            t, node = np.tile(np.arange(TABLES, dtype=np.int32), batch.num_rows), np.repeat(batch.column(0).to_numpy(), TABLES)
-            yield pa.record_batch([pa.array(t), pa.array(keys), pa.array(node)], ["t", "key", "node"])
+def _hashes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u8").astype(np.uint64, copy=False)
 
-    def met(batches):
-        """Rows of buckets with more than one row."""
-        for group, (t, key, node) in _whole_buckets(batches, 2):
-            size = np.bincount(group)[group]
-            yield pa.record_batch([pa.array(x[size > 1], k) for x, k in ((t, pa.int32()), (key, pa.int64()), (node, pa.int64()))], ["t", "key", "node"])
 
-    tables = nodes.select("node", "sig").mapInArrow(keyed, "t int, key long, node long")
-    close = written(tables.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(met, "t int, key long, node long").distinct(), "near-buckets")
-    sides = close.join(nodes.hint("merge"), "node")
+def _table_keys(batches):
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+        t, node = np.tile(np.arange(TABLES, dtype=np.int32), batch.num_rows), np.repeat(batch.column(0).to_numpy(), TABLES)
+        yield pa.record_batch([pa.array(t), pa.array(keys), pa.array(node)], ["t", "key", "node"])
+
+
+def met_nodes(nodes: DataFrame) -> DataFrame:
+    """``t, key, node, n, first`` of the keys that several nodes (columns ``node, sig``) share, with their number and
+    the smallest of them."""
+    tables = written(nodes.select("node", "sig").mapInArrow(_table_keys, "t int, key long, node long"), "near-tables")
+    shared = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+    return written(tables.join(shared.hint("merge"), ["t", "key"]), "near-buckets")
+
+
+def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """Links ``a, b`` between nodes that share a table's key. In buckets of ``large_bucket`` nodes or less only where
+    signatures agree too; larger ones are tied to their smallest node as they are, row by row, so that no task holds
+    them."""
+    enough = int(np.floor((similarity - SLACK) * _HASHES))
+    hubs = met.where((F.col("n") > large_bucket) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    sides = met.where(F.col("n") <= large_bucket).select("t", "key", "node").join(nodes.select("node", "sig").hint("merge"), "node")
 
     def link(batches):
         for group, (_, _, node, sigs) in _whole_buckets(batches, 2):
@@ -329,35 +344,165 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             a, b = local_links(group, np.zeros(len(node), np.uint64), node.astype(np.int64), 64, alike, None)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = sides.select("t", "key", "node", "sig").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "a long, b long")
-    linked = connected_components(links)
-    grouped = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
-    members = written(nodes.join(grouped, "node").select("component", F.col("node").alias("__node"), "digest"), "near-members")
-    texts = rows.join(members, F.col("doc_id") == F.col("__node")).select("component", "doc_id", "digest", "text")
+    rows = sides.select("t", "key", "node", "sig").repartition("t", "key").sortWithinPartitions("t", "key")
+    return rows.mapInArrow(link, "a long, b long").unionByName(hubs)
+
+
+def _decide_groups(similarity: float):
+    """Links of each group's sets, the group held in one task."""
+
+    def settled(sets, node):
+        nodes = np.array(node, np.int64)
+        return pa.record_batch([pa.array(nodes), pa.array(exact_links(sets, nodes, similarity))], ["a", "b"])
 
-    def decide(batches):
-        """``node, component_id`` of the members of each group; a row whose text isn't that of the digest is another
-        row of the same id. The sets of a group, not its texts, are held."""
+    def run(batches):
         group, sets, node = None, [], []
         for batch in batches:
-            for component, doc, digest, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary()).to_pylist()):
+            for component, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if component != group and sets:
                     yield settled(sets, node)
                     sets, node = [], []
-                group, hashes = component, shingle_set(text)
-                if set_digest(hashes) == digest:
-                    sets.append(hashes)
-                    node.append(doc)
+                group = component
+                sets.append(_hashes(packed))
+                node.append(n)
         if sets:
             yield settled(sets, node)
 
-    def settled(sets, node):
-        nodes_ = np.array(node, np.int64)
-        return pa.record_batch([pa.array(nodes_), pa.array(exact_links(sets, nodes_, similarity))], ["node", "component"])
+    return run
+
+
+def _against_first(similarity: float):
+    """Each set against its group's first one: the first one's node where they are alike, else the set once more."""
+
+    def run(batches):
+        group, first = None, None
+        for batch in batches:
+            out = []
+            for component, node, packed, weight, rep, rep_set in zip(*(c.to_pylist() for c in batch.columns)):
+                if component != group:
+                    group, first = component, _Shared([_hashes(rep_set)])
+                alike = len(first.alike(_hashes(packed), similarity)) > 0
+                out.append((component, node, None if alike else packed, weight, rep if alike else None))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["component", "node", "set", "weight", "rep"])
 
-    pairs = written(texts.repartition("component").sortWithinPartitions("component").mapInArrow(decide, "node long, component long"), "near-pairs")
-    linked = connected_components(pairs.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    label = written(nodes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    return run
+
+
+def _meet_cells(similarity: float):
+    """Links between the two sides of each cell: side 0, which is held, and side 1, which passes by."""
+
+    def run(batches):
+        cell, held, nodes, shared = None, [], [], None
+        for batch in batches:
+            a, b = [], []
+            for component, ab, rb, side, node, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (component, ab, rb) != cell:
+                    cell, held, nodes, shared = (component, ab, rb), [], [], None
+                if side == 0:
+                    held.append(_hashes(packed))
+                    nodes.append(node)
+                elif held:
+                    shared = shared or _Shared(held)
+                    found = [nodes[k] for k in shared.alike(_hashes(packed), similarity).tolist()]
+                    a += found
+                    b += [node] * len(found)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _blocks_of(sets: DataFrame, name: str) -> DataFrame:
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES))
+    return sets.groupBy("component").agg(n.cast("int").alias(name))
+
+
+def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESENTATIVES) -> DataFrame:
+    """Links ``a, b`` that give the components of all pairs of alike sets in each group (columns ``component, node,
+    set, weight``), with no group in one task.
+
+    In each of some rounds the sets of a group that are left meet the one of largest weight; those alike are its
+    circle. Pairs inside a circle are linked over its representative; all sets outside the largest circle meet all
+    sets of their group, block by block.
+    """
+    rest, circles = sets, None
+    for step in range(rounds):
+        first = rest.groupBy("component").agg(F.max(F.struct("weight", "node", "set")).alias("first")).select("component", F.col("first.node").alias("rep"), F.col("first.set").alias("rep_set"))
+        pairs = rest.join(first.hint("merge"), "component").select("component", "node", "set", "weight", "rep", "rep_set")
+        met = written(pairs.mapInArrow(_against_first(similarity), "component long, node long, set binary, weight long, rep long"), f"near-round-{step}")
+        found = met.where("rep is not null").select("component", "node", "rep")
+        circles = found if circles is None else circles.unionByName(found)
+        rest = met.where("rep is null").select("component", "node", "set", "weight")
+        if rest.isEmpty():
+            break
+    sizes = circles.groupBy("component", "rep").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("rep", F.struct("n", "rep")).alias("largest"))
+    inside = circles.join(largest, "component").where("rep = largest").select("node")
+    links = circles.select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    sets = sets.select("component", "node", "set")
+    rest = written(sets.join(inside.hint("merge"), "node", "left_anti").select("component", "node", "set"), "near-outside")
+    if rest.isEmpty():
+        return links
+    both = _blocks_of(rest, "n_rest").join(_blocks_of(sets, "n_all"), "component")
+
+    def dealt(side, rows, own, other, n_own, n_other):
+        rows = rows.join(both.hint("merge"), "component").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("component", "ab", "rb", F.lit(side).alias("side"), "node", "set")
+
+    cells = dealt(0, rest, "rb", "ab", "n_rest", "n_all").unionByName(dealt(1, sets, "ab", "rb", "n_all", "n_rest"))
+    order = ["component", "ab", "rb"]
+    return links.unionByName(cells.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_meet_cells(similarity), "a long, b long"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, group_sets: int = GROUP_SETS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
+    shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
+    its own, directly or over others.
+
+    MinHash tables and signatures only find groups of candidates; within a group the sets themselves decide, in one
+    task up to ``group_sets`` sets and GROUP_BYTES, beyond that in parts. Rows of equal sets are one node. Blank texts
+    are not near anything; null ids neither; an empty table gives no rows.
+    """
+    bound_arrow_batches(docs.sparkSession)
+
+    def prints(batches):
+        for batch in batches:
+            digests, signatures = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                hashes = shingle_set(text.as_py())
+                digests.append(set_digest(hashes) if len(hashes) else None)
+                signatures.append(signature(hashes).tobytes() if len(hashes) else None)
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "digest", "sig"])
+
+    def as_sets(batches):
+        """Sets of the nodes; a row whose set isn't that of the digest is another row of the same id."""
+        for batch in batches:
+            out = []
+            for component, node, digest, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).cast(pa.binary())):
+                hashes = shingle_set(text.as_py())
+                if set_digest(hashes) == digest:
+                    out.append((component, node, hashes.astype("<u8").tobytes()))
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["component", "node", "set"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary").where("digest is not null"), "near-prints")
+    nodes = written(found.groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "near-nodes")
+    met = met_nodes(nodes)
+    linked = connected_components(candidate_links(met, nodes, similarity, large_bucket))
+    grouped = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    members = written(nodes.join(grouped.hint("merge"), "node").select("component", F.col("node").alias("member"), "digest"), "near-members")
+    texts = rows.join(members.hint("merge"), F.col("doc_id") == F.col("member")).select("component", "doc_id", "digest", "text")
+    sets = written(texts.mapInArrow(as_sets, "component long, node long, set binary"), "near-sets")
+    beyond = (F.count(F.lit(1)) > group_sets) | (F.sum(F.octet_length("set")) > GROUP_BYTES)
+    sizes = sets.groupBy("component").agg(beyond.alias("large"))
+    sets = written(sets.join(sizes.hint("merge"), "component"), "near-groups", partition_by="large")
+    small, large = (sets.where(which).select("component", "node", "set") for which in ("not large", "large"))
+    links = small.repartition("component").sortWithinPartitions("component").mapInArrow(_decide_groups(similarity), "a long, b long")
+    if not large.isEmpty():  # who shares many keys is a text that others were made from, and speaks for most
+        weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
+        links = links.unionByName(large_group_links(large.join(weights.hint("merge"), "node"), similarity))
+    linked = connected_components(written(links, "near-links"))
+    label = written(nodes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
     return found.select("doc_id", "digest").join(label.hint("merge"), "digest").select("doc_id", "component_id")
 
 
