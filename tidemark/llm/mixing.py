@@ -184,10 +184,10 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     offsets, slots, per_source = mix_plan(docs, **options)
     offsets = written(offsets, "mix-offsets")
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("held_by"))
-    taken = blocks_of(offsets, block_words).join(times, ["sid", "block"])
+    taken = blocks_of(offsets, block_words).join(times.hint("merge"), ["sid", "block"])
     taken = taken.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held_by")))).alias("held_by"))
     return (
-        offsets.join(taken, "rid", "left")
+        offsets.join(taken.hint("merge"), "rid", "left")
         .join(F.broadcast(per_source.select("sid", "source_size", "target")), "sid")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.concat_ws(",", F.col("held_by").cast("array<string>")).alias("shards"))
     )
@@ -208,7 +208,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", shard_col
     by = ["sid", "block"] + ["shard"] * bool(shard_column)
     times = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("times"))
     runs = (
-        blocks_of(written(offsets, "mix-offsets"), block_words).join(times, ["sid", "block"])
+        blocks_of(written(offsets, "mix-offsets"), block_words).join(times.hint("merge"), ["sid", "block"])
         .groupBy(F.col("rid").alias(rid), *by[2:]).agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias(runs_col))
     )
     if shard_column:
@@ -216,7 +216,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", shard_col
             raise ValueError(f"there is a column {shard_column} already")
         runs = runs.withColumnRenamed("shard", shard_column)
         docs = docs.withColumn(shard_column, F.lit(0))
-    joined = numbered.join(runs, rid).select(*docs.columns, runs_col)
+    joined = numbered.join(runs.hint("merge"), rid).select(*docs.columns, runs_col)
     schema = docs.schema
     names, at, runs_at = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
