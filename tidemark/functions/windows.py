@@ -33,8 +33,8 @@ def rolling_std(x: Column, n: int, w: WindowSpec) -> Column:
 
 
 def compounded(r: Column, n: int, w: WindowSpec) -> Column:
-    """Compounded return of the last n rows, full windows only."""
-    return F.exp(full_frame(F.sum(F.log1p(r)), r, n, w)) - 1
+    """Compounded return of the last n rows, full windows only: a product, so that a loss of all is a loss of all."""
+    return full_frame(F.product(1 + r), r, n, w) - 1
 
 
 def fill_forward(x: Column, w: WindowSpec) -> Column:

@@ -20,9 +20,12 @@ def margin_trend(change_pp: Column) -> Column:
 
 
 def with_year_ago(quarters: DataFrame) -> DataFrame:
-    """Each quarter with the figures of the same month a year before, by an equi-join on symbol, year and month."""
+    """Each quarter with the figures of the same month a year before, by an equi-join on symbol, year and month. Of
+    two quarters that end in one month the later one is the base."""
     keyed = quarters.withColumns({"__y": F.year("period_end"), "__m": F.month("period_end")})
-    ago = keyed.select("symbol", (F.col("__y") + 1).alias("__y"), "__m", F.col("total_revenue").alias("revenue_ya"), F.col("net_income").alias("net_income_ya"))
+    figures = F.struct(F.col("total_revenue").alias("revenue_ya"), F.col("net_income").alias("net_income_ya"))
+    last = keyed.groupBy("symbol", (F.col("__y") + 1).alias("__y"), "__m").agg(F.max_by(figures, "period_end").alias("ago"))
+    ago = last.select("symbol", "__y", "__m", "ago.revenue_ya", "ago.net_income_ya")
     return keyed.join(ago, ["symbol", "__y", "__m"], "left").drop("__y", "__m")
 
 

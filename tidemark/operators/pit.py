@@ -26,9 +26,10 @@ def panel(prices: DataFrame, as_of: str | None = None, symbols: list[str] | None
 
 
 def latest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The last row of each key by ``order``, by one hash aggregate."""
+    """The last row of each key by ``order``, by one aggregate. Rows without an order come before all others; of rows
+    that tie one stays, the same on each run."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order, F.xxhash64(*rest))).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
 
 def known_at(vintages: DataFrame, known: str, as_of: str | None = None, tie: str | None = None) -> DataFrame:

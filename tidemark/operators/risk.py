@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import compounded
 from tidemark.plans.lineage import cut
 
 LAMBDA = 0.94
@@ -20,13 +21,16 @@ LIMITS = {"max_name_weight_pct": 30.0, "max_name_risk_pct": 40.0, "max_annual_vo
 
 # Horizons in trading days, their labels and names.
 HORIZON_LABELS = {1: "daily", 5: "weekly", 21: "monthly", 63: "quarterly", 252: "annual"}
-HORIZON_NAMES = {1: ("d", "1d", "day", "daily"), 5: ("w", "1w", "week", "weekly"), 21: ("m", "1m", "month", "monthly"), 63: ("q", "1q", "quarter", "quarterly"), 252: ("y", "1y", "year", "yearly", "annual", "annualised", "annualized")}
+HORIZON_DAYS = {
+    "d": 1, "1d": 1, "day": 1, "daily": 1, "w": 5, "1w": 5, "week": 5, "weekly": 5, "m": 21, "1m": 21, "month": 21, "monthly": 21,
+    "q": 63, "1q": 63, "quarter": 63, "quarterly": 63, "y": 252, "1y": 252, "year": 252, "yearly": 252, "annual": 252, "annualised": 252, "annualized": 252,
+}
 
 
 def horizon(token: str | int | None) -> tuple[int, str]:
     """Trading days and label of a horizon such as ``weekly``, ``10`` or ``10d``; annual without one."""
     name = "annual" if token is None else str(token).strip().lower()
-    days = next((d for d, names in HORIZON_NAMES.items() if name in names), None)
+    days = HORIZON_DAYS.get(name)
     if days is None:
         count = name.removesuffix("d")
         if not count.isdigit() or int(count) == 0:
@@ -75,13 +79,13 @@ def ewma_cov(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
     centred = weighted.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("mu"))
     other = centred.select(F.col("symbol").alias("b"), "date", F.col("x").alias("xb"))
     out = centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
-    return cut(out)  # one row a pair of names; what reads it reads it several times
+    return out
 
 
 def _with_variances(cov: DataFrame) -> DataFrame:
     v = cov.where("a = b")
     va, vb = v.select("a", F.col("cov").alias("va")), v.select("b", F.col("cov").alias("vb"))
-    return cov.join(F.broadcast(va), "a").join(F.broadcast(vb), "b")
+    return cov.join(va, "a").join(vb, "b")
 
 
 def correlation(cov: DataFrame) -> DataFrame:
@@ -96,8 +100,10 @@ def shrinkage(sample: DataFrame, cov: DataFrame) -> DataFrame:
     gamma = full.crossJoin(F.broadcast(rbar)).agg(F.sum(F.pow(target - F.col("cov"), F.lit(2.0))).alias("gamma"), F.max("rbar").alias("rbar"), F.max("n").alias("n"))
     mean = sample.groupBy("symbol").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("t"))
     flat = sample.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("m"))
-    dev = pairs(flat.select("symbol", "date", "x")).join(F.broadcast(cov), ["a", "b"]).withColumn("d", F.pow(F.col("xa") * F.col("xb") - F.col("cov"), F.lit(2.0)))
-    pi = dev.groupBy("a", "b").agg(F.avg("d").alias("pi")).agg(F.sum("pi").alias("pi"), F.sum(F.when(F.col("a") == F.col("b"), F.col("pi"))).alias("rho"))
+    product = F.col("xa") * F.col("xb")  # the mean of (product - cov)^2 from its moments: one row a pair meets the covariance
+    moments = pairs(flat.select("symbol", "date", "x")).groupBy("a", "b").agg(F.avg(product * product).alias("m2"), F.avg(product).alias("m1"))
+    each = moments.join(cov, ["a", "b"]).select("a", "b", (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
+    pi = each.agg(F.sum("pi").alias("pi"), F.sum(F.when(F.col("a") == F.col("b"), F.col("pi"))).alias("rho"))
     t = mean.agg(F.max("t").alias("t"))
     raw = (F.col("pi") - F.col("rho")) / F.col("gamma") / F.col("t")
     delta = F.when((F.col("n") < 2) | (F.col("gamma") <= 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
@@ -132,6 +138,26 @@ def betas(rets: DataFrame, bench: DataFrame, min_rows: int = MIN_BETA_ROWS) -> D
     return out.select("symbol", F.when((F.col("n") >= min_rows) & (F.col("v") > 0), F.col("raw") * 0.67 + 0.33).alias("beta"))
 
 
+def portfolio_beta(beta: DataFrame, weighted: DataFrame) -> DataFrame:
+    """One row ``beta``: weighted betas of the names that have one, their weights as they are; null without any."""
+    return beta.where("beta is not null").join(weighted.select("symbol", "weight"), "symbol").agg(F.sum(F.col("weight") * F.col("beta")).alias("beta"))
+
+
+def by_risk(contributions: DataFrame) -> DataFrame:
+    """Positions by risk contribution, largest first, those without one last."""
+    return contributions.orderBy(F.desc_nulls_last("risk_contribution_pct"), "symbol")
+
+
+def at_horizon(daily: Column, days: int) -> Column:
+    """A daily volatility, VaR or CVaR over ``days`` trading days, by the square root of time."""
+    return daily * math.sqrt(days)
+
+
+def unrealised_pct(last_close: Column, avg_cost: Column) -> Column:
+    """Gain on a position's cost in percent; null without a price or a cost."""
+    return F.when((last_close != 0) & (avg_cost != 0), (last_close / avg_cost - 1) * 100)
+
+
 def portfolio_returns(rets: DataFrame, weighted: DataFrame) -> DataFrame:
     sample = common_sample(rets.join(F.broadcast(weighted.select("symbol")), "symbol", "left_semi"), "ret")
     return sample.join(F.broadcast(weighted.select("symbol", "weight")), "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.col("x")).alias("ret"))
@@ -158,11 +184,7 @@ def fhs(sigmas: DataFrame) -> DataFrame:
 def worst_windows(series: DataFrame, days: tuple[int, ...] = STRESS_DAYS) -> DataFrame:
     """``days, worst``: lowest compounded return over full windows of each length."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
-    each = []
-    for n in days:
-        frame = w.rowsBetween(1 - n, 0)
-        window = F.when(F.count("ret").over(frame) == n, F.exp(F.sum(F.log1p("ret")).over(frame)) - 1)
-        each.append(window.alias(f"w{n}"))
+    each = [compounded(F.col("ret"), n, w).alias(f"w{n}") for n in days]
     low = series.select(*each).agg(*[F.min(f"w{n}").alias(f"w{n}") for n in days])
     return low.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, days)), F.array(*[F.col(f"w{n}") for n in days]))).alias("days", "worst"))
 

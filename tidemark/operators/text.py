@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ EVENT_RULES = (
     ("capital", ("dividend", "buyback", "bonus", "rights issue", "qip", "fundrais", "stake sale")),
     ("regulatory", ("approval", "approved", "regulat", "clearance", "license", "tariff")),
 )
-TOKENS = "([a-z&/'-]+)"
-TOKENS_WITH_DIGITS = "([a-z0-9&/'-]+)"
 
 
 def _bound(value: Column, f) -> Column:
@@ -42,9 +42,12 @@ def polarity(title: Column) -> Column:
 
 
 def event_class(title: Column, digits: bool = False) -> Column:
-    """First catalyst class that matches, else null. Tokens hold no digits unless asked for, so q1 to q4 never match."""
+    """First catalyst class that matches, else null. Tokens hold no digits unless asked for, so q1 to q4 never match.
+    Only the short keywords are looked for as tokens, all at once."""
     text = F.lower(F.coalesce(title, F.lit("")))
-    tokens = F.regexp_extract_all(text, F.lit(TOKENS_WITH_DIGITS if digits else TOKENS), 1)
+    inside = "[a-z0-9&/'-]" if digits else "[a-z&/'-]"
+    short = sorted({w for _, words in EVENT_RULES for w in words if len(w) < 5 and re.fullmatch(f"{inside}+", w)})
+    tokens = F.regexp_extract_all(text, F.lit(f"(?<!{inside})({'|'.join(short)})(?!{inside})"), 1)
 
     def first_class(x: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -52,8 +55,8 @@ def event_class(title: Column, digits: bool = False) -> Column:
             hit = F.lit(False)
             for w in words:
                 hit = hit | x["text"].contains(w) if len(w) >= 5 else hit
-            if short := [w for w in words if len(w) < 5]:
-                hit = hit | F.arrays_overlap(x["tokens"], F.array(*map(F.lit, short)))
+            if mine := [w for w in words if w in short]:
+                hit = hit | F.arrays_overlap(x["tokens"], F.array(*map(F.lit, mine)))
             out = F.when(hit, F.lit(label)).otherwise(out)
         return out
 
@@ -91,6 +94,16 @@ def newsroom(news: DataFrame, symbol: str | None = None, sign: int | None = None
     return df if contains is None else df.where(F.lower("title").contains(contains.lower()))
 
 
+def feed(news: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest headlines over all symbols, undated ones last."""
+    return news.orderBy(F.desc_nulls_last("published"), "symbol", "title").limit(limit)
+
+
+def polarity_line(news: DataFrame) -> DataFrame:
+    """Dated headlines with a polarity, oldest first."""
+    return news.where("published is not null and polarity is not null").orderBy("published", "symbol", "title")
+
+
 def ownership_level(pct: Column) -> Column:
     return F.when(pct >= 50, "high").when(pct >= 20, "moderate").when(pct.isNotNull(), "low")
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in the cluster's checkpoint folder; plans on top start from there. A folder of our
-    own is set only where the session names none."""
+    own is set only where the session names none and all executors are threads of this one process."""
     sc = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.pit import append_new, changed_rows, upsert
+from tidemark.operators.pit import append_new, changed_rows, latest_by, upsert
 
 
 def write_upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str, stamp: str = "ingested_at") -> None:
@@ -43,9 +43,32 @@ def shaped_quarters(wide: DataFrame) -> DataFrame:
 
 
 def shaped_news(df: DataFrame) -> DataFrame:
-    """Titles cut to 500 characters, unreadable dates null, one row for a title of a symbol."""
-    out = df.withColumns({"title": F.substring("title", 1, 500), "published": F.try_to_timestamp(F.col("published"))})
-    return out.dropDuplicates(["symbol", "title"])
+    """Titles trimmed and cut to 500 characters, rows without one left out, unreadable dates null. Of a title that a
+    symbol has twice the one published last stays."""
+    out = df.withColumns({"title": F.substring(F.trim("title"), 1, 500), "published": F.try_to_timestamp(F.col("published"))})
+    return latest_by(out.where("title <> ''"), ["symbol", "title"], F.col("published"))
+
+
+def replaced_news(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with all news of the symbols that ``new`` has replaced by those of ``new``; the rest stays."""
+    shaped = shaped_news(new)
+    return old.join(shaped.select("symbol").distinct(), "symbol", "left_anti").unionByName(shaped, allowMissingColumns=True)
+
+
+def refresh_news(symbol: str, news: DataFrame, fetch: Callable[[str], DataFrame] | None, hours: int = 24, force: bool = False) -> tuple[DataFrame, dict]:
+    """``(news, status)``: the symbol's news fetched anew if the newest is older than ``hours``. Without a ``fetch``, or
+    when it fails, the news stay as they are and the status says why."""
+    fresh = is_fresh(news.where(F.col("symbol") == symbol), hours).first()
+    if not force and fresh is not None and fresh.fresh:
+        return news, {"fetched": False, "reason": f"newer than {hours} hours"}
+    if fetch is None:
+        return news, {"fetched": False, "reason": "no source of news"}
+    try:
+        got = fetch(symbol).withColumns({"symbol": F.lit(symbol), "ingested_at": F.current_timestamp()})
+        n = got.count()
+    except Exception as e:  # noqa: BLE001  news are best effort
+        return news, {"fetched": False, "reason": f"failed: {e}"}
+    return replaced_news(news, got), {"fetched": True, "n": n}
 
 
 def parse_news(raw: Column) -> Column:
@@ -69,6 +92,16 @@ def ingest(symbols: list[str], feeds: dict[str, Callable[[str], None]], main: st
     return errors
 
 
+def ownership_rows(df: DataFrame) -> DataFrame:
+    """Vendor ownership snapshots as stored: rows without either share are no reading."""
+    return df.where("held_pct_institutions is not null or held_pct_insiders is not null")
+
+
+def store_guidance(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Guidance records with ``new`` ones in place of those of the same symbol, source and period."""
+    return upsert(old, new, ["symbol", "source", "period"], "extracted_at")
+
+
 def is_fresh(df: DataFrame, hours: int, stamp: str = "ingested_at") -> DataFrame:
     """``symbol, fresh``: whether the newest row is younger than ``hours``."""
     return df.groupBy("symbol").agg((F.max(stamp) > F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours))).alias("fresh"))
