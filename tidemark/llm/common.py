@@ -51,10 +51,23 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Written tables and a weak reference each to the list of files that all plans over the table share.
+_tables: list[tuple[str, object]] = []
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Delete the tables that no plan reads any more, as the engine does with its own checkpoints."""
+    for path, ref in _tables[:]:
+        if ref.get() is None:
+            _tables.remove((path, ref))
+            _remove(spark, path)
+
+
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a re-read. The files go when the Python process ends."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs a
+    re-read. The files go once no DataFrame over them is left, when :func:`release` says so, or with the process."""
     spark = df.sparkSession
+    _sweep(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -62,7 +75,17 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     schema = df.schema
     if partition_by:
         schema = type(schema)([f for f in schema if f.name != partition_by] + [f for f in schema if f.name == partition_by])
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(files)))
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables that :func:`written` gave, or the ``part`` folder of them: no plan over them may run again."""
+    for df in tables:
+        _remove(df.sparkSession, f"{df.written_to}/{part}".rstrip("/"))
 
 
 def _quiet_remove(spark: SparkSession, path: str) -> None:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
-
-MAX_ROUNDS = 40
+from tidemark.llm.common import release, written
 
 
 def _star(edges: DataFrame, both: bool, label: str) -> DataFrame:
@@ -17,13 +15,16 @@ def _star(edges: DataFrame, both: bool, label: str) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     near = near.where("a <> b")
-    least = written(near.groupBy("a").agg(F.min("b").alias("m")), f"{label}-least").withColumn("m", F.least("a", "m"))
+    smallest = written(near.groupBy("a").agg(F.min("b").alias("m")), f"{label}-least")
+    least = smallest.withColumn("m", F.least("a", "m"))
     tied = near.join(least.hint("merge"), "a")
     if both:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return written(out.where("a <> b").distinct(), label)
+    out = written(out.where("a <> b").distinct(), label)
+    release(smallest, edges)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,14 +32,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; the neighbours of a hub are joined to one row, so its share of
     the rows can be split. Nulls and loops are ignored; a node without another one has no row; no edges, no rows.
-    Rounds grow with the logarithm of a component's diameter.
+    Rounds grow with the logarithm of a component's diameter, and go on until nothing changes.
     """
     edges = written(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
-    before = None
-    for step in range(MAX_ROUNDS):
+    before, step = None, 0
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+        before, step = now, step + 1
         edges = _star(_star(edges, True, f"large-star-{step}"), False, f"small-star-{step}")
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, ascii_lower_bytes, fresh_names, written
+from tidemark.llm.common import ascii_lower, ascii_lower_bytes, fresh_names, release, written
 
 #: Bytes in the first digit; each later digit is WIDEN times as wide, so rounds grow with the log of the longest text.
 FIRST_DIGIT = 64
@@ -26,39 +26,44 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each round counts the groups with a map-side combine and joins the counts back, so a group of a third of
     all rows arrives as one count row per task, and the join's hot side is split by adaptive execution. Only
-    members of groups that are still open carry their remaining bytes into the next round. Rows are numbered once
-    and written with their numbers, as a second reading of ``docs`` need not give them in the same order.
+    members of groups that are still open carry their remaining bytes into the next round. Rows are numbered when
+    the first round is written, and groups where their counts are, so nothing rests on reading ``docs`` twice in the
+    same order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     work = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("rid"),
         F.sha2(ascii_lower(text), 256).alias("text_sha256"),
         F.lit(-1).cast("long").alias("grp"),
         text.cast("binary").alias("rest"),
     )
-    work = written(work, "radix-rows")
     done: list[DataFrame] = []
-    width, level = first_digit, 0
+    width, level, before = first_digit, 0, None
     while True:
         digit = ascii_lower_bytes(F.substring("rest", 1, width))
-        ended = F.octet_length("rest") < width
         work = work.withColumn("digit", digit)
-        shared = written(
-            work.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "rid")).alias("top")).where("n > 1"),
-            f"radix-groups-{level}",
-        )
+        numbered = level > 0
+        top = F.max(F.struct("doc_id", "rid")) if numbered else F.max(F.struct("doc_id"))
+        shared = work.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), top.alias("top")).where("n > 1")
+        shared = written(shared.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{level}")
+        ended = (F.octet_length("rest") < width) & F.lit(numbered)  # the first round closes no group: rows have no number yet
+        open_ = F.col("n").isNotNull() & ~ended
         out = work.join(shared.hint("merge"), ["grp", "digit"], "left").select(
-            "doc_id", "rid", "text_sha256", F.col("top.rid").alias("grp"), F.coalesce("n", F.lit(1)).alias("n"), F.col("top.doc_id").alias("top_id"),
-            F.when(F.col("n").isNotNull() & ~ended, F.substring("rest", width + 1, 2147483647)).alias("rest"),
-            (F.col("n").isNotNull() & ~ended).alias("open"),
+            "doc_id", (F.col("rid") if numbered else F.monotonically_increasing_id()).alias("rid"), "text_sha256", F.col("next").alias("grp"),
+            F.coalesce("n", F.lit(1)).alias("n"), F.col("top.doc_id").alias("top_id"),
+            (F.col("top.rid") if numbered else F.lit(None).cast("long")).alias("top_rid"),
+            F.when(open_, F.coalesce(F.substring("rest", width + 1, 2147483647), F.lit("").cast("binary"))).alias("rest"), open_.alias("open"),
         )
         level_out = written(out, f"radix-level-{level}", partition_by="open")
+        release(shared)
+        if before is not None:
+            release(before, part="open=true")
+        before = level_out
         closed = level_out.where("not open").select(
             "doc_id",
             F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("top_id")).alias("keep_id"),
             F.col("n").alias("group_size"),
-            (F.col("grp").isNull() | (F.col("grp") == F.col("rid"))).alias("kept"),
+            (F.col("grp").isNull() | (F.col("top_rid") == F.col("rid"))).alias("kept"),
             "text_sha256",
             "rid",
         )
