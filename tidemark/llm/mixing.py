@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow_batches, fresh_names, written
+from tidemark.llm.common import bound_arrow_batches, fresh_names, release, written
 
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 64
@@ -140,6 +140,8 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
         .join(F.broadcast(per_source_df.select("sid", F.col("source").alias("p_source"))), F.col("source").eqNullSafe(F.col("p_source")))
         .select("doc_id", "rid", "source", "size", "sid", (F.col("start") + F.col("inner")).alias("first_word"))
     )
+    offsets = written(offsets, "mix-offsets")
+    release(rows, sums)
 
     total = sum(given)
     ends = np.cumsum([n for *_, n in runs])
@@ -182,7 +184,6 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     bound_arrow_batches(docs.sparkSession)
     block_words = options.get("block_words", BLOCK_WORDS)
     offsets, slots, per_source = mix_plan(docs, **options)
-    offsets = written(offsets, "mix-offsets")
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("held_by"))
     taken = blocks_of(offsets, block_words).join(times.hint("merge"), ["sid", "block"])
     taken = taken.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held_by")))).alias("held_by"))
@@ -208,7 +209,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", shard_col
     by = ["sid", "block"] + ["shard"] * bool(shard_column)
     times = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("times"))
     runs = (
-        blocks_of(written(offsets, "mix-offsets"), block_words).join(times.hint("merge"), ["sid", "block"])
+        blocks_of(offsets, block_words).join(times.hint("merge"), ["sid", "block"])
         .groupBy(F.col("rid").alias(rid), *by[2:]).agg(F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias(runs_col))
     )
     if shard_column:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_arrow_batches, fresh_names, written
+from tidemark.llm.common import bound_arrow_batches, fresh_names, release, written
 from tidemark.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -326,7 +326,10 @@ def met_nodes(nodes: DataFrame) -> DataFrame:
     the smallest of them."""
     tables = written(nodes.select("node", "sig").mapInArrow(_table_keys, "t int, key long, node long"), "near-tables")
     shared = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    return written(tables.join(shared.hint("merge"), ["t", "key"]), "near-buckets")
+    shared = written(shared, "near-shared")  # as a table of its own, so that the join can split a hot key
+    met = written(tables.join(shared.hint("merge"), ["t", "key"]), "near-buckets")
+    release(tables, shared)
+    return met
 
 
 def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_bucket: int = LARGE_BUCKET) -> DataFrame:
@@ -428,6 +431,7 @@ def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESEN
     rest, circles = sets, None
     for step in range(rounds):
         first = rest.groupBy("component").agg(F.max(F.struct("weight", "node", "set")).alias("first")).select("component", F.col("first.node").alias("rep"), F.col("first.set").alias("rep_set"))
+        first = written(first, f"near-first-{step}")
         pairs = rest.join(first.hint("merge"), "component").select("component", "node", "set", "weight", "rep", "rep_set")
         met = written(pairs.mapInArrow(_against_first(similarity), "component long, node long, set binary, weight long, rep long"), f"near-round-{step}")
         found = met.where("rep is not null").select("component", "node", "rep")
@@ -436,14 +440,14 @@ def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESEN
         if rest.isEmpty():
             break
     sizes = circles.groupBy("component", "rep").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("component").agg(F.max_by("rep", F.struct("n", "rep")).alias("largest"))
-    inside = circles.join(largest, "component").where("rep = largest").select("node")
+    largest = written(sizes.groupBy("component").agg(F.max_by("rep", F.struct("n", "rep")).alias("largest")), "near-largest")
+    inside = circles.join(largest.hint("merge"), "component").where("rep = largest").select("node")
     links = circles.select(F.col("node").alias("a"), F.col("rep").alias("b"))
     sets = sets.select("component", "node", "set")
     rest = written(sets.join(inside.hint("merge"), "node", "left_anti").select("component", "node", "set"), "near-outside")
     if rest.isEmpty():
         return links
-    both = _blocks_of(rest, "n_rest").join(_blocks_of(sets, "n_all"), "component")
+    both = written(_blocks_of(rest, "n_rest").join(_blocks_of(sets, "n_all"), "component"), "near-blocks")
 
     def dealt(side, rows, own, other, n_own, n_other):
         rows = rows.join(both.hint("merge"), "component").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
@@ -494,8 +498,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.join(members.hint("merge"), F.col("doc_id") == F.col("member")).select("component", "doc_id", "digest", "text")
     sets = written(texts.mapInArrow(as_sets, "component long, node long, set binary"), "near-sets")
     beyond = (F.count(F.lit(1)) > group_sets) | (F.sum(F.octet_length("set")) > GROUP_BYTES)
-    sizes = sets.groupBy("component").agg(beyond.alias("large"))
-    sets = written(sets.join(sizes.hint("merge"), "component"), "near-groups", partition_by="large")
+    sizes = written(sets.groupBy("component").agg(beyond.alias("large")), "near-sizes")
+    by_component, sets = sets, written(sets.join(sizes.hint("merge"), "component"), "near-groups", partition_by="large")
+    release(by_component, sizes)
     small, large = (sets.where(which).select("component", "node", "set") for which in ("not large", "large"))
     links = small.repartition("component").sortWithinPartitions("component").mapInArrow(_decide_groups(similarity), "a long, b long")
     if not large.isEmpty():  # who shares many keys is a text that others were made from, and speaks for most
@@ -503,6 +508,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(large_group_links(large.join(weights.hint("merge"), "node"), similarity))
     linked = connected_components(written(links, "near-links"))
     label = written(nodes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    release(nodes, members, met, sets)
     return found.select("doc_id", "digest").join(label.hint("merge"), "digest").select("doc_id", "component_id")
 
 
