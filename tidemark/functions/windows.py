@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.plans.lineage import cut
+
 
 def rows_of(key: str | list[str] = "symbol", order: str = "date") -> WindowSpec:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
@@ -42,10 +44,26 @@ def fill_forward(x: Column, w: WindowSpec) -> Column:
 
 
 def average_rank(x: str, keys: list[str]) -> Column:
-    """Rank within ``keys`` where ties share the mean of their ranks."""
-    first = F.rank().over(Window.partitionBy(*keys).orderBy(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    return first.cast("double") + (ties.cast("double") - 1) / 2
+    """Rank within ``keys`` where ties share the mean of their ranks; one sort gives both."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w).cast("double") + (ties.cast("double") - 1) / 2
+
+
+def value_ranks(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``keys, column, k, before``: for each value how many rows of its key have it, and how many have a smaller one.
+
+    Equal values are counted up first. Counts are then dealt by ranges of (keys, value) and kept with the number of
+    their range; ranges' sums are added up, and only one range at a time is sorted: no task holds a key's values.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("k"))
+    placed = cut(counts.repartitionByRange(*keys, column).withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "part").agg(F.sum("k").alias("rows"))
+    starts = sums.select(*keys, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*keys, "part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("smaller", F.coalesce(F.sum("k").over(within), F.lit(0))).join(starts, [*keys, "part"])
+    return ranked.select(*keys, column, "k", (F.col("start") + F.col("smaller")).alias("before"))
 
 
 def every_kth(df: DataFrame, order: list[str], k: int, keys: list[str]) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import rsi_series
-from tidemark.functions.windows import average_rank, lag_return, lead_return, rolling_mean, rolling_std, rows_of
+from tidemark.functions.windows import average_rank, lag_return, lead_return, rolling_mean, rolling_std, rows_of, value_ranks
 from tidemark.operators.fundamental import features
 from tidemark.operators.pit import as_of_join
+from tidemark.plans.lineage import cut
 
 MIN_HISTORY, MIN_NAMES, MIN_DATES = 250, 4, 8
 COST_BPS = 15.0
@@ -56,44 +58,61 @@ def fundamental_signals(prices: DataFrame, quarters: DataFrame, horizon: int, la
     return parts.join(every, ["signal", "date"], "left_semi")
 
 
-def ranked(long: DataFrame, keys: list[str]) -> DataFrame:
-    return long.withColumns({"rs": average_rank("sig", keys), "rf": average_rank("fwd", keys)})
-
-
 def _rank_corr() -> Column:
     flat = (F.min("rs") == F.max("rs")) | (F.min("rf") == F.max("rf"))
     return F.when(~flat & (F.count(F.lit(1)) >= 3), F.try_divide(F.covar_pop("rs", "rf"), F.stddev_pop("rs") * F.stddev_pop("rf")))
 
 
+def by_date(long: DataFrame) -> DataFrame:
+    """``signal, date, n, ic, spread`` across the names of each date, by one shuffle: their rank correlation, and the
+    mean forward return of the top third less that of the bottom third, ties by symbol. Null with too few names."""
+    keys = ["signal", "date"]
+    lo = F.row_number().over(Window.partitionBy(*keys).orderBy("sig", "symbol"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    rows = long.withColumns({"lo": lo, "n": n, "rs": average_rank("sig", keys), "rf": average_rank("fwd", keys)})
+    third = F.greatest(F.lit(1), F.rint(F.col("n") / 3))
+    top, bottom = F.avg(F.when(F.col("lo") > F.col("n") - third, F.col("fwd"))), F.avg(F.when(F.col("lo") <= third, F.col("fwd")))
+    enough = F.count(F.lit(1)) >= MIN_NAMES
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.when(enough, _rank_corr()).alias("ic"), F.when(enough, top - bottom).alias("spread")
+    )
+
+
 def cross_sectional_ic(long: DataFrame) -> DataFrame:
     """``signal, date, ic, n``: rank correlation across names of each date with enough of them."""
-    out = ranked(long, ["signal", "date"]).groupBy("signal", "date").agg(_rank_corr().alias("ic"), F.count(F.lit(1)).alias("n"))
-    return out.where((F.col("n") >= MIN_NAMES) & F.col("ic").isNotNull())
-
-
-def newey_west(ics: DataFrame, lag: int) -> DataFrame:
-    """``signal, m, mean_ic, ic_std, icir, t``: the mean's t value with Bartlett weights up to ``lag``."""
-    n = F.row_number().over(Window.partitionBy("signal").orderBy("date"))
-    base = ics.groupBy("signal").agg(F.count(F.lit(1)).alias("m"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"))
-    e = ics.withColumn("i", n).join(F.broadcast(base), "signal").select("signal", "i", "m", (F.col("ic") - F.col("mean_ic")).alias("e"))
-    w, terms = Window.partitionBy("signal").orderBy("i"), F.col("e") * F.col("e")
-    back = F.collect_list("e").over(w.rowsBetween(-lag, -1)) if lag > 0 else F.array().cast("array<double>")
-    weighted = e.withColumn("p", back).withColumn("L", F.least(F.lit(lag), F.col("m") - 1)).withColumn(
-        "s", terms + 2 * F.col("e") * F.aggregate(F.transform(F.reverse("p"), lambda x, k: x * F.greatest(F.lit(0.0), 1 - (k + 1) / (F.col("L") + 1))), F.lit(0.0), lambda a, x: a + x)
-    )
-    s = weighted.groupBy("signal").agg((F.sum("s") / F.max("m")).alias("s"))
+    return by_date(long).where("ic is not null").select("signal", "date", "ic", "n")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def newey_west(ics: DataFrame, lag: int, *more: Column) -> DataFrame:
+    """``signal, m, mean_ic, ic_std, icir, t``: the mean's t value with Bartlett weights up to ``lag``; and ``more``
+    aggregates of the same rows. A signal's series is one row: as long as there are dates."""
+    dated = F.when(F.col("ic").isNotNull(), F.struct("date", "ic"))
+    series = F.transform(F.sort_array(F.collect_list(dated)), lambda x: x["ic"])
+    rows = ics.groupBy("signal").agg(series.alias("x"), *more).withColumn("m", F.size("x")).where("m > 0")
+    names = [c for c in rows.columns if c not in ("signal", "x", "m")]
+    rows = rows.withColumn("mean_ic", _total(F.col("x")) / F.col("m"))
+    rows = rows.withColumn("e", F.transform("x", lambda x: x - F.col("mean_ic"))).withColumn("lags", F.least(F.lit(lag), F.col("m") - 1))
+    squares = _total(F.transform("e", lambda x: x * x))
+
+    def at_lag(k: Column) -> Column:
+        later, sooner = F.slice("e", k + 1, F.col("m") - k), F.slice("e", F.lit(1), F.col("m") - k)
+        return (1 - k / (F.col("lags") + 1)) * _total(F.zip_with(later, sooner, lambda x, y: x * y))
+
+    each = F.when(F.col("lags") >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("lags"), F.lit(1))), at_lag)).otherwise(F.array(F.lit(0.0)))
+    rows = rows.withColumns({"squares": squares, "s": (squares + 2 * _total(each)) / F.col("m")})
+    std = F.when(F.col("m") >= 2, F.sqrt(F.col("squares") / (F.col("m") - 1)))
     t = F.when((F.col("m") >= MIN_DATES) & (F.col("s") > 0), F.col("mean_ic") / F.sqrt(F.col("s") / F.col("m")))
-    return base.join(F.broadcast(s), "signal").select("signal", "m", "mean_ic", "ic_std", F.try_divide("mean_ic", "ic_std").alias("icir"), t.alias("t"))
+    rows = rows.withColumns({"ic_std": std, "t": t})
+    return rows.select("signal", F.col("m").cast("bigint").alias("m"), "mean_ic", "ic_std", F.try_divide("mean_ic", "ic_std").alias("icir"), "t", *names)
 
 
 def tercile_spread(long: DataFrame) -> DataFrame:
-    """``signal, spread``: mean over dates of the top third's forward return less the bottom third's; ties by symbol."""
-    up, down = Window.partitionBy("signal", "date").orderBy("sig", "symbol"), Window.partitionBy("signal", "date").orderBy(F.desc("sig"), F.desc("symbol"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("signal", "date"))
-    r = long.withColumns({"lo": F.row_number().over(up), "hi": F.row_number().over(down), "n": n}).where(F.col("n") >= MIN_NAMES)
-    k = F.greatest(F.lit(1), F.rint(F.col("n") / 3))
-    by_date = r.groupBy("signal", "date").agg((F.avg(F.when(F.col("hi") <= k, F.col("fwd"))) - F.avg(F.when(F.col("lo") <= k, F.col("fwd")))).alias("d"))
-    return by_date.groupBy("signal").agg(F.avg("d").alias("spread"))
+    """``signal, spread``: the mean over dates of :func:`by_date`'s spread."""
+    return by_date(long).where("spread is not null").groupBy("signal").agg(F.avg("spread").alias("spread"))
 
 
 def net_spread(gross: Column, bps: float = COST_BPS) -> Column:
@@ -112,17 +131,38 @@ def thinned(long: DataFrame, obs_step: int) -> DataFrame:
     return numbered.where((F.col("n") + F.col("start")) % obs_step == 0).drop("n", "start")
 
 
-def hit_and_base(long: DataFrame, obs_step: int) -> DataFrame:
-    """``signal, hit, base``: agreement of above-median flags, and share of positive forward returns; null under 10."""
-    t = thinned(long, obs_step)
-    mid = t.groupBy("signal").agg(F.median("sig").alias("ms"), F.median("fwd").alias("mf"), F.count(F.lit(1)).alias("n"))
+def _median(which: str, name: str) -> Column:
+    """The middle value, or the mean of the two in the middle, from rows of :func:`value_ranks`."""
+    holds = lambda at: ((F.col("before") <= at) & (at < F.col("before") + F.col("k"))).cast("int")
+    share = (holds(F.floor((F.col("n") - 1) / 2)) + holds(F.floor(F.col("n") / 2))) / 2
+    return F.sum(F.when(F.col("which") == which, F.col("value") * share)).alias(name)
+
+
+def pooled(long: DataFrame, obs_step: int) -> DataFrame:
+    """``signal, hit, base, pooled_ic`` over every ``obs_step``-th observation: agreement of above-median flags and
+    share of positive forward returns (null under 10), and the rank correlation. Ranks and medians come from counts
+    of values, so a signal of any length fits."""
+    t = cut(thinned(long, obs_step).select("signal", "sig", "fwd"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("value")) for c in ("sig", "fwd")]))
+    ranks = cut(value_ranks(t.select("signal", each.alias("of")).select("signal", "of.*"), "value", ["signal", "which"]))
+    sizes = t.groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    mid = ranks.join(sizes, "signal").groupBy("signal").agg(_median("sig", "ms"), _median("fwd", "mf"))
+    mean_rank = F.col("before") + (F.col("k") - 1) / 2
+    of = lambda which, name: ranks.where(F.col("which") == which).select("signal", F.col("value").alias(which), mean_rank.alias(name))
+    rows = t.join(of("sig", "rs"), ["signal", "sig"]).join(of("fwd", "rf"), ["signal", "fwd"]).join(mid, "signal")
     agree = ((F.col("sig") > F.col("ms")) == (F.col("fwd") > F.col("mf"))).cast("double")
-    out = t.join(F.broadcast(mid), "signal").groupBy("signal").agg(F.avg(agree).alias("hit"), F.avg((F.col("fwd") > 0).cast("double")).alias("base"), F.max("n").alias("n"))
-    return out.select("signal", F.when(F.col("n") >= 10, F.col("hit")).alias("hit"), F.when(F.col("n") >= 10, F.col("base")).alias("base"))
+    enough = F.count(F.lit(1)) >= 10
+    return rows.groupBy("signal").agg(
+        F.when(enough, F.avg(agree)).alias("hit"), F.when(enough, F.avg((F.col("fwd") > 0).cast("double"))).alias("base"), _rank_corr().alias("pooled_ic")
+    )
+
+
+def hit_and_base(long: DataFrame, obs_step: int) -> DataFrame:
+    return pooled(long, obs_step).select("signal", "hit", "base")
 
 
 def pooled_ic(long: DataFrame, obs_step: int) -> DataFrame:
-    return ranked(thinned(long, obs_step), ["signal"]).groupBy("signal").agg(_rank_corr().alias("pooled_ic"))
+    return pooled(long, obs_step).select("signal", "pooled_ic")
 
 
 def p_two_sided(t: float | None) -> float | None:
@@ -130,13 +170,45 @@ def p_two_sided(t: float | None) -> float | None:
     return None if t is None else math.erfc(abs(t) / math.sqrt(2))
 
 
-def scorecard(long: DataFrame, horizon: int, lag: int | None = None) -> DataFrame:
+def scorecard(long: DataFrame, horizon: int, lag: int | None = None, cost_bps: float = COST_BPS) -> DataFrame:
     """All scores of each signal in one row."""
-    lag = horizon - 1 if lag is None else lag
-    ic = newey_west(cross_sectional_ic(long), lag)
-    spread = tercile_spread(long).withColumn("net", net_spread(F.col("spread")))
-    out = ic.join(spread, "signal", "left").join(hit_and_base(long, horizon), "signal", "left").join(pooled_ic(long, horizon), "signal", "left")
-    return out
+    ic = newey_west(by_date(long), horizon - 1 if lag is None else lag, F.avg("spread").alias("spread"))
+    return ic.withColumn("net", net_spread(F.col("spread"), cost_bps)).join(pooled(long, horizon), "signal", "left")
+
+
+def dealt(long: DataFrame) -> DataFrame:
+    """``long`` computed once and dealt by signal and date, as all scores group it: none of them shuffles it again."""
+    return cut(long.repartition("signal", "date"))
+
+
+SURVIVORSHIP = {
+    True: "universe: holdings and the declared sold or delisted names; names not declared still bias it",
+    False: "universe: current holdings only, so survivors alone are scored; declare sold and delisted names",
+}
+
+
+def evaluate(prices: DataFrame, quarters: DataFrame, horizon: int = 21, cost_bps: float = COST_BPS, declared: bool = False, with_rsi: bool = True) -> DataFrame:
+    """A row for each price signal (``kind`` price) and fundamental signal (``kind`` fundamental, on every
+    ``horizon``-th date and with lag 1), with all scores, ``n_signals``, ``significant`` at 5 %, ``bonferroni_alpha``
+    (5 % over the number of signals), ``survives`` at that, and a note on the universe."""
+    price = scorecard(dealt(price_signals(prices, horizon, with_rsi=with_rsi)), horizon, max(1, horizon - 1), cost_bps).withColumn("kind", F.lit("price"))
+    reported = scorecard(dealt(fundamental_signals(prices, quarters, horizon)), horizon, 1, cost_bps).withColumn("kind", F.lit("fundamental"))
+    rows = cut(price.unionByName(reported))
+    n = rows.agg(F.count(F.lit(1)).cast("int").alias("n_signals"))
+    each = rows.crossJoin(n).withColumn("bonferroni_alpha", F.round(0.05 / F.col("n_signals"), 4))
+    beyond = lambda alpha: F.coalesce(p_value(F.col("t")) < alpha, F.lit(False))
+    flags = {"significant": beyond(F.lit(0.05)), "survives": beyond(F.col("bonferroni_alpha")), "survivorship": F.lit(SURVIVORSHIP[declared])}
+    return each.withColumns(flags)
+
+
+def p_value(t: Column) -> Column:
+    """Two-sided normal p value of each signal's t; the engine has no error function, and signals are few."""
+
+    @F.pandas_udf("double")
+    def p_values(x: pd.Series) -> pd.Series:
+        return x.map(p_two_sided, na_action="ignore").astype(float)
+
+    return p_values(t)
 
 
 def with_bonferroni(scores: DataFrame) -> list[dict]:
@@ -159,9 +231,9 @@ def t_for(p: float) -> float:
 
 
 def sector_neutral(long: DataFrame, meta: DataFrame) -> DataFrame:
-    """Signals less their sector's mean of the date; a name alone in its sector becomes 0."""
+    """Signals less their sector's mean of the date; a name alone in its sector becomes 0, names without one go."""
     w = Window.partitionBy("signal", "date", "sector")
-    return long.join(F.broadcast(meta), "symbol").withColumn("sig", F.col("sig") - F.avg("sig").over(w))
+    return long.join(meta.where("sector is not null"), "symbol").withColumn("sig", F.col("sig") - F.avg("sig").over(w))
 
 
 def xs_zscore(long: DataFrame) -> DataFrame:

@@ -94,15 +94,18 @@ def correlation(cov: DataFrame) -> DataFrame:
 
 def shrinkage(sample: DataFrame, cov: DataFrame) -> DataFrame:
     """One row ``rbar, gamma, pi, rho, delta``: intensity of the shrink toward constant correlation."""
-    full = _with_variances(cov)
+    return _intensity(sample, _with_variances(cov))
+
+
+def _intensity(sample: DataFrame, full: DataFrame) -> DataFrame:
     rbar = full.where("a <> b").agg(F.avg(F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("rbar"), F.countDistinct("a").alias("n"))
     target = F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("rbar") * F.sqrt(F.col("va") * F.col("vb")))
     gamma = full.crossJoin(F.broadcast(rbar)).agg(F.sum(F.pow(target - F.col("cov"), F.lit(2.0))).alias("gamma"), F.max("rbar").alias("rbar"), F.max("n").alias("n"))
     mean = sample.groupBy("symbol").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("t"))
-    flat = sample.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("m"))
+    flat = sample.join(mean, "symbol").withColumn("x", F.col("x") - F.col("m"))
     product = F.col("xa") * F.col("xb")  # the mean of (product - cov)^2 from its moments: one row a pair meets the covariance
     moments = pairs(flat.select("symbol", "date", "x")).groupBy("a", "b").agg(F.avg(product * product).alias("m2"), F.avg(product).alias("m1"))
-    each = moments.join(cov, ["a", "b"]).select("a", "b", (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
+    each = moments.join(full.select("a", "b", "cov"), ["a", "b"]).select("a", "b", (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
     pi = each.agg(F.sum("pi").alias("pi"), F.sum(F.when(F.col("a") == F.col("b"), F.col("pi"))).alias("rho"))
     t = mean.agg(F.max("t").alias("t"))
     raw = (F.col("pi") - F.col("rho")) / F.col("gamma") / F.col("t")
@@ -112,10 +115,11 @@ def shrinkage(sample: DataFrame, cov: DataFrame) -> DataFrame:
 
 def ledoit_wolf(sample: DataFrame, cov: DataFrame) -> DataFrame:
     """``a, b, cov`` shrunk toward constant correlation."""
-    s = shrinkage(sample, cov).select("rbar", "delta")
+    full = cut(_with_variances(cov))  # a row a pair of names, read five times
+    s = _intensity(sample, full).select("rbar", "delta")
     target = F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("rbar") * F.sqrt(F.col("va") * F.col("vb")))
     shrunk = F.when(F.col("delta") > 0, F.col("delta") * target + (1 - F.col("delta")) * F.col("cov")).otherwise(F.col("cov"))
-    return _with_variances(cov).crossJoin(F.broadcast(s)).select("a", "b", shrunk.alias("cov"))
+    return full.crossJoin(F.broadcast(s)).select("a", "b", shrunk.alias("cov"))
 
 
 def risk_contribution(cov: DataFrame, weighted: DataFrame, days: int = YEAR_DAYS) -> DataFrame:

@@ -60,7 +60,8 @@ def _clamp(x: Column, given: Column) -> Column:
 
 
 def _pct0(x: Column) -> Column:
-    return F.format_string("%.0f", x)
+    """Without decimals, halves to even; what rounds to zero from below keeps its sign."""
+    return F.when((x < 0) & (F.rint(x) == 0), F.lit("-0")).otherwise(F.rint(x).cast("bigint").cast("string"))
 
 
 def build_cards(technical: DataFrame, risk=None, fundamental=None, macro=None, sentiment=None, ownership=None, guidance=None) -> DataFrame:

@@ -150,14 +150,14 @@ def coverage_matrix(spark, d):
 
 
 @query(f"""WITH {_F}, {_NEWS}, e AS (SELECT symbol, max(period_end) AS expected FROM q GROUP BY symbol),
-    c AS (SELECT CAST(doc_id % 150 AS VARCHAR) AS symbol, CASE WHEN doc_id % 3 <> 0 THEN published END AS period, publisher FROM news WHERE doc_id % 150 < 60),
+    c AS (SELECT CAST(doc_id % 150 AS VARCHAR) AS symbol, CASE WHEN doc_id % 3 <> 0 THEN published END AS period, publisher FROM news),
     g AS (SELECT symbol, count(*) AS chunks, count(DISTINCT publisher) AS docs, max(period) AS latest_period FROM c GROUP BY symbol),
     s AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier)
     SELECT symbol, expected, coalesce(chunks, 0) AS chunks, coalesce(docs, 0) AS docs, latest_period,
     CASE WHEN coalesce(chunks, 0) = 0 THEN 'MISSING' WHEN expected IS NULL THEN 'UNCHECKED' WHEN latest_period IS NULL THEN 'UNTAGGED' WHEN latest_period < expected THEN 'STALE' ELSE 'OK' END AS flag
     FROM s LEFT JOIN e USING (symbol) LEFT JOIN g USING (symbol)""")
 def transcript_coverage(spark, d):
-    n = headlines(spark, d).where("doc_id % 150 < 60")
+    n = headlines(spark, d)
     c = n.select((F.col("doc_id") % 150).cast("string").alias("symbol"), F.when(F.col("doc_id") % 3 != 0, F.col("published")).alias("period"), F.col("publisher").alias("source"))
     return coverage.transcript_coverage(sectors(spark, d), fundamentals(spark, d), c)
 
@@ -233,7 +233,7 @@ def fwd_returns(spark, d):
 
 
 @query(f"""WITH {_P}, r AS (SELECT symbol, date, adj_close, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM prices)
-    SELECT symbol, date, {_r('CASE WHEN count(r) OVER w = 63 THEN -stddev_samp(r) OVER w END', 'low_vol')}, {_r('CASE WHEN count(r) OVER v = 10 THEN exp(sum(ln(1 + r)) OVER v) - 1 END', 'ret_10')} FROM r
+    SELECT symbol, date, {_r('CASE WHEN count(r) OVER w = 63 THEN -stddev_samp(r) OVER w END', 'low_vol')}, {_r('CASE WHEN count(r) OVER v = 10 THEN product(1 + r) OVER v - 1 END', 'ret_10')} FROM r
     WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING), v AS (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING)""")
 def momentum_low_vol(spark, d):
     w = rows_of()
@@ -248,7 +248,14 @@ def filled_every_7th(spark, d):
     return rounded(every_kth(p.select("symbol", "date", fill_forward(F.col("c"), rows_of()).alias("filled")), ["date"], 7, ["symbol"]))
 
 
-@query()
+_RSI = lambda rows, x: f"""od AS (SELECT symbol, date, row_number() OVER w AS i, {x} - lag({x}) OVER w AS dx FROM {rows} WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    og AS (SELECT symbol, i, greatest(dx, 0) AS g, greatest(-dx, 0) AS l FROM od WHERE dx IS NOT NULL),
+    ew AS (SELECT a.symbol, a.i, sum(b.g * pow(13.0 / 14, a.i - b.i) * CASE WHEN b.i = 2 THEN 1 ELSE 1.0 / 14 END) AS ag, sum(b.l * pow(13.0 / 14, a.i - b.i) * CASE WHEN b.i = 2 THEN 1 ELSE 1.0 / 14 END) AS al
+    FROM og a JOIN og b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY a.symbol, a.i),
+    rsi AS (SELECT symbol, date, 100 - 100 / (1 + ag / nullif(al, 0)) AS rsi FROM od LEFT JOIN ew USING (symbol, i))"""
+
+
+@query(f"WITH {_P}, {_RSI('prices', 'close')} SELECT symbol, date, {_r('rsi')} FROM rsi")
 def rsi_path(spark, d):
     return rounded(rsi_series(prices(spark, d)))
 
@@ -286,10 +293,14 @@ def sector_exposure(spark, d):
     return rounded(macro.sector_weights(macro.weights(holdings(spark, d), prices(spark, d)), sectors(spark, d)))
 
 
-@query(f"""WITH {_SW}, s AS (SELECT sector, sum(weight) * 100 AS w FROM hw GROUP BY sector) SELECT arg_max(sector, w) AS top_sector, {_r('max(w)', 'top_sector_pct')}, count(*) AS num_sectors,
-    {_r('1 / sum(w / 100 * w / 100)', 'effective_sectors')}, CAST(0.0 AS DOUBLE) AS unknown_pct, CASE WHEN max(w) >= 40 THEN 'high' WHEN max(w) >= 25 THEN 'moderate' ELSE 'low' END AS concentration FROM s""")
+@query(f"""WITH {_SW}, s AS (SELECT CASE WHEN sector = 'AFRICA' THEN 'Unknown' ELSE sector END AS sector, sum(weight) * 100 AS w FROM hw GROUP BY 1)
+    SELECT arg_max(sector, w) AS top_sector, {_r('max(w)', 'top_sector_pct')}, count(*) FILTER (sector <> 'Unknown') AS num_sectors, {_r('1 / sum(w / 100 * w / 100)', 'effective_sectors')},
+    {_r("coalesce(sum(w) FILTER (sector = 'Unknown'), 0)", 'unknown_pct')},
+    CASE WHEN max(w) FILTER (sector <> 'Unknown') >= 40 THEN 'high' WHEN max(w) FILTER (sector <> 'Unknown') >= 25 THEN 'moderate' WHEN max(w) FILTER (sector <> 'Unknown') IS NOT NULL THEN 'low' END AS concentration FROM s""")
 def sector_summary(spark, d):
-    return rounded(macro.macro_portfolio(macro.sector_weights(macro.weights(holdings(spark, d), prices(spark, d)), sectors(spark, d))))
+    """One region's names have no sector on file."""
+    known = sectors(spark, d).withColumn("sector", F.when(F.col("sector") != "AFRICA", F.col("sector")))
+    return rounded(macro.macro_portfolio(macro.sector_weights(macro.weights(holdings(spark, d), prices(spark, d)), known)))
 
 
 # News
@@ -338,8 +349,9 @@ def ownership_dials(spark, d):
 
 
 def _book(spark, d):
+    """Bars of the book's names, computed once, its weights and returns."""
     p = cut(region_prices(spark, d))
-    return p, cut(macro.weights(positions(spark, d), p)), risk.returns(p)
+    return p, macro.weights(positions(spark, d, p), p), risk.returns(p)
 
 
 @query(f"WITH {_COMMON} SELECT a, b, {_r('cov', places=10)} FROM cov")
@@ -365,7 +377,10 @@ def ledoit_wolf(spark, d):
     return out.select(*[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("rbar", 6), ("gamma", 12), ("pi", 9), ("rho", 9), ("delta", 6))])
 
 
-@query(f"""WITH {_LW}, {_W}, sh AS (SELECT a, b, delta * CASE WHEN a = b THEN cov ELSE rbar * sqrt(va * vb) END + (1 - delta) * cov AS cov FROM fullc, lw),
+_SH = "sh AS (SELECT a, b, delta * CASE WHEN a = b THEN cov ELSE rbar * sqrt(va * vb) END + (1 - delta) * cov AS cov FROM fullc, lw)"
+
+
+@query(f"""WITH {_LW}, {_W}, {_SH},
     sw AS (SELECT a, sum(cov * weight) AS sw, sum(cov) FILTER (a = b) AS v FROM sh JOIN wts ON b = symbol GROUP BY a), tot AS (SELECT sum(weight * sw) AS pv FROM sw JOIN wts ON a = symbol)
     SELECT a AS symbol, {_r('weight * 100', 'weight_pct')}, {_r('sqrt(v) * sqrt(252) * 100', 'vol_pct')}, {_r('sw / sqrt(pv)', 'mctr')}, {_r('weight * sw / pv * 100', 'risk_contribution_pct')}, {_r('sqrt(pv) * sqrt(252) * 100', 'portfolio_vol_pct')} FROM sw JOIN wts ON a = symbol, tot""")
 def risk_contrib(spark, d):
@@ -399,7 +414,7 @@ def fhs_var(spark, d):
     return rounded(risk.var_cvar(risk.fhs(sig), 0.99, least=risk.MIN_FHS_ROWS))
 
 
-@query(f"""WITH {_COMMON}, {_W}, {_PORT}, {", ".join(f"s{n} AS (SELECT CASE WHEN count(*) OVER w = {n} THEN exp(sum(ln(1 + ret)) OVER w) - 1 END AS r FROM port WINDOW w AS (ORDER BY date ROWS {n - 1} PRECEDING))" for n in risk.STRESS_DAYS)}
+@query(f"""WITH {_COMMON}, {_W}, {_PORT}, {", ".join(f"s{n} AS (SELECT CASE WHEN count(*) OVER w = {n} THEN product(1 + ret) OVER w - 1 END AS r FROM port WINDOW w AS (ORDER BY date ROWS {n - 1} PRECEDING))" for n in risk.STRESS_DAYS)}
     {" UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS days, {_r('min(r)', 'worst')} FROM s{n}" for n in risk.STRESS_DAYS)}""")
 def worst_windows(spark, d):
     _, w, r = _book(spark, d)
@@ -427,7 +442,7 @@ def position_values(spark, d):
     return rounded(w.select("symbol", "market_value", (F.col("weight") * 100).alias("weight_pct"), ((F.col("last_close") / F.col("avg_cost") - 1) * 100).alias("unrealised_pct")), 4)
 
 
-@query(f"""WITH {_COMMON}, {_W}, {_PORT}, {_DTL}, sw AS (SELECT a, sum(cov * weight) AS sw FROM cov JOIN wts ON b = symbol GROUP BY a), tot AS (SELECT sum(weight * sw) AS pv FROM sw JOIN wts ON a = symbol),
+@query(f"""WITH {_LW}, {_W}, {_PORT}, {_DTL}, {_SH}, sw AS (SELECT a, sum(cov * weight) AS sw FROM sh JOIN wts ON b = symbol GROUP BY a), tot AS (SELECT sum(weight * sw) AS pv FROM sw JOIN wts ON a = symbol),
     rc AS (SELECT a AS symbol, weight * 100 AS w, weight * sw / pv * 100 AS r, sqrt(pv) * sqrt(252) * 100 AS vol FROM sw JOIN wts ON a = symbol, tot), q AS (SELECT quantile_cont(ret, 0.01) AS q FROM port), ch AS (
     SELECT 'max single-name weight %' AS metric, max(w) AS value, 30.0 AS limit_, max(w) <= 30 AS ok, arg_max(symbol, w) AS note FROM rc
     UNION ALL SELECT 'max single-name risk %', max(r), 40.0, max(r) <= 40, arg_max(symbol, r) FROM rc UNION ALL SELECT 'annualised vol %', max(vol), 25.0, max(vol) <= 25, '' FROM rc
@@ -436,7 +451,8 @@ def position_values(spark, d):
     SELECT metric, {_r('value')}, CAST(limit_ AS DOUBLE) AS "limit", ok, note FROM ch""")
 def limits(spark, d):
     p, w, r = _book(spark, d)
-    cov = risk.ewma_cov(risk.common_sample(r))
+    s = risk.common_sample(r)
+    cov = risk.ledoit_wolf(s, risk.ewma_cov(s))
     return rounded(risk.limit_checks(risk.risk_contribution(cov, w), risk.var_cvar(risk.portfolio_returns(r, w), 0.99), risk.effective_number(w), risk.liquidity(w, p)))
 
 
@@ -504,19 +520,67 @@ def pooled_ic(spark, d):
 @query(f"""WITH {_NW}, {_TS}, {_TH}, {_HB}, {_PI} SELECT signal, m, {_r('mean_ic')}, {_r('ic_std')}, {_r('mean_ic / ic_std', 'icir')}, {_r('mean_ic / sqrt(s / m)', 't')}, {_r('spread')}, {_r('abs(spread) - 4 * 15 / 1e4', 'net')},
     {_r('hit')}, {_r('base')}, {_r('pooled_ic')} FROM b JOIN sv USING (signal) LEFT JOIN ts USING (signal) LEFT JOIN hb USING (signal) LEFT JOIN pc USING (signal)""")
 def signal_scorecard(spark, d):
-    return rounded(evaluate.scorecard(cut(_signals(spark, d)), HORIZON))
-
-
-@query()
+    return rounded(evaluate.scorecard(evaluate.dealt(_signals(spark, d)), HORIZON))
+
+
+def _chain(sig: str, lag: int, p: str) -> str:
+    """The scores of a table of signals, in CTEs whose names begin with ``p``; the last one is ``{p}sc``."""
+    avg = lambda x, k: f"rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0"
+    third = "greatest(1, round_even(n / 3.0, 0))"
+    bartlett = f"CASE WHEN p.i = q.i THEN 1.0 ELSE 2 * (1 - (p.i - q.i) / (least({lag}, p.m - 1) + 1.0)) END"
+    return f"""{p}rk AS (SELECT *, {avg('sig', 'signal, date')} AS rs, {avg('fwd', 'signal, date')} AS rf FROM {sig}),
+    {p}ic AS (SELECT signal, date, corr(rs, rf) AS ic FROM {p}rk GROUP BY signal, date HAVING count(*) >= 4 AND min(rs) < max(rs) AND min(rf) < max(rf)),
+    {p}b AS (SELECT signal, count(*) AS m, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std FROM {p}ic GROUP BY signal),
+    {p}e AS (SELECT signal, row_number() OVER (PARTITION BY signal ORDER BY date) AS i, ic - mean_ic AS e, m FROM {p}ic JOIN {p}b USING (signal)),
+    {p}sv AS (SELECT p.signal, sum(p.e * q.e * {bartlett}) / max(p.m) AS s FROM {p}e p JOIN {p}e q ON p.signal = q.signal AND p.i - q.i BETWEEN 0 AND {lag} GROUP BY p.signal),
+    {p}tr AS (SELECT signal, date, fwd, row_number() OVER (PARTITION BY signal, date ORDER BY sig, symbol) AS lo, row_number() OVER (PARTITION BY signal, date ORDER BY sig DESC, symbol DESC) AS hi,
+    count(*) OVER (PARTITION BY signal, date) AS n FROM {sig}),
+    {p}td AS (SELECT signal, date, avg(fwd) FILTER (hi <= {third}) - avg(fwd) FILTER (lo <= {third}) AS d FROM {p}tr WHERE n >= 4 GROUP BY signal, date),
+    {p}ts AS (SELECT signal, avg(d) AS spread FROM {p}td GROUP BY signal),
+    {p}th AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY date, symbol) - 1 AS k FROM {sig}) WHERE k % {HORIZON} = 0),
+    {p}md AS (SELECT signal, median(sig) AS ms, median(fwd) AS mf FROM {p}th GROUP BY signal),
+    {p}hb AS (SELECT signal, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN (sig > ms) = (fwd > mf) THEN 1.0 ELSE 0 END) END AS hit, CASE WHEN count(*) >= 10 THEN avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0 END) END AS base
+    FROM {p}th JOIN {p}md USING (signal) GROUP BY signal),
+    {p}pr AS (SELECT signal, {avg('sig', 'signal')} AS rs, {avg('fwd', 'signal')} AS rf FROM {p}th),
+    {p}pc AS (SELECT signal, CASE WHEN count(*) >= 3 AND min(rs) < max(rs) AND min(rf) < max(rf) THEN corr(rs, rf) END AS pooled_ic FROM {p}pr GROUP BY signal),
+    {p}sc AS (SELECT signal, m, mean_ic, ic_std, mean_ic / ic_std AS icir, CASE WHEN m >= 8 AND s > 0 THEN mean_ic / sqrt(s / m) END AS t, spread, abs(spread) - 4 * 15 / 1e4 AS net, hit, base, pooled_ic
+    FROM {p}b JOIN {p}sv USING (signal) LEFT JOIN {p}ts USING (signal) LEFT JOIN {p}hb USING (signal) LEFT JOIN {p}pc USING (signal))"""
+
+
+_FUND = f"""{_RATIOS}, fl AS (SELECT 'net_margin' AS signal, symbol, period_end + 45 AS available, net_margin_pct AS v FROM rat WHERE total_revenue <> 0 AND net_margin_pct IS NOT NULL
+    UNION ALL SELECT 'revenue_yoy', symbol, period_end + 45, revenue_yoy_pct FROM rat WHERE total_revenue <> 0 AND revenue_yoy_pct IS NOT NULL
+    UNION ALL SELECT 'net_income_yoy', symbol, period_end + 45, net_income_yoy_pct FROM rat WHERE total_revenue <> 0 AND net_income_yoy_pct IS NOT NULL),
+    fw AS (SELECT n.signal, rr.symbol, rr.date, rr.fwd FROM rr CROSS JOIN (SELECT unnest(['net_margin', 'revenue_yoy', 'net_income_yoy']) AS signal) n),
+    fj AS (SELECT fw.signal, fw.symbol, fw.date, fl.v AS sig, fw.fwd FROM fw ASOF JOIN fl ON fw.signal = fl.signal AND fw.symbol = fl.symbol AND fw.date >= fl.available WHERE fw.fwd IS NOT NULL),
+    fd AS (SELECT signal, date, row_number() OVER (PARTITION BY signal ORDER BY date) - 1 AS k FROM (SELECT DISTINCT signal, date FROM fj)),
+    fsig AS (SELECT fj.* FROM fj JOIN fd USING (signal, date) WHERE k % {HORIZON} = 0)"""
+_SCORES = ("mean_ic", "ic_std", "icir", "t", "spread", "net", "hit", "base", "pooled_ic")
+_ALL_SIG = f"""{_SIG}, {_RSI('own', 'x')}, psig AS (SELECT * FROM sig UNION ALL SELECT 'rsi', symbol, date, rsi, fwd FROM rsi JOIN rr USING (symbol, date) WHERE rsi IS NOT NULL AND fwd IS NOT NULL)"""
+
+
+@query(f"WITH {_SIG}, {_FUND}, {_chain('fsig', 1, 'f')} SELECT signal, m, {', '.join(_r(c) for c in _SCORES)} FROM fsc")
 def fundamental_scorecard(spark, d):
     long = evaluate.fundamental_signals(prices(spark, d), fundamentals(spark, d), HORIZON)
-    return rounded(evaluate.scorecard(cut(long), HORIZON, lag=1))
+    return rounded(evaluate.scorecard(evaluate.dealt(long), HORIZON, lag=1))
 
 
-@query()
+_BEYOND = f"CASE n {' '.join(f'WHEN {n} THEN {evaluate.t_for(round(0.05 / n, 4))!r}' for n in range(1, 8))} END"
+
+
+@query(f"""WITH {_ALL_SIG}, {_FUND}, {_chain('psig', HORIZON - 1, 'p')}, {_chain('fsig', 1, 'f')},
+    u AS (SELECT *, 'price' AS kind FROM psc UNION ALL SELECT *, 'fundamental' FROM fsc), n AS (SELECT *, count(*) OVER () AS n FROM u)
+    SELECT signal, kind, m, {', '.join(_r(c) for c in _SCORES)}, CAST(n AS INTEGER) AS n_signals, round(0.05 / n, 4) AS bonferroni_alpha,
+    coalesce(abs(t) > {evaluate.t_for(0.05)!r}, false) AS significant, coalesce(abs(t) > {_BEYOND}, false) AS survives, '{evaluate.SURVIVORSHIP[False]}' AS survivorship FROM n""")
+def evaluation(spark, d):
+    return rounded(evaluate.evaluate(prices(spark, d), fundamentals(spark, d), HORIZON))
+
+
+@query(f"""WITH {_ALL_SIG}, {_chain('psig', HORIZON - 1, 'p')}, n AS (SELECT *, count(*) OVER () AS n FROM psc)
+    SELECT signal, {_r('t')}, coalesce(abs(t) > {evaluate.t_for(0.05)!r}, false) AS significant, round(0.05 / n, 4) AS bonferroni_alpha, coalesce(abs(t) > {_BEYOND}, false) AS survives FROM n""")
 def significance(spark, d):
-    rows = evaluate.with_bonferroni(evaluate.scorecard(cut(evaluate.price_signals(prices(spark, d), HORIZON)), HORIZON))
-    return spark.createDataFrame([(r["signal"], r["t"], r["p"], r["significant"], r["bonferroni_alpha"], r["survives"]) for r in rows], "signal string, t double, p double, significant boolean, bonferroni_alpha double, survives boolean")
+    rows = evaluate.with_bonferroni(evaluate.scorecard(evaluate.dealt(evaluate.price_signals(prices(spark, d), HORIZON)), HORIZON))
+    fields = "signal string, t double, significant boolean, bonferroni_alpha double, survives boolean"
+    return rounded(spark.createDataFrame([tuple(r[c.split()[0]] for c in fields.split(", ")) for r in rows], fields))
 
 
 @query(f"WITH {_SIG}, {_LOC} SELECT signal, symbol, date, {_r('sig - avg(sig) OVER (PARTITION BY signal, date, r_name)', 'sig')} FROM sig JOIN loc ON symbol = CAST(s_suppkey AS VARCHAR)")
@@ -617,9 +681,12 @@ def deltas(spark, d):
     return out.select("symbol", F.concat_ws("; ", F.filter("changes", lambda x: ~number(x))).alias("flips"), F.exists("changes", lambda x: x.startswith("risk contribution ")).alias("risk_moved"))
 
 
-@query(f"""WITH {_CARD} SELECT symbol, (coalesce(rc >= 40, false))::INT + (coalesce(trend = 'downtrend' AND level = 'near lows', false))::INT + (coalesce(eg = 'declining', false))::INT + (coalesce(mt = 'contracting', false))::INT + (coalesce(mp < -0.15, false))::INT AS n_alerts FROM c""")
+@query(f"""WITH {_CARD} SELECT symbol, array_to_string(list_filter([
+    CASE WHEN rc >= 40 THEN 'top risk contributor — ' || CAST(CAST(round_even(rc, 0) AS BIGINT) AS VARCHAR) || '% of book risk (≥ 40% limit)' END,
+    CASE WHEN trend = 'downtrend' AND level = 'near lows' THEN 'in a downtrend and near 52-week lows' END, CASE WHEN eg = 'declining' THEN 'earnings declining' END,
+    CASE WHEN mt = 'contracting' THEN 'margins contracting' END, CASE WHEN mp < -0.15 THEN 'negative news flow (5 headlines)' END], lambda x: x IS NOT NULL), ' | ') AS alerts FROM c""")
 def alerts(spark, d):
-    return scoring.alerts(_made_cards(spark, d)).select("symbol", F.size("alerts").alias("n_alerts"))
+    return scoring.alerts(_made_cards(spark, d)).select("symbol", F.concat_ws(" | ", "alerts").alias("alerts"))
 
 
 @query()
@@ -643,22 +710,25 @@ def latest_payload(spark, d):
 # Retrieval
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv, label FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) + 0.0 AS distance,
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv, label FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) + 0.0 AS distance,
     row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), vec_id) AS rank FROM embeddings JOIN q USING (label))
     SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 5""")
 def knn_cosine(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the stated questions; all rows are searched
     return rounded(rag.knn(q, e, 5, "query_id", "vec_id", "embedding", "label"))
 
 
-@query("""WITH h AS (SELECT item_id % 7 AS g, text FROM benchmark), b AS (SELECT g, lower(string_agg(text, ' ' ORDER BY text)) AS blob FROM h GROUP BY g), m AS (SELECT item_id, item_id % 5 AS g, [text[1:20], 'zzz' || text] AS must FROM benchmark)
-    SELECT item_id, round(len(list_filter(must, lambda x: contains(blob, lower(x)))) / 2.0, 6) AS recall FROM m JOIN b USING (g)""")
+@query("""WITH h AS (SELECT item_id % 7 AS g, text FROM benchmark), b AS (SELECT g, lower(string_agg(text, ' ' ORDER BY text)) AS blob FROM h GROUP BY g),
+    m AS (SELECT item_id, (item_id + item_id % 2) % 7 AS g, [text, 'zzz' || text, lower(text)] AS must FROM benchmark)
+    SELECT item_id, round(len(list_filter(must, lambda x: contains(blob, lower(x)))) / 3.0, 6) AS recall FROM m JOIN b USING (g)""")
 def rag_recall(spark, d):
-    b = table(spark, d, "benchmark")
-    hits = b.groupBy((F.col("item_id") % 7).alias("g")).agg(F.array_sort(F.collect_list("text")).alias("contents"))
-    must = b.select("item_id", (F.col("item_id") % 5).alias("g"), F.array(F.substring("text", 1, 20), F.concat(F.lit("zzz"), F.col("text"))).alias("must"))
-    return rounded(must.join(hits, "g").select("item_id", rag.retrieval_score(F.col("contents"), F.col("must"))["recall"].alias("recall")))
+    """Expected texts of each item against the texts of a group: its own for even items, the next one for odd items."""
+    b, i = table(spark, d, "benchmark"), F.col("item_id")
+    hits = b.groupBy((i % 7).alias("g")).agg(F.array_sort(F.collect_list("text")).alias("contents"))
+    must = F.array(F.col("text"), F.concat(F.lit("zzz"), F.col("text")), F.lower("text"))
+    asked = b.select("item_id", ((i + i % 2) % 7).alias("g"), must.alias("must"))
+    return rounded(asked.join(hits, "g").select("item_id", rag.retrieval_score(F.col("contents"), F.col("must"))["recall"].alias("recall")))
 
 
 @query()

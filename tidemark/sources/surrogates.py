@@ -38,10 +38,10 @@ def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(table(spark, sf_dir, "lineitem").withColumn("symbol", F.lit("MARKET")))
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions held: quantity from positive balances, cost from the first close."""
+def positions(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    """Regions held: quantity from positive balances, cost from the first close of ``bars``."""
     quantity = _located(spark, sf_dir).where("s_acctbal > 0").groupBy(F.col("r_name").alias("symbol")).agg(F.sum("s_acctbal").alias("quantity"))
-    cost = region_prices(spark, sf_dir).groupBy("symbol").agg(F.min_by("close", "date").alias("avg_cost"))
+    cost = (region_prices(spark, sf_dir) if bars is None else bars).groupBy("symbol").agg(F.min_by("close", "date").alias("avg_cost"))
     return quantity.join(cost, "symbol")
 
 
