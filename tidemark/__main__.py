@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+from tidemark.plans import flows  # noqa: F401  adds its queries
 from tidemark.plans.catalog import QUERIES
 from tidemark.session import session
 

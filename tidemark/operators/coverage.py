@@ -26,6 +26,11 @@ def coverage_matrix(symbols: DataFrame, prices: DataFrame, quarters: DataFrame,
     return out.fillna(0, ["price_rows", "quarters", "news", "doc_sources", "doc_chunks"])
 
 
+def matching(matrix: DataFrame, search: str) -> DataFrame:
+    """Rows whose symbol holds ``search``, in any case."""
+    return matrix.where(F.contains(F.lower("symbol"), F.lit(search.lower())))
+
+
 def coverage_flag(expected: Column, latest: Column, has_docs: Column) -> Column:
     return F.when(~has_docs, "MISSING").when(expected.isNull(), "UNCHECKED").when(latest.isNull(), "UNTAGGED").when(latest < expected, "STALE").otherwise("OK")
 

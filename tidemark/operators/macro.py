@@ -30,6 +30,11 @@ def sector_weights(weighted: DataFrame, meta: DataFrame) -> DataFrame:
     return with_sector(weighted, meta).groupBy("sector").agg((F.sum("weight") * 100).alias("weight_pct"), F.count(F.lit(1)).alias("n_holdings"))
 
 
+def by_weight(by_sector: DataFrame) -> DataFrame:
+    """Sectors by weight, largest first."""
+    return by_sector.orderBy(F.desc("weight_pct"), "sector")
+
+
 def macro_by_symbol(weighted: DataFrame, meta: DataFrame) -> DataFrame:
     """Each holding's sector and that sector's share of the book."""
     w = Window.partitionBy("sector")

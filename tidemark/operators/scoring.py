@@ -79,6 +79,11 @@ def build_cards(technical: DataFrame, risk=None, fundamental=None, macro=None, s
     return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in CARD.items()])
 
 
+def ordered(cards: DataFrame) -> DataFrame:
+    """Cards by risk contribution, largest first, those without one last."""
+    return cards.orderBy(F.desc_nulls_last("risk_contribution_pct"), "symbol")
+
+
 def subscores() -> dict[str, Column]:
     c = F.col
     return {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -29,12 +30,20 @@ class Registry:
     def register(self, agent: Agent) -> None:
         self.agents = [a for a in self.agents if a.name != agent.name] + [agent]
 
-    def analyse(self, tables: dict[str, DataFrame], on_event: Callable[[str, dict], None] = lambda kind, what: None) -> dict[str, DataFrame]:
-        """Plans of all agents. Events tell the run's progress: run_start, agent_start and agent_done, run_complete, error."""
-        on_event("run_start", {"agents": [a.name for a in self.agents]})
+    def analyse(
+        self, tables: dict[str, DataFrame], on_event: Callable[[str, dict], None] = lambda kind, what: None, context: Callable[[], dict] | None = None,
+        cards: Callable[[dict[str, DataFrame]], list[dict]] | None = None, narrate: Callable[[dict], dict] | None = None,
+    ) -> dict[str, DataFrame]:
+        """Plans of all agents. Events tell the run's progress: run_start, context_loaded with what ``context`` says,
+        agent_start and agent_done with the time taken, then ranking and a card for each of ``cards``, the narration
+        of each card, and run_complete; or error."""
+        on_event("run_start", {"agents": [a.name for a in self.agents], "narrate": narrate is not None})
+        if context is not None:
+            on_event("context_loaded", context())
         out: dict[str, DataFrame] = {}
         for a in self.agents:
-            on_event("agent_start", {"agent": a.name})
+            on_event("agent_start", {"agent": a.name, "scope": a.scope})
+            began = time.monotonic()
             try:
                 got = a.run(tables | out)
             except Exception as e:
@@ -42,11 +51,37 @@ class Registry:
                 raise
             if got is not None:
                 out[a.name] = got
-            on_event("agent_done", {"agent": a.name, "there": got is not None})
-        on_event("run_complete", {"agents": list(out)})
+            on_event("agent_done", {"agent": a.name, "scope": a.scope, "there": got is not None, "latency_ms": round((time.monotonic() - began) * 1000, 1)})
+        made = cards(out) if cards is not None else []
+        if cards is not None:
+            on_event("ranking", {"order": [c["symbol"] for c in made]})
+            for rank, card in enumerate(made, 1):
+                on_event("card", {"rank": rank, **card})
+        told = narrated(made, narrate, on_event)
+        on_event("run_complete", {"agents": list(out), "n_cards": len(made), "n_narrated": len(told)})
         return out
 
 
+def narrated(cards: list[dict], narrate: Callable[[dict], dict] | None, on_event: Callable[[str, dict], None], at_once: int = 5) -> dict[str, dict]:
+    """Narration by symbol, some cards at once. A card that fails is told and left out; without a callable, or cards,
+    it is skipped."""
+    if narrate is None or not cards:
+        on_event("narration_skipped", {"reason": "no model" if narrate is None else "no cards"})
+        return {}
+    on_event("narration_start", {"count": len(cards)})
+    out: dict[str, dict] = {}
+    with ThreadPoolExecutor(min(at_once, len(cards))) as pool:
+        calls = {pool.submit(narrate, card): card["symbol"] for card in cards}
+        for call in as_completed(calls):
+            if call.exception() is None:
+                out[calls[call]] = call.result()
+                on_event("narration_done", {"symbol": calls[call], "card": call.result()})
+            else:
+                on_event("narration_error", {"symbol": calls[call], "error": str(call.exception())})
+    on_event("narration_summary", {"narrated": len(out), "failed": len(cards) - len(out)})
+    return out
+
+
 class Memo:
     """Results by key for a time; a caller gets a copy of its own. Cleared on writes."""
 
@@ -73,6 +108,15 @@ class Trace:
     def record(self, label: str, model: str, tokens_in: int, tokens_out: int, ms: float) -> None:
         self.calls.append((label, model, tokens_in, tokens_out, ms))
 
+    def timed(self, label: str, model: str, call: Callable[[], tuple[object, int, int]]):
+        """The first thing that ``call`` gives, its tokens (the other two) and time recorded, also when it fails."""
+        began, tokens = time.monotonic(), (0, 0)
+        try:
+            value, *tokens = call()
+            return value
+        finally:
+            self.record(label, model, *tokens, (time.monotonic() - began) * 1000)
+
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """``calls`` with ``cost``, by the longest price prefix that the model's name begins with; null if there is none.

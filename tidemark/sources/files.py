@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("text"))
 
 
+def read_binary_documents(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """``source, text`` of files that ``pages`` reads, such as a PDF library's text by page; pages are joined by a line
+    feed. Files are dealt out one by one, and ``pages`` runs where they are read."""
+
+    def parsed(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"source": [p.rsplit("/", 1)[-1] for p in pdf["path"]], "text": ["\n".join(pages(c)) for c in pdf["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, "source string, text string")
+
+
+def book_or_universe(book: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbols of the book, or all symbols if the book is empty."""
+    return (symbols if book.isEmpty() else book).select("symbol")
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema="symbol string, question string, must_contain array<string>", multiLine=True)
 
