@@ -11,7 +11,7 @@ import pytest
 from tidemark.llm.mixing import draw_slots, mix_counts, mix_plan, mixed_documents, permuted, targets
 from tidemark.llm.sharding import lpt_runs, shard_documents
 from tidemark.llm.topk import Candidates, farthest_first, top_k
-from tidemark.llm.url_filter import judge_urls
+from tidemark.llm.url_filter import RULES, UrlTrees, judge_urls, labelled_rows
 
 ODD = [(1, None, None), (2, "", "b"), (3, "one two  three", "b"), (4, "one two  three", "c"), (4, "one two  three", "c"), (None, "x " * 5000, "a"), (6, "solo", "d")]
 
@@ -31,6 +31,38 @@ def test_url_rules_and_verdicts(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def brute_rule(url):
+    """Host, path and the longest fitting rule, by plain string work."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    host, tail = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
+    fits = [t for _, t in RULES if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/", 1)[0])) and path.startswith("/" + t.split("/", 1)[1])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_url_rules_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    out = judge_urls(pages).collect()
+    assert len(out) == len(urls) and all((r.host, r.path, r.rule) == brute_rule(urls[r.page_id]) for r in out)
+    verdict = {text: what for what, text in RULES}
+    assert all(r.verdict == verdict[r.rule] for r in out if r.rule)
+
+
+def test_url_trees_on_held_out_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = labelled_rows(pages).persist()
+    held = UrlTrees(rows, without_fold=1).verdicts(rows.where("fold = 1 and ruled is not null")).collect()
+    right = sum(r.found == r.ruled for r in held)
+    assert len(held) > 100 and right >= 0.95 * len(held), (right, len(held))
+    free = UrlTrees(rows).verdicts(rows.where("ruled is null")).collect()
+    blocked = sum(r.found == "block" for r in free)
+    assert blocked <= 0.02 * len(free), (blocked, len(free))
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(160)]

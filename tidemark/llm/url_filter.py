@@ -26,10 +26,16 @@ DEPTH = 3
 SEED = 7
 #: Characters whose shares make up a URL's entropy; any other counts together as one.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._/:?&=%#"
-#: Weight of the overall block rate in a suffix's rate.
+#: Weight of the overall block rate in the rate of a suffix or first path segment.
 SMOOTHING = 10.0
+#: Hosts fall into so many folds: a training row's rates are those of the other folds' hosts.
+FOLDS = 5
+LEAST_LEAF = 40
 
-FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "extension", "secure", "tld_rate", "suffix_rate")
+KEYS = ("tld", "suffix", "segment")
+FEATURES = (
+    "length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "extension", "secure", *(f"{k}_rate" for k in KEYS)
+)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -74,43 +80,77 @@ def lexical_features(pages: DataFrame) -> DataFrame:
             "secure": url.startswith("https:").cast("double"),
             "tld": F.substring_index("host", ".", -1),
             "suffix": F.substring_index("host", ".", -2),
+            "segment": F.regexp_extract("path", "^/([^/]*)", 1),
+            "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"),
         }
     )
 
 
-def _with_rates(rows: DataFrame, tlds: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    rows = rows.join(F.broadcast(tlds), "tld", "left").join(F.broadcast(suffixes), "suffix", "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit(prior)) for c in ("tld_rate", "suffix_rate")})
+def labelled_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """All rows with lexical columns, ``rule``, ``ruled`` (the rule's verdict) and, where there is a host, ``label``
+    and ``weight``: a rule's verdict counts whole, a URL that no rule lists as weakly allowed."""
+    parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    host, path = url_parts(F.col("url"))
+    parts = parts.withColumns({"host": host, "path": path})
+    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+    rows = lexical_features(parts.withColumns({"rule": rule, "ruled": verdict}))
+    there = F.col("ruled").isNotNull() | (F.col("host") != "")
+    label = F.coalesce((F.col("ruled") == "block").cast("double"), F.lit(0.0))
+    weight = F.when(F.col("ruled").isNotNull(), 1.0).otherwise(UNLISTED_WEIGHT)
+    return rows.withColumns({"label": F.when(there, label), "weight": F.when(there, weight)})
+
+
+class UrlTrees:
+    """Boosted trees on lexical features. Rates of suffixes and first path segments are counted over all rows and
+    joined without a broadcast; the trees are fitted on a bounded sample, weighted up to the rows it stands for."""
+
+    def __init__(self, rows: DataFrame, sample: int = SAMPLE_URLS, without_fold: int | None = None):
+        known = rows.where("label is not null")
+        known = known if without_fold is None else known.where(F.col("fold") != without_fold)
+        listed = F.col("ruled").isNotNull()
+        sizes = {r.listed: (r.n, r.blocked) for r in known.groupBy(listed.alias("listed")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).collect()}
+        n, blocked = sizes.get(True, (0, 0.0))
+        free = sizes.get(False, (0, 0.0))[0]
+        self.model, self.only = None, "block" if n and blocked else "allow"
+        if not n or blocked in (0.0, float(n)):
+            return
+        self.prior = blocked / (n + UNLISTED_WEIGHT * free)
+        sums = [F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("mass")]
+        self.counts = {k: written(known.groupBy(F.col(k), F.col("fold").alias("of_fold")).agg(*sums), f"url-{k}") for k in KEYS}
+        first = [F.xxhash64("url"), F.col("page_id")]
+        parts = [known.where(which).orderBy(*first).limit(sample).withColumn("weight", F.col("weight") * max(1.0, total / sample)) for which, total in ((listed, n), (~listed, free))]
+        chosen = written(parts[0].unionByName(parts[1]), "url-sample")
+        for k, counts in self.counts.items():
+            pairs = chosen.select(k, "fold").distinct().join(counts, k).where("fold <> of_fold")
+            chosen = chosen.join(pairs.groupBy(k, "fold").agg(self._rate(k)), [k, "fold"], "left").fillna(self.prior, f"{k}_rate")
+        trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_LEAF, seed=SEED, stepSize=0.3)
+        self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        self.model = trees.fit(self.assembler.transform(chosen).select("features", "label", "weight"))
+
+    def _rate(self, key: str) -> Column:
+        return ((F.sum("hits") + SMOOTHING * self.prior) / (F.sum("mass") + SMOOTHING)).alias(f"{key}_rate")
+
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``found``: block or allow."""
+        if self.model is None:
+            return rows.withColumn("found", F.lit(self.only))
+        for k, counts in self.counts.items():
+            rates = written(counts.groupBy(k).agg(self._rate(k)), f"url-{k}-rates")
+            rows = rows.join(rates.hint("merge"), k, "left").fillna(self.prior, f"{k}_rate")
+        judged = self.model.transform(self.assembler.transform(rows))
+        return judged.withColumn("found", F.when(F.col("prediction") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = SAMPLE_URLS) -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict``.
 
-    A rule's verdict stands. URLs that a rule judges are also the labelled ones: trees fitted on a sample of them,
-    of bounded size, with unlisted URLs as weakly allowed, judge all others, null and malformed ones included. With labels of one kind only that verdict is
-    given, with none ``allow``. Suffix rates come from the sample, so the tables broadcast have no more rows than it.
-    Repeated rows are rows of their own; an empty table gives no rows; other columns are not read.
+    A rule's verdict stands. URLs that a rule judges are also the labelled ones: trees fitted on a sample of them, of
+    bounded size, with unlisted URLs as weakly allowed, judge all others, null and malformed ones included. With
+    labels of one kind only that verdict is given, with none ``allow``. Repeated rows are rows of their own; an empty
+    table gives no rows; other columns are not read.
     """
-    parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    host, path = url_parts(F.col("url"))
-    parts = parts.withColumns({"host": host, "path": path})
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = lexical_features(parts.withColumns({"rule": rule, "ruled": verdict}))
-    ruled = rows.where(F.col("ruled").isNotNull()).withColumns({"label": (F.col("ruled") == "block").cast("double"), "weight": F.lit(1.0)})
-    unlisted = rows.where(F.col("ruled").isNull() & (F.col("host") != "")).withColumns({"label": F.lit(0.0), "weight": F.lit(UNLISTED_WEIGHT)})
-    first = [F.xxhash64("url"), F.col("page_id")]
-    labelled = written(ruled.orderBy(*first).limit(sample).unionByName(unlisted.orderBy(*first).limit(sample)), "url-sample")
-    n, blocked = labelled.where("weight = 1").agg(F.count(F.lit(1)), F.sum("label")).first()
+    rows = labelled_rows(pages, id_col, url_col, rules)
     keep = [F.col(c) for c in ("page_id", "host", "path", "rule")]
-    if not n or blocked in (0.0, float(n)):
-        return rows.select(*keep, F.coalesce("ruled", F.lit("block" if n and blocked else "allow")).alias("verdict"))
-    prior = labelled.agg(F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()[0]
-    rate = (F.sum(F.col("label") * F.col("weight")) + SMOOTHING * prior) / (F.sum("weight") + SMOOTHING)
-    tlds = labelled.groupBy("tld").agg(rate.alias("tld_rate"))
-    suffixes = labelled.groupBy("suffix").agg(rate.alias("suffix_rate"))
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3)
-    model = trees.fit(assembler.transform(_with_rates(labelled, tlds, suffixes, prior)).select("features", "label", "weight"))
-    judged = model.transform(assembler.transform(_with_rates(rows, tlds, suffixes, prior)))
-    found = F.when(F.col("prediction") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*keep, F.coalesce("ruled", found).alias("verdict"))
+    trees = UrlTrees(rows, sample)
+    listed = rows.where("ruled is not null").select(*keep, F.col("ruled").alias("verdict"))
+    return listed.unionByName(trees.verdicts(rows.where("ruled is null")).select(*keep, F.col("found").alias("verdict")))
