@@ -24,7 +24,8 @@ def _runs(spark, d):
     )
 
 
-_RUNS = "runs AS (SELECT 'U' || user_id AS symbol, ts AS run_at, event_type AS model, value / 1000 AS cost_usd, event_type || ' ' || event_id AS one_line, * FROM events)"
+_RUNS = """runs AS (SELECT 'U' || user_id AS symbol, ts AS run_at, event_type AS model, value / 1000 AS cost_usd, event_type || ' ' || event_id AS
+    one_line, * FROM events)"""
 
 
 @query(f"WITH {_RUNS} SELECT symbol, run_at, one_line FROM runs WHERE symbol = 'U8' ORDER BY run_at DESC LIMIT 20")
@@ -48,14 +49,16 @@ def total_run_cost(spark, d):
 
 
 @query("""WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
-    SELECT event_id, round((k * 137 + 5.0 * (k * 29 + 3)) / 1e6 + CASE WHEN event_type = 'error' THEN (k * 400 + 5.0 * 21) / 1e6 + 0.02 ELSE 0 END, 4) AS cost_usd FROM e""")
+    SELECT event_id, round((k * 137 + 5.0 * (k * 29 + 3)) / 1e6 + CASE WHEN event_type = 'error' THEN (k * 400 + 5.0 * 21) / 1e6 + 0.02 ELSE 0 END, 4)
+    AS cost_usd FROM e""")
 def run_costs(spark, d):
     k, searched = F.col("k"), F.col("model") == "error"
     cost = history.run_cost(k * 137, k * 29 + 3, k * 400, F.lit(21), searched, 1.0, 5.0)
     return _runs(spark, d).select("event_id", cost.alias("cost_usd"))
 
 
-@query("""SELECT url, coalesce(nullif(arg_min(coalesce(nullif(CASE WHEN page_id % 3 <> 0 THEN 'page ' || page_id END, ''), url), page_id), ''), url) AS title, min(page_id) AS ord
+@query("""SELECT url, coalesce(nullif(arg_min(coalesce(nullif(CASE WHEN page_id % 3 <> 0 THEN 'page ' || page_id END, ''), url), page_id), ''), url)
+    AS title, min(page_id) AS ord
     FROM pages WHERE url IS NOT NULL AND url <> '' GROUP BY url""")
 def web_sources(spark, d):
     title = F.when(F.col("page_id") % 3 != 0, F.format_string("page %d", "page_id"))
@@ -81,27 +84,32 @@ def _filings(spark, d):
     return n.select("symbol", F.col("publisher").alias("source"), F.when(F.col("doc_id") % 2 == 0, F.col("published")).alias("filing_date"))
 
 
-_DATA = """CASE doc_id % 4 WHEN 1 THEN '{"revenue_outlook": "grow ' || doc_id || '"}' WHEN 2 THEN '{"other_guidance": ["capex up", "hiring"], "revenue_outlook": ""}'
+_DATA = """CASE doc_id % 4 WHEN 1 THEN '{"revenue_outlook": "grow ' || doc_id || '"}' WHEN 2 THEN
+    '{"other_guidance": ["capex up", "hiring"], "revenue_outlook": ""}'
     WHEN 3 THEN '{"margin_outlook": "stable"}' ELSE '{}' END"""
 _KNOWN = f"""{_NEWS}, gd AS (SELECT symbol, publisher AS source, doc_id, published AS period, {_DATA} AS data FROM news),
     fl AS (SELECT symbol, publisher AS source, max(published) AS filed FROM news WHERE doc_id % 2 = 0 GROUP BY ALL)"""
 
 
-@query(f"""WITH {_KNOWN}, k AS (SELECT gd.*, row_number() OVER (PARTITION BY symbol ORDER BY period DESC NULLS LAST, doc_id DESC) AS rn FROM gd LEFT JOIN fl USING (symbol, source)
+@query(f"""WITH {_KNOWN}, k AS (SELECT gd.*, row_number() OVER (PARTITION BY symbol ORDER BY period DESC NULLS LAST, doc_id DESC) AS rn FROM gd LEFT
+    JOIN fl USING (symbol, source)
     WHERE coalesce(filed, period + 45) <= DATE '2024-12-15') SELECT symbol, source, doc_id AS extracted_at, period, data FROM k WHERE rn = 1""")
 def known_guidance(spark, d):
     return guidance.latest_guidance(_records(spark, d), _filings(spark, d), "2024-12-15")
 
 
 @query(f"""WITH {_KNOWN} SELECT symbol, source, doc_id AS extracted_at, period,
-    CASE WHEN data = '{{}}' THEN '{{"source":"' || source || '","period":"' || period || '"}}' ELSE '{{"source":"' || source || '","period":"' || period || '",' || data[2:] END AS record
-    FROM gd LEFT JOIN fl USING (symbol, source) WHERE symbol = 'S3' AND coalesce(filed, period + 45) <= DATE '2024-12-15' ORDER BY period DESC NULLS LAST, doc_id DESC LIMIT 1""")
+    CASE WHEN data = '{{}}' THEN '{{"source":"' || source || '","period":"' || period || '"}}' ELSE '{{"source":"' || source || '","period":"' ||
+    period || '",' || data[2:] END AS record
+    FROM gd LEFT JOIN fl USING (symbol, source) WHERE symbol = 'S3' AND coalesce(filed, period + 45) <= DATE '2024-12-15' ORDER BY period DESC NULLS
+    LAST, doc_id DESC LIMIT 1""")
 def guidance_of_one(spark, d):
     one = guidance.guidance_of(_records(spark, d), _filings(spark, d), "s3", "2024-12-15")
     return one.select("symbol", "source", "extracted_at", "period", guidance.merged_record(F.col("data"), F.col("source"), F.col("period")).alias("record"))
 
 
-_HIST = f"""{_KNOWN}, hi AS (SELECT symbol, doc_id, period, CASE WHEN doc_id % 4 = 1 THEN 'grow ' || doc_id END AS revenue_outlook, CASE WHEN doc_id % 4 = 3 THEN 'stable' END AS margin_outlook,
+_HIST = f"""{_KNOWN}, hi AS (SELECT symbol, doc_id, period, CASE WHEN doc_id % 4 = 1 THEN 'grow ' || doc_id END AS revenue_outlook, CASE WHEN doc_id %
+    4 = 3 THEN 'stable' END AS margin_outlook,
     CASE WHEN doc_id % 4 = 2 THEN 2 END AS n_other, row_number() OVER (PARTITION BY symbol ORDER BY period NULLS LAST, doc_id) AS nth
     FROM gd WHERE doc_id % 4 <> 0 AND (period IS NULL OR period <= DATE '2024-10-01'))"""
 
@@ -114,11 +122,14 @@ def guidance_history(spark, d):
     )
 
 
-@query(f"""WITH {_HIST}, {_F}, g AS (SELECT CAST(CAST(substr(symbol, 2) AS INTEGER) + 1 AS VARCHAR) AS symbol, count(*) AS n_guidance, string_agg('period ' || coalesce(CAST(period AS VARCHAR), 'unknown')
-    || coalesce(' | revenue_outlook=' || revenue_outlook, '') || coalesce(' | margin_outlook=' || margin_outlook, '') || CASE WHEN n_other = 2 THEN ' | other=capex up; hiring' ELSE '' END, chr(10) ORDER BY nth) AS promised
+@query(f"""WITH {_HIST}, {_F}, g AS (SELECT CAST(CAST(substr(symbol, 2) AS INTEGER) + 1 AS VARCHAR) AS symbol, count(*) AS n_guidance,
+    string_agg('period ' || coalesce(CAST(period AS VARCHAR), 'unknown')
+    || coalesce(' | revenue_outlook=' || revenue_outlook, '') || coalesce(' | margin_outlook=' || margin_outlook, '') || CASE WHEN n_other = 2 THEN
+    ' | other=capex up; hiring' ELSE '' END, chr(10) ORDER BY nth) AS promised
     FROM hi GROUP BY symbol),
     l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS back FROM q),
-    a AS (SELECT symbol, string_agg(period_end || ': revenue ₹' || format('{{:,.0f}}', total_revenue * 1e4 / 1e7) || 'cr, net income ₹' || format('{{:,.0f}}', net_income * 1e4 / 1e7) || 'cr', chr(10) ORDER BY period_end) AS actual
+    a AS (SELECT symbol, string_agg(period_end || ': revenue ₹' || format('{{:,.0f}}', total_revenue * 1e4 / 1e7) || 'cr, net income ₹' ||
+    format('{{:,.0f}}', net_income * 1e4 / 1e7) || 'cr', chr(10) ORDER BY period_end) AS actual
     FROM l WHERE back <= 8 GROUP BY symbol) SELECT symbol, n_guidance, promised, coalesce(actual, '') AS actual FROM g LEFT JOIN a USING (symbol)""")
 def promised_and_actual(spark, d):
     told = guidance.guidance_history(_records(spark, d), "2024-10-01")
@@ -131,8 +142,10 @@ def promised_and_actual(spark, d):
 
 # A book's risk as it is shown
 
-_MKT = f"mp AS (SELECT {_BARS} FROM lineitem GROUP BY CAST(l_shipdate AS DATE)), md AS (SELECT date, adj_close / lag(adj_close) OVER (ORDER BY date) - 1 AS m FROM mp)"
-_BETA = "bt AS (SELECT symbol, regr_slope(ret, m) * 0.67 + 0.33 AS beta FROM rets JOIN md USING (date) WHERE ret IS NOT NULL AND m IS NOT NULL GROUP BY symbol HAVING count(*) >= 60)"
+_MKT = f"""mp AS (SELECT {_BARS} FROM lineitem GROUP BY CAST(l_shipdate AS DATE)), md AS (SELECT date, adj_close / lag(adj_close) OVER (ORDER BY date)
+    - 1 AS m FROM mp)"""
+_BETA = """bt AS (SELECT symbol, regr_slope(ret, m) * 0.67 + 0.33 AS beta FROM rets JOIN md USING (date) WHERE ret IS NOT NULL AND m IS NOT NULL GROUP
+    BY symbol HAVING count(*) >= 60)"""
 
 
 @query(f"WITH {_RET}, {_W}, {_MKT}, {_BETA} SELECT {_r('sum(weight * beta)', 'beta')} FROM bt JOIN wts USING (symbol)")
@@ -142,7 +155,8 @@ def portfolio_beta(spark, d):
 
 
 @query(f"""WITH {_COMMON}, {_W}, {_PORT}, q AS (SELECT quantile_cont(ret, 0.01) AS q FROM port)
-    SELECT 'weekly' AS horizon, {_r('-max(q) * sqrt(5) * 100', 'var_99_pct')}, {_r('-avg(ret) FILTER (ret <= q) * sqrt(5) * 100', 'cvar_99_pct')}, {_r('-max(q) * 100', 'var_99_1d_pct')} FROM port, q""")
+    SELECT 'weekly' AS horizon, {_r('-max(q) * sqrt(5) * 100', 'var_99_pct')}, {_r('-avg(ret) FILTER (ret <= q) * sqrt(5) * 100', 'cvar_99_pct')},
+    {_r('-max(q) * 100', 'var_99_1d_pct')} FROM port, q""")
 def horizon_risk(spark, d):
     _, w, r = _book(spark, d)
     days, label = risk.horizon("w")
@@ -151,10 +165,13 @@ def horizon_risk(spark, d):
     return rounded(tail.select(F.lit(label).alias("horizon"), *scaled, (F.col("var") * 100).alias("var_99_1d_pct")))
 
 
-@query(f"""WITH {_LW}, {_W}, {_SH}, {_MKT}, {_BETA}, sw AS (SELECT a, sum(cov * weight) AS sw FROM sh JOIN wts ON b = symbol GROUP BY a), tot AS (SELECT sum(weight * sw) AS pv FROM sw JOIN wts ON a = symbol),
-    c AS (SELECT symbol, arg_min(close, date) AS cost FROM rp GROUP BY symbol), o AS (SELECT wts.symbol, weight * sw / pv * 100 AS rc, beta, (lc / cost - 1) * 100 AS pnl FROM sw JOIN wts ON a = wts.symbol, tot, c, bt
+@query(f"""WITH {_LW}, {_W}, {_SH}, {_MKT}, {_BETA}, sw AS (SELECT a, sum(cov * weight) AS sw FROM sh JOIN wts ON b = symbol GROUP BY a), tot AS
+    (SELECT sum(weight * sw) AS pv FROM sw JOIN wts ON a = symbol),
+    c AS (SELECT symbol, arg_min(close, date) AS cost FROM rp GROUP BY symbol), o AS (SELECT wts.symbol, weight * sw / pv * 100 AS rc, beta, (lc /
+    cost - 1) * 100 AS pnl FROM sw JOIN wts ON a = wts.symbol, tot, c, bt
     WHERE c.symbol = wts.symbol AND bt.symbol = wts.symbol)
-    SELECT symbol, {_r('rc', 'risk_contribution_pct')}, {_r('beta')}, {_r('pnl', 'unrealised_pct', 4)}, row_number() OVER (ORDER BY rc DESC, symbol) AS place FROM o""")
+    SELECT symbol, {_r('rc', 'risk_contribution_pct')}, {_r('beta')}, {_r('pnl', 'unrealised_pct', 4)}, row_number() OVER (ORDER BY rc DESC, symbol)
+    AS place FROM o""")
 def positions_by_risk(spark, d):
     """Positions as listed, with their place in the list."""
     p, w, r = _book(spark, d)
@@ -168,13 +185,15 @@ def positions_by_risk(spark, d):
     return placed.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in places.items()}).select("symbol", *places, "place")
 
 
-@query(f"WITH {_SW}, s AS (SELECT sector, sum(weight) * 100 AS w FROM hw GROUP BY sector) SELECT row_number() OVER (ORDER BY w DESC, sector) AS place, sector, {_r('w', 'weight_pct')} FROM s")
+@query(f"""WITH {_SW}, s AS (SELECT sector, sum(weight) * 100 AS w FROM hw GROUP BY sector) SELECT row_number() OVER (ORDER BY w DESC, sector) AS
+    place, sector, {_r('w', 'weight_pct')} FROM s""")
 def sectors_by_weight(spark, d):
     by = macro.by_weight(macro.sector_weights(macro.weights(holdings(spark, d), prices(spark, d)), sectors(spark, d)))
     return rounded(by.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), "sector", "weight_pct"))
 
 
-@query(f"""WITH {_SIG}, {_LOC}, k AS (SELECT signal, symbol, date, sig, r_name AS sector FROM sig JOIN loc ON symbol = CAST(s_suppkey AS VARCHAR) WHERE r_name <> 'AFRICA')
+@query(f"""WITH {_SIG}, {_LOC}, k AS (SELECT signal, symbol, date, sig, r_name AS sector FROM sig JOIN loc ON symbol = CAST(s_suppkey AS VARCHAR)
+    WHERE r_name <> 'AFRICA')
     SELECT signal, symbol, date, {_r('sig - avg(sig) OVER (PARTITION BY signal, date, sector)', 'sig')} FROM k""")
 def sector_neutral_known(spark, d):
     """Names without a sector on file are left out."""
@@ -196,8 +215,10 @@ def polarity_timeline(spark, d):
     return rounded(text.polarity_line(n.select("symbol", "published", "title", "polarity")), 3)
 
 
-@query(f"""WITH {_NEWS}, o AS (SELECT symbol, title, CAST(published AS TIMESTAMP) AS published FROM news), n AS (SELECT CASE WHEN doc_id % 10 < 3 THEN symbol ELSE 'N' END AS symbol, trim(title, ' ')[1:500] AS title,
-    CAST(published AS TIMESTAMP) AS published FROM news WHERE title IS NOT NULL), s AS (SELECT symbol, title, max(published) AS published FROM n WHERE title <> '' GROUP BY symbol, title)
+@query(f"""WITH {_NEWS}, o AS (SELECT symbol, title, CAST(published AS TIMESTAMP) AS published FROM news), n AS (SELECT CASE WHEN doc_id % 10 < 3 THEN
+    symbol ELSE 'N' END AS symbol, trim(title, ' ')[1:500] AS title,
+    CAST(published AS TIMESTAMP) AS published FROM news WHERE title IS NOT NULL), s AS (SELECT symbol, title, max(published) AS published FROM n WHERE
+    title <> '' GROUP BY symbol, title)
     SELECT symbol, title, published FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT * FROM s""")
 def news_replaced(spark, d):
     """News of some symbols fetched anew, and of a new one."""
@@ -211,7 +232,8 @@ def news_replaced(spark, d):
 
 
 @query(f"""WITH {_P}, {_F}, {_NEWS}, h AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE s_acctbal > 0)
-    SELECT (SELECT count(*) FROM h) AS n_holdings, (SELECT count(DISTINCT date) FROM prices) AS price_rows, (SELECT count(DISTINCT symbol) FROM q WHERE symbol IN (SELECT symbol FROM h)) AS n_fundamentals,
+    SELECT (SELECT count(*) FROM h) AS n_holdings, (SELECT count(DISTINCT date) FROM prices) AS price_rows, (SELECT count(DISTINCT symbol) FROM q
+    WHERE symbol IN (SELECT symbol FROM h)) AS n_fundamentals,
     (SELECT count(DISTINCT CAST(doc_id % 100 AS VARCHAR)) FROM news WHERE CAST(doc_id % 100 AS VARCHAR) IN (SELECT symbol FROM h)) AS n_sentiment""")
 def provenance(spark, d):
     news = headlines(spark, d).select((F.col("doc_id") % 100).cast("string").alias("symbol"))
@@ -226,20 +248,25 @@ def _full_cards(spark, d):
     return _made_cards(spark, d).withColumn("last_close", F.lit(None).cast("double"))
 
 
-@query(f"""WITH {_CARD} SELECT symbol, concat_ws(chr(10), symbol || ' ₹None sector=None', 'TECH: trend=' || {_N('trend')} || ' mom=' || {_N('momentum')} || '(RSI None) level=' || {_N('level')},
-    CASE WHEN CAST(symbol AS BIGINT) % 3 <> 2 THEN 'FUND: rev None · earn ' || {_N('eg')} || ' (NI YoY None%) · margin ' || {_N('mt')} END, 'OWN: inst ' || {_N('ip')} || '%',
+@query(f"""WITH {_CARD} SELECT symbol, concat_ws(chr(10), symbol || ' ₹None sector=None', 'TECH: trend=' || {_N('trend')} || ' mom=' ||
+    {_N('momentum')} || '(RSI None) level=' || {_N('level')},
+    CASE WHEN CAST(symbol AS BIGINT) % 3 <> 2 THEN 'FUND: rev None · earn ' || {_N('eg')} || ' (NI YoY None%) · margin ' || {_N('mt')} END,
+    'OWN: inst ' || {_N('ip')} || '%',
     'NEWS: ' || {_N(_SENT)} || ' (5 headlines)') AS digest FROM c""")
 def digests(spark, d):
     return narrative.digest(_full_cards(spark, d))
 
 
-@query(f"""WITH {_CARD} SELECT symbol, concat_ws('; ', CASE WHEN trend IS NOT NULL THEN 'technically ' || trend || '/' || {_N('momentum')} || ' at ' || {_N('level')} END,
-    CASE WHEN CAST(symbol AS BIGINT) % 3 <> 2 THEN 'fundamentals None rev / ' || {_N('eg')} || ' earnings / ' || {_N('mt')} || ' margins' END, {_SENT} || ' news') || '.' AS verdict FROM c""")
+@query(f"""WITH {_CARD} SELECT symbol, concat_ws('; ', CASE WHEN trend IS NOT NULL THEN 'technically ' || trend || '/' || {_N('momentum')} || ' at '
+    || {_N('level')} END,
+    CASE WHEN CAST(symbol AS BIGINT) % 3 <> 2 THEN 'fundamentals None rev / ' || {_N('eg')} || ' earnings / ' || {_N('mt')} || ' margins' END, {_SENT}
+    || ' news') || '.' AS verdict FROM c""")
 def verdict_lines(spark, d):
     return narrative.verdict_line(_full_cards(spark, d))
 
 
-@query(f"WITH {_CARD} SELECT symbol, trend, momentum, CAST(NULL AS DOUBLE) AS risk_contribution_pct, CAST(NULL AS DOUBLE) AS sector_weight_pct, ip AS institutional_pct FROM c WHERE symbol = '42'")
+@query(f"""WITH {_CARD} SELECT symbol, trend, momentum, CAST(NULL AS DOUBLE) AS risk_contribution_pct, CAST(NULL AS DOUBLE) AS sector_weight_pct, ip
+    AS institutional_pct FROM c WHERE symbol = '42'""")
 def single_name(spark, d):
     one = narrative.single_name(_full_cards(spark, d), "42")
     return one.select("symbol", "trend", "momentum", "risk_contribution_pct", "sector_weight_pct", "institutional_pct")
@@ -256,7 +283,8 @@ def coverage_search(spark, d):
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN '+' ELSE '' END || format('{:,.1f}', c_acctbal) || '%', '—') AS shown,
-    CASE WHEN abs(c_acctbal) / 100 >= 66 THEN 'high' WHEN abs(c_acctbal) / 100 >= 40 THEN 'medium' ELSE 'low' END AS attention_class, CAST(greatest(0.0, 100 - c_nationkey * 3 - c_custkey % 50) AS DOUBLE) AS public_float FROM customer""")
+    CASE WHEN abs(c_acctbal) / 100 >= 66 THEN 'high' WHEN abs(c_acctbal) / 100 >= 40 THEN 'medium' ELSE 'low' END AS attention_class,
+    CAST(greatest(0.0, 100 - c_nationkey * 3 - c_custkey % 50) AS DOUBLE) AS public_float FROM customer""")
 def displayed_values(spark, d):
     x = F.col("c_acctbal")
     left = narrative.shares_left((F.col("c_nationkey") * 3).cast("double"), (F.col("c_custkey") % 50).cast("double"))
@@ -264,7 +292,8 @@ def displayed_values(spark, d):
     return rounded(c.select("c_custkey", narrative.displayed(x, 1, "%", True).alias("shown"), narrative.level(F.abs(x) / 100).alias("attention_class"), left.alias("public_float")))
 
 
-@query("""SELECT c_custkey, round(CASE WHEN c_custkey - 500 > 0 THEN (c_acctbal / (c_custkey - 500) - 1) * 100 END, 6) + 0.0 AS growth, CASE WHEN c_acctbal / 100 >= 15 THEN 'strong' WHEN c_acctbal / 100 >= 5 THEN 'growing'
+@query("""SELECT c_custkey, round(CASE WHEN c_custkey - 500 > 0 THEN (c_acctbal / (c_custkey - 500) - 1) * 100 END, 6) + 0.0 AS growth, CASE WHEN
+    c_acctbal / 100 >= 15 THEN 'strong' WHEN c_acctbal / 100 >= 5 THEN 'growing'
     WHEN c_acctbal / 100 >= -5 THEN 'flat' ELSE 'declining' END AS bucket, round(abs(c_acctbal) - 0.006, 6) + 0.0 AS net FROM customer""")
 def sql_functions_used(spark, d):
     """The engine's functions by name in SQL."""
@@ -277,8 +306,10 @@ def sql_functions_used(spark, d):
 # Retrieval: from questions to evidence
 
 _HITS = """qs AS (SELECT vec_id AS question, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
-    ds AS (SELECT question, ql, vec_id, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS distance FROM embeddings, qs),
-    hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(distance, 12), vec_id) AS rank FROM ds) WHERE rank <= 3)"""
+    ds AS (SELECT question, ql, vec_id, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS distance FROM
+    embeddings, qs),
+    hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(distance, 12), vec_id) AS rank FROM ds) WHERE rank <=
+    3)"""
 
 
 def _hits(spark, d):
@@ -299,7 +330,8 @@ def golden_recall(spark, d):
 
 
 @query(f"""WITH {_HITS}, b AS (SELECT question, min(distance) AS best FROM hits GROUP BY question)
-    SELECT question, 'as said in [2], [9] and [' || question % 5 || ']' AS answer, CASE WHEN question % 5 IN (1, 3) THEN '2,' || question % 5 ELSE '2' END AS citations, {_r('best')}, best > 0.45 AS weak FROM b""")
+    SELECT question, 'as said in [2], [9] and [' || question % 5 || ']' AS answer, CASE WHEN question % 5 IN (1, 3) THEN '2,' || question % 5 ELSE '2'
+    END AS citations, {_r('best')}, best > 0.45 AS weak FROM b""")
 def cited_answers(spark, d):
     """Answers held to their evidence: citations beyond the hits go, and evidence that is far is marked."""
     hits = _hits(spark, d)
@@ -308,7 +340,8 @@ def cited_answers(spark, d):
     return rounded(out.select("question", "answer", "citations", "best", "weak"))
 
 
-@query(f"""WITH {_HITS}, g AS (SELECT label AS source, vec_id AS chunk_index, round(arg_min(distance, question), 9) + 0.0 AS distance FROM hits GROUP BY ALL)
+@query(f"""WITH {_HITS}, g AS (SELECT label AS source, vec_id AS chunk_index, round(arg_min(distance, question), 9) + 0.0 AS distance FROM hits GROUP
+    BY ALL)
     SELECT source, chunk_index, {_r('distance')} FROM g ORDER BY g.distance, source, chunk_index LIMIT 6""")
 def gathered_hits(spark, d):
     hits = _hits(spark, d).select("question", F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"), (F.round("distance", 9) + F.lit(0.0)).alias("distance"))
