@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("price_panel", "vintage_asof", "upsert_latest", "fund_asof", "coverage_matrix", "sma_dials", "macd_terminal", "yoy_fundamentals", "sector_exposure", "sentiment_scores", "event_tags", "ewma_cov", "hhi", "xs_zscore", "attention_scores", "deltas", "knn_cosine", "sessions", "rollup_cube")
+CHECKED = ("price_panel", "vintage_asof", "upsert_latest", "fund_asof", "coverage_matrix", "sma_dials", "macd_terminal", "yoy_fundamentals",
+    "sector_exposure", "sentiment_scores", "event_tags", "ewma_cov", "hhi", "xs_zscore", "attention_scores", "deltas", "knn_cosine",
+        "sessions", "rollup_cube")
 
 
 def shown(v):
@@ -56,10 +58,12 @@ def test_restatement_log(spark, tmp_path):
     schema = "symbol string, date string, close double, adj_close double, volume bigint, seen string"
 
     def feed(*rows):
-        spark.createDataFrame(rows, schema).selectExpr("symbol", "cast(date as date) date", "close", "adj_close", "volume", "cast(seen as timestamp) seen_at").coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame(rows, schema).selectExpr("symbol", "cast(date as date) date", "close", "adj_close", "volume",
+            "cast(seen as timestamp) seen_at").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("symbol string, date date, close double, adj_close double, volume bigint, seen_at timestamp").parquet(src)
         s.restatement_log(stream, log, at).awaitTermination()
 
     feed(("A", "2024-01-01", 1.0, 1.0, 5, "2024-01-02"), ("A", "2024-01-02", 2.0, 2.0, 5, "2024-01-03"))
     feed(("A", "2024-01-01", 1.0, 1.0, 5, "2024-02-02"), ("A", "2024-01-02", 3.0, 3.0, 5, "2024-02-03"))
-    assert sorted((str(r.date), r.close) for r in spark.read.parquet(log).collect()) == [("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-02", 3.0)]
+    assert sorted((str(r.date), r.close) for r in spark.read.parquet(log).collect()) == [("2024-01-01", 1.0), ("2024-01-02", 2.0),
+        ("2024-01-02", 3.0)]

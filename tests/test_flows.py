@@ -43,7 +43,8 @@ def test_value_ranks_and_pooled_scores(spark):
 
 def test_newey_west_by_hand(spark):
     x = np.random.default_rng(4).normal(0.02, 0.1, 30)
-    ics = spark.createDataFrame([("s", DAY + dt.timedelta(i), float(v)) for i, v in enumerate(x)] + [("one", DAY, 0.5)], "signal string, date date, ic double")
+    ics = spark.createDataFrame([("s", DAY + dt.timedelta(i), float(v)) for i, v in enumerate(x)] + [("one", DAY, 0.5)],
+        "signal string, date date, ic double")
     got = {r.signal: r for r in evaluate.newey_west(ics, 4).collect()}
     e = x - x.mean()
     s = (e @ e + 2 * sum((1 - k / 5) * (e[k:] @ e[:-k]) for k in range(1, 5))) / 30
@@ -84,7 +85,8 @@ def test_two_quarters_in_a_month(spark):
     from tidemark.operators.fundamental import ratios
 
     rows = [("A", dt.date(2023, 3, 30), 50.0, 1.0, 1.0), ("A", dt.date(2023, 3, 31), 100.0, 1.0, 1.0), ("A", dt.date(2024, 3, 31), 150.0, 1.0, 1.0)]
-    out = ratios(spark.createDataFrame(rows, "symbol string, period_end date, total_revenue double, operating_income double, net_income double")).collect()
+    out = ratios(spark.createDataFrame(rows,
+        "symbol string, period_end date, total_revenue double, operating_income double, net_income double")).collect()
     assert len(out) == 3 and max(out, key=lambda r: r.period_end).revenue_yoy_pct == pytest.approx(50.0)
 
 
@@ -103,7 +105,8 @@ def test_history_round_trip(spark, tmp_path):
 
 def test_briefs_are_stored_and_read_back(spark):
     facts = spark.createDataFrame([("A", 10.0, None)], "symbol string, last_close double, rsi double")
-    said = spark.createDataFrame([("A", "up", "well", 1000, 500, 2000, 100, True)], "symbol string, headline string, bottom_line string, input_tokens long, output_tokens long, news_input long, news_output long, searched boolean")
+    said = spark.createDataFrame([("A", "up", "well", 1000, 500, 2000, 100, True)],
+        "symbol string, headline string, bottom_line string, input_tokens long, output_tokens long, news_input long, news_output long, searched boolean")
     rows = history.brief_rows(said, facts, "m", 3.0, 15.0)
     one = rows.first()
     assert one.cost_usd == pytest.approx(0.003 + 0.0075 + 0.006 + 0.0015 + 0.02) and one.one_line == "up" and '"rsi"' not in one.payload
@@ -113,24 +116,30 @@ def test_briefs_are_stored_and_read_back(spark):
 
 
 def test_guidance_and_credibility(spark):
-    rows = [("A", "s", dt.date(2024, 3, 31), 1, '{"revenue_outlook": "up"}'), ("A", "s", None, 2, '{"other_guidance": ["x"]}'), ("A", "s", dt.date(2024, 1, 1), 3, "{}"), ("B", "s", dt.date(2025, 1, 1), 4, '{"margin_outlook": "m"}')]
+    rows = [("A", "s", dt.date(2024, 3, 31), 1, '{"revenue_outlook": "up"}'), ("A", "s", None, 2, '{"other_guidance": ["x"]}'), ("A", "s",
+        dt.date(2024, 1, 1), 3, "{}"), ("B", "s", dt.date(2025, 1, 1), 4, '{"margin_outlook": "m"}')]
     records = spark.createDataFrame(rows, "symbol string, source string, period date, extracted_at int, data string")
     told = guidance.guidance_history(records, "2024-12-31")
     assert [(r.symbol, r.nth, r.extracted_at) for r in told.orderBy("symbol", "nth").collect()] == [("A", 1, 1), ("A", 2, 2)]
-    results = spark.createDataFrame([("A", dt.date(2024, 6, 30), 2.5e10, 1e9)], "symbol string, period_end date, total_revenue double, net_income double")
+    results = spark.createDataFrame([("A", dt.date(2024, 6, 30), 2.5e10, 1e9)],
+        "symbol string, period_end date, total_revenue double, net_income double")
     pairs = guidance.promised_and_actual(told, guidance.actuals(results)).persist()
     one = pairs.first()
-    assert one.promised == ["period 2024-03-31 | revenue_outlook=up", "period unknown | other=x"] and one.actual == ["2024-06-30: revenue ₹2,500cr, net income ₹100cr, net margin 4.0%"]
+    assert one.promised == ["period 2024-03-31 | revenue_outlook=up",
+        "period unknown | other=x"] and one.actual == ["2024-06-30: revenue ₹2,500cr, net income ₹100cr, net margin 4.0%"]
     assert guidance.credibility(pairs, "zz") is None and guidance.credibility(pairs, "a")["n_guidance"] == 2
     assert guidance.credibility(pairs, "a", lambda p, a: {"caveat": f"{len(p)}/{len(a)}"})["caveat"] == "2/1"
     assert "boom" in guidance.credibility(pairs, "a", lambda p, a: {}["boom"])["caveat"]
-    assert guidance.extract_guidance("A", [], None)["note"] == "no documents" and guidance.extract_guidance("A", [{"source": "s"}], "q", lambda h: {"k": 1})["stored"]
+    assert guidance.extract_guidance("A", [], None)["note"] == "no documents" and guidance.extract_guidance("A", [{"source": "s"}], "q",
+        lambda h: {"k": 1})["stored"]
 
 
 def test_news_are_replaced_and_refreshed(spark):
     now = dt.datetime.now()
-    old = spark.createDataFrame([("A", "old", None, now - dt.timedelta(days=3)), ("B", "kept", None, now)], "symbol string, title string, published timestamp, ingested_at timestamp")
-    made = lambda symbol: spark.createDataFrame([(" new " + "x" * 600, "2024-01-02"), ("dup", "2024-01-01"), ("dup", "bad"), ("  ", "2024-01-01")], "title string, published string")
+    old = spark.createDataFrame([("A", "old", None, now - dt.timedelta(days=3)), ("B", "kept", None, now)],
+        "symbol string, title string, published timestamp, ingested_at timestamp")
+    made = lambda symbol: spark.createDataFrame([(" new " + "x" * 600, "2024-01-02"), ("dup", "2024-01-01"), ("dup", "bad"), ("  ",
+        "2024-01-01")], "title string, published string")
     out, status = sinks.refresh_news("A", old, made)
     got = sorted((r.symbol, len(r.title), str(r.published)[:10]) for r in out.collect())
     assert status["fetched"] and got == [("A", 3, "2024-01-01"), ("A", 500, "2024-01-02"), ("B", 4, "None")]
@@ -145,7 +154,8 @@ def test_run_events_in_order(spark):
     narrate = lambda card: {"said": card["symbol"]} if card["symbol"] == "A" else 1 / 0
     agents.analyse({"p": spark.range(1)}, lambda kind, what: seen.append(kind), lambda: {"n_holdings": 2}, cards, narrate)
     assert seen[:2] == ["run_start", "context_loaded"] and seen[2:6] == ["agent_start", "agent_done"] * 2 and seen[6:9] == ["ranking", "card", "card"]
-    assert sorted(seen[9:]) == sorted(["narration_start", "narration_done", "narration_error", "narration_summary", "run_complete"]) and seen[-1] == "run_complete"
+    assert sorted(seen[9:]) == sorted(["narration_start", "narration_done", "narration_error", "narration_summary",
+        "run_complete"]) and seen[-1] == "run_complete"
     seen.clear()
     agents.analyse({"p": spark.range(1)}, lambda kind, what: seen.append(kind))
     assert "narration_skipped" in seen and "ranking" not in seen
@@ -154,7 +164,8 @@ def test_run_events_in_order(spark):
 
 
 def test_deep_read_and_research():
-    out = narrative.deep_read("facts", {"bull": lambda f: {"summary": "b"}, "bear": lambda f: 1 / 0}, lambda f, words: {"headline": sorted(k for k, w in words.items() if w)})
+    out = narrative.deep_read("facts", {"bull": lambda f: {"summary": "b"}, "bear": lambda f: 1 / 0}, lambda f,
+        words: {"headline": sorted(k for k, w in words.items() if w)})
     assert out["deep"] == {"headline": ["bull"]} and out["debate"]["bear"] is None
     assert narrative.deep_read("facts", {"bear": lambda f: 1 / 0}, lambda f, w: {"headline": 1})["deep"] is None
     asked = []
@@ -177,12 +188,15 @@ class Feed:
 
 def test_vendor_source(spark):
     vendor.register(spark)
-    read = lambda feed: spark.read.format("vendor").option("source", "tests.test_flows:Feed").option("symbols", "A,B").option("feed", feed).load()
+    read = lambda feed: spark.read.format("vendor").option("source", "tests.test_flows:Feed").option("symbols", "A,B").option("feed",
+        feed).load()
     assert sorted((r.symbol, r.close, r.volume, r.open) for r in read("bars").collect()) == [("A", 1.5, 7, None), ("B", 1.5, 7, None)]
     assert read("quarters").count() == 0 and read("news").count() == 2
-    raw = ['{"content": {"title": "a", "provider": {"displayName": "p"}, "pubDate": "2024-01-01T00:00:00Z"}}', '{"title": "b", "publisher": "q", "providerPublishTime": 1704067200}', "{}"]
+    raw = ['{"content": {"title": "a", "provider": {"displayName": "p"}, "pubDate": "2024-01-01T00:00:00Z"}}',
+        '{"title": "b", "publisher": "q", "providerPublishTime": 1704067200}', "{}"]
     got = spark.createDataFrame([(x,) for x in raw], "raw string").select(vendor.news_item(F.col("raw")).alias("n")).select("n.*").collect()
-    assert [(r.title, r.publisher) for r in got] == [("a", "p"), ("b", "q"), (None, None)] and got[0].published == got[1].published and got[2].published is None
+    assert [(r.title, r.publisher) for r in got] == [("a", "p"), ("b", "q"), (None,
+        None)] and got[0].published == got[1].published and got[2].published is None
 
 
 def test_sql_functions(spark):
@@ -200,7 +214,8 @@ def test_documents_of_a_parser(spark, tmp_path):
 
 
 def test_retrieval_from_questions_to_answers(spark):
-    corpus = spark.createDataFrame([("a", "revenue growth was strong"), ("b", "the margin fell"), ("c", "weather in spring")], "chunk string, content string")
+    corpus = spark.createDataFrame([("a", "revenue growth was strong"), ("b", "the margin fell"), ("c", "weather in spring")],
+        "chunk string, content string")
     hits = rag.retrieve(spark.createDataFrame([("revenue growth",)], "question string"), corpus, 2, lambda c: rag.hashed_embedding(c, 64)).persist()
     best = hits.where("rank = 1").first()
     assert best.chunk == "a" and best.weak == (best.distance > 0.45) and hits.count() == 2

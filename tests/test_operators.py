@@ -22,7 +22,8 @@ def days(n):
 
 
 def series(spark, values, symbol="A"):
-    return spark.createDataFrame([(symbol, d, float(v), float(v), 1000) for d, v in zip(days(len(values)), values)], "symbol string, date date, close double, adj_close double, volume bigint")
+    return spark.createDataFrame([(symbol, d, float(v), float(v), 1000) for d, v in zip(days(len(values)), values)],
+        "symbol string, date date, close double, adj_close double, volume bigint")
 
 
 def test_technical_dials(spark):
@@ -46,7 +47,8 @@ def test_folds_equal_pandas(spark):
 
 
 def test_fundamental_growth(spark):
-    rows = [("A", dt.date(2024, 3, 31), 100.0, 10.0, -100.0), ("A", dt.date(2024, 6, 30), 110.0, 11.0, 10.0), ("A", dt.date(2024, 12, 31), 130.0, 13.0, 10.0), ("A", dt.date(2025, 3, 31), 150.0, 15.0, 50.0)]
+    rows = [("A", dt.date(2024, 3, 31), 100.0, 10.0, -100.0), ("A", dt.date(2024, 6, 30), 110.0, 11.0, 10.0), ("A", dt.date(2024, 12, 31),
+        130.0, 13.0, 10.0), ("A", dt.date(2025, 3, 31), 150.0, 15.0, 50.0)]
     df = spark.createDataFrame(rows, "symbol string, period_end date, total_revenue double, operating_income double, net_income double")
     r = fundamental.ratios(df).orderBy("period_end").collect()
     assert [x.revenue_yoy_pct and round(x.revenue_yoy_pct, 6) for x in r] == [None, None, None, 50.0] and r[3].net_income_yoy_pct is None
@@ -58,8 +60,10 @@ def test_fundamental_growth(spark):
 
 def test_bitemporal_and_changes(spark):
     d = dt.date(2025, 1, 10)
-    v = spark.createDataFrame([("AAA", d, dt.date(2025, 1, 11), 100.0), ("AAA", d, dt.date(2025, 3, 1), 50.0)], "symbol string, date date, vintage_date date, close double")
-    assert [pit.known_at(v, k).first() and pit.known_at(v, k).first().close for k in ("2025-02-01", "2025-06-01", "2025-01-01")] == [100.0, 50.0, None]
+    v = spark.createDataFrame([("AAA", d, dt.date(2025, 1, 11), 100.0), ("AAA", d, dt.date(2025, 3, 1), 50.0)],
+        "symbol string, date date, vintage_date date, close double")
+    assert [pit.known_at(v, k).first() and pit.known_at(v, k).first().close for k in ("2025-02-01", "2025-06-01", "2025-01-01")] == [100.0,
+        50.0, None]
     schema = "symbol string, date date, close double, volume bigint"
     a, b, c = days(3)
     old = spark.createDataFrame([("A", a, 100.0, 10), ("A", b, 200.0, 20)], schema)
@@ -74,7 +78,8 @@ def test_as_of_join(spark):
 
 
 def panel(spark, m):
-    return spark.createDataFrame([(f"S{j}", d, float(m[i, j])) for i, d in enumerate(days(len(m))) for j in range(m.shape[1])], "symbol string, date date, x double")
+    return spark.createDataFrame([(f"S{j}", d, float(m[i, j])) for i, d in enumerate(days(len(m))) for j in range(m.shape[1])],
+        "symbol string, date date, x double")
 
 
 def test_covariance_and_contributions(spark):
@@ -103,10 +108,12 @@ def test_tails_stress_beta(spark):
     b = x[:300]
     pair = spark.createDataFrame([("A", d, float(2 * v)) for d, v in zip(days(300), b)], "symbol string, date date, ret double")
     bench = spark.createDataFrame([(d, float(v)) for d, v in zip(days(300), b)], "date date, ret double")
-    assert risk.betas(pair, bench).first().beta == pytest.approx(0.67 * 2 + 0.33) and risk.betas(pair.where("date < '2024-01-11'"), bench).first().beta is None
+    assert risk.betas(pair, bench).first().beta == pytest.approx(0.67 * 2 + 0.33) and risk.betas(pair.where("date < '2024-01-11'"),
+        bench).first().beta is None
 
 
-@pytest.mark.parametrize("token, want", [("weekly", (5, "weekly")), ("1y", (252, "annual")), ("d", (1, "daily")), ("10", (10, "10d")), ("10d", (10, "10d")), (21, (21, "monthly")), (None, (252, "annual"))])
+@pytest.mark.parametrize("token, want", [("weekly", (5, "weekly")), ("1y", (252, "annual")), ("d", (1, "daily")), ("10", (10, "10d")),
+    ("10d", (10, "10d")), (21, (21, "monthly")), (None, (252, "annual"))])
 def test_horizon(token, want):
     assert risk.horizon(token) == want
     with pytest.raises(ValueError):
@@ -119,7 +126,8 @@ def test_signal_scores(spark):
     assert [r.ic for r in evaluate.cross_sectional_ic(long).collect()] == pytest.approx([1.0, 1.0])
     assert evaluate.cross_sectional_ic(long.where("sig <= 3")).count() == 0
     assert evaluate.tercile_spread(long).first().spread == pytest.approx((0.1 + 0.2) / 2 - (-0.2 - 0.1) / 2)
-    assert evaluate.p_two_sided(0.0) == 1 and evaluate.p_two_sided(1.96) == pytest.approx(0.05, abs=1e-3) and evaluate.t_for(0.05) == pytest.approx(1.96, abs=1e-3)
+    assert evaluate.p_two_sided(0.0) == 1 and evaluate.p_two_sided(1.96) == pytest.approx(0.05,
+        abs=1e-3) and evaluate.t_for(0.05) == pytest.approx(1.96, abs=1e-3)
     r = np.random.default_rng(3)
     e = [0.0]
     for _ in range(199):
@@ -145,11 +153,14 @@ def test_macro(spark):
 
 
 def test_text(spark):
-    rows = [("Company beats estimates, profit surges to a record",), ("Stock to plunge on fraud probe and analyst downgrade",), ("AGM to be held",), (None,), ("Q3 numbers",), ("They define terms",)]
-    r = spark.createDataFrame(rows, "t string").select(text.polarity(F.col("t")).alias("p"), text.event_class(F.col("t")).alias("e"), text.event_class(F.col("t"), True).alias("d")).collect()
+    rows = [("Company beats estimates, profit surges to a record",), ("Stock to plunge on fraud probe and analyst downgrade",),
+        ("AGM to be held",), (None,), ("Q3 numbers",), ("They define terms",)]
+    r = spark.createDataFrame(rows, "t string").select(text.polarity(F.col("t")).alias("p"), text.event_class(F.col("t")).alias("e"),
+        text.event_class(F.col("t"), True).alias("d")).collect()
     assert r[0].p > 0 > r[1].p and r[2].p == 0 and r[3].p == 0
     assert [x.e for x in r] == ["results", "legal/probe", None, None, None, None] and r[4].d == "results"
-    o = spark.createDataFrame([("A", 0.63, 0.18, 3, 1), ("B", None, None, 3, 1)], "symbol string, held_pct_institutions double, held_pct_insiders double, n_institutions int, snapshot_at int")
+    o = spark.createDataFrame([("A", 0.63, 0.18, 3, 1), ("B", None, None, 3, 1)],
+        "symbol string, held_pct_institutions double, held_pct_insiders double, n_institutions int, snapshot_at int")
     assert [(x.symbol, x.institutional_pct, x.insider_pct, x.institutional) for x in text.ownership(o).collect()] == [("A", 63.0, 18.0, "high")]
 
 
@@ -158,7 +169,8 @@ def card(spark, **values):
 
 
 def test_scoring(spark):
-    loud = card(spark, symbol="A", risk_contribution_pct=45.0, weight_pct=30.0, trend="downtrend", momentum="oversold", level="near lows", earnings_growth="declining", margin_trend="contracting", net_income_yoy_pct=-20.0, sentiment="negative", mean_polarity=-0.5, n_articles=4)
+    loud = card(spark, symbol="A", risk_contribution_pct=45.0, weight_pct=30.0, trend="downtrend", momentum="oversold", level="near lows",
+        earnings_growth="declining", margin_trend="contracting", net_income_yoy_pct=-20.0, sentiment="negative", mean_polarity=-0.5, n_articles=4)
     r = scoring.attention(loud).first()
     assert r.attention > 60 and len(r.drivers) == 4 and r.s_risk == 100 and r.s_macro is None
     none = card(spark, symbol="B")
@@ -167,7 +179,8 @@ def test_scoring(spark):
     found = scoring.alerts(loud).first().alerts
     assert len(found) == 5 and found[0].startswith("top risk contributor — 45% of book risk") and scoring.alerts(none).first().alerts == []
     now = scoring.snapshot(scoring.attention(loud))
-    before = now.withColumns({"trend": F.lit("uptrend"), "momentum": F.lit(None).cast("string"), "attention": F.col("attention") - 2, "risk_contribution_pct": F.lit(40.0)})
+    before = now.withColumns({"trend": F.lit("uptrend"), "momentum": F.lit(None).cast("string"), "attention": F.col("attention") - 2,
+        "risk_contribution_pct": F.lit(40.0)})
     assert scoring.changes(now, before).first().changes == ["trend uptrend → downtrend", "risk contribution 40% → 45%"]
     assert scoring.changes(now, before.limit(0)).first().changes == []
     flagged = scoring.briefing(scoring.confidence(scoring.attention(loud.union(none)))).collect()
@@ -179,11 +192,15 @@ def test_chunks_and_retrieval(spark):
     got = rag.chunk(" ".join(words), 200, 40)
     assert all(w in words for c in got for w in c.split()) and {w for c in got for w in c.split()} == set(words)
     assert len(rag.chunk("x" * 5000)) >= 4 and rag.chunk("  ") == [] == rag.chunk(None)
-    df = spark.createDataFrame([(["Alpha beta", "gamma"], ["alpha", "GAMMA"]), (["alpha"], ["alpha", "z"]), ([], ["a"]), (["a"], [])], "c array<string>, m array<string>")
-    assert [tuple(r.s) for r in df.select(rag.retrieval_score(F.col("c"), F.col("m")).alias("s")).collect()] == [(1.0, True), (0.5, False), (0.0, False), (None, None)]
-    cited = spark.createDataFrame([([1, 2, 2, 3], 3), ([0, 4, 9], 3)], "c array<int>, k int").select(rag.valid_citations(F.col("c"), F.col("k")).alias("v"))
+    df = spark.createDataFrame([(["Alpha beta", "gamma"], ["alpha", "GAMMA"]), (["alpha"], ["alpha", "z"]), ([], ["a"]), (["a"], [])],
+        "c array<string>, m array<string>")
+    assert [tuple(r.s) for r in df.select(rag.retrieval_score(F.col("c"), F.col("m")).alias("s")).collect()] == [(1.0, True), (0.5, False),
+        (0.0, False), (None, None)]
+    cited = spark.createDataFrame([([1, 2, 2, 3], 3), ([0, 4, 9], 3)], "c array<int>, k int").select(rag.valid_citations(F.col("c"),
+        F.col("k")).alias("v"))
     assert [r.v for r in cited.collect()] == [[1, 2, 3], []]
-    v = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>").select(rag.cosine_distance(F.col("a"), F.col("b")).alias("d"), rag.cosine_distance(F.col("a"), F.col("a")).alias("z")).first()
+    v = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0])], "a array<double>, b array<double>").select(rag.cosine_distance(F.col("a"),
+        F.col("b")).alias("d"), rag.cosine_distance(F.col("a"), F.col("a")).alias("z")).first()
     assert v.d == 1 and v.z == 0
     hit = [{"distance": 0.5}, {"distance": 0.6}]
     assert rag.ask("q", hit)["weak"] and rag.ask("q", hit, lambda q, h: {"answer": "x", "citations": [1, 1, 9, "a"]})["citations"] == [1]
@@ -209,20 +226,25 @@ def test_books_and_feeds(spark, tmp_path):
     names.write_text("symbol\nYESBANK.NS\npnb.ns\nYESBANK.NS\n")
     listed = files.read_symbols(spark, str(names))
     assert [r.symbol for r in files.universe(listed, listed).collect()] == ["YESBANK.NS", "PNB.NS"]
-    raw = spark.createDataFrame([('noise [{"headline": "A"}, {"publisher": "p"}] tail',), ("none",)], "t string").select(sinks.parse_news(F.col("t")).alias("n"))
+    raw = spark.createDataFrame([('noise [{"headline": "A"}, {"publisher": "p"}] tail',), ("none",)],
+        "t string").select(sinks.parse_news(F.col("t")).alias("n"))
     assert [r.n and [x.headline for x in r.n] for r in raw.collect()] == [["A"], None]
-    wide = spark.createDataFrame([("A", "total_revenue", 1.0, None), ("A", "net_income", 2.0, 3.0)], "symbol string, item string, `2024-03-31` double, `2024-06-30` double")
+    wide = spark.createDataFrame([("A", "total_revenue", 1.0, None), ("A", "net_income", 2.0, 3.0)],
+        "symbol string, item string, `2024-03-31` double, `2024-06-30` double")
     assert [(str(r.period_end), r.net_income) for r in sinks.shaped_quarters(wide).collect()] == [("2024-03-31", 2.0)]
     ran = []
-    errors = sinks.ingest(["A", "B", "A"], {"news": lambda s: ran.append(("news", s)), "bars": lambda s: ran.append(("bars", s)) if s == "A" else 1 / 0})
+    errors = sinks.ingest(["A", "B", "A"], {"news": lambda s: ran.append(("news", s)),
+        "bars": lambda s: ran.append(("bars", s)) if s == "A" else 1 / 0})
     assert ran == [("bars", "A"), ("news", "A")] and list(errors) == ["B"]
 
 
 def test_runtime(spark):
-    calls = spark.createDataFrame([("a", "big-1", 1000, 500, 100.0), ("b", "odd", 2000, 1000, 100.0)], "label string, model string, input_tokens bigint, output_tokens bigint, latency_ms double")
+    calls = spark.createDataFrame([("a", "big-1", 1000, 500, 100.0), ("b", "odd", 2000, 1000, 100.0)],
+        "label string, model string, input_tokens bigint, output_tokens bigint, latency_ms double")
     rates = spark.createDataFrame([("big", 3.0, 15.0), ("big-1", 1.0, 5.0)], "prefix string, per_m_in double, per_m_out double")
     s = runtime.trace_summary(runtime.priced(calls, rates)).first()
-    assert (s.calls, s.input_tokens, s.output_tokens, s.latency_ms, s.complete) == (2, 3000, 1500, 200.0, False) and s.cost == pytest.approx(0.001 + 0.0025)
+    assert (s.calls, s.input_tokens, s.output_tokens, s.latency_ms, s.complete) == (2, 3000, 1500, 200.0,
+        False) and s.cost == pytest.approx(0.001 + 0.0025)
     now = [0.0]
     memo = runtime.Memo(10, lambda: now[0])
     first = memo.get("k", lambda: [1])

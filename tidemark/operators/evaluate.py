@@ -51,7 +51,8 @@ def fundamental_signals(prices: DataFrame, quarters: DataFrame, horizon: int, la
     f = features(quarters, lag_days)
     for name in ("net_margin", "revenue_yoy", "net_income_yoy"):
         joined = as_of_join(fwd, f.where(F.col("feature") == name).select("symbol", "available", "value"), "symbol", "date", "available", "value")
-        one = joined.select(F.lit(name).alias("signal"), "symbol", "date", F.col("value").alias("sig"), "fwd").where("sig is not null and fwd is not null")
+        one = joined.select(F.lit(name).alias("signal"), "symbol", "date", F.col("value").alias("sig"),
+            "fwd").where("sig is not null and fwd is not null")
         parts = one if parts is None else parts.unionByName(one)
     day = F.row_number().over(Window.partitionBy("signal").orderBy("date")) - 1
     every = parts.select("signal", "date").distinct().withColumn("day", day).where(F.col("day") % horizon == 0).drop("day")
@@ -107,7 +108,8 @@ def newey_west(ics: DataFrame, lag: int, *more: Column) -> DataFrame:
     std = F.when(F.col("m") >= 2, F.sqrt(F.col("squares") / (F.col("m") - 1)))
     t = F.when((F.col("m") >= MIN_DATES) & (F.col("s") > 0), F.col("mean_ic") / F.sqrt(F.col("s") / F.col("m")))
     rows = rows.withColumns({"ic_std": std, "t": t})
-    return rows.select("signal", F.col("m").cast("bigint").alias("m"), "mean_ic", "ic_std", F.try_divide("mean_ic", "ic_std").alias("icir"), "t", *names)
+    return rows.select("signal", F.col("m").cast("bigint").alias("m"), "mean_ic", "ic_std", F.try_divide("mean_ic", "ic_std").alias("icir"),
+        "t", *names)
 
 
 def tercile_spread(long: DataFrame) -> DataFrame:
@@ -153,7 +155,8 @@ def pooled(long: DataFrame, obs_step: int) -> DataFrame:
     agree = ((F.col("sig") > F.col("ms")) == (F.col("fwd") > F.col("mf"))).cast("double")
     enough = F.count(F.lit(1)) >= 10
     return rows.groupBy("signal").agg(
-        F.when(enough, F.avg(agree)).alias("hit"), F.when(enough, F.avg((F.col("fwd") > 0).cast("double"))).alias("base"), _rank_corr().alias("pooled_ic")
+        F.when(enough, F.avg(agree)).alias("hit"), F.when(enough, F.avg((F.col("fwd") > 0).cast("double"))).alias("base"),
+            _rank_corr().alias("pooled_ic")
     )
 
 
@@ -187,11 +190,13 @@ SURVIVORSHIP = {
 }
 
 
-def evaluate(prices: DataFrame, quarters: DataFrame, horizon: int = 21, cost_bps: float = COST_BPS, declared: bool = False, with_rsi: bool = True) -> DataFrame:
+def evaluate(prices: DataFrame, quarters: DataFrame, horizon: int = 21, cost_bps: float = COST_BPS, declared: bool = False,
+    with_rsi: bool = True) -> DataFrame:
     """A row for each price signal (``kind`` price) and fundamental signal (``kind`` fundamental, on every
     ``horizon``-th date and with lag 1), with all scores, ``n_signals``, ``significant`` at 5 %, ``bonferroni_alpha``
     (5 % over the number of signals), ``survives`` at that, and a note on the universe."""
-    price = scorecard(dealt(price_signals(prices, horizon, with_rsi=with_rsi)), horizon, max(1, horizon - 1), cost_bps).withColumn("kind", F.lit("price"))
+    price = scorecard(dealt(price_signals(prices, horizon, with_rsi=with_rsi)), horizon, max(1, horizon - 1), cost_bps).withColumn("kind",
+        F.lit("price"))
     reported = scorecard(dealt(fundamental_signals(prices, quarters, horizon)), horizon, 1, cost_bps).withColumn("kind", F.lit("fundamental"))
     rows = cut(price.unionByName(reported))
     n = rows.agg(F.count(F.lit(1)).cast("int").alias("n_signals"))
@@ -246,4 +251,5 @@ def composite(long: DataFrame, signs: dict[str, int]) -> DataFrame:
     """``symbol, date, fwd, sig``: signed mean of the z scores that a name has."""
     sign = F.create_map(*[F.lit(x) for kv in signs.items() for x in kv])
     z = xs_zscore(long.where(F.col("signal").isin(*signs)))
-    return z.groupBy("symbol", "date").agg(F.max("fwd").alias("fwd"), F.try_divide(F.sum(F.try_element_at(sign, F.col("signal")) * F.col("z")), F.count("z")).alias("sig")).where("sig is not null")
+    return z.groupBy("symbol", "date").agg(F.max("fwd").alias("fwd"),
+        F.try_divide(F.sum(F.try_element_at(sign, F.col("signal")) * F.col("z")), F.count("z")).alias("sig")).where("sig is not null")

@@ -38,17 +38,21 @@ def ratios(quarters: DataFrame) -> DataFrame:
     margin = F.col("net_income") / revenue * 100
     return df.select(
         "symbol", "period_end", "total_revenue", "net_income", growth(F.col("total_revenue"), F.col("revenue_ya")).alias("revenue_yoy_pct"),
-        growth(F.col("total_revenue"), F.col("revenue_pq")).alias("revenue_qoq_pct"), growth(F.col("net_income"), F.col("net_income_ya")).alias("net_income_yoy_pct"),
-        margin.alias("net_margin_pct"), (F.col("operating_income") / revenue * 100).alias("op_margin_pct"), (margin - F.col("net_income_ya") / before * 100).alias("net_margin_change_pp"),
+        growth(F.col("total_revenue"), F.col("revenue_pq")).alias("revenue_qoq_pct"), growth(F.col("net_income"),
+            F.col("net_income_ya")).alias("net_income_yoy_pct"),
+        margin.alias("net_margin_pct"), (F.col("operating_income") / revenue * 100).alias("op_margin_pct"),
+            (margin - F.col("net_income_ya") / before * 100).alias("net_margin_change_pp"),
     )
 
 
 def fundamental(quarters: DataFrame) -> DataFrame:
     """The latest quarter of each symbol that has two or more, with its dials."""
     back = Window.partitionBy("symbol").orderBy(F.desc("period_end"))
-    latest = ratios(quarters).withColumns({"n": F.row_number().over(back), "k": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).where("n = 1 and k >= 2")
+    latest = ratios(quarters).withColumns({"n": F.row_number().over(back),
+        "k": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).where("n = 1 and k >= 2")
     return latest.drop("n", "k", "total_revenue", "net_income").withColumns(
-        {"revenue_growth": growth_bucket(F.col("revenue_yoy_pct")), "earnings_growth": growth_bucket(F.col("net_income_yoy_pct")), "margin_trend": margin_trend(F.col("net_margin_change_pp"))}
+        {"revenue_growth": growth_bucket(F.col("revenue_yoy_pct")), "earnings_growth": growth_bucket(F.col("net_income_yoy_pct")),
+            "margin_trend": margin_trend(F.col("net_margin_change_pp"))}
     )
 
 
@@ -56,11 +60,13 @@ def quarterly_trend(quarters: DataFrame, n: int = 6) -> DataFrame:
     """The last ``n`` quarters of each symbol with margins."""
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end")))
     margin = F.when(F.col("total_revenue") != 0, F.col("net_income") / F.col("total_revenue") * 100)
-    return quarters.withColumn("n", back).where(F.col("n") <= n).select("symbol", "period_end", "total_revenue", "net_income", margin.alias("net_margin_pct"))
+    return quarters.withColumn("n", back).where(F.col("n") <= n).select("symbol", "period_end", "total_revenue", "net_income",
+        margin.alias("net_margin_pct"))
 
 
 def features(quarters: DataFrame, lag_days: int = 45) -> DataFrame:
     """``symbol, available, feature, value``: margin and yearly growth at the day they became public, where defined."""
     df = ratios(quarters).where("total_revenue <> 0")
-    each = F.explode(F.create_map(F.lit("net_margin"), F.col("net_margin_pct"), F.lit("revenue_yoy"), F.col("revenue_yoy_pct"), F.lit("net_income_yoy"), F.col("net_income_yoy_pct"))).alias("feature", "value")
+    each = F.explode(F.create_map(F.lit("net_margin"), F.col("net_margin_pct"), F.lit("revenue_yoy"), F.col("revenue_yoy_pct"),
+        F.lit("net_income_yoy"), F.col("net_income_yoy_pct"))).alias("feature", "value")
     return df.select("symbol", F.date_add("period_end", lag_days).alias("available"), each).where("value is not null")

@@ -11,11 +11,13 @@ from tidemark.operators.pit import ANNOUNCEMENT_LAG_DAYS
 
 OUTLOOKS = ("revenue_outlook", "margin_outlook", "demand_commentary")
 #: Questions whose hits an extraction reads, and hits kept of each and in all.
-QUESTIONS = ("revenue growth outlook and guidance", "margin outlook and cost pressure", "demand commentary and order book", "capital expenditure and expansion plans")
+QUESTIONS = ("revenue growth outlook and guidance", "margin outlook and cost pressure", "demand commentary and order book",
+    "capital expenditure and expansion plans")
 HITS_EACH, HITS_ALL = 3, 6
 
 
-def latest_guidance(records: DataFrame, chunks: DataFrame, as_of: str | None, tie: str = "extracted_at", lag_days: int = ANNOUNCEMENT_LAG_DAYS) -> DataFrame:
+def latest_guidance(records: DataFrame, chunks: DataFrame, as_of: str | None, tie: str = "extracted_at",
+    lag_days: int = ANNOUNCEMENT_LAG_DAYS) -> DataFrame:
     """The newest record of each symbol that was known by ``as_of``: by the last filing date of its source's chunks,
     without one ``lag_days`` after the period. Undated records come last."""
     filed = chunks.groupBy("symbol", "source").agg(F.max("filing_date").alias("filed"))
@@ -79,7 +81,8 @@ def promised_and_actual(history: DataFrame, results: DataFrame) -> DataFrame:
     given = history.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_guidance"), lines(told).alias("promised"))
     margin = F.concat(F.coalesce(F.col("net_margin_pct").cast("string"), F.lit("n/a")), F.lit("%"))
     came = F.concat(
-        F.col("period_end").cast("string"), F.lit(": revenue "), crores(F.col("total_revenue")), F.lit(", net income "), crores(F.col("net_income")), F.lit(", net margin "), margin
+        F.col("period_end").cast("string"), F.lit(": revenue "), crores(F.col("total_revenue")), F.lit(", net income "),
+            crores(F.col("net_income")), F.lit(", net margin "), margin
     )
     after = results.groupBy("symbol").agg(lines(came).alias("actual"))
     none = F.array().cast("array<string>")

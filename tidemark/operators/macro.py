@@ -46,8 +46,10 @@ def macro_portfolio(by_sector: DataFrame) -> DataFrame:
     known = F.col("sector") != UNKNOWN
     share = F.col("weight_pct") / 100
     out = by_sector.agg(
-        F.max_by("sector", F.struct("weight_pct", "sector")).alias("top_sector"), F.max("weight_pct").alias("top_sector_pct"), F.count_if(known).alias("num_sectors"),
-        (1 / F.sum(share * share)).alias("effective_sectors"), F.max(F.when(known, F.col("weight_pct"))).alias("__known"), F.coalesce(F.sum(F.when(~known, F.col("weight_pct"))), F.lit(0.0)).alias("unknown_pct"),
+        F.max_by("sector", F.struct("weight_pct", "sector")).alias("top_sector"), F.max("weight_pct").alias("top_sector_pct"),
+            F.count_if(known).alias("num_sectors"),
+        (1 / F.sum(share * share)).alias("effective_sectors"), F.max(F.when(known, F.col("weight_pct"))).alias("__known"),
+            F.coalesce(F.sum(F.when(~known, F.col("weight_pct"))), F.lit(0.0)).alias("unknown_pct"),
     )
     level = F.when(F.col("__known") >= CONCENTRATION_PCT, "high").when(F.col("__known") >= 25, "moderate").when(F.col("__known").isNotNull(), "low")
     return out.withColumn("concentration", level).drop("__known")

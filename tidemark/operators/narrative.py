@@ -29,7 +29,8 @@ def digest(cards: DataFrame) -> DataFrame:
     tech = F.concat(lit("TECH: trend="), c("trend"), lit(" mom="), c("momentum"), lit("(RSI "), c("rsi_14"), lit(") level="), c("level"))
     fund = F.when(
         F.col("latest_quarter").isNotNull(),
-        F.concat(lit("FUND: rev "), c("revenue_growth"), lit(" · earn "), c("earnings_growth"), lit(" (NI YoY "), c("net_income_yoy_pct"), lit("%) · margin "), c("margin_trend")),
+        F.concat(lit("FUND: rev "), c("revenue_growth"), lit(" · earn "), c("earnings_growth"), lit(" (NI YoY "), c("net_income_yoy_pct"),
+            lit("%) · margin "), c("margin_trend")),
     )
     own = F.concat(lit("OWN: inst "), c("institutional_pct"), lit("%"))
     news = F.concat(lit("NEWS: "), c("sentiment"), lit(" ("), c("n_articles"), lit(" headlines)"))
@@ -99,7 +100,8 @@ def deep_read(facts: str, specialists: dict[str, Callable[[str], dict]], judge:
     return out | {"deep": deep} | ({"note": failed} if failed else {})
 
 
-def ask_research(question: str, facts: str, deep: str | None, hits: list[dict], answer: Callable | None, as_of: str | None = None, web: Callable | None = None) -> dict:
+def ask_research(question: str, facts: str, deep: str | None, hits: list[dict], answer: Callable | None, as_of: str | None = None,
+    web: Callable | None = None) -> dict:
     """An answer over facts, the last deep read and retrieved chunks. The web is asked only for today, never for a
     past date, as that would look ahead."""
     out = {"question": question, "facts": facts, "deep": deep, "hits": hits, "answer": None, "sources": []}

@@ -29,7 +29,8 @@ def latest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key by ``order``, by one aggregate. Rows without an order come before all others; of rows
     that tie one stays, the same on each run."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order, F.xxhash64(*rest))).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order,
+        F.xxhash64(*rest))).alias("__row")).select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
 
 def known_at(vintages: DataFrame, known: str, as_of: str | None = None, tie: str | None = None) -> DataFrame:
@@ -44,7 +45,8 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_
     no range join."""
     cols = left.columns
     marked = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__ts": F.col(left_ts), "__side": F.lit(1)})
-    feed = right.select(F.col(key), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols if c != key], F.col(value).alias("__v"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"))
+    feed = right.select(F.col(key), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols if c != key],
+        F.col(value).alias("__v"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"))
     w = Window.partitionBy(key).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = marked.unionByName(feed).withColumn(value, F.last("__v", ignorenulls=True).over(w))
     return both.where("__side = 1").select(*cols, value)
@@ -76,4 +78,5 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], values: list[s
 def drawdown(prices: DataFrame) -> DataFrame:
     """Deepest fall from a running peak of each symbol's adjusted close, percent."""
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return prices.select("symbol", (F.try_divide(F.col("adj_close"), F.max("adj_close").over(w)) - 1).alias("dd")).groupBy("symbol").agg((F.min("dd") * 100).alias("max_drawdown_pct"))
+    return prices.select("symbol", (F.try_divide(F.col("adj_close"),
+        F.max("adj_close").over(w)) - 1).alias("dd")).groupBy("symbol").agg((F.min("dd") * 100).alias("max_drawdown_pct"))

@@ -17,13 +17,15 @@ MIN_BETA_ROWS, MIN_TAIL_ROWS, MIN_FHS_ROWS = 60, 20, 40
 STRESS_DAYS = (1, 5, 10, 21)
 
 # Limits of a concentrated long-only book.
-LIMITS = {"max_name_weight_pct": 30.0, "max_name_risk_pct": 40.0, "max_annual_vol_pct": 25.0, "max_var99_pct": 4.0, "min_effective_holdings": 3.0, "max_days_to_liquidate": 5.0}
+LIMITS = {"max_name_weight_pct": 30.0, "max_name_risk_pct": 40.0, "max_annual_vol_pct": 25.0, "max_var99_pct": 4.0,
+    "min_effective_holdings": 3.0, "max_days_to_liquidate": 5.0}
 
 # Horizons in trading days, their labels and names.
 HORIZON_LABELS = {1: "daily", 5: "weekly", 21: "monthly", 63: "quarterly", 252: "annual"}
 HORIZON_DAYS = {
     "d": 1, "1d": 1, "day": 1, "daily": 1, "w": 5, "1w": 5, "week": 5, "weekly": 5, "m": 21, "1m": 21, "month": 21, "monthly": 21,
-    "q": 63, "1q": 63, "quarter": 63, "quarterly": 63, "y": 252, "1y": 252, "year": 252, "yearly": 252, "annual": 252, "annualised": 252, "annualized": 252,
+    "q": 63, "1q": 63, "quarter": 63, "quarterly": 63, "y": 252, "1y": 252, "year": 252, "yearly": 252, "annual": 252, "annualised": 252,
+        "annualized": 252,
 }
 
 
@@ -45,7 +47,8 @@ def returns(prices: DataFrame, gap_fill: str | None = None) -> DataFrame:
     p = prices.withColumn("p", F.when(F.col("adj_close") > 0, F.col("adj_close")))
     days = p.select("date").distinct().withColumn("day", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
     w = Window.partitionBy("symbol").orderBy("date")
-    seen = p.join(F.broadcast(days), "date").withColumns({"before": F.lag("p").over(w), "day_before": F.lag("day").over(w), "padded": F.last("p", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    seen = p.join(F.broadcast(days), "date").withColumns({"before": F.lag("p").over(w), "day_before": F.lag("day").over(w),
+        "padded": F.last("p", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     next_to = F.col("day_before") == F.col("day") - 1
     base = F.col("padded") if gap_fill == "pad" else F.when(next_to, F.col("before"))
     return seen.select("symbol", "date", F.when(next_to, F.ln("p") - F.ln("before")).alias("log_ret"), (F.try_divide("p", base) - 1).alias("ret"))
@@ -78,7 +81,8 @@ def ewma_cov(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
     mean = weighted.groupBy("symbol").agg(F.sum(F.col("w") * F.col("x")).alias("mu"))
     centred = weighted.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("mu"))
     other = centred.select(F.col("symbol").alias("b"), "date", F.col("x").alias("xb"))
-    out = centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
+    out = centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a",
+        "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
     return out
 
 
@@ -100,12 +104,14 @@ def shrinkage(sample: DataFrame, cov: DataFrame) -> DataFrame:
 def _intensity(sample: DataFrame, full: DataFrame) -> DataFrame:
     rbar = full.where("a <> b").agg(F.avg(F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("rbar"), F.countDistinct("a").alias("n"))
     target = F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("rbar") * F.sqrt(F.col("va") * F.col("vb")))
-    gamma = full.crossJoin(F.broadcast(rbar)).agg(F.sum(F.pow(target - F.col("cov"), F.lit(2.0))).alias("gamma"), F.max("rbar").alias("rbar"), F.max("n").alias("n"))
+    gamma = full.crossJoin(F.broadcast(rbar)).agg(F.sum(F.pow(target - F.col("cov"), F.lit(2.0))).alias("gamma"),
+        F.max("rbar").alias("rbar"), F.max("n").alias("n"))
     mean = sample.groupBy("symbol").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("t"))
     flat = sample.join(mean, "symbol").withColumn("x", F.col("x") - F.col("m"))
     product = F.col("xa") * F.col("xb")  # the mean of (product - cov)^2 from its moments: one row a pair meets the covariance
     moments = pairs(flat.select("symbol", "date", "x")).groupBy("a", "b").agg(F.avg(product * product).alias("m2"), F.avg(product).alias("m1"))
-    each = moments.join(full.select("a", "b", "cov"), ["a", "b"]).select("a", "b", (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
+    each = moments.join(full.select("a", "b", "cov"), ["a", "b"]).select("a", "b",
+        (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
     pi = each.agg(F.sum("pi").alias("pi"), F.sum(F.when(F.col("a") == F.col("b"), F.col("pi"))).alias("rho"))
     t = mean.agg(F.max("t").alias("t"))
     raw = (F.col("pi") - F.col("rho")) / F.col("gamma") / F.col("t")
@@ -125,26 +131,31 @@ def ledoit_wolf(sample: DataFrame, cov: DataFrame) -> DataFrame:
 def risk_contribution(cov: DataFrame, weighted: DataFrame, days: int = YEAR_DAYS) -> DataFrame:
     """``symbol, weight_pct, vol_pct, mctr, risk_contribution_pct, portfolio_vol_pct`` at the horizon of ``days``."""
     w = weighted.select("symbol", "weight")
-    rows = cov.join(F.broadcast(w.select(F.col("symbol").alias("b"), F.col("weight").alias("wb"))), "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"), F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("var"))
+    rows = cov.join(F.broadcast(w.select(F.col("symbol").alias("b"), F.col("weight").alias("wb"))),
+        "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"), F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("var"))
     one = rows.join(F.broadcast(w), rows.a == w.symbol)
     total = one.agg(F.sum(F.col("weight") * F.col("sw")).alias("pvar"))
     scale = math.sqrt(days)
     return one.crossJoin(F.broadcast(total)).select(
-        "symbol", (F.col("weight") * 100).alias("weight_pct"), (F.sqrt("var") * scale * 100).alias("vol_pct"), F.try_divide("sw", F.sqrt("pvar")).alias("mctr"),
-        (F.try_divide(F.col("weight") * F.col("sw"), F.col("pvar")) * 100).alias("risk_contribution_pct"), (F.sqrt("pvar") * scale * 100).alias("portfolio_vol_pct"),
+        "symbol", (F.col("weight") * 100).alias("weight_pct"), (F.sqrt("var") * scale * 100).alias("vol_pct"), F.try_divide("sw",
+            F.sqrt("pvar")).alias("mctr"),
+        (F.try_divide(F.col("weight") * F.col("sw"), F.col("pvar")) * 100).alias("risk_contribution_pct"),
+            (F.sqrt("pvar") * scale * 100).alias("portfolio_vol_pct"),
     )
 
 
 def betas(rets: DataFrame, bench: DataFrame, min_rows: int = MIN_BETA_ROWS) -> DataFrame:
     """Adjusted betas, 0.67 raw + 0.33, from ``min_rows`` common days on."""
-    both = rets.where("ret is not null").select("symbol", "date", "ret").join(F.broadcast(bench.where("ret is not null").select("date", F.col("ret").alias("m"))), "date")
+    both = rets.where("ret is not null").select("symbol", "date",
+        "ret").join(F.broadcast(bench.where("ret is not null").select("date", F.col("ret").alias("m"))), "date")
     out = both.groupBy("symbol").agg(F.regr_slope("ret", "m").alias("raw"), F.count(F.lit(1)).alias("n"), F.var_samp("m").alias("v"))
     return out.select("symbol", F.when((F.col("n") >= min_rows) & (F.col("v") > 0), F.col("raw") * 0.67 + 0.33).alias("beta"))
 
 
 def portfolio_beta(beta: DataFrame, weighted: DataFrame) -> DataFrame:
     """One row ``beta``: weighted betas of the names that have one, their weights as they are; null without any."""
-    return beta.where("beta is not null").join(weighted.select("symbol", "weight"), "symbol").agg(F.sum(F.col("weight") * F.col("beta")).alias("beta"))
+    return beta.where("beta is not null").join(weighted.select("symbol", "weight"),
+        "symbol").agg(F.sum(F.col("weight") * F.col("beta")).alias("beta"))
 
 
 def by_risk(contributions: DataFrame) -> DataFrame:
@@ -164,7 +175,8 @@ def unrealised_pct(last_close: Column, avg_cost: Column) -> Column:
 
 def portfolio_returns(rets: DataFrame, weighted: DataFrame) -> DataFrame:
     sample = common_sample(rets.join(F.broadcast(weighted.select("symbol")), "symbol", "left_semi"), "ret")
-    return sample.join(F.broadcast(weighted.select("symbol", "weight")), "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.col("x")).alias("ret"))
+    return sample.join(F.broadcast(weighted.select("symbol", "weight")),
+        "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.col("x")).alias("ret"))
 
 
 def var_cvar(series: DataFrame, confidence: float, column: str = "ret", least: int = MIN_TAIL_ROWS, keys: list[str] | None = None) -> DataFrame:
@@ -174,7 +186,8 @@ def var_cvar(series: DataFrame, confidence: float, column: str = "ret", least: i
     q = x.groupBy(*keys).agg(F.percentile(column, 1 - confidence).alias("q"), F.count(F.lit(1)).alias("n"))
     joined = x.join(F.broadcast(q), keys) if keys else x.crossJoin(F.broadcast(q))
     return joined.groupBy(*keys).agg(
-        F.when(F.max("n") >= least, -F.max("q")).alias("var"), F.when(F.max("n") >= least, -F.avg(F.when(F.col(column) <= F.col("q"), F.col(column)))).alias("cvar")
+        F.when(F.max("n") >= least, -F.max("q")).alias("var"), F.when(F.max("n") >= least,
+            -F.avg(F.when(F.col(column) <= F.col("q"), F.col(column)))).alias("cvar")
     )
 
 
@@ -203,28 +216,34 @@ def liquidity(weighted: DataFrame, prices: DataFrame, days: int = 20) -> DataFra
 
 
 def effective_number(weighted: DataFrame) -> DataFrame:
-    return weighted.agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.try_divide(F.lit(1.0), F.sum(F.col("weight") * F.col("weight"))).alias("effective_holdings"))
+    return weighted.agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.try_divide(F.lit(1.0),
+        F.sum(F.col("weight") * F.col("weight"))).alias("effective_holdings"))
 
 
 def limit_checks(contributions: DataFrame, var99: DataFrame, effective: DataFrame, liquid: DataFrame) -> DataFrame:
     """``metric, value, limit, ok, note``; measures without a value are left out."""
     by = contributions.agg(
-        F.max("weight_pct").alias("w"), F.max_by("symbol", "weight_pct").alias("ws"), F.max("risk_contribution_pct").alias("r"), F.max_by("symbol", "risk_contribution_pct").alias("rs"), F.max("portfolio_vol_pct").alias("vol")
+        F.max("weight_pct").alias("w"), F.max_by("symbol", "weight_pct").alias("ws"), F.max("risk_contribution_pct").alias("r"),
+            F.max_by("symbol", "risk_contribution_pct").alias("rs"), F.max("portfolio_vol_pct").alias("vol")
     )
     one = by.crossJoin(var99.select(F.col("var").alias("v99"))).crossJoin(effective.select("effective_holdings")).crossJoin(liquid.agg(F.max("days_to_liquidate").alias("dtl")))
 
     def check(metric: str, value: Column, key: str, note: Column, at_least: bool = False) -> Column:
         limit = F.lit(LIMITS[key])
-        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), limit.alias("limit"), (value >= limit if at_least else value <= limit).alias("ok"), note.alias("note"))
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), limit.alias("limit"),
+            (value >= limit if at_least else value <= limit).alias("ok"), note.alias("note"))
 
     none = F.lit("")
     checks = F.array(
-        check("max single-name weight %", F.col("w"), "max_name_weight_pct", F.col("ws")), check("max single-name risk %", F.col("r"), "max_name_risk_pct", F.col("rs")),
+        check("max single-name weight %", F.col("w"), "max_name_weight_pct", F.col("ws")), check("max single-name risk %", F.col("r"),
+            "max_name_risk_pct", F.col("rs")),
         check("annualised vol %", F.col("vol"), "max_annual_vol_pct", none), check("1-day 99% VaR %", F.col("v99") * 100, "max_var99_pct", none),
-        check("effective holdings", F.col("effective_holdings"), "min_effective_holdings", none, True), check("max days-to-liquidate", F.col("dtl"), "max_days_to_liquidate", none),
+        check("effective holdings", F.col("effective_holdings"), "min_effective_holdings", none, True), check("max days-to-liquidate",
+            F.col("dtl"), "max_days_to_liquidate", none),
     )
     return one.select(F.inline(F.filter(checks, lambda c: c["value"].isNotNull())))
 
 
 def data_warnings(n_var: Column, n_cov: Column) -> Column:
-    return F.filter(F.array(F.when(n_var < 252, F.format_string("only %d observations for VaR", n_var)), F.when(n_cov < 60, F.format_string("only %d observations for covariance", n_cov))), lambda x: x.isNotNull())
+    return F.filter(F.array(F.when(n_var < 252, F.format_string("only %d observations for VaR", n_var)), F.when(n_cov < 60,
+        F.format_string("only %d observations for covariance", n_cov))), lambda x: x.isNotNull())

@@ -26,9 +26,12 @@ DIALS = ("trend", "momentum", "level", "revenue_growth", "earnings_growth", "mar
 
 #: Columns of a flat card, each null where its dimension has no reading.
 CARD = {
-    "symbol": "string", "last_close": "double", "risk_contribution_pct": "double", "weight_pct": "double", "trend": "string", "momentum": "string", "level": "string", "rsi_14": "double",
-    "pct_from_52w_high": "double", "sma200": "double", "latest_quarter": "date", "revenue_growth": "string", "earnings_growth": "string", "margin_trend": "string", "net_income_yoy_pct": "double",
-    "guidance": "boolean", "sector": "string", "sector_weight_pct": "double", "sentiment": "string", "mean_polarity": "double", "n_articles": "bigint", "institutional": "string", "institutional_pct": "double",
+    "symbol": "string", "last_close": "double", "risk_contribution_pct": "double", "weight_pct": "double", "trend": "string",
+        "momentum": "string", "level": "string", "rsi_14": "double",
+    "pct_from_52w_high": "double", "sma200": "double", "latest_quarter": "date", "revenue_growth": "string", "earnings_growth": "string",
+        "margin_trend": "string", "net_income_yoy_pct": "double",
+    "guidance": "boolean", "sector": "string", "sector_weight_pct": "double", "sentiment": "string", "mean_polarity": "double",
+        "n_articles": "bigint", "institutional": "string", "institutional_pct": "double",
 }
 
 
@@ -89,7 +92,8 @@ def subscores() -> dict[str, Column]:
     return {
         "risk": _clamp(100 * c("risk_contribution_pct") / LIMITS["max_name_risk_pct"], c("risk_contribution_pct")),
         "technical": _mean(_present([_looked_up(MOMENTUM_POINTS, "momentum"), _looked_up(LEVEL_POINTS, "level"), _looked_up(TREND_POINTS, "trend")])),
-        "fundamental": _mean(_present([_looked_up(GROWTH_POINTS, "revenue_growth"), _looked_up(GROWTH_POINTS, "earnings_growth"), _looked_up(MARGIN_POINTS, "margin_trend")])),
+        "fundamental": _mean(_present([_looked_up(GROWTH_POINTS, "revenue_growth"), _looked_up(GROWTH_POINTS, "earnings_growth"),
+            _looked_up(MARGIN_POINTS, "margin_trend")])),
         "macro": _clamp(100 * c("sector_weight_pct") / SECTOR_LIMIT_PCT, c("sector_weight_pct")),
         "sentiment": _clamp(F.abs("mean_polarity") * 100, c("mean_polarity")),
         "ownership": _clamp(F.abs(c("institutional_pct") - 50) * 1.4, c("institutional_pct")),
@@ -105,13 +109,19 @@ def drivers() -> Column:
         .when((wt != 0) & (rc > wt * 1.2), F.concat(F.lit("risk-dense: "), _pct0(rc), F.lit("% of risk vs "), _pct0(wt), F.lit("% of capital")))
         .when(rc >= 25, F.concat(_pct0(rc), F.lit("% of book risk")))
     )
-    momentum = F.when(c("momentum").isin("overbought", "oversold"), F.concat(c("momentum"), F.coalesce(F.concat(F.lit(" (RSI "), _pct0(F.when(c("rsi_14").isNotNull(), c("rsi_14"))), F.lit(")")), F.lit(""))))
-    level = F.when(c("level").isin("at highs", "near lows"), F.concat(c("level"), F.lit(" ("), _pct0(c("pct_from_52w_high")), F.lit("% from 52w high)")))
+    momentum = F.when(c("momentum").isin("overbought", "oversold"), F.concat(c("momentum"),
+        F.coalesce(F.concat(F.lit(" (RSI "), _pct0(F.when(c("rsi_14").isNotNull(), c("rsi_14"))), F.lit(")")), F.lit(""))))
+    level = F.when(c("level").isin("at highs", "near lows"), F.concat(c("level"), F.lit(" ("), _pct0(c("pct_from_52w_high")),
+        F.lit("% from 52w high)")))
     earnings = F.when(c("earnings_growth") == "declining", F.concat(F.lit("earnings declining ("), _pct0(c("net_income_yoy_pct")), F.lit("% YoY)")))
-    sector = F.when(c("sector_weight_pct") >= SECTOR_LIMIT_PCT, F.concat(F.coalesce("sector", F.lit("sector")), F.lit(" is "), _pct0(c("sector_weight_pct")), F.lit("% of the book")))
-    news = F.when(c("sentiment").isin("positive", "negative") & (F.abs("mean_polarity") >= 0.3), F.concat(c("sentiment"), F.lit(" news flow ("), c("n_articles").cast("string"), F.lit(" headlines)")))
-    inst = F.when((c("institutional_pct") >= 70) | (c("institutional_pct") <= 15), F.concat(F.lit("institutional holding "), _pct0(c("institutional_pct")), F.lit("%")))
-    found = _present([risk, momentum, level, F.when(c("trend") == "downtrend", F.lit("in a downtrend")), earnings, F.when(c("margin_trend") == "contracting", F.lit("margins contracting")), sector, news, inst])
+    sector = F.when(c("sector_weight_pct") >= SECTOR_LIMIT_PCT, F.concat(F.coalesce("sector", F.lit("sector")), F.lit(" is "),
+        _pct0(c("sector_weight_pct")), F.lit("% of the book")))
+    news = F.when(c("sentiment").isin("positive", "negative") & (F.abs("mean_polarity") >= 0.3), F.concat(c("sentiment"),
+        F.lit(" news flow ("), c("n_articles").cast("string"), F.lit(" headlines)")))
+    inst = F.when((c("institutional_pct") >= 70) | (c("institutional_pct") <= 15), F.concat(F.lit("institutional holding "),
+        _pct0(c("institutional_pct")), F.lit("%")))
+    found = _present([risk, momentum, level, F.when(c("trend") == "downtrend", F.lit("in a downtrend")), earnings,
+        F.when(c("margin_trend") == "contracting", F.lit("margins contracting")), sector, news, inst])
     return F.slice(found, 1, 4)
 
 
@@ -129,9 +139,11 @@ def confidence(cards: DataFrame) -> DataFrame:
     """``cards`` with ``confidence`` (0 to 1), ``confidence_level`` and ``n_present``: completeness, depth, coherence."""
     c = F.col
     quarter = c("latest_quarter").isNotNull()
-    dims = [c("risk_contribution_pct").isNotNull(), c("trend").isNotNull(), quarter | F.coalesce("guidance", F.lit(False)), c("sector_weight_pct").isNotNull(), c("sentiment").isNotNull(), c("institutional").isNotNull()]
+    dims = [c("risk_contribution_pct").isNotNull(), c("trend").isNotNull(), quarter | F.coalesce("guidance", F.lit(False)),
+        c("sector_weight_pct").isNotNull(), c("sentiment").isNotNull(), c("institutional").isNotNull()]
     count = lambda flags: sum((F.when(f, 1).otherwise(0) for f in flags), F.lit(0))
-    signs = _present([_looked_up(TREND_SIGNS, "trend"), _looked_up(MOMENTUM_SIGNS, "momentum"), _looked_up(LEVEL_SIGNS, "level"), _looked_up(GROWTH_SIGNS, "earnings_growth"), _looked_up(MARGIN_SIGNS, "margin_trend"), _looked_up(SENTIMENT_SIGNS, "sentiment")])
+    signs = _present([_looked_up(TREND_SIGNS, "trend"), _looked_up(MOMENTUM_SIGNS, "momentum"), _looked_up(LEVEL_SIGNS, "level"),
+        _looked_up(GROWTH_SIGNS, "earnings_growth"), _looked_up(MARGIN_SIGNS, "margin_trend"), _looked_up(SENTIMENT_SIGNS, "sentiment")])
     size = _sum(F.transform(signs, F.abs))
     coherence = F.when(F.size(signs) < 2, 0.5).when(size == 0, 0.5).otherwise(F.abs(_sum(signs)) / F.nullif(size, F.lit(0.0)))
     depth = count([quarter, c("sma200").isNotNull(), F.coalesce("guidance", F.lit(False))]) / 3
@@ -170,7 +182,8 @@ def default_rules() -> list[Column]:
     return [
         F.when(rc >= limit, F.concat(F.lit("top risk contributor — "), _pct0(rc), F.lit(f"% of book risk (≥ {limit:.0f}% limit)"))),
         F.when((c("trend") == "downtrend") & (c("level") == "near lows"), F.lit("in a downtrend and near 52-week lows")),
-        F.when(c("earnings_growth") == "declining", F.concat(F.lit("earnings declining"), F.when(c("net_income_yoy_pct").isNull(), "").otherwise(F.concat(F.lit(" ("), _pct0(c("net_income_yoy_pct")), F.lit("% YoY)"))))),
+        F.when(c("earnings_growth") == "declining", F.concat(F.lit("earnings declining"),
+            F.when(c("net_income_yoy_pct").isNull(), "").otherwise(F.concat(F.lit(" ("), _pct0(c("net_income_yoy_pct")), F.lit("% YoY)"))))),
         F.when(c("margin_trend") == "contracting", F.lit("margins contracting")),
         F.when(c("sentiment") == "negative", F.concat(F.lit("negative news flow ("), c("n_articles").cast("string"), F.lit(" headlines)"))),
         F.when(F.size("changes") > 0, F.concat(F.lit("changed since last run — "), F.concat_ws("; ", "changes"))),

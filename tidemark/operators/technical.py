@@ -49,18 +49,25 @@ def technical(prices: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("close").isNotNull(), F.struct("date", "close")))).alias("c"),
         F.array_sort(F.collect_list(F.when(F.col("volume").isNotNull(), F.struct("date", "volume")))).alias("v"),
     )
-    a = bars.select("symbol", F.transform("c", lambda x: x["close"]).alias("s"), F.transform("v", lambda x: x["volume"].cast("double")).alias("v")).where(F.size("s") >= MIN_ROWS)
+    a = bars.select("symbol", F.transform("c", lambda x: x["close"]).alias("s"), F.transform("v",
+        lambda x: x["volume"].cast("double")).alias("v")).where(F.size("s") >= MIN_ROWS)
     s, v = F.col("s"), F.col("v")
     recent, prior = _mean(_tail(v, 20)), _mean(_tail(v, 20, 20))
     out = a.select(
-        "symbol", F.element_at(s, -1).alias("last_close"), _sma(s, 20).alias("sma20"), _sma(s, 50).alias("sma50"), _sma(s, 200).alias("sma200"), terminal_rsi(s).alias("rsi_14"),
-        terminal_macd(s).alias("m"), (F.element_at(s, -1) / F.array_max(_tail(s, YEAR_ROWS)) - 1).alias("from_high"), _back(s, 21).alias("ret_1m"), _back(s, 63).alias("ret_3m"),
-        F.when(F.size(v) >= 40, F.when(recent > prior * 1.05, "rising").when(recent < prior * 0.95, "falling").otherwise("flat")).alias("volume_trend"),
+        "symbol", F.element_at(s, -1).alias("last_close"), _sma(s, 20).alias("sma20"), _sma(s, 50).alias("sma50"), _sma(s,
+            200).alias("sma200"), terminal_rsi(s).alias("rsi_14"),
+        terminal_macd(s).alias("m"), (F.element_at(s, -1) / F.array_max(_tail(s, YEAR_ROWS)) - 1).alias("from_high"), _back(s,
+            21).alias("ret_1m"), _back(s, 63).alias("ret_3m"),
+        F.when(F.size(v) >= 40, F.when(recent > prior * 1.05, "rising").when(recent < prior * 0.95,
+            "falling").otherwise("flat")).alias("volume_trend"),
     )
     return out.select(
-        "symbol", "last_close", "sma20", "sma50", "sma200", "rsi_14", F.col("m.macd").alias("macd"), (F.col("m.macd") - F.col("m.signal")).alias("macd_hist"),
-        (F.col("from_high") * 100).alias("pct_from_52w_high"), (F.col("ret_1m") * 100).alias("ret_1m_pct"), (F.col("ret_3m") * 100).alias("ret_3m_pct"), "volume_trend",
-        trend(F.col("last_close"), F.col("sma50"), F.col("sma200")).alias("trend"), momentum(F.col("rsi_14")).alias("momentum"), level(F.col("from_high")).alias("level"),
+        "symbol", "last_close", "sma20", "sma50", "sma200", "rsi_14", F.col("m.macd").alias("macd"),
+            (F.col("m.macd") - F.col("m.signal")).alias("macd_hist"),
+        (F.col("from_high") * 100).alias("pct_from_52w_high"), (F.col("ret_1m") * 100).alias("ret_1m_pct"),
+            (F.col("ret_3m") * 100).alias("ret_3m_pct"), "volume_trend",
+        trend(F.col("last_close"), F.col("sma50"), F.col("sma200")).alias("trend"), momentum(F.col("rsi_14")).alias("momentum"),
+            level(F.col("from_high")).alias("level"),
     )
 
 

@@ -8,15 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The polarity lexicon.
-POSITIVE = ("beat", "beats", "surge", "surges", "record", "strong", "growth", "grew", "upgrade", "upgrades", "profit", "profits", "gain", "gains", "rise", "rises", "win", "wins", "robust", "outperform", "jump", "jumps", "expansion", "expanding", "raised", "optimistic", "bullish", "recovery", "rally", "approval", "approved", "secures", "highest", "boost", "boosts")
-NEGATIVE = ("miss", "misses", "fall", "falls", "drop", "drops", "slump", "weak", "decline", "declines", "downgrade", "downgrades", "loss", "losses", "cut", "cuts", "plunge", "probe", "fraud", "lawsuit", "default", "layoff", "layoffs", "warning", "warns", "bearish", "slowdown", "crisis", "penalty", "fine", "resign", "resigns", "scam", "raid", "halts", "recall", "downturn", "concern", "concerns")
+POSITIVE = ("beat", "beats", "surge", "surges", "record", "strong", "growth", "grew", "upgrade", "upgrades", "profit", "profits", "gain",
+    "gains", "rise", "rises", "win", "wins", "robust", "outperform", "jump", "jumps", "expansion", "expanding", "raised", "optimistic",
+        "bullish", "recovery", "rally", "approval", "approved", "secures", "highest", "boost", "boosts")
+NEGATIVE = ("miss", "misses", "fall", "falls", "drop", "drops", "slump", "weak", "decline", "declines", "downgrade", "downgrades", "loss",
+    "losses", "cut", "cuts", "plunge", "probe", "fraud", "lawsuit", "default", "layoff", "layoffs", "warning", "warns", "bearish",
+        "slowdown", "crisis", "penalty", "fine", "resign", "resigns", "scam", "raid", "halts", "recall", "downturn", "concern", "concerns")
 
 # Catalyst classes in order of priority. Keywords of five characters or more match anywhere, shorter ones as tokens.
 EVENT_RULES = (
-    ("legal/probe", ("fraud", "probe", "lawsuit", "bail", "court", "penalty", "raid", "sebi", "investigat", "arrest", "detention", "bribery", "scam", "tribunal", "verdict", "appeal", "fine")),
-    ("results", ("results", "earnings", "profit", "quarterly", "q1", "q2", "q3", "q4", "revenue", "margin", "ebitda", "topline", "net income", "miss", "beat")),
+    ("legal/probe", ("fraud", "probe", "lawsuit", "bail", "court", "penalty", "raid", "sebi", "investigat", "arrest", "detention",
+        "bribery", "scam", "tribunal", "verdict", "appeal", "fine")),
+    ("results", ("results", "earnings", "profit", "quarterly", "q1", "q2", "q3", "q4", "revenue", "margin", "ebitda", "topline",
+        "net income", "miss", "beat")),
     ("guidance/outlook", ("guidance", "outlook", "forecast", "expects", "projects", "sees")),
-    ("deal/order", ("order", "contract", "wins", "secures", "bags", "acquisition", "acquire", "stake", "merger", "joint venture", "partnership", "tie-up")),
+    ("deal/order", ("order", "contract", "wins", "secures", "bags", "acquisition", "acquire", "stake", "merger", "joint venture",
+        "partnership", "tie-up")),
     ("rating", ("upgrade", "downgrade", "rating", "overweight", "underweight", "price target", "initiate")),
     ("management", ("resign", "appoint", "ceo", "cfo", "chairman", "steps down", "quits", "board")),
     ("capex/expansion", ("capex", "expansion", "capacity", "plant", "factory", "commission", "greenfield")),
@@ -70,7 +77,8 @@ def sentiment_label(mean: Column) -> Column:
 def sentiment(news: DataFrame) -> DataFrame:
     """Count, mean polarity and shares of each symbol's headlines."""
     p = F.col("polarity")
-    out = news.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_articles"), F.avg(p).alias("mean_polarity"), F.avg((p > 0).cast("double")).alias("positive_share"), F.avg((p < 0).cast("double")).alias("negative_share"))
+    out = news.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_articles"), F.avg(p).alias("mean_polarity"),
+        F.avg((p > 0).cast("double")).alias("positive_share"), F.avg((p < 0).cast("double")).alias("negative_share"))
     return out.withColumn("label", sentiment_label(F.col("mean_polarity")))
 
 
@@ -86,7 +94,8 @@ def catalysts(news: DataFrame, title: str = "title") -> DataFrame:
     return news.withColumn("event", event_class(F.col(title))).where("event is not null")
 
 
-def newsroom(news: DataFrame, symbol: str | None = None, sign: int | None = None, catalysts_only: bool = False, contains: str | None = None) -> DataFrame:
+def newsroom(news: DataFrame, symbol: str | None = None, sign: int | None = None, catalysts_only: bool = False,
+    contains: str | None = None) -> DataFrame:
     """The news page's filters; needs columns ``polarity`` and ``event`` for those that use them."""
     df = news if symbol is None else news.where(F.col("symbol") == symbol)
     df = df if sign is None else df.where(F.signum("polarity") == sign)
@@ -113,4 +122,5 @@ def ownership(snapshots: DataFrame) -> DataFrame:
     known = snapshots.where("held_pct_institutions is not null or held_pct_insiders is not null")
     last = known.groupBy("symbol").agg(F.max_by(F.struct("held_pct_institutions", "held_pct_insiders", "n_institutions"), "snapshot_at").alias("r"))
     inst = F.round(F.col("r.held_pct_institutions") * 100, 1)
-    return last.select("symbol", inst.alias("institutional_pct"), F.round(F.col("r.held_pct_insiders") * 100, 1).alias("insider_pct"), F.col("r.n_institutions").alias("n_institutions"), ownership_level(inst).alias("institutional"))
+    return last.select("symbol", inst.alias("institutional_pct"), F.round(F.col("r.held_pct_insiders") * 100, 1).alias("insider_pct"),
+        F.col("r.n_institutions").alias("n_institutions"), ownership_level(inst).alias("institutional"))

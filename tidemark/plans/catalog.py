@@ -144,7 +144,8 @@ def append_missing(spark, d):
     SELECT p.symbol, p.date, {_r('f.net_margin_pct', 'net_margin_pct')} FROM prices p ASOF LEFT JOIN f ON p.symbol = f.symbol AND p.date >=
     f.available""")
 def fund_asof(spark, d):
-    f = fundamental.features(fundamentals(spark, d)).where("feature = 'net_margin'").select("symbol", "available", F.col("value").alias("net_margin_pct"))
+    f = fundamental.features(fundamentals(spark, d)).where("feature = 'net_margin'").select("symbol", "available",
+        F.col("value").alias("net_margin_pct"))
     return rounded(pit.as_of_join(prices(spark, d).select("symbol", "date"), f, "symbol", "date", "available", "net_margin_pct"))
 
 
@@ -168,7 +169,8 @@ def max_drawdown(spark, d):
 def coverage_matrix(spark, d):
     n = headlines(spark, d)
     symbols = sectors(spark, d).select("symbol").union(n.select("symbol")).distinct()
-    return coverage.coverage_matrix(symbols, prices(spark, d), fundamentals(spark, d), n, n.select("symbol", F.col("publisher").alias("source"), F.col("published").alias("period")))
+    return coverage.coverage_matrix(symbols, prices(spark, d), fundamentals(spark, d), n, n.select("symbol",
+        F.col("publisher").alias("source"), F.col("published").alias("period")))
 
 
 @query(f"""WITH {_F}, {_NEWS}, e AS (SELECT symbol, max(period_end) AS expected FROM q GROUP BY symbol),
@@ -181,7 +183,8 @@ def coverage_matrix(spark, d):
     FROM s LEFT JOIN e USING (symbol) LEFT JOIN g USING (symbol)""")
 def transcript_coverage(spark, d):
     n = headlines(spark, d)
-    c = n.select((F.col("doc_id") % 150).cast("string").alias("symbol"), F.when(F.col("doc_id") % 3 != 0, F.col("published")).alias("period"), F.col("publisher").alias("source"))
+    c = n.select((F.col("doc_id") % 150).cast("string").alias("symbol"), F.when(F.col("doc_id") % 3 != 0,
+        F.col("published")).alias("period"), F.col("publisher").alias("source"))
     return coverage.transcript_coverage(sectors(spark, d), fundamentals(spark, d), c)
 
 
@@ -189,7 +192,8 @@ def transcript_coverage(spark, d):
     GROUP BY symbol, publisher""")
 def document_list(spark, d):
     n = headlines(spark, d)
-    return coverage.list_documents(n.select("symbol", F.col("publisher").alias("source"), F.col("published").alias("period"), F.col("published").alias("filing_date")))
+    return coverage.list_documents(n.select("symbol", F.col("publisher").alias("source"), F.col("published").alias("period"),
+        F.col("published").alias("filing_date")))
 
 
 @query(f"""WITH {_NEWS}, g AS (SELECT symbol, publisher AS source, doc_id, published AS period FROM news), c AS (SELECT symbol, publisher AS source,
@@ -200,9 +204,11 @@ def document_list(spark, d):
 def latest_guidance(spark, d):
     n = headlines(spark, d)
     filing = n.where("doc_id % 2 = 0").groupBy("symbol", "publisher").agg(F.max("published").alias("filing"))
-    known = n.join(filing, ["symbol", "publisher"], "left").where(F.coalesce("filing", F.date_add("published", 45)) <= F.lit("2024-12-15").cast("date"))
+    known = n.join(filing, ["symbol", "publisher"], "left").where(F.coalesce("filing",
+        F.date_add("published", 45)) <= F.lit("2024-12-15").cast("date"))
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc_nulls_last("published"), F.desc("doc_id")))
-    return known.withColumn("rn", rank).where("rn = 1").select("symbol", F.col("publisher").alias("source"), "doc_id", F.col("published").alias("period"))
+    return known.withColumn("rn", rank).where("rn = 1").select("symbol", F.col("publisher").alias("source"), "doc_id",
+        F.col("published").alias("period"))
 
 
 # Technicals
@@ -393,8 +399,10 @@ def news_flow(spark, d):
     'moderate' ELSE 'low' END AS institutional FROM l""")
 def ownership_dials(spark, d):
     n = pit.as_of_filter(headlines(spark, d), "published", "2024-06-30")
-    o = n.groupBy("symbol", "publisher").agg(F.max("published").alias("at"), (F.max_by(F.col("doc_id") % 100, "doc_id") / 100.0).cast("double").alias("held_pct_institutions"))
-    snaps = o.select("symbol", "held_pct_institutions", F.lit(None).cast("double").alias("held_pct_insiders"), F.lit(None).cast("int").alias("n_institutions"), F.struct("at", "held_pct_institutions").alias("snapshot_at"))
+    o = n.groupBy("symbol", "publisher").agg(F.max("published").alias("at"),
+        (F.max_by(F.col("doc_id") % 100, "doc_id") / 100.0).cast("double").alias("held_pct_institutions"))
+    snaps = o.select("symbol", "held_pct_institutions", F.lit(None).cast("double").alias("held_pct_insiders"),
+        F.lit(None).cast("int").alias("n_institutions"), F.struct("at", "held_pct_institutions").alias("snapshot_at"))
     return text.ownership(snaps).select("symbol", "institutional_pct", "institutional")
 
 
@@ -500,7 +508,8 @@ _DTL = """tv AS (SELECT symbol, median(v) AS median_traded FROM (SELECT symbol,
     LEFT JOIN tv USING (symbol)""")
 def dtl(spark, d):
     p, w, _ = _book(spark, d)
-    return risk.liquidity(w, p).select("symbol", (F.round("median_traded", 4) + F.lit(0.0)).alias("median_traded"), (F.round("days_to_liquidate", 6) + F.lit(0.0)).alias("days_to_liquidate"))
+    return risk.liquidity(w, p).select("symbol", (F.round("median_traded", 4) + F.lit(0.0)).alias("median_traded"),
+        (F.round("days_to_liquidate", 6) + F.lit(0.0)).alias("days_to_liquidate"))
 
 
 @query(f"""WITH {_R}, {_W}, c AS (SELECT r_name AS symbol, arg_min(close, date) AS cost FROM (SELECT symbol AS r_name, close, date FROM rp) GROUP BY
@@ -509,7 +518,8 @@ def dtl(spark, d):
     JOIN c USING (symbol)""")
 def position_values(spark, d):
     w = _book(spark, d)[1]
-    return rounded(w.select("symbol", "market_value", (F.col("weight") * 100).alias("weight_pct"), ((F.col("last_close") / F.col("avg_cost") - 1) * 100).alias("unrealised_pct")), 4)
+    return rounded(w.select("symbol", "market_value", (F.col("weight") * 100).alias("weight_pct"),
+        ((F.col("last_close") / F.col("avg_cost") - 1) * 100).alias("unrealised_pct")), 4)
 
 
 @query(f"""WITH {_LW}, {_W}, {_PORT}, {_DTL}, {_SH}, sw AS (SELECT a, sum(cov * weight) AS sw FROM sh JOIN wts ON b = symbol GROUP BY a), tot AS
@@ -528,7 +538,8 @@ def limits(spark, d):
     p, w, r = _book(spark, d)
     s = risk.common_sample(r)
     cov = risk.ledoit_wolf(s, risk.ewma_cov(s))
-    return rounded(risk.limit_checks(risk.risk_contribution(cov, w), risk.var_cvar(risk.portfolio_returns(r, w), 0.99), risk.effective_number(w), risk.liquidity(w, p)))
+    return rounded(risk.limit_checks(risk.risk_contribution(cov, w), risk.var_cvar(risk.portfolio_returns(r, w), 0.99),
+        risk.effective_number(w), risk.liquidity(w, p)))
 
 
 @query()
@@ -712,7 +723,8 @@ def _cards(spark, d, as_of: str | None = None):
     w = macro.weights(holdings(spark, d), p)
     n = headlines(spark, d).select((F.col("doc_id") % 100).cast("string").alias("symbol"), text.polarity(F.col("text")).alias("polarity"))
     shares = w.select("symbol", (F.col("weight") * 100).alias("weight_pct"), (F.col("weight") * 1000).alias("risk_contribution_pct"))
-    return scoring.build_cards(technical.technical(p), shares, fundamental.fundamental(pit.announced(fundamentals(spark, d), as_of)), macro.macro_by_symbol(w, sectors(spark, d)), text.sentiment(n))
+    return scoring.build_cards(technical.technical(p), shares, fundamental.fundamental(pit.announced(fundamentals(spark, d), as_of)),
+        macro.macro_by_symbol(w, sectors(spark, d)), text.sentiment(n))
 
 
 @query()
@@ -744,12 +756,18 @@ def _made_cards(spark, d):
 
     mp = F.when(k % 11 != 0, (k % 21 - 10) / 10.0)
     return table(spark, d, "customer").select(
-        k.cast("string").alias("symbol"), F.when(k % 7 != 0, F.col("c_acctbal") / 200).alias("risk_contribution_pct"), F.lit(None).cast("double").alias("weight_pct"), pick(5, None, "downtrend", "sideways", "uptrend", "uptrend").alias("trend"),
-        pick(6, "overbought", "oversold", "strong", "weak", "neutral").alias("momentum"), pick(4, "at highs", "near lows", "mid-range").alias("level"), F.lit(None).cast("string").alias("revenue_growth"),
-        pick(3, "declining", "growing").alias("earnings_growth"), pick(8, "contracting", "expanding", "stable").alias("margin_trend"), F.lit(None).cast("double").alias("net_income_yoy_pct"), F.lit(None).cast("double").alias("rsi_14"),
-        F.lit(None).cast("double").alias("pct_from_52w_high"), F.lit(None).cast("double").alias("sma200"), F.when(k % 3 != 2, F.lit("2024-03-31").cast("date")).alias("latest_quarter"), F.lit(False).alias("guidance"), F.lit(None).cast("string").alias("sector"),
-        F.when(k % 9 != 0, (F.col("c_nationkey") * 4).cast("double")).alias("sector_weight_pct"), mp.cast("double").alias("mean_polarity"), text.sentiment_label(mp).alias("sentiment"), F.lit(5).cast("bigint").alias("n_articles"),
-        F.when(k % 13 != 0, (k % 100).cast("double")).alias("institutional_pct"), F.when(k % 13 != 0, text.ownership_level((k % 100).cast("double"))).alias("institutional"),
+        k.cast("string").alias("symbol"), F.when(k % 7 != 0, F.col("c_acctbal") / 200).alias("risk_contribution_pct"),
+            F.lit(None).cast("double").alias("weight_pct"), pick(5, None, "downtrend", "sideways", "uptrend", "uptrend").alias("trend"),
+        pick(6, "overbought", "oversold", "strong", "weak", "neutral").alias("momentum"), pick(4, "at highs", "near lows",
+            "mid-range").alias("level"), F.lit(None).cast("string").alias("revenue_growth"),
+        pick(3, "declining", "growing").alias("earnings_growth"), pick(8, "contracting", "expanding", "stable").alias("margin_trend"),
+            F.lit(None).cast("double").alias("net_income_yoy_pct"), F.lit(None).cast("double").alias("rsi_14"),
+        F.lit(None).cast("double").alias("pct_from_52w_high"), F.lit(None).cast("double").alias("sma200"), F.when(k % 3 != 2,
+            F.lit("2024-03-31").cast("date")).alias("latest_quarter"), F.lit(False).alias("guidance"), F.lit(None).cast("string").alias("sector"),
+        F.when(k % 9 != 0, (F.col("c_nationkey") * 4).cast("double")).alias("sector_weight_pct"), mp.cast("double").alias("mean_polarity"),
+            text.sentiment_label(mp).alias("sentiment"), F.lit(5).cast("bigint").alias("n_articles"),
+        F.when(k % 13 != 0, (k % 100).cast("double")).alias("institutional_pct"), F.when(k % 13 != 0,
+            text.ownership_level((k % 100).cast("double"))).alias("institutional"),
     )
 
 
@@ -765,7 +783,8 @@ def _made_cards(spark, d):
     / nullif((s_risk IS NOT NULL)::INT + (s_technical IS NOT NULL)::INT + (s_fundamental IS NOT NULL)::INT + (s_macro IS NOT NULL)::INT + 0.5 *
     (s_sentiment IS NOT NULL)::INT + 0.5 * (s_ownership IS NOT NULL)::INT, 0) + 1e-9, 1) AS DOUBLE) AS attention FROM s""")
 def attention_scores(spark, d):
-    return scoring.attention(_made_cards(spark, d)).select("symbol", *[f"s_{x}" for x in ("risk", "technical", "fundamental", "macro", "sentiment", "ownership")], "attention")
+    return scoring.attention(_made_cards(spark, d)).select("symbol",
+        *[f"s_{x}" for x in ("risk", "technical", "fundamental", "macro", "sentiment", "ownership")], "attention")
 
 
 @query(f"""WITH {_CARD}, s AS (SELECT symbol, list_filter([{_PTS(scoring.TREND_SIGNS, 'trend')}, {_PTS(scoring.MOMENTUM_SIGNS, 'momentum')},
@@ -784,7 +803,8 @@ def confidence(spark, d):
 
 def _two_runs(spark, d):
     now = scoring.snapshot(scoring.attention(_made_cards(spark, d)))
-    before = now.where("cast(symbol as bigint) % 10 <> 0").select((F.col("symbol").cast("bigint") + 1).cast("string").alias("symbol"), *[c for c in now.columns if c != "symbol"])
+    before = now.where("cast(symbol as bigint) % 10 <> 0").select((F.col("symbol").cast("bigint") + 1).cast("string").alias("symbol"),
+        *[c for c in now.columns if c != "symbol"])
     return now, before
 
 
@@ -800,7 +820,8 @@ def deltas(spark, d):
     now, before = _two_runs(spark, d)
     out = scoring.changes(now, before)
     number = lambda x: x.startswith("attention ") | x.startswith("risk contribution ")
-    return out.select("symbol", F.concat_ws("; ", F.filter("changes", lambda x: ~number(x))).alias("flips"), F.exists("changes", lambda x: x.startswith("risk contribution ")).alias("risk_moved"))
+    return out.select("symbol", F.concat_ws("; ", F.filter("changes", lambda x: ~number(x))).alias("flips"), F.exists("changes",
+        lambda x: x.startswith("risk contribution ")).alias("risk_moved"))
 
 
 @query(f"""WITH {_CARD} SELECT symbol, array_to_string(list_filter([
@@ -893,7 +914,8 @@ def sessions(spark, d):
 @query(f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {_r('sum(l_quantity)', 'qty', 2)}, CAST(grouping(l_returnflag) * 2 +
     grouping(l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def rollup_cube(spark, d):
-    return rounded(table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"), F.grouping_id().alias("g")), 2)
+    return rounded(table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"),
+        F.sum("l_quantity").alias("qty"), F.grouping_id().alias("g")), 2)
 
 
 @query("""WITH a AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
@@ -902,11 +924,13 @@ def rollup_cube(spark, d):
 def set_ops(spark, d):
     o = table(spark, d, "orders")
     a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey") for s in ("F", "O"))
-    return a.intersect(b).select(F.lit("both").alias("part"), "o_custkey").unionByName(a.subtract(b).select(F.lit("first").alias("part"), "o_custkey"))
+    return a.intersect(b).select(F.lit("both").alias("part"), "o_custkey").unionByName(a.subtract(b).select(F.lit("first").alias("part"),
+        "o_custkey"))
 
 
 @query("""SELECT 'semi' AS part, c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'anti', c_custkey FROM
     customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def semi_anti(spark, d):
     c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_semi").select(F.lit("semi").alias("part"), "c_custkey").unionByName(c.join(o, "c_custkey", "left_anti").select(F.lit("anti").alias("part"), "c_custkey"))
+    return c.join(o, "c_custkey", "left_semi").select(F.lit("semi").alias("part"), "c_custkey").unionByName(c.join(o, "c_custkey",
+        "left_anti").select(F.lit("anti").alias("part"), "c_custkey"))

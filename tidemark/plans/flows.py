@@ -18,8 +18,10 @@ def _runs(spark, d):
     e = table(spark, d, "events")
     deep = F.format_string('{"deep": {"headline": "h%d", "bottom_line": "%s"}}', "event_id", "event_type")
     return e.select(
-        F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").alias("run_at"), F.col("event_type").alias("model"), (F.col("value") / 1000).alias("cost_usd"),
-        F.format_string("%s %d", "event_type", "event_id").alias("one_line"), F.when(F.col("event_id") % 3 == 0, deep).otherwise(F.col("props")).alias("payload"), "event_id",
+        F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.col("ts").alias("run_at"), F.col("event_type").alias("model"),
+            (F.col("value") / 1000).alias("cost_usd"),
+        F.format_string("%s %d", "event_type", "event_id").alias("one_line"), F.when(F.col("event_id") % 3 == 0,
+            deep).otherwise(F.col("props")).alias("payload"), "event_id",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
@@ -76,7 +78,8 @@ def _records(spark, d):
         .when(i == 2, F.lit('{"other_guidance": ["capex up", "hiring"], "revenue_outlook": ""}'))
         .when(i == 3, F.lit('{"margin_outlook": "stable"}')).otherwise(F.lit("{}"))
     )
-    return n.select("symbol", F.col("publisher").alias("source"), F.col("published").alias("period"), F.col("doc_id").alias("extracted_at"), data.alias("data"))
+    return n.select("symbol", F.col("publisher").alias("source"), F.col("published").alias("period"), F.col("doc_id").alias("extracted_at"),
+        data.alias("data"))
 
 
 def _filings(spark, d):
@@ -105,7 +108,8 @@ def known_guidance(spark, d):
     LAST, doc_id DESC LIMIT 1""")
 def guidance_of_one(spark, d):
     one = guidance.guidance_of(_records(spark, d), _filings(spark, d), "s3", "2024-12-15")
-    return one.select("symbol", "source", "extracted_at", "period", guidance.merged_record(F.col("data"), F.col("source"), F.col("period")).alias("record"))
+    return one.select("symbol", "source", "extracted_at", "period", guidance.merged_record(F.col("data"), F.col("source"),
+        F.col("period")).alias("record"))
 
 
 _HIST = f"""{_KNOWN}, hi AS (SELECT symbol, doc_id, period, CASE WHEN doc_id % 4 = 1 THEN 'grow ' || doc_id END AS revenue_outlook, CASE WHEN doc_id %
@@ -117,7 +121,8 @@ _HIST = f"""{_KNOWN}, hi AS (SELECT symbol, doc_id, period, CASE WHEN doc_id % 4
 @query(f"WITH {_HIST} SELECT symbol, nth, doc_id AS extracted_at, period, revenue_outlook, margin_outlook, n_other FROM hi")
 def guidance_history(spark, d):
     out = guidance.guidance_history(_records(spark, d), "2024-10-01")
-    return out.select("symbol", F.col("nth").cast("long").alias("nth"), "extracted_at", "period", "revenue_outlook", "margin_outlook", F.size("other_guidance").alias("n_other")).withColumn(
+    return out.select("symbol", F.col("nth").cast("long").alias("nth"), "extracted_at", "period", "revenue_outlook", "margin_outlook",
+        F.size("other_guidance").alias("n_other")).withColumn(
         "n_other", F.when(F.col("n_other") >= 0, F.col("n_other"))
     )
 
@@ -224,7 +229,8 @@ def news_replaced(spark, d):
     """News of some symbols fetched anew, and of a new one."""
     n = headlines(spark, d)
     old = n.select("symbol", "title", F.col("published").cast("timestamp").alias("published"))
-    new = n.select(F.when(F.col("doc_id") % 10 < 3, F.col("symbol")).otherwise("N").alias("symbol"), "title", F.col("published").cast("string").alias("published"))
+    new = n.select(F.when(F.col("doc_id") % 10 < 3, F.col("symbol")).otherwise("N").alias("symbol"), "title",
+        F.col("published").cast("string").alias("published"))
     return replaced_news(old, new).select("symbol", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
@@ -289,7 +295,8 @@ def displayed_values(spark, d):
     x = F.col("c_acctbal")
     left = narrative.shares_left((F.col("c_nationkey") * 3).cast("double"), (F.col("c_custkey") % 50).cast("double"))
     c = table(spark, d, "customer")
-    return rounded(c.select("c_custkey", narrative.displayed(x, 1, "%", True).alias("shown"), narrative.level(F.abs(x) / 100).alias("attention_class"), left.alias("public_float")))
+    return rounded(c.select("c_custkey", narrative.displayed(x, 1, "%", True).alias("shown"),
+        narrative.level(F.abs(x) / 100).alias("attention_class"), left.alias("public_float")))
 
 
 @query("""SELECT c_custkey, round(CASE WHEN c_custkey - 500 > 0 THEN (c_acctbal / (c_custkey - 500) - 1) * 100 END, 6) + 0.0 AS growth, CASE WHEN
@@ -325,7 +332,8 @@ def golden_recall(spark, d):
     name = lambda x: F.format_string("about label %d here", x)
     found = _hits(spark, d).groupBy("question").agg(F.collect_list(name(F.col("label"))).alias("contents"))
     e = table(spark, d, "embeddings")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.array(name(((F.col("label") + F.col("vec_id")) % 10).cast("int"))).alias("must"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"),
+        F.array(name(((F.col("label") + F.col("vec_id")) % 10).cast("int"))).alias("must"))
     return rounded(asked.join(found, "question").select("question", rag.retrieval_score(F.col("contents"), F.col("must"))["recall"].alias("recall")))
 
 
@@ -344,5 +352,6 @@ def cited_answers(spark, d):
     BY ALL)
     SELECT source, chunk_index, {_r('distance')} FROM g ORDER BY g.distance, source, chunk_index LIMIT 6""")
 def gathered_hits(spark, d):
-    hits = _hits(spark, d).select("question", F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"), (F.round("distance", 9) + F.lit(0.0)).alias("distance"))
+    hits = _hits(spark, d).select("question", F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"),
+        (F.round("distance", 9) + F.lit(0.0)).alias("distance"))
     return rounded(rag.gather(hits, 6))

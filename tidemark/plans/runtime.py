@@ -31,7 +31,8 @@ class Registry:
         self.agents = [a for a in self.agents if a.name != agent.name] + [agent]
 
     def analyse(
-        self, tables: dict[str, DataFrame], on_event: Callable[[str, dict], None] = lambda kind, what: None, context: Callable[[], dict] | None = None,
+        self, tables: dict[str, DataFrame], on_event: Callable[[str, dict], None] = lambda kind, what: None, context: Callable[[],
+            dict] | None = None,
         cards: Callable[[dict[str, DataFrame]], list[dict]] | None = None, narrate: Callable[[dict], dict] | None = None,
     ) -> dict[str, DataFrame]:
         """Plans of all agents. Events tell the run's progress: run_start, context_loaded with what ``context`` says,
@@ -51,7 +52,8 @@ class Registry:
                 raise
             if got is not None:
                 out[a.name] = got
-            on_event("agent_done", {"agent": a.name, "scope": a.scope, "there": got is not None, "latency_ms": round((time.monotonic() - began) * 1000, 1)})
+            on_event("agent_done", {"agent": a.name, "scope": a.scope, "there": got is not None,
+                "latency_ms": round((time.monotonic() - began) * 1000, 1)})
         made = cards(out) if cards is not None else []
         if cards is not None:
             on_event("ranking", {"order": [c["symbol"] for c in made]})
@@ -123,12 +125,14 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     Prices (``prefix, per_m_in, per_m_out``) are a handful of rows."""
     joined = calls.withColumn("__id", F.monotonically_increasing_id()).join(F.broadcast(prices), F.col("model").startswith(F.col("prefix")), "left")
     cost = F.col("input_tokens") / 1e6 * F.col("per_m_in") + F.col("output_tokens") / 1e6 * F.col("per_m_out")
-    best = joined.withColumn("cost", cost).groupBy("__id").agg(F.max_by(F.struct(*calls.columns, "cost"), F.coalesce(F.length("prefix"), F.lit(0))).alias("r"))
+    best = joined.withColumn("cost", cost).groupBy("__id").agg(F.max_by(F.struct(*calls.columns, "cost"), F.coalesce(F.length("prefix"),
+        F.lit(0))).alias("r"))
     return best.select(*[F.col(f"r.{c}").alias(c) for c in (*calls.columns, "cost")])
 
 
 def trace_summary(costed: DataFrame) -> DataFrame:
     return costed.agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("latency_ms").alias("latency_ms"),
+        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+            F.sum("latency_ms").alias("latency_ms"),
         F.sum("cost").alias("cost"), F.bool_and(F.col("cost").isNotNull()).alias("complete"),
     )

@@ -21,7 +21,8 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("line", ",")
     number = lambda i: F.try_to_number(F.nullif(F.trim(F.get(part, i)), F.lit("")), F.lit("S999999999999.999999"))
     rows = _lines(spark, path).where(~F.lower("line").startswith("symbol"))
-    out = rows.select(F.upper(F.trim(F.get(part, F.lit(0)))).alias("symbol"), F.coalesce(number(F.lit(1)).cast("double"), F.lit(0.0)).alias("quantity"), number(F.lit(2)).cast("double").alias("avg_cost"))
+    out = rows.select(F.upper(F.trim(F.get(part, F.lit(0)))).alias("symbol"), F.coalesce(number(F.lit(1)).cast("double"),
+        F.lit(0.0)).alias("quantity"), number(F.lit(2)).cast("double").alias("avg_cost"))
     if out.isEmpty():
         raise ValueError(f"{path}: no positions")
     return out
@@ -55,7 +56,8 @@ def write_positions(rows: Iterable[tuple[str, float, float | None]], path: str,
         f.write("\n".join(lines) + "\n")
 
 
-def edited(rows: list[tuple[str, float, float | None]], symbol: str, quantity: float | None, avg_cost: float | None = None) -> list[tuple[str, float, float | None]]:
+def edited(rows: list[tuple[str, float, float | None]], symbol: str, quantity: float | None,
+    avg_cost: float | None = None) -> list[tuple[str, float, float | None]]:
     """The book with one holding replaced or added, or removed if there is no quantity."""
     kept = [r for r in rows if r[0] != symbol.upper()]
     return sorted(kept if quantity is None else [*kept, (symbol.upper(), quantity, avg_cost)])

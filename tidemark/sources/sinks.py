@@ -18,7 +18,8 @@ def write_upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str, sta
 def append_vintages(log: DataFrame, old: DataFrame, new: DataFrame, vintage: Column, path: str) -> None:
     """Append what changed since ``old``, stamped with its vintage; a key of the log is written once."""
     moved = changed_rows(old, new, ["symbol", "date"], ["close", "adj_close"], ("volume",)).withColumn("vintage_date", vintage)
-    append_new(log, moved, ["symbol", "date", "vintage_date"]).select("symbol", "date", "vintage_date", "close", "adj_close", "volume").write.mode("append").parquet(path)
+    append_new(log, moved, ["symbol", "date", "vintage_date"]).select("symbol", "date", "vintage_date", "close", "adj_close",
+        "volume").write.mode("append").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
@@ -55,7 +56,8 @@ def replaced_news(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(shaped.select("symbol").distinct(), "symbol", "left_anti").unionByName(shaped, allowMissingColumns=True)
 
 
-def refresh_news(symbol: str, news: DataFrame, fetch: Callable[[str], DataFrame] | None, hours: int = 24, force: bool = False) -> tuple[DataFrame, dict]:
+def refresh_news(symbol: str, news: DataFrame, fetch: Callable[[str], DataFrame] | None, hours: int = 24,
+    force: bool = False) -> tuple[DataFrame, dict]:
     """``(news, status)``: the symbol's news fetched anew if the newest is older than ``hours``. Without a ``fetch``, or
     when it fails, the news stay as they are and the status says why."""
     fresh = is_fresh(news.where(F.col("symbol") == symbol), hours).first()
@@ -73,7 +75,8 @@ def refresh_news(symbol: str, news: DataFrame, fetch: Callable[[str], DataFrame]
 
 def parse_news(raw: Column) -> Column:
     """Items of the first JSON array in a text that have a headline; null where none can be read."""
-    items = F.from_json(F.regexp_extract(raw, r"(?s)(\[.*\])", 1), "array<struct<headline: string, publisher: string, date: string, summary: string>>")
+    items = F.from_json(F.regexp_extract(raw, r"(?s)(\[.*\])", 1),
+        "array<struct<headline: string, publisher: string, date: string, summary: string>>")
     return F.filter(items, lambda x: x["headline"].isNotNull())
 
 

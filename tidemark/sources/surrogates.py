@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _bars(rows: DataFrame) -> DataFrame:
     paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg(
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), (F.sum(paid) / F.sum("l_quantity")).alias("adj_close"), F.sum("l_quantity").cast("long").alias("volume")
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), (F.sum(paid) / F.sum("l_quantity")).alias("adj_close"),
+            F.sum("l_quantity").cast("long").alias("volume")
     )
 
 
@@ -51,7 +52,8 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers held, by positive balance."""
-    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_acctbal").alias("quantity"))
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"),
+        F.col("s_acctbal").alias("quantity"))
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,7 @@ def vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as price cells seen anew on later days."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").cast("string").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.length("event_type") % 5).cast("int")).alias("date"),
+        F.col("user_id").cast("string").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"),
+            (F.length("event_type") % 5).cast("int")).alias("date"),
         F.to_date("ts").alias("vintage_date"), F.col("value").alias("close"), "event_id",
     )

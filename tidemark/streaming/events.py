@@ -52,6 +52,7 @@ def restatement_log(bars: DataFrame, log_path: str, checkpoint: str):
         log = spark.read.schema(schema).parquet(log_path).where(F.col("epoch") < epoch) if epoch else spark.createDataFrame([], schema)
         old = latest_by(log.drop("epoch"), ["symbol", "date"], F.col("seen_at"))
         moved = changed_rows(old, new, ["symbol", "date"], ["close", "adj_close"], ("volume",))
-        moved.withColumn("epoch", F.lit(epoch).cast("bigint")).select("symbol", "date", "close", "adj_close", "volume", "seen_at", "epoch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(log_path)
+        moved.withColumn("epoch", F.lit(epoch).cast("bigint")).select("symbol", "date", "close", "adj_close", "volume", "seen_at",
+            "epoch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(log_path)
 
     return bars.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
