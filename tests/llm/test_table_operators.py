@@ -13,18 +13,23 @@ from tidemark.llm.sharding import lpt_runs, shard_documents
 from tidemark.llm.topk import Candidates, farthest_first, top_k
 from tidemark.llm.url_filter import RULES, UrlTrees, judge_urls, labelled_rows
 
-ODD = [(1, None, None), (2, "", "b"), (3, "one two  three", "b"), (4, "one two  three", "c"), (4, "one two  three", "c"), (None, "x " * 5000, "a"), (6, "solo", "d")]
+ODD = [(1, None, None), (2, "", "b"), (3, "one two  three", "b"), (4, "one two  three", "c"), (4, "one two  three", "c"), (None,
+    "x " * 5000, "a"), (6, "solo", "d")]
 
 
 def test_url_rules_and_verdicts(spark):
-    urls = [None, "", "no scheme", "http://A.Example.NET/en/1?x", "http://net/", "http://x.net", "http://x.net/de", "https://example.com/de/9#t", "https://badexample.com/de/9", "http://k.org/fr/", "http://k.org/en/?a=1&b=2", "http://example.net/en", "ftp://Ä.NET/en/", "http://h?p/x"]
+    urls = [None, "", "no scheme", "http://A.Example.NET/en/1?x", "http://net/", "http://x.net", "http://x.net/de",
+        "https://example.com/de/9#t", "https://badexample.com/de/9", "http://k.org/fr/", "http://k.org/en/?a=1&b=2",
+            "http://example.net/en", "ftp://Ä.NET/en/", "http://h?p/x"]
     rows = [(i, u, "x", "y") for i, u in enumerate(urls * 3)]
     out = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string, weight string")).collect()}
     assert len(out) == len(rows)
     got = [(out[i].host, out[i].path, out[i].rule) for i in range(len(urls))]
     assert got == [
-        ("", "", None), ("", "", None), ("", "", None), ("a.example.net", "/en/1", "example.net/en/"), ("net", "/", "net/"), ("x.net", "", None), ("x.net", "/de", "net/"), ("example.com", "/de/9", "example.com/de/"),
-        ("badexample.com", "/de/9", None), ("k.org", "/fr/", "org/fr/"), ("k.org", "/en/", None), ("example.net", "/en", "net/"), ("Ä.net", "/en/", "net/"), ("h", "", None),
+        ("", "", None), ("", "", None), ("", "", None), ("a.example.net", "/en/1", "example.net/en/"), ("net", "/", "net/"), ("x.net", "",
+            None), ("x.net", "/de", "net/"), ("example.com", "/de/9", "example.com/de/"),
+        ("badexample.com", "/de/9", None), ("k.org", "/fr/", "org/fr/"), ("k.org", "/en/", None), ("example.net", "/en", "net/"), ("Ä.net",
+            "/en/", "net/"), ("h", "", None),
     ]
     assert all(r.verdict == ("allow" if r.rule in ("example.net/en/", "org/fr/") else "block") for r in out.values() if r.rule)
     assert {r.verdict for r in out.values()} == {"allow", "block"}
@@ -39,7 +44,8 @@ def brute_rule(url):
     end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
     host, tail = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
     path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
-    fits = [t for _, t in RULES if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/", 1)[0])) and path.startswith("/" + t.split("/", 1)[1])]
+    fits = [t for _, t in RULES if (host == t.split("/", 1)[0] or host.endswith("." + t.split("/",
+        1)[0])) and path.startswith("/" + t.split("/", 1)[1])]
     return host, path, max(fits, key=len, default=None)
 
 
@@ -66,9 +72,11 @@ def test_url_trees_on_held_out_hosts(spark):
 def test_top_k_is_exact(spark):
     rng = random.Random(1)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(160)]
-    rows += [(300, None, 0), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (400, [float("nan")] * 6, 0), (450, [float("inf")] + [0.0] * 5, 0), (161, [0.5] * 6, 0), (162, [0.5] * 6, 0), (None, [0.1] * 6, 0), (150, [0.5] * 6, 0)]
+    rows += [(300, None, 0), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (400, [float("nan")] * 6, 0), (450, [float("inf")] + [0.0] * 5, 0),
+        (161, [0.5] * 6, 0), (162, [0.5] * 6, 0), (None, [0.1] * 6, 0), (150, [0.5] * 6, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
-    fine = [(i, np.floor(256 * np.array(v))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, np.floor(256 * np.array(v))) for i, v,
+        _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     got = defaultdict(list)
     for r in top_k(df, candidate_block=50, query_block=2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -198,7 +206,8 @@ def test_mix_is_what_its_slots_hold(spark, make_docs):
     taken, by_shard = brute_taken(docs)
     got = mix_counts(docs, block_words=8).collect()
     assert {r.doc_id: r.taken for r in got if r.taken} == taken
-    assert {r.doc_id for r in mix_counts(docs, block_words=8, draw_seed=9).join(mix_counts(docs, block_words=8), ["doc_id", "taken"], "anti").collect()}
+    assert {r.doc_id for r in mix_counts(docs, block_words=8, draw_seed=9).join(mix_counts(docs, block_words=8), ["doc_id", "taken"],
+        "anti").collect()}
     placed = mixed_documents(docs, shard_column="shard", block_words=8).collect()
     words = Counter()
     for r in placed:

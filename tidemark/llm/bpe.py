@@ -125,7 +125,8 @@ def _codec(shared, pattern: str) -> Codec:
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decode: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decode: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers in a binary); with
     ``decode`` also ``decoded``, the ids' bytes, made by the same workers.
 
@@ -155,7 +156,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                 yield pa.record_batch(
                     [
                         pa.array([rid] * len(starts), pa.int64()), pa.array([doc_id] * len(starts), pa.int64()), pa.array(list(starts), pa.int64()),
-                        pa.array([s + step + overlap_chars >= len(text) for s in starts], pa.bool_()), pa.array([text[s : s + step + overlap_chars] for s in starts], pa.string()),
+                        pa.array([s + step + overlap_chars >= len(text) for s in starts], pa.bool_()),
+                            pa.array([text[s : s + step + overlap_chars] for s in starts], pa.string()),
                     ],
                     ["rid", "doc_id", "start", "last", "chunk"],
                 )
@@ -165,7 +167,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         for batch in batches:
             got = [codec.boundaries(c, s, last).astype("<i8").tobytes() for s, last, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             core = [c if last else c[:step] for last, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(core, pa.string()), pa.array(got, pa.binary())], ["rid", "doc_id", "start", "last", "core", "spans"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(core, pa.string()),
+                pa.array(got, pa.binary())], ["rid", "doc_id", "start", "last", "core", "spans"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         codec = _codec(shared, pattern)
@@ -174,7 +177,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         pdf = pdf.iloc[: first_last + 1]
         spans = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf["spans"]]
         ids = codec.encode_pieces(codec.stitch("".join(pdf["core"]), spans))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4], "ids": [ids]} | ({"decoded": [codec.decode(ids)]} if decode else {}))
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4],
+            "ids": [ids]} | ({"decoded": [codec.decode(ids)]} if decode else {}))
 
     short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, schema)
     chunks = (

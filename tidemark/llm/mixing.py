@@ -79,7 +79,8 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def draw_slots(blocks: list[int], wanted: list[int], shards: int = OUTPUT_SHARDS, seed: int = DRAW_SEED, most: float = MAX_REPEATS) -> list[tuple[int, int, int, int]]:
+def draw_slots(blocks: list[int], wanted: list[int], shards: int = OUTPUT_SHARDS, seed: int = DRAW_SEED,
+    most: float = MAX_REPEATS) -> list[tuple[int, int, int, int]]:
     """``(shard, source, first slot, slots)``, by shard and source, of sources 0, 1, ... with so many ``blocks`` and
     ``wanted`` slots. No source gets more than ``most`` times its blocks: what a draw gives beyond is drawn again
     among the others."""
@@ -100,7 +101,8 @@ def draw_slots(blocks: list[int], wanted: list[int], shards: int = OUTPUT_SHARDS
     return rows
 
 
-def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS, weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, draw_seed=DRAW_SEED, buckets=BUCKETS, rid_col=None):
+def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=OUTPUT_SHARDS,
+    weights=WEIGHTS, most=MAX_REPEATS, seed=SEED, draw_seed=DRAW_SEED, buckets=BUCKETS, rid_col=None):
     """``(offsets, slots, per_source)``. ``rid_col`` names a unique long column of ``docs``; without it rows are numbered.
 
     ``offsets``: each row's ``doc_id, rid, source, size, sid, first_word`` - the words of a source are laid end to
@@ -186,11 +188,13 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     offsets, slots, per_source = mix_plan(docs, **options)
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("held_by"))
     taken = blocks_of(offsets, block_words).join(times.hint("merge"), ["sid", "block"])
-    taken = taken.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("held_by")))).alias("held_by"))
+    taken = taken.groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("held_by")))).alias("held_by"))
     return (
         offsets.join(taken.hint("merge"), "rid", "left")
         .join(F.broadcast(per_source.select("sid", "source_size", "target")), "sid")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.concat_ws(",", F.col("held_by").cast("array<string>")).alias("shards"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.concat_ws(",",
+            F.col("held_by").cast("array<string>")).alias("shards"))
     )
 
 

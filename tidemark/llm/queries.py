@@ -67,7 +67,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_secrets, op4_url_filter, op5_simhash, op6_toxicity, op7_topk, op8_sharding, op9_substring_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_secrets, op4_url_filter, op5_simhash, op6_toxicity, op7_topk, op8_sharding,
+    op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -73,7 +73,8 @@ EXAMPLES = 400
 def drawn_examples(n: int = EXAMPLES, seed: int = 5) -> dict[str, list[str]]:
     """``n`` labelled credentials of each format, the same on each call."""
     rng = random.Random(seed)
-    return {name: ["".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=p[1])) for p in parts) for _ in range(n)] for name, *parts in FORMATS}
+    return {name: ["".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=p[1])) for p in parts) for _ in range(n)] for name,
+        *parts in FORMATS}
 
 
 END = ""

@@ -108,7 +108,8 @@ def _merge(root: np.ndarray, rank: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return root
 
 
-def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distance: int = MAX_DISTANCE, verify=None, direct: int | None = DIRECT) -> tuple[np.ndarray, np.ndarray]:
+def local_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_distance: int = MAX_DISTANCE, verify=None,
+    direct: int | None = DIRECT) -> tuple[np.ndarray, np.ndarray]:
     """Links ``node -> smallest node`` of the components that near pairs form within each group (groups are runs): as
     many as rows at most, however many pairs there are. ``verify(i, j)`` may turn pairs down. Groups beyond
     ``direct`` are split by blocks of the bits that vary in them."""
@@ -175,7 +176,8 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket:
     of all pairs within the distance."""
     masks = block_keys(max_distance)
     rows = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
-    large = written(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket).select("t", "key", F.lit(True).alias("large")), "simhash-large")
+    large = written(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket).select("t", "key",
+        F.lit(True).alias("large")), "simhash-large")
     rest = []
     for m in masks:
         other = [b for b in range(64) if not m >> b & 1]
@@ -198,7 +200,8 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, large_bucket:
     return split.select("t", "key", "u", "sub", "fp", "node").mapInArrow(link, "a long, b long")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+    max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per input row: ``doc_id, fp, component_id``, the smallest id reachable over links of fingerprints
     within the distance.
 
@@ -337,7 +340,8 @@ def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_b
     signatures agree too; larger ones are tied to their smallest node as they are, row by row, so that no task holds
     them."""
     enough = int(np.floor((similarity - SLACK) * _HASHES))
-    hubs = met.where((F.col("n") > large_bucket) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    hubs = met.where((F.col("n") > large_bucket) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"),
+        F.col("first").alias("b")).distinct()
     sides = met.where(F.col("n") <= large_bucket).select("t", "key", "node").join(nodes.select("node", "sig").hint("merge"), "node")
 
     def link(batches):
@@ -387,7 +391,8 @@ def _against_first(similarity: float):
                 alike = len(first.alike(_hashes(packed), similarity)) > 0
                 out.append((component, node, None if alike else packed, weight, rep if alike else None))
             types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["component", "node", "set", "weight", "rep"])
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["component", "node",
+                "set", "weight", "rep"])
 
     return run
 
@@ -430,10 +435,12 @@ def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESEN
     """
     rest, circles = sets, None
     for step in range(rounds):
-        first = rest.groupBy("component").agg(F.max(F.struct("weight", "node", "set")).alias("first")).select("component", F.col("first.node").alias("rep"), F.col("first.set").alias("rep_set"))
+        first = rest.groupBy("component").agg(F.max(F.struct("weight", "node", "set")).alias("first")).select("component",
+            F.col("first.node").alias("rep"), F.col("first.set").alias("rep_set"))
         first = written(first, f"near-first-{step}")
         pairs = rest.join(first.hint("merge"), "component").select("component", "node", "set", "weight", "rep", "rep_set")
-        met = written(pairs.mapInArrow(_against_first(similarity), "component long, node long, set binary, weight long, rep long"), f"near-round-{step}")
+        met = written(pairs.mapInArrow(_against_first(similarity), "component long, node long, set binary, weight long, rep long"),
+            f"near-round-{step}")
         found = met.where("rep is not null").select("component", "node", "rep")
         circles = found if circles is None else circles.unionByName(found)
         rest = met.where("rep is null").select("component", "node", "set", "weight")
@@ -451,14 +458,16 @@ def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESEN
 
     def dealt(side, rows, own, other, n_own, n_other):
         rows = rows.join(both.hint("merge"), "component").withColumn(own, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("component", "ab", "rb", F.lit(side).alias("side"), "node", "set")
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("component", "ab", "rb",
+            F.lit(side).alias("side"), "node", "set")
 
     cells = dealt(0, rest, "rb", "ab", "n_rest", "n_all").unionByName(dealt(1, sets, "ab", "rb", "n_all", "n_rest"))
     order = ["component", "ab", "rb"]
     return links.unionByName(cells.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_meet_cells(similarity), "a long, b long"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, group_sets: int = GROUP_SETS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    group_sets: int = GROUP_SETS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
     shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
     its own, directly or over others.
@@ -486,7 +495,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hashes = shingle_set(text.as_py())
                 if set_digest(hashes) == digest:
                     out.append((component, node, hashes.astype("<u8").tobytes()))
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["component", "node", "set"])
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 3,
+                (pa.int64(), pa.int64(), pa.binary()))], ["component", "node", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary").where("digest is not null"), "near-prints")
@@ -507,7 +517,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         weights = met.groupBy("node").agg(F.sum("n").alias("weight"))
         links = links.unionByName(large_group_links(large.join(weights.hint("merge"), "node"), similarity))
     linked = connected_components(written(links, "near-links"))
-    label = written(nodes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "near-labels")
+    label = written(nodes.join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component",
+        "node").alias("component_id")), "near-labels")
     release(nodes, members, met, sets)
     return found.select("doc_id", "digest").join(label.hint("merge"), "digest").select("doc_id", "component_id")
 

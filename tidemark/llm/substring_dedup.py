@@ -115,11 +115,13 @@ def _text_id(sha: str) -> int:
 
 
 _A = "kind string, bucket int, id long, n long, sha string, a binary, b binary"
-_A_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+_A_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("a",
+    pa.binary()), ("b", pa.binary())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([],
+        t) for t in schema.types], schema=schema)
 
 
 def _find_anchors(bucket_bits: int):
@@ -184,7 +186,8 @@ def _meet_anchors(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 _B = "kind string, bucket int, doc_id long, sha string, text binary, a binary, b binary"
-_B_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_B_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.string()), ("text", pa.binary()),
+    ("a", pa.binary()), ("b", pa.binary())])
 
 
 def candidate_windows(hashes: np.ndarray, shared: np.ndarray, bucket_bits: int) -> np.ndarray:
@@ -220,7 +223,8 @@ def _find_windows(anchor_bits: int, bucket_bits: int):
         parts, held = [], 0
         for batch in batches:
             out = []
-            for doc_id, text, sha, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for doc_id, text, sha, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(),
+                batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = (text or b"").split()
                 if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
                     continue  # another text under a repeated id
@@ -309,13 +313,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lost = windows.where("kind = 'W'").select("bucket", "a", "b").groupBy("bucket").applyInPandas(_meet_windows, "doc_id long, a binary")
     lost = windows.where("kind = 'X'").select("doc_id", "a").unionByName(lost).groupBy("doc_id").agg(F.collect_list("a").alias("keys"))
     texts = windows.where("kind = 'T'").select("doc_id", "sha", "text").dropDuplicates(["doc_id", "sha"])
-    cut = texts.join(lost, "doc_id").select("doc_id", "sha", "text", "keys").mapInArrow(_cut, "c_id long, c_sha string, n_removed long, kept_text binary")
+    cut = texts.join(lost, "doc_id").select("doc_id", "sha", "text", "keys").mapInArrow(_cut,
+        "c_id long, c_sha string, n_removed long, kept_text binary")
 
     marked = whole.join(smallest, "sha", "left").withColumn("copy", (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW))
     out = marked.join(cut, (F.col("sha") == F.col("c_sha")) & (F.col("doc_id") == F.col("c_id")), "left")  # by id too: copies share a digest
     copy = F.coalesce("copy", F.lit(False))
     removed = F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return out.select("doc_id", F.col("n").alias("n_words"), removed.cast("long").alias("n_removed"), F.col("sha").alias("whole_sha256"), F.when(~copy, F.col("kept_text")).alias("kept_text"))
+    return out.select("doc_id", F.col("n").alias("n_words"), removed.cast("long").alias("n_removed"), F.col("sha").alias("whole_sha256"),
+        F.when(~copy, F.col("kept_text")).alias("kept_text"))
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,8 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     component are left out, and so are rows with a null id."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v,
+        lambda x: F.floor(x * scale)).alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
@@ -118,13 +119,16 @@ def _blocks(rows: DataFrame, n_rows: int, size: int, width: int, pivots: np.ndar
         pdf = pdf.sort_values("vec_id")
         m = _matrix(pdf["v"].tolist(), width)
         narrow = bool(np.abs(m).max(initial=0) < 1 << 31)
-        return pd.DataFrame({name: pdf["block"].iloc[:1], f"{name}_narrow": [narrow], f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.astype(np.int32 if narrow else np.int64).tobytes()], f"{name}_far": [_distances(m, pivots).tobytes()]})
+        return pd.DataFrame({name: pdf["block"].iloc[:1], f"{name}_narrow": [narrow],
+            f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
+                f"{name}_m": [m.astype(np.int32 if narrow else np.int64).tobytes()], f"{name}_far": [_distances(m, pivots).tobytes()]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     return dealt.groupBy("block").applyInPandas(pack, f"{name} int, {name}_narrow boolean, {name}_ids binary, {name}_m binary, {name}_far binary")
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, n_pivots: int = PIVOTS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY,
+    n_pivots: int = PIVOTS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_every``, its ``k`` highest
     integer inner products with all other rows; fewer rows give fewer results.
 
@@ -154,7 +158,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 side = {}
                 for s in ("c", "q"):
                     kind = np.int32 if row[f"{s}_narrow"] else np.int64
-                    side[s] = (np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_m"], kind).astype(np.int64).reshape(-1, width), np.frombuffer(row[f"{s}_far"], np.float64).reshape(-1, n_p))
+                    side[s] = (np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_m"], kind).astype(np.int64).reshape(-1,
+                        width), np.frombuffer(row[f"{s}_far"], np.float64).reshape(-1, n_p))
                 block, of_pivots = Candidates(*side["c"]), Candidates(np.arange(n_p), pivots, np.zeros((n_p, 0)))
                 out_q, out_id, out_score = [], [], []
                 for q_id, q_v, q_far in zip(*side["q"]):
@@ -165,7 +170,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                     out_q.append(np.full(len(found), q_id))
                     out_id.append(found)
                     out_score.append(score)
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_id, out_score)], ["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_id, out_score)], ["query_id",
+                    "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -184,7 +184,8 @@ def fit(rows: list[np.ndarray], words: list[np.ndarray], labels: np.ndarray, sha
         z = bias[0] + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - square)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) * weight[part] / BATCH
         each = np.concatenate([g[own, None], g[own, None] * (total[own, 1:] - at_term[:, 1:])], axis=1)
-        for value, m, s, grad in ((bias, mean[0], spread[0], np.array([g.sum()])), (table, mean[1], spread[1], _sums(each, active, len(kept)) + L2 * table)):
+        for value, m, s, grad in ((bias, mean[0], spread[0], np.array([g.sum()])), (table, mean[1], spread[1],
+            _sums(each, active, len(kept)) + L2 * table)):
             m[...] = 0.9 * m + 0.1 * grad
             s[...] = 0.999 * s + 0.001 * grad**2
             value -= LEARNING_RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -220,15 +221,18 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 each = [terms(w) for w in words_of(text.as_py())]
                 whole.append(np.unique([t[0] for t in each]).astype("<i4").tobytes())
                 out.append(np.unique([t for found in each for t in found]).astype("<i4").tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(whole, pa.binary())], ["id", "y", "terms", "words"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(whole, pa.binary())], ["id", "y",
+                "terms", "words"])
 
     def fitted(batches):
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary()), ("words", pa.binary())]))
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary()),
+            ("words", pa.binary())]))
         got = got.sort_by([("id", "ascending"), ("terms", "ascending")])
         rows, words = ([np.frombuffer(b, "<i4") for b in got.column(c).to_pylist()] for c in ("terms", "words"))
         model = fit(rows, words, np.array(got.column("y").to_pylist(), np.int64), share)
         names = np.array(list(model.index), np.int64)
-        yield pa.record_batch([pa.array([model.bias]), *(pa.array([x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes()], pa.binary()) for x in (names, model.weights, model.factors))], ["bias", "names", "weights", "factors"])
+        yield pa.record_batch([pa.array([model.bias]), *(pa.array([x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes()],
+            pa.binary()) for x in (names, model.weights, model.factors))], ["bias", "names", "weights", "factors"])
 
     sample = picked.select("id", "y", "text").mapInArrow(hashed, "id long, y int, terms binary, words binary")
     sample = sample.groupBy("id", "y").agg(F.max(F.struct("terms", "words")).alias("of")).select("id", "y", "of.terms", "of.words").coalesce(1)
@@ -236,7 +240,8 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if got is None:
         return fit([], [], np.zeros(0, np.int64))
     names = np.frombuffer(got.names, "<i8").tolist()
-    return FactorModel(got.bias, {k: i for i, k in enumerate(names)}, np.frombuffer(got.weights, "<f8"), np.frombuffer(got.factors, "<f8").reshape(-1, FACTORS))
+    return FactorModel(got.bias, {k: i for i, k in enumerate(names)}, np.frombuffer(got.weights, "<f8"), np.frombuffer(got.factors,
+        "<f8").reshape(-1, FACTORS))
 
 
 class _Scorer:

@@ -34,7 +34,8 @@ LEAST_LEAF = 40
 
 KEYS = ("tld", "suffix", "segment")
 FEATURES = (
-    "length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "extension", "secure", *(f"{k}_rate" for k in KEYS)
+    "length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "fragment", "extension", "secure",
+        *(f"{k}_rate" for k in KEYS)
 )
 
 
@@ -108,7 +109,8 @@ class UrlTrees:
         known = rows.where("label is not null")
         known = known if without_fold is None else known.where(F.col("fold") != without_fold)
         listed = F.col("ruled").isNotNull()
-        sizes = {r.listed: (r.n, r.blocked) for r in known.groupBy(listed.alias("listed")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).collect()}
+        sizes = {r.listed: (r.n, r.blocked) for r in known.groupBy(listed.alias("listed")).agg(F.count(F.lit(1)).alias("n"),
+            F.sum("label").alias("blocked")).collect()}
         n, blocked = sizes.get(True, (0, 0.0))
         free = sizes.get(False, (0, 0.0))[0]
         self.model, self.only = None, "block" if n and blocked else "allow"
@@ -118,12 +120,14 @@ class UrlTrees:
         sums = [F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("mass")]
         self.counts = {k: written(known.groupBy(F.col(k), F.col("fold").alias("of_fold")).agg(*sums), f"url-{k}") for k in KEYS}
         first = [F.xxhash64("url"), F.col("page_id")]
-        parts = [known.where(which).orderBy(*first).limit(sample).withColumn("weight", F.col("weight") * max(1.0, total / sample)) for which, total in ((listed, n), (~listed, free))]
+        parts = [known.where(which).orderBy(*first).limit(sample).withColumn("weight", F.col("weight") * max(1.0,
+            total / sample)) for which, total in ((listed, n), (~listed, free))]
         chosen = written(parts[0].unionByName(parts[1]), "url-sample")
         for k, counts in self.counts.items():
             pairs = chosen.select(k, "fold").distinct().join(counts, k).where("fold <> of_fold")
             chosen = chosen.join(pairs.groupBy(k, "fold").agg(self._rate(k)), [k, "fold"], "left").fillna(self.prior, f"{k}_rate")
-        trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_LEAF, seed=SEED, stepSize=0.3)
+        trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_LEAF,
+            seed=SEED, stepSize=0.3)
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         self.model = trees.fit(self.assembler.transform(chosen).select("features", "label", "weight"))
 
