@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import draw_slots, mix_counts, mix_plan, mixed_documents, permuted, targets
 from tidemark.llm.sharding import lpt_runs, shard_documents
@@ -258,6 +259,31 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(str(tuple(r)) for r in QUERIES[name](spark, d).select(*cols).collect()) == want
 
 
+def test_stages_on_odd_rows_and_on_none(spark, make_docs, tmp_path):
+    """Null ids, null, blank, repeated and very long texts, columns with names that the operators use, no rows."""
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, 0, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    long = " ".join(f"w{i % 7919}" for i in range(40000))
+    rows = [*ODD, (None, None, None), (8, " \t ", "b"), (9, long, "a"), (9, long, "a"), (10, long + " end", "c"), (11, "x" * 200000, None)]
+    clash = {c: F.lit(1) for c in ("gone_id", "__id", "norm", "runs", "shard", "node", "component", "open", "grp", "digit", "label")}
+    docs, none = make_docs(rows).withColumns(clash), make_docs([]).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, none, d)
+        assert empty.columns == none.columns and empty.count() == 0, name
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = [(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()]
+        assert len(got) <= 3 * len(rows) and {x for x, _ in got} <= {x for x, _, _ in rows}, name
+        if name == "exact_dedup":
+            kept = [(2, ""), (4, "one two  three"), (6, "solo"), (None, "x " * 5000), (8, " \t "), (9, long), (10, long + " end"), (11, "x" * 200000)]
+            assert sorted(got, key=str) == sorted(kept, key=str)
+        if name == "near_dedup":  # 3 and 4 share a text, 9 and 10 nearly; rows of one id go together
+            assert {x for x, _ in got} == {1, 2, 3, 6, 8, 9, 11, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, none, d).count() == 0
+
+
 def test_pipeline_runs_each_stage(spark):
     import corpus_pipeline
 

@@ -79,15 +79,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names. Rows that repeat an id and its
-    text leave one row; rows that share an id but not the text are judged as one: they stay if any of them is kept.
-    Null text counts as empty; rows of a null id are judged as one; an empty table gives no rows."""
-    gone_id, norm = fresh_names(docs, "gone_id", "norm")
-    groups = written(exact_groups(docs, id_col, text_col).select("doc_id", "kept"), "exact-kept")
-    by_id = groups.groupBy(F.col("doc_id").alias(gone_id)).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
-    gone = by_id.where("not any_kept").select(gone_id)
-    left = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
-    if by_id.where("n > 1").isEmpty():
-        return left
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: of each group of equal texts one.
+    A row is told by its id and its text's digest, so rows that share an id, or have none, are judged each for itself;
+    rows that repeat both leave one row. Null text counts as empty; an empty table gives no rows."""
+    gone_id, gone_sha, sha, norm = fresh_names(docs, "gone_id", "gone_sha", "sha", "norm")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return left.withColumn(norm, ascii_lower(text)).dropDuplicates([id_col, norm]).drop(norm)
+    groups = written(exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "exact-kept")
+    rows = groups.groupBy(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n"))
+    rows = written(rows.where("n > 1 or not any_kept"), "exact-gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha))
+    left = docs.withColumn(sha, F.sha2(ascii_lower(text), 256)).join(rows.where("not any_kept").select(gone_id, gone_sha), same, "left_anti")
+    if rows.where("any_kept").isEmpty():
+        return left.drop(sha)
+    return left.withColumn(norm, ascii_lower(text)).dropDuplicates([id_col, norm]).drop(norm, sha)
