@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql as sql_functions
-from tidemark.operators import coverage, evaluate, guidance, history, macro, narrative, rag, risk, scoring, text
-from tidemark.plans.catalog import _CARD, _COMMON, _F, _LOC, _LW, _NEWS, _P, _PORT, _RET, _SH, _SIG, _SW, _W, _BARS
-from tidemark.plans.catalog import _book, _made_cards, _r, _signals, query, rounded
+from tidemark.operators import coverage, evaluate, guidance, history, macro, narrative, pit, rag, risk, scoring, text
+from tidemark.plans import runtime
+from tidemark.plans.catalog import _BARS, _CARD, _COMMON, _F, _GB, _LOC, _LW, _NEWS, _P, _PORT, _RATIOS, _RET, _SERIES, _SH, _SIG, _SW, _W, AS_OF
+from tidemark.plans.catalog import _book, _cards, _event_sql, _made_cards, _r, _signals, query, rounded
+from tidemark.sources import files, sinks
 from tidemark.sources.sinks import replaced_news
 from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, prices, sectors, table
 
@@ -355,3 +357,144 @@ def gathered_hits(spark, d):
     hits = _hits(spark, d).select("question", F.col("label").alias("source"), F.col("vec_id").alias("chunk_index"),
         (F.round("distance", 9) + F.lit(0.0)).alias("distance"))
     return rounded(rag.gather(hits, 6))
+
+
+# Small reads and views
+
+
+@query(f"""WITH {_P} SELECT symbol, date, {_r('close')}, {_r('adj_close')}, volume FROM prices
+    WHERE symbol IN ('1', '2', '3') AND date <= DATE '{AS_OF}'""")
+def panel_of_symbols(spark, d):
+    return rounded(pit.panel(prices(spark, d), AS_OF, ["1", "2", "3"]))
+
+
+@query(f"""WITH {_NEWS}, e AS (SELECT symbol, doc_id, polarity, {_event_sql('lower(text)')} AS event FROM news)
+    SELECT symbol, doc_id, event FROM e WHERE symbol = 'S4' AND sign(polarity) = 0 AND event IS NOT NULL""")
+def newsroom(spark, d):
+    """Catalysts of one name that are neither good nor bad news."""
+    n = headlines(spark, d).withColumns({"polarity": text.polarity(F.col("text")), "event": text.event_class(F.col("text"))})
+    return text.newsroom(n, "S4", 0, catalysts_only=True).select("symbol", "doc_id", "event")
+
+
+@query(f"""WITH {_P}, n AS (SELECT symbol, count(*) AS n FROM prices GROUP BY symbol)
+    SELECT symbol, concat_ws('; ', CASE WHEN n < 252 THEN 'only ' || n || ' observations for VaR' END,
+    CASE WHEN n % 97 < 60 THEN 'only ' || n % 97 || ' observations for covariance' END) AS warnings FROM n""")
+def data_warnings(spark, d):
+    n = prices(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("symbol", F.concat_ws("; ", risk.data_warnings(F.col("n"), F.col("n") % 97)).alias("warnings"))
+
+
+@query("SELECT 'U' || user_id AS symbol, false AS this_hour, true AS this_century FROM events GROUP BY user_id")
+def freshness(spark, d):
+    e = _runs(spark, d).select("symbol", F.col("run_at").cast("timestamp").alias("ingested_at"))
+    hour, century = sinks.is_fresh(e, 1), sinks.is_fresh(e, 876_000)
+    return hour.select("symbol", F.col("fresh").alias("this_hour")).join(century.select("symbol", F.col("fresh").alias("this_century")), "symbol")
+
+
+@query("""WITH h AS (SELECT 'U' || user_id AS symbol, event_type AS trend, value AS attention, ts AS run_at FROM events)
+    SELECT symbol, arg_max(trend, run_at) AS trend, round(arg_max(attention, run_at), 6) + 0.0 AS attention FROM h GROUP BY symbol""")
+def prior_snapshots(spark, d):
+    """The last snapshot of every name at once."""
+    e = table(spark, d, "events")
+    runs = e.select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("event_type").alias("trend"), F.col("value").alias("attention"), F.col("ts").alias("run_at"))
+    return rounded(scoring.latest_snapshots(runs))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'SYM' || c_custkey || '.NS' ELSE 'sym' || c_custkey || '.bo' END AS symbol,
+    CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'SYM' || c_custkey END AS name FROM customer""")
+def company_names(spark, d):
+    """Names on file, else the symbol without its exchange."""
+    k = F.col("c_custkey")
+    symbol = F.when(k % 3 == 0, F.format_string("SYM%d.NS", k)).otherwise(F.format_string("sym%d.bo", k))
+    c = table(spark, d, "customer").withColumn("symbol", symbol)
+    known = c.select("symbol", F.when(k % 3 == 0, F.col("c_name")).alias("name"))
+    return files.company_names(c.select("c_custkey", "symbol"), known).select("c_custkey", "symbol", "name")
+
+
+@query("""SELECT event_id, 'h' || event_id AS headline, event_type AS publisher FROM events
+    UNION ALL SELECT event_id, 'second', NULL FROM events WHERE event_type = 'click'""")
+def news_in_replies(spark, d):
+    """Items read out of a model's reply, with prose around them and items that are none."""
+    second = F.when(F.col("event_type") == "click", F.lit('{"headline": "second"}')).otherwise(F.lit('{"title": "no headline"}'))
+    reply = F.format_string('Here you are:\n[{"headline": "h%d", "publisher": "%s"}, %s]\nThat is all.', "event_id", "event_type", second)
+    items = F.explode(sinks.parse_news(reply)).alias("item")
+    return table(spark, d, "events").select("event_id", items).select("event_id", "item.headline", "item.publisher")
+
+
+@query("""WITH a AS (SELECT n_name AS symbol, 0 AS list, n_nationkey AS ord FROM nation), b AS (SELECT upper(r_name) AS symbol, 1 AS list, r_regionkey AS ord FROM region),
+    u AS (SELECT symbol, min({'list': list, 'ord': ord}) AS first_at FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT symbol, 2, ord FROM a) GROUP BY symbol)
+    SELECT symbol, row_number() OVER (ORDER BY first_at) AS place FROM u""")
+def universe(spark, d):
+    """Three lists as one, each symbol where it first appears."""
+    a = table(spark, d, "nation").select(F.col("n_name").alias("symbol"), F.col("n_nationkey").alias("ord"))
+    b = table(spark, d, "region").select(F.upper("r_name").alias("symbol"), F.col("r_regionkey").alias("ord"))
+    return files.universe(a, b, a).coalesce(1).select("symbol", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+_CALLS = """calls AS (SELECT event_type || '-large' AS model, CAST(json_extract(props, '$.k') AS BIGINT) * 10 AS input_tokens, CAST(json_extract(props, '$.k') AS BIGINT) AS output_tokens, value AS latency_ms FROM events),
+    priced AS (SELECT *, CASE WHEN model LIKE 'click%' THEN input_tokens / 1e6 * 3 + output_tokens / 1e6 * 15 WHEN model LIKE 'error%' THEN input_tokens / 1e6 * 1 + output_tokens / 1e6 * 5 END AS cost FROM calls)"""
+
+
+@query(f"""WITH {_CALLS} SELECT count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+    {_r('sum(latency_ms)', 'latency_ms', 2)}, {_r('sum(cost)', 'cost')}, bool_and(cost IS NOT NULL) AS complete FROM priced""")
+def trace_totals(spark, d):
+    """Calls priced by the longest prefix of their model's name; models without a price leave the total incomplete."""
+    e, k = table(spark, d, "events"), F.get_json_object("props", "$.k").cast("bigint")
+    calls = e.select(F.concat("event_type", F.lit("-large")).alias("model"), (k * 10).alias("input_tokens"), k.alias("output_tokens"), F.col("value").alias("latency_ms"))
+    rates = spark.createDataFrame([("cl", 9.0, 9.0), ("click", 3.0, 15.0), ("error-", 1.0, 5.0)], "prefix string, per_m_in double, per_m_out double")
+    out = runtime.trace_summary(runtime.priced(calls, rates))
+    return out.withColumns({"latency_ms": F.round("latency_ms", 2) + F.lit(0.0), "cost": F.round("cost", 6) + F.lit(0.0)})
+
+
+# Cards
+
+
+_TRENDS = f"""{_P}, {_SERIES}, te AS (SELECT symbol, close AS last_close, CASE WHEN sma200 IS NOT NULL THEN CASE WHEN abs(close / sma200 - 1) < 0.02 THEN 'sideways' WHEN close > sma200 THEN 'uptrend' ELSE 'downtrend' END
+    WHEN sma50 IS NOT NULL THEN CASE WHEN close > sma50 THEN 'uptrend' ELSE 'downtrend' END ELSE '—' END AS trend FROM ser WHERE back = 1 AND (SELECT count(*) FROM prices p WHERE p.symbol = ser.symbol) >= 30)"""
+
+
+@query(f"""WITH {_TRENDS}, {_LOC}, hw AS (SELECT symbol, s_acctbal * lc AS mv, s_acctbal * lc / sum(s_acctbal * lc) OVER () AS weight, r_name AS sector
+    FROM (SELECT symbol, arg_max(close, date) AS lc FROM prices GROUP BY symbol) JOIN loc ON symbol = CAST(s_suppkey AS VARCHAR) WHERE s_acctbal > 0),
+    ma AS (SELECT symbol, weight * 100 AS weight_pct, sector, sum(weight) OVER (PARTITION BY sector) * 100 AS sector_weight_pct FROM hw), {_RATIOS},
+    fu AS (SELECT symbol, period_end AS latest_quarter, {_GB('net_income_yoy_pct')} AS earnings_growth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS n, count(*) OVER (PARTITION BY symbol) AS k FROM rat) WHERE n = 1 AND k >= 2),
+    {_NEWS}, se AS (SELECT CAST(doc_id % 100 AS VARCHAR) AS symbol, count(*) AS n_articles, avg(polarity) AS mean_polarity FROM news GROUP BY 1)
+    SELECT symbol, {_r('last_close', places=4)}, trend, {_r('weight_pct', places=4)}, latest_quarter, earnings_growth, sector, {_r('sector_weight_pct', places=4)}, n_articles, {_r('mean_polarity', places=4)}
+    FROM te LEFT JOIN ma USING (symbol) LEFT JOIN fu USING (symbol) LEFT JOIN se USING (symbol)""")
+def card_fields(spark, d):
+    """Cards of all names with a technical reading, the other readings joined on."""
+    fields = ("symbol", "last_close", "trend", "weight_pct", "latest_quarter", "earnings_growth", "sector", "sector_weight_pct", "n_articles", "mean_polarity")
+    return rounded(_cards(spark, d).select(*fields), 4)
+
+
+_PCT = lambda x: f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+@query(f"""WITH {_CARD} SELECT symbol, array_to_string(list_filter([CASE WHEN rc >= 40 THEN 'top risk contributor — ' || {_PCT('rc')} || '% of book risk (≥ 40% limit)' WHEN rc >= 25 THEN {_PCT('rc')} || '% of book risk' END,
+    CASE WHEN momentum IN ('overbought', 'oversold') THEN momentum END, CASE WHEN trend = 'downtrend' THEN 'in a downtrend' END, CASE WHEN mt = 'contracting' THEN 'margins contracting' END,
+    CASE WHEN sw >= 40 THEN 'sector is ' || {_PCT('sw')} || '% of the book' END, CASE WHEN abs(mp) >= 0.3 THEN {_SENT} || ' news flow (5 headlines)' END,
+    CASE WHEN ip >= 70 OR ip <= 15 THEN 'institutional holding ' || {_PCT('ip')} || '%' END], lambda x: x IS NOT NULL)[1:4], ' | ') AS drivers FROM c""")
+def attention_drivers(spark, d):
+    return scoring.attention(_made_cards(spark, d)).select("symbol", F.concat_ws(" | ", "drivers").alias("drivers"))
+
+
+@query(f"""WITH {_CARD} SELECT symbol, coalesce(rc >= 40, false) OR coalesce(trend = 'downtrend' AND level = 'near lows', false) OR coalesce(eg = 'declining', false)
+    OR coalesce(mt = 'contracting', false) OR coalesce(mp < -0.15, false) AS flagged FROM c""")
+def briefing_flags(spark, d):
+    """Which names a briefing flags; its order is tested elsewhere."""
+    made = scoring.confidence(scoring.attention(_made_cards(spark, d)))
+    return scoring.briefing(made).select("symbol", "flagged")
+
+
+@query(f"""WITH {_CARD} SELECT symbol, CAST(round((coalesce(CASE WHEN rc IS NOT NULL THEN round(greatest(0.0, least(100.0, 100 * rc / 40)), 1) END, 0) * 2 + coalesce(CASE WHEN sw IS NOT NULL THEN round(greatest(0.0, least(100.0, 100 * sw / 40)), 1) END, 0))
+    / nullif((rc IS NOT NULL)::INT * 2 + (sw IS NOT NULL)::INT, 0) + 1e-9, 1) AS DOUBLE) AS attention FROM c""")
+def attention_reweighted(spark, d):
+    """Attention by weights of one's own: the book's risk twice, its sector once, nothing else."""
+    own = {"risk": 2.0, "macro": 1.0, "technical": 0.0, "fundamental": 0.0, "sentiment": 0.0, "ownership": 0.0}
+    return scoring.attention(_made_cards(spark, d), own).select("symbol", "attention")
+
+
+@query(f"""WITH {_CARD} SELECT symbol, CASE WHEN mt = 'expanding' AND mp > 0.5 THEN 'margins and news both up' END AS alert FROM c""")
+def own_alert_rules(spark, d):
+    """Alerts by a rule of one's own."""
+    rule = F.when((F.col("margin_trend") == "expanding") & (F.col("mean_polarity") > 0.5), F.lit("margins and news both up"))
+    return scoring.alerts(_made_cards(spark, d), [rule]).select("symbol", F.get("alerts", F.lit(0)).alias("alert"))
