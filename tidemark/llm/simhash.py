@@ -237,6 +237,8 @@ SLACK = 0.2
 #: A group of candidates is decided in one task up to so many sets and bytes; else by representatives, one a round,
 #: and then in blocks of so many sets and bytes.
 GROUP_SETS = 2048
+#: Nodes of a key whose signatures one task compares; larger keys are tied to their smallest node, row by row.
+KEY_NODES = 256
 GROUP_BYTES = 64 << 20
 REPRESENTATIVES = 4
 BLOCK_SETS = 1024
@@ -335,7 +337,7 @@ def met_nodes(nodes: DataFrame) -> DataFrame:
     return met
 
 
-def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_bucket: int = KEY_NODES) -> DataFrame:
     """Links ``a, b`` between nodes that share a table's key. In buckets of ``large_bucket`` nodes or less only where
     signatures agree too; larger ones are tied to their smallest node as they are, row by row, so that no task holds
     them."""
@@ -467,7 +469,7 @@ def large_group_links(sets: DataFrame, similarity: float, rounds: int = REPRESEN
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    group_sets: int = GROUP_SETS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    group_sets: int = GROUP_SETS, large_bucket: int = KEY_NODES) -> DataFrame:
     """``doc_id, component_id`` of each row that has words: its near copies are the texts whose sets of five-word
     shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
     its own, directly or over others.
