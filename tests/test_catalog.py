@@ -3,27 +3,27 @@
 import duckdb
 import pytest
 
+from tidemark.plans import flows  # noqa: F401  adds its queries
+from tidemark.plans.catalog import ORACLE_SQL
+
 SF = "/root/testdata/sf0.001"
-CHECKED = ("price_panel", "vintage_asof", "upsert_latest", "fund_asof", "coverage_matrix", "sma_dials", "macd_terminal", "yoy_fundamentals",
-    "sector_exposure", "sentiment_scores", "event_tags", "ewma_cov", "hhi", "xs_zscore", "attention_scores", "deltas", "knn_cosine",
-        "sessions", "rollup_cube")
 
 
 def shown(v):
     return f"{v + 0.0:.6g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
-    from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+    from tidemark.plans.catalog import QUERIES
 
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    want = con.execute(f"select {', '.join(cols)} from ({ORACLE_SQL[name]})").fetchall()
+    want = con.execute(f"select {', '.join(f'"{c}"' for c in cols)} from ({ORACLE_SQL[name]})").fetchall()
     got = df.select(*cols).collect()
     assert sorted(tuple(map(shown, r)) for r in got) == sorted(tuple(map(shown, r)) for r in want)
 
