@@ -468,7 +468,7 @@ def beta(spark, d):
 
 @query(f"""WITH {_COMMON}, {_W}, {_PORT}, c AS (SELECT unnest([0.95, 0.99]) AS confidence), q AS (SELECT 0.95 AS confidence, quantile_cont(ret, 0.05)
     AS q FROM port UNION ALL SELECT 0.99, quantile_cont(ret, 0.01) FROM port)
-    SELECT {_r('confidence')}, {_r('-max(q)', 'var')}, {_r('-avg(ret) FILTER (ret <= q)', 'cvar')} FROM port, q GROUP BY confidence""")
+    SELECT {_r('confidence')}, {_r('-max(q)', 'var')}, {_r('-avg(ret) FILTER (ret <= q)', 'cvar')} FROM q LEFT JOIN port ON true GROUP BY confidence""")
 def var_cvar(spark, d):
     _, w, r = _book(spark, d)
     p = risk.portfolio_returns(r, w)
@@ -533,7 +533,7 @@ def position_values(spark, d):
     1 / sum(weight * weight) >= 3, '' FROM wts
     UNION ALL SELECT 'max days-to-liquidate', max(mv / (0.20 * median_traded)), 5.0, max(mv / (0.20 * median_traded)) <= 5, '' FROM wts JOIN tv USING
     (symbol))
-    SELECT metric, {_r('value')}, CAST(limit_ AS DOUBLE) AS "limit", ok, note FROM ch""")
+    SELECT metric, {_r('value')}, CAST(limit_ AS DOUBLE) AS "limit", ok, note FROM ch WHERE value IS NOT NULL""")
 def limits(spark, d):
     p, w, r = _book(spark, d)
     s = risk.common_sample(r)
