@@ -124,8 +124,9 @@ class UrlTrees:
             total / sample)) for which, total in ((listed, n), (~listed, free))]
         chosen = written(parts[0].unionByName(parts[1]), "url-sample")
         for k, counts in self.counts.items():
-            pairs = chosen.select(k, "fold").distinct().join(counts, k).where("fold <> of_fold")
-            chosen = chosen.join(pairs.groupBy(k, "fold").agg(self._rate(k)), [k, "fold"], "left").fillna(self.prior, f"{k}_rate")
+            keys = F.broadcast(chosen.select(k, "fold").distinct())  # as many rows as the sample at most
+            rates = counts.join(keys, k).where("fold <> of_fold").groupBy(k, "fold").agg(self._rate(k))
+            chosen = chosen.join(F.broadcast(rates), [k, "fold"], "left").fillna(self.prior, f"{k}_rate")
         trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAST_LEAF,
             seed=SEED, stepSize=0.3)
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
