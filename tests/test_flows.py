@@ -163,6 +163,24 @@ def test_run_events_in_order(spark):
     assert trace.timed("a", "m", lambda: ("said", 3, 4)) == "said" and trace.calls[0][:4] == ("a", "m", 3, 4)
 
 
+def test_events_as_a_stream():
+    def run(emit):
+        emit("run_start", {})
+        emit("card", {"rank": 1})
+        raise ValueError("no prices")
+
+    got = list(runtime.streamed(run, 0.0))
+    assert [kind for kind, _ in got] == ["run_start", "card", "error", "end"] and got[2][1] == {"error": "no prices"}
+
+
+def test_command_line(capsys):
+    from tidemark.__main__ import main
+
+    assert main(["list"]) == 0 and "price_panel" in capsys.readouterr().out
+    assert main(["brief", SF, "3"]) == 0 and len(capsys.readouterr().out.splitlines()) == 3
+    assert main(["nothing"]) == 2
+
+
 def test_deep_read_and_research():
     out = narrative.deep_read("facts", {"bull": lambda f: {"summary": "b"}, "bear": lambda f: 1 / 0}, lambda f,
         words: {"headline": sorted(k for k, w in words.items() if w)})

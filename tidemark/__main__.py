@@ -1,4 +1,5 @@
-"""``python -m tidemark list`` names the queries, ``python -m tidemark run NAME SF_DIR [ROWS]`` shows one's result."""
+"""``python -m tidemark list`` names the queries, ``run NAME SF_DIR [ROWS]`` shows one's result, ``explain NAME SF_DIR`` its
+plan, ``check SF_DIR`` what each symbol has, ``brief SF_DIR [ROWS]`` the names that ask for attention."""
 
 from __future__ import annotations
 
@@ -16,6 +17,16 @@ def main(args: list[str]) -> int:
     if args[:1] == ["run"] and len(args) in (3, 4) and args[1] in QUERIES:
         QUERIES[args[1]](session(), args[2]).show(int(args[3]) if len(args) == 4 else 20, truncate=False)
         return 0
+    if args[:1] == ["explain"] and len(args) == 3 and args[1] in QUERIES:
+        QUERIES[args[1]](session(), args[2]).explain("formatted")
+        return 0
+    if args[:1] == ["check"] and len(args) == 2:
+        QUERIES["data_check"](session(), args[1]).orderBy("symbol").show(1000, truncate=False)
+        return 0
+    if args[:1] == ["brief"] and len(args) in (2, 3):
+        for r in QUERIES["briefing"](session(), args[1]).limit(int(args[2]) if len(args) == 3 else 20).collect():
+            print(f"{r.symbol:>12}  {r.attention!s:>6}  {r.confidence_level:<6}  {' | '.join(r.alerts)}")
+        return 0
     print(__doc__, file=sys.stderr)
     return 2
 

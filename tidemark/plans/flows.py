@@ -11,7 +11,7 @@ from tidemark.plans.catalog import _BARS, _CARD, _COMMON, _F, _GB, _LOC, _LW, _N
 from tidemark.plans.catalog import _book, _cards, _event_sql, _made_cards, _r, _signals, query, rounded
 from tidemark.sources import files, sinks
 from tidemark.sources.sinks import replaced_news
-from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, prices, sectors, table
+from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, prices, region_prices, sectors, table
 
 # Run history: events as runs
 
@@ -208,6 +208,13 @@ def sector_neutral_known(spark, d):
     return rounded(evaluate.sector_neutral(_signals(spark, d), known).select("signal", "symbol", "date", "sig"))
 
 
+@query(f"""WITH {_RET}, b AS (SELECT symbol, date, adj_close AS p, last_value(adj_close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM rp)
+    SELECT symbol, date, {_r('p / base - 1', 'ret')} FROM b""")
+def padded_returns(spark, d):
+    """Simple returns that span the gaps of a panel."""
+    return rounded(risk.returns(region_prices(spark, d), gap_fill="pad").select("symbol", "date", "ret"))
+
+
 # News
 
 

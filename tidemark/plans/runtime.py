@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import copy
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from queue import Queue
+from threading import Thread
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +86,25 @@ def narrated(cards: list[dict], narrate: Callable[[dict], dict] | None, on_event
     return out
 
 
+def streamed(run: Callable[[Callable[[str, dict], None]], object], pace: float = 0.14) -> Iterator[tuple[str, dict]]:
+    """Events of ``run`` as they come, at least ``pace`` seconds apart, and ``end`` last. ``run`` works in a thread and
+    is given the callback; what it raises becomes an ``error`` event."""
+    waiting: Queue[tuple[str, dict] | None] = Queue()
+
+    def work() -> None:
+        try:
+            run(lambda kind, what: waiting.put((kind, what)))
+        except Exception as e:  # noqa: BLE001  told to the reader
+            waiting.put(("error", {"error": str(e)}))
+        waiting.put(None)
+
+    Thread(target=work, daemon=True).start()
+    while (event := waiting.get()) is not None:
+        yield event
+        time.sleep(pace)
+    yield "end", {}
+
+
 class Memo:
     """Results by key for a time; a caller gets a copy of its own. Cleared on writes."""
 
