@@ -17,6 +17,9 @@ def single_name(cards: DataFrame, symbol: str) -> DataFrame:
     return one.withColumns({c: F.lit(None).cast(t) for c, t in cards.dtypes if c in RELATIVE})
 
 
+# The labels and the order of a digest's lines and of a verdict in words, as readers know them.
+
+
 def _shown(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("None"))
 
