@@ -25,7 +25,7 @@ def main(args: list[str]) -> int:
         return 0
     if args[:1] == ["brief"] and len(args) in (2, 3):
         for r in QUERIES["briefing"](session(), args[1]).limit(int(args[2]) if len(args) == 3 else 20).collect():
-            print(f"{r.symbol:>12}  {r.attention!s:>6}  {r.confidence_level:<6}  {' | '.join(r.alerts)}")
+            print(f"{r.symbol:>12}  {r.attention!s:>6}  {r.confidence_level:<6}  {r.alerts}")
         return 0
     print(__doc__, file=sys.stderr)
     return 2

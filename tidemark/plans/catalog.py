@@ -811,17 +811,24 @@ def _two_runs(spark, d):
 _ARROW = " → "
 
 
-@query(f"""WITH {_CARD}, n AS (SELECT CAST(symbol AS BIGINT) AS k, trend, momentum, level, eg, mt, rc, CASE WHEN mp > 0.15 THEN 'positive' WHEN mp <
-    -0.15 THEN 'negative' WHEN mp IS NOT NULL THEN 'neutral' END AS se, CASE WHEN ip >= 50 THEN 'high' WHEN ip >= 20 THEN 'moderate' WHEN ip IS NOT
-    NULL THEN 'low' END AS io FROM c),
-    p AS (SELECT * FROM n WHERE k % 10 <> 0) SELECT CAST(n.k AS VARCHAR) AS symbol, array_to_string(list_filter([{", ".join(f"CASE WHEN n.{c} <> p.{c} THEN '{name} ' || p.{c} || '{_ARROW}' || n.{c} END" for c, name in (("trend", "trend"), ("momentum", "momentum"), ("level", "level"), ("eg", "earnings_growth"), ("mt", "margin_trend"), ("se", "sentiment"), ("io", "institutional")))}], lambda x: x IS NOT NULL), '; ') AS flips,
-    CASE WHEN p.k IS NULL THEN false ELSE coalesce(abs(n.rc - p.rc) >= 3, false) END AS risk_moved FROM n LEFT JOIN p ON p.k + 1 = n.k""")
+_FLIPS = (("trend", "trend"), ("momentum", "momentum"), ("level", "level"), ("eg", "earnings_growth"), ("mt", "margin_trend"), ("se",
+    "sentiment"), ("io", "institutional"))
+_ZERO = lambda x: f"CASE WHEN {x} < 0 AND round_even({x}, 0) = 0 THEN '-0' ELSE CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR) END"
+_CHANGES = f"""WITH {_CARD}, att AS ({ORACLE_SQL['attention_scores']}),
+    n AS (SELECT CAST(c.symbol AS BIGINT) AS k, trend, momentum, level, eg, mt, rc, attention,
+    CASE WHEN mp > 0.15 THEN 'positive' WHEN mp < -0.15 THEN 'negative' WHEN mp IS NOT NULL THEN 'neutral' END AS se,
+    CASE WHEN ip >= 50 THEN 'high' WHEN ip >= 20 THEN 'moderate' WHEN ip IS NOT NULL THEN 'low' END AS io FROM c JOIN att ON c.symbol = att.symbol),
+    p AS (SELECT * FROM n WHERE k % 10 <> 0) SELECT CAST(n.k AS VARCHAR) AS symbol, array_to_string(list_filter([
+    {", ".join(f"CASE WHEN n.{c} <> p.{c} THEN '{name} ' || p.{c} || '{_ARROW}' || n.{c} END" for c, name in _FLIPS)},
+    CASE WHEN abs(n.attention - p.attention) >= 5 THEN 'attention ' || {_ZERO('p.attention')} || '{_ARROW}' || {_ZERO('n.attention')} END,
+    CASE WHEN abs(n.rc - p.rc) >= 3 THEN 'risk contribution ' || {_ZERO('p.rc')} || '%{_ARROW}' || {_ZERO('n.rc')} || '%' END], lambda x: x IS NOT NULL), '; ') AS changes
+    FROM n LEFT JOIN p ON p.k + 1 = n.k"""
+
+
+@query(_CHANGES)
 def deltas(spark, d):
     now, before = _two_runs(spark, d)
-    out = scoring.changes(now, before)
-    number = lambda x: x.startswith("attention ") | x.startswith("risk contribution ")
-    return out.select("symbol", F.concat_ws("; ", F.filter("changes", lambda x: ~number(x))).alias("flips"), F.exists("changes",
-        lambda x: x.startswith("risk contribution ")).alias("risk_moved"))
+    return scoring.changes(now, before).select("symbol", F.concat_ws("; ", "changes").alias("changes"))
 
 
 @query(f"""WITH {_CARD} SELECT symbol, array_to_string(list_filter([
@@ -834,11 +841,15 @@ def alerts(spark, d):
     return scoring.alerts(_made_cards(spark, d)).select("symbol", F.concat_ws(" | ", "alerts").alias("alerts"))
 
 
-@query()
+@query(f"""WITH att AS ({ORACLE_SQL['attention_scores']}), con AS ({ORACLE_SQL['confidence']}), al AS ({ORACLE_SQL['alerts']}), de AS ({ORACLE_SQL['deltas']}),
+    t AS (SELECT symbol, attention, confidence_level, concat_ws(' | ', nullif(alerts, ''), 'changed since last run — ' || nullif(changes, '')) AS alerts
+    FROM att JOIN con USING (symbol) JOIN al USING (symbol) JOIN de USING (symbol))
+    SELECT symbol, attention, confidence_level, alerts, alerts <> '' AS flagged FROM t""")
 def briefing(spark, d):
     now, before = _two_runs(spark, d)
     made = scoring.confidence(scoring.attention(_made_cards(spark, d)))
-    return scoring.briefing(made.join(scoring.changes(now, before).select("symbol", "changes"), "symbol"))
+    out = scoring.briefing(made.join(scoring.changes(now, before).select("symbol", "changes"), "symbol"))
+    return out.withColumn("alerts", F.concat_ws(" | ", "alerts"))
 
 
 @query(f"""WITH {_CARD}, n AS (SELECT trend AS label, count(*) AS n FROM c WHERE trend IS NOT NULL GROUP BY trend) SELECT string_agg(n || ' ' ||

@@ -403,7 +403,8 @@ def freshness(spark, d):
 def prior_snapshots(spark, d):
     """The last snapshot of every name at once."""
     e = table(spark, d, "events")
-    runs = e.select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("event_type").alias("trend"), F.col("value").alias("attention"), F.col("ts").alias("run_at"))
+    runs = e.select(F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("event_type").alias("trend"), F.col("value").alias("attention"),
+        F.col("ts").alias("run_at"))
     return rounded(scoring.latest_snapshots(runs))
 
 
@@ -447,7 +448,8 @@ _CALLS = """calls AS (SELECT event_type || '-large' AS model, CAST(json_extract(
 def trace_totals(spark, d):
     """Calls priced by the longest prefix of their model's name; models without a price leave the total incomplete."""
     e, k = table(spark, d, "events"), F.get_json_object("props", "$.k").cast("bigint")
-    calls = e.select(F.concat("event_type", F.lit("-large")).alias("model"), (k * 10).alias("input_tokens"), k.alias("output_tokens"), F.col("value").alias("latency_ms"))
+    calls = e.select(F.concat("event_type", F.lit("-large")).alias("model"), (k * 10).alias("input_tokens"), k.alias("output_tokens"),
+        F.col("value").alias("latency_ms"))
     rates = spark.createDataFrame([("cl", 9.0, 9.0), ("click", 3.0, 15.0), ("error-", 1.0, 5.0)], "prefix string, per_m_in double, per_m_out double")
     out = runtime.trace_summary(runtime.priced(calls, rates))
     return out.withColumns({"latency_ms": F.round("latency_ms", 2) + F.lit(0.0), "cost": F.round("cost", 6) + F.lit(0.0)})
@@ -469,7 +471,8 @@ _TRENDS = f"""{_P}, {_SERIES}, te AS (SELECT symbol, close AS last_close, CASE W
     FROM te LEFT JOIN ma USING (symbol) LEFT JOIN fu USING (symbol) LEFT JOIN se USING (symbol)""")
 def card_fields(spark, d):
     """Cards of all names with a technical reading, the other readings joined on."""
-    fields = ("symbol", "last_close", "trend", "weight_pct", "latest_quarter", "earnings_growth", "sector", "sector_weight_pct", "n_articles", "mean_polarity")
+    fields = ("symbol", "last_close", "trend", "weight_pct", "latest_quarter", "earnings_growth", "sector", "sector_weight_pct",
+        "n_articles", "mean_polarity")
     return rounded(_cards(spark, d).select(*fields), 4)
 
 
