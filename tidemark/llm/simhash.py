@@ -236,12 +236,12 @@ KEY_VALUES = 4
 SLACK = 0.2
 #: A group of candidates is decided in one task up to so many sets and bytes; else by representatives, one a round,
 #: and then in blocks of so many sets and bytes.
-GROUP_SETS = 2048
+GROUP_SETS = 512
 #: Nodes of a key whose signatures one task compares; larger keys are tied to their smallest node, row by row.
 KEY_NODES = 256
 GROUP_BYTES = 64 << 20
 REPRESENTATIVES = 4
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 BLOCK_BYTES = 16 << 20
 _HASHES = TABLES * KEY_VALUES
 _FLIP, _FACTOR = (np.random.Generator(np.random.PCG64(HASH_SEED)).integers(0, 1 << 64, (2, _HASHES, 1), np.uint64))
