@@ -80,14 +80,18 @@ class FactorModel:
         return out
 
 
-def _differing(names: np.ndarray, at: np.ndarray, y: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Of ``names`` those whose rates among rows of label 1 and of label 0 differ by MIN_Z standard errors;
-    ``names[at]`` are the terms of all rows and ``y`` the labels of their rows."""
-    c1 = np.bincount(at, weights=y, minlength=len(names))
-    c0 = np.bincount(at, minlength=len(names)) - c1
+def differing(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms whose rates among rows of label 1 and of label 0 differ by MIN_Z standard errors. Counted row by row, so
+    that the rows' terms are never in memory twice."""
+    counts = np.zeros((2, HASH_BUCKETS), np.int32)
+    for row, label in zip(rows, labels.tolist()):
+        counts[label, row] += 1
+    n0, n1 = np.bincount(labels, minlength=2).tolist()
+    there = np.flatnonzero(counts.any(axis=0))
+    c0, c1 = counts[:, there].astype(float)
     p = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    return names[z >= MIN_Z]
+    return there[z >= MIN_Z]
 
 
 def _pair_slices(lists: list[np.ndarray], labels: np.ndarray):
@@ -154,16 +158,11 @@ def fit(rows: list[np.ndarray], words: list[np.ndarray], labels: np.ndarray, sha
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return FactorModel(30.0 if n1 else -30.0, {}, np.zeros(0), np.zeros((0, FACTORS)))
-    lengths = np.array([len(r) for r in rows])
-    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    names, at = np.unique(bucket, return_inverse=True)
-    kept = np.union1d(_differing(names, at, labels[row], n1, n0), interacting(words, labels))
-    index = np.full(len(names), -1)
-    index[np.searchsorted(names, kept)] = np.arange(len(kept))
-    term = index[at]
-    hit = term >= 0
-    term, ends = term[hit], np.searchsorted(row[hit], np.arange(len(rows) + 1))
-    del bucket, at, row, hit
+    kept = np.union1d(differing(rows, labels), interacting(words, labels))
+    index = np.full(HASH_BUCKETS, -1, np.int32)
+    index[kept] = np.arange(len(kept))
+    mine = [(at := index[row])[at >= 0] for row in rows]
+    term, ends = np.concatenate(mine), np.cumsum([0, *(len(x) for x in mine)])
     share = n1 / (n1 + n0) if share is None else share
     weight = np.where(labels == 1, share * len(labels) / n1, (1 - share) * len(labels) / n0)
     rng = np.random.default_rng(11)
@@ -228,7 +227,7 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("terms", pa.binary()),
             ("words", pa.binary())]))
         got = got.sort_by([("id", "ascending"), ("terms", "ascending")])
-        rows, words = ([np.frombuffer(b, "<i4") for b in got.column(c).to_pylist()] for c in ("terms", "words"))
+        rows, words = ([np.frombuffer(b.as_py(), "<i4") for b in got.column(c)] for c in ("terms", "words"))
         model = fit(rows, words, np.array(got.column("y").to_pylist(), np.int64), share)
         names = np.array(list(model.index), np.int64)
         yield pa.record_batch([pa.array([model.bias]), *(pa.array([x.astype("<f8" if x.dtype.kind == "f" else "<i8").tobytes()],
