@@ -803,7 +803,7 @@ def confidence(spark, d):
 
 def _two_runs(spark, d):
     now = scoring.snapshot(scoring.attention(_made_cards(spark, d)))
-    before = now.where("cast(symbol as bigint) % 10 <> 0").select((F.col("symbol").cast("bigint") + 1).cast("string").alias("symbol"),
+    before = now.select((F.col("symbol").cast("bigint") + 1).cast("string").alias("symbol"),
         *[c for c in now.columns if c != "symbol"])
     return now, before
 
@@ -818,7 +818,7 @@ _CHANGES = f"""WITH {_CARD}, att AS ({ORACLE_SQL['attention_scores']}),
     n AS (SELECT CAST(c.symbol AS BIGINT) AS k, trend, momentum, level, eg, mt, rc, attention,
     CASE WHEN mp > 0.15 THEN 'positive' WHEN mp < -0.15 THEN 'negative' WHEN mp IS NOT NULL THEN 'neutral' END AS se,
     CASE WHEN ip >= 50 THEN 'high' WHEN ip >= 20 THEN 'moderate' WHEN ip IS NOT NULL THEN 'low' END AS io FROM c JOIN att ON c.symbol = att.symbol),
-    p AS (SELECT * FROM n WHERE k % 10 <> 0) SELECT CAST(n.k AS VARCHAR) AS symbol, array_to_string(list_filter([
+    p AS (SELECT * FROM n) SELECT CAST(n.k AS VARCHAR) AS symbol, array_to_string(list_filter([
     {", ".join(f"CASE WHEN n.{c} <> p.{c} THEN '{name} ' || p.{c} || '{_ARROW}' || n.{c} END" for c, name in _FLIPS)},
     CASE WHEN abs(n.attention - p.attention) >= 5 THEN 'attention ' || {_ZERO('p.attention')} || '{_ARROW}' || {_ZERO('n.attention')} END,
     CASE WHEN abs(n.rc - p.rc) >= 3 THEN 'risk contribution ' || {_ZERO('p.rc')} || '%{_ARROW}' || {_ZERO('n.rc')} || '%' END], lambda x: x IS NOT NULL), '; ') AS changes
