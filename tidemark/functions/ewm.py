@@ -1,11 +1,12 @@
-"""Exponentially weighted recursions: terminal values as folds inside the engine, series by grouped Arrow functions."""
+"""Exponentially weighted recursions: terminal values as folds inside the engine, series by prefix scans."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scan import ewm, in_blocks, previous
+
 
 def terminal_ewm(values: Column, alpha: float) -> Column:
     """Last value of y_t = (1 - a) y_{t-1} + a x_t over an array in time order, seeded by its first element."""
@@ -39,23 +40,23 @@ def terminal_rsi(values: Column, period: int = 14) -> Column:
 
 
 def rsi_series(prices: DataFrame, column: str = "close", period: int = 14) -> DataFrame:
-    """``symbol, date, rsi`` of each row; null where there are no losses yet. A recursion over one symbol's history."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[column]).sort_values("date")
-        d = pdf[column].diff()
-        up, down = d.clip(lower=0).ewm(alpha=1 / period, adjust=False).mean(), (-d.clip(upper=0)).ewm(alpha=1 / period, adjust=False).mean()
-        return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "rsi": 100 - 100 / (1 + up / down.where(down != 0))})
-
-    return prices.select("symbol", "date", column).groupBy("symbol").applyInPandas(run, "symbol string, date date, rsi double")
+    """``symbol, date, rsi`` of each row with a price; null where there are no losses yet. Two scans by blocks of time."""
+    there = prices.select("symbol", "date", column).where(F.col(column).isNotNull())
+    moves = previous(in_blocks(there, ["symbol"], "date"), ["symbol"], column, "before").where("before is not null")
+    move = F.col(column) - F.col("before")
+    # The first row of a symbol has no move, so places are counted anew.
+    rows = in_blocks(moves.select("symbol", "date", F.greatest(move, F.lit(0.0)).alias("gain"), F.greatest(-move, F.lit(0.0)).alias("loss"), "__b"),
+        ["symbol"], "date", F.col("__b"))
+    both = ewm(rows, ["symbol"], {"up": F.col("gain"), "down": F.col("loss")}, 1 / period)
+    rsi = both.select("symbol", "date", (100 - 100 / (1 + F.col("up") / F.nullif("down", F.lit(0.0)))).alias("rsi"))
+    first = there.groupBy("symbol").agg(F.min("date").alias("date")).withColumn("rsi", F.lit(None).cast("double"))
+    return rsi.unionByName(first)
 
 
 def ewma_vol_series(series: DataFrame, lam: float = 0.94) -> DataFrame:
-    """``key, date, ret, sigma``: EWMA volatility of demeaned returns of each ``key``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["ret"]).sort_values("date")
-        e = pdf["ret"] - pdf["ret"].mean()
-        return pdf.assign(sigma=(e**2).ewm(alpha=1 - lam, adjust=False).mean() ** 0.5)[["key", "date", "ret", "sigma"]]
-
-    return series.select("key", "date", "ret").groupBy("key").applyInPandas(run, "key string, date date, ret double, sigma double")
+    """``key, date, ret, sigma``: EWMA volatility of demeaned returns of each ``key``, by a scan."""
+    there = series.select("key", "date", "ret").where("ret is not null")
+    mean = there.groupBy("key").agg(F.avg("ret").alias("__mean"))
+    rows = in_blocks(there.join(mean, "key"), ["key"], "date")
+    e = F.col("ret") - F.col("__mean")
+    return ewm(rows, ["key"], {"__v": e * e}, 1 - lam).select("key", "date", "ret", F.sqrt("__v").alias("sigma"))

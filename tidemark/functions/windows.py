@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.plans.lineage import cut
+from tidemark.lineage import cut
 
 
 def rows_of(key: str | list[str] = "symbol", order: str = "date") -> WindowSpec:

@@ -13,7 +13,7 @@ from tidemark.functions.ewm import rsi_series
 from tidemark.functions.windows import average_rank, lag_return, lead_return, rolling_mean, rolling_std, rows_of, value_ranks
 from tidemark.operators.fundamental import features
 from tidemark.operators.pit import as_of_join
-from tidemark.plans.lineage import cut
+from tidemark.lineage import cut
 
 MIN_HISTORY, MIN_NAMES, MIN_DATES = 250, 4, 8
 COST_BPS = 15.0
@@ -47,13 +47,12 @@ def fundamental_signals(prices: DataFrame, quarters: DataFrame, horizon: int, la
     """Signals of margin and growth from the day they were public until superseded, on every ``horizon``-th date."""
     w = rows_of()
     fwd = _enough(prices).select("symbol", "date", lead_return(F.col("adj_close"), horizon, w).alias("fwd"))
-    parts = None
+    names = ["net_margin", "revenue_yoy", "net_income_yoy"]
     f = features(quarters, lag_days)
-    for name in ("net_margin", "revenue_yoy", "net_income_yoy"):
-        joined = as_of_join(fwd, f.where(F.col("feature") == name).select("symbol", "available", "value"), "symbol", "date", "available", "value")
-        one = joined.select(F.lit(name).alias("signal"), "symbol", "date", F.col("value").alias("sig"),
-            "fwd").where("sig is not null and fwd is not null")
-        parts = one if parts is None else parts.unionByName(one)
+    wide = f.groupBy("symbol", "available").agg(*[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in names])
+    known = as_of_join(fwd, wide, "symbol", "date", "available", names)
+    parts = known.unpivot(["symbol", "date", "fwd"], names, "signal", "sig").where("sig is not null and fwd is not null")
+    parts = parts.select("signal", "symbol", "date", "sig", "fwd")
     day = F.row_number().over(Window.partitionBy("signal").orderBy("date")) - 1
     every = parts.select("signal", "date").distinct().withColumn("day", day).where(F.col("day") % horizon == 0).drop("day")
     return parts.join(every, ["signal", "date"], "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scan import last_before
+
 ANNOUNCEMENT_LAG_DAYS = 45
 
 
@@ -40,16 +42,32 @@ def known_at(vintages: DataFrame, known: str, as_of: str | None = None, tie: str
     return latest_by(seen, ["symbol", "date"], order)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """``left`` with the last ``value`` of ``right`` at or before its time. A union and one window: one shuffle by key,
-    no range join."""
-    cols = left.columns
-    marked = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__ts": F.col(left_ts), "__side": F.lit(1)})
-    feed = right.select(F.col(key), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols if c != key],
-        F.col(value).alias("__v"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(key).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(feed).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 1").select(*cols, value)
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: str | list[str],
+    bucket: Column | None = None) -> DataFrame:
+    """``left`` with what was last known of each of ``values`` at or before its time; nulls of ``right`` tell nothing.
+
+    Both sides lie in buckets of time (quarters of ``__at`` unless an expression that grows with it is given). Each
+    bucket gets a row with what was last known before it, so windows run within buckets: a task holds a bucket of a key,
+    or a row for each of a key's buckets, and a key with most of all rows is spread out. Of rows of ``right`` with equal
+    times any may be the last. Rows of ``left`` without a key or a time get nulls.
+    """
+    values, cols = [values] if isinstance(values, str) else values, left.columns
+    place = F.trunc(F.col("__at").cast("date"), "quarter") if bucket is None else bucket
+    none = {f"__v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}
+    marked = left.withColumns({**none, "__at": F.col(left_ts), "__side": F.lit(1)}).withColumn("__b", place)
+    feed = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(F.col(key),
+        *[F.col(v).alias(f"__v_{v}") for v in values], F.col(right_ts).cast(left.schema[left_ts].dataType).alias("__at")).withColumn("__b", place)
+    there = marked.where(F.col(key).isNotNull() & F.col("__at").isNotNull())
+    both = there.withColumn("__row", F.struct(*cols)).select(key, *none, "__at", "__b", "__side", "__row").unionByName(feed.withColumns({"__side":
+        F.lit(0), "__row": F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType)}))
+    buckets = feed.unionByName(there.select(key, *none, F.lit(None).cast(left.schema[left_ts].dataType).alias("__at"), "__b").distinct())
+    carried = last_before(buckets, [key], list(none)).select("*", F.lit(None).cast(left.schema[left_ts].dataType).alias("__at"),
+        F.lit(-1).alias("__side"), F.lit(None).cast(left.select(F.struct(*cols)).schema[0].dataType).alias("__row"))
+    w = Window.partitionBy(key, "__b").orderBy(F.asc_nulls_first("__at"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.unionByName(carried).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in none}).where("__side = 1")
+    out = known.select("__row.*", *[F.col(c).alias(c.removeprefix("__v_")) for c in none])
+    outside = left.where(F.col(key).isNull() | F.col(left_ts).isNull())
+    return out.unionByName(outside.withColumns({v: F.lit(None).cast(right.schema[v].dataType) for v in values}))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], stamp: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import compounded
-from tidemark.plans.lineage import cut
+from tidemark.lineage import cut
 
 LAMBDA = 0.94
 YEAR_DAYS = 252

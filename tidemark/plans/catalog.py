@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import ewma_vol_series, rsi_series
 from tidemark.functions.windows import compounded, every_kth, fill_forward, lag_return, lead_return, rolling_mean, rolling_std, rows_of
 from tidemark.operators import coverage, evaluate, fundamental, macro, pit, rag, risk, scoring, sizing, technical, text
-from tidemark.plans.lineage import cut
+from tidemark.lineage import cut
 from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, positions, prices, region_prices, sectors, table, vintages
 from tidemark.streaming import events as streams
 
