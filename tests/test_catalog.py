@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import flows  # noqa: F401  adds its queries
+from tidemark.plans import books, flows, search  # noqa: F401  they add their queries
 from tidemark.plans.catalog import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"

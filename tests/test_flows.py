@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sql as sql_functions
 from tidemark.functions.windows import compounded, rows_of, value_ranks
-from tidemark.operators import evaluate, guidance, history, narrative, pit, rag, risk, scoring, sizing
+from tidemark.operators import evaluate, guidance, history, narrative, pit, rag, risk, scoring
 from tidemark.plans import runtime
 from tidemark.sources import files, sinks, vendor
 
@@ -52,13 +52,6 @@ def test_newey_west_by_hand(spark):
     assert got["one"].t is None and got["one"].ic_std is None
 
 
-def test_equal_risk_contributions():
-    a = np.random.default_rng(5).normal(size=(60, 8))
-    cov = a.T @ a / 60 + np.diag(np.linspace(0.01, 4, 8))
-    w = sizing.erc_weights(cov)
-    assert w.sum() == pytest.approx(1) and (w > 0).all() and np.allclose(sizing.pct_contributions(w, cov), 12.5, atol=1e-6)
-
-
 def test_chunks_split_no_word():
     words = [f"w{i:04d}" for i in range(900)]
     got = rag.chunk("  " + " ".join(words) + "\n", 300, 60)

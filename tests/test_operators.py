@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import terminal_macd, terminal_rsi
 from tidemark.functions.windows import average_rank
-from tidemark.operators import coverage, evaluate, fundamental, macro, pit, rag, risk, scoring, sizing, technical, text
+from tidemark.operators import coverage, evaluate, fundamental, macro, pit, rag, risk, scoring, technical, text
 from tidemark.plans import runtime
 from tidemark.sources import files, sinks
 
@@ -77,24 +77,6 @@ def test_as_of_join(spark):
     assert [r.v for r in pit.as_of_join(left, right, "symbol", "date", "at", "v").orderBy("date").collect()] == [None, 1.0, 1.0, 2.0, 2.0]
 
 
-def panel(spark, m):
-    return spark.createDataFrame([(f"S{j}", d, float(m[i, j])) for i, d in enumerate(days(len(m))) for j in range(m.shape[1])],
-        "symbol string, date date, x double")
-
-
-def test_covariance_and_contributions(spark):
-    m = np.random.default_rng(1).normal(0, 0.01, (200, 3))
-    got = {(r.a, r.b): r.cov for r in risk.ewma_cov(panel(spark, m), 1.0).collect()}
-    want = np.cov(m.T, ddof=0)
-    assert all(got[f"S{i}", f"S{j}"] == pytest.approx(want[i, j]) for i in range(3) for j in range(3))
-    cov = risk.ewma_cov(panel(spark, m))
-    w = spark.createDataFrame([("S0", 0.5), ("S1", 0.3), ("S2", 0.2)], "symbol string, weight double")
-    rc = risk.risk_contribution(risk.ledoit_wolf(panel(spark, m), cov), w).collect()
-    assert sum(r.risk_contribution_pct for r in rc) == pytest.approx(100)
-    assert 0 <= risk.shrinkage(panel(spark, m), cov).first().delta <= 1
-    assert all(r.rho == pytest.approx(1) for r in risk.correlation(cov).where("a = b").collect())
-
-
 def test_tails_stress_beta(spark):
     x = np.random.default_rng(2).normal(0, 0.01, 1000)
     s = spark.createDataFrame([(float(v),) for v in x], "ret double")
@@ -256,11 +238,3 @@ def test_runtime(spark):
     reg = runtime.Registry([runtime.Agent("x", lambda t: t["p"])])
     reg.register(runtime.Agent("y", lambda t: None))
     assert list(reg.analyse({"p": calls}, lambda k, w: seen.append(k))) == ["x"] and seen[0] == "run_start" and seen[-1] == "run_complete"
-
-
-def test_sizing():
-    cov = np.array([[0.04, 0.01], [0.01, 0.09]])
-    w = sizing.erc_weights(cov)
-    assert sizing.pct_contributions(w, cov) == pytest.approx([50, 50]) and w.sum() == pytest.approx(1)
-    out = sizing.rebalance(["a", "b"], np.array([0.1, 0.9]), cov, 1000.0)
-    assert out["verdict"] == "worth it" and out["cost"] == pytest.approx(out["turnover"] * 1.5)

@@ -1,4 +1,4 @@
-"""Portfolio risk on long panels: covariance by a pair self-join on dates, everything else by aggregates."""
+"""Portfolio risk on long panels, by aggregates; covariances are in :mod:`tidemark.operators.tiles`."""
 
 from __future__ import annotations
 
@@ -54,6 +54,18 @@ def returns(prices: DataFrame, gap_fill: str | None = None) -> DataFrame:
     return seen.select("symbol", "date", F.when(next_to, F.ln("p") - F.ln("before")).alias("log_ret"), (F.try_divide("p", base) - 1).alias("ret"))
 
 
+def month_ends(prices: DataFrame) -> DataFrame:
+    """``symbol, date, adj_close``: each month's last close, carried over months without one; ``date`` is the month's
+    first day. Months run from a symbol's first one to the panel's last one."""
+    month = F.trunc("date", "month")
+    ends = prices.where("adj_close is not null").groupBy("symbol", month.alias("date")).agg(F.max_by("adj_close", F.col("date")).alias("c"))
+    last = ends.agg(F.max("date").alias("last"))  # a single row
+    every = ends.groupBy("symbol").agg(F.min("date").alias("first")).crossJoin(F.broadcast(last)).select("symbol", F.explode(F.sequence("first",
+        "last", F.expr("interval 1 month"))).alias("date"))
+    carried = F.last("c", True).over(Window.partitionBy("symbol").orderBy("date"))
+    return every.join(ends, ["symbol", "date"], "left").select("symbol", "date", carried.alias("adj_close"))
+
+
 def common_sample(rets: DataFrame, column: str = "log_ret") -> DataFrame:
     """Rows of the dates on which every symbol has a return."""
     there = rets.where(F.col(column).isNotNull())
@@ -69,81 +81,6 @@ def ewma_weights(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
     return raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("total")))).select("date", (F.col("raw") / F.col("total")).alias("w"))
 
 
-def pairs(sample: DataFrame) -> DataFrame:
-    """``a, b, date, xa, xb`` for all ordered pairs of symbols."""
-    left = sample.select(F.col("symbol").alias("a"), "date", F.col("x").alias("xa"))
-    return left.join(sample.select(F.col("symbol").alias("b"), "date", F.col("x").alias("xb")), "date")
-
-
-def ewma_cov(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
-    """``a, b, cov``: weighted mean-centred covariance on the common sample."""
-    weighted = sample.join(F.broadcast(ewma_weights(sample, lam)), "date")
-    mean = weighted.groupBy("symbol").agg(F.sum(F.col("w") * F.col("x")).alias("mu"))
-    centred = weighted.join(F.broadcast(mean), "symbol").withColumn("x", F.col("x") - F.col("mu"))
-    other = centred.select(F.col("symbol").alias("b"), "date", F.col("x").alias("xb"))
-    out = centred.select(F.col("symbol").alias("a"), "date", "w", "x").join(other, "date").groupBy("a",
-        "b").agg(F.sum(F.col("w") * F.col("x") * F.col("xb")).alias("cov"))
-    return out
-
-
-def _with_variances(cov: DataFrame) -> DataFrame:
-    v = cov.where("a = b")
-    va, vb = v.select("a", F.col("cov").alias("va")), v.select("b", F.col("cov").alias("vb"))
-    return cov.join(va, "a").join(vb, "b")
-
-
-def correlation(cov: DataFrame) -> DataFrame:
-    return _with_variances(cov).select("a", "b", F.try_divide("cov", F.sqrt(F.col("va") * F.col("vb"))).alias("rho"))
-
-
-def shrinkage(sample: DataFrame, cov: DataFrame) -> DataFrame:
-    """One row ``rbar, gamma, pi, rho, delta``: intensity of the shrink toward constant correlation."""
-    return _intensity(sample, _with_variances(cov))
-
-
-def _intensity(sample: DataFrame, full: DataFrame) -> DataFrame:
-    rbar = full.where("a <> b").agg(F.avg(F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("rbar"), F.countDistinct("a").alias("n"))
-    target = F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("rbar") * F.sqrt(F.col("va") * F.col("vb")))
-    gamma = full.crossJoin(F.broadcast(rbar)).agg(F.sum(F.pow(target - F.col("cov"), F.lit(2.0))).alias("gamma"),
-        F.max("rbar").alias("rbar"), F.max("n").alias("n"))
-    mean = sample.groupBy("symbol").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("t"))
-    flat = sample.join(mean, "symbol").withColumn("x", F.col("x") - F.col("m"))
-    product = F.col("xa") * F.col("xb")  # the mean of (product - cov)^2 from its moments: one row a pair meets the covariance
-    moments = pairs(flat.select("symbol", "date", "x")).groupBy("a", "b").agg(F.avg(product * product).alias("m2"), F.avg(product).alias("m1"))
-    each = moments.join(full.select("a", "b", "cov"), ["a", "b"]).select("a", "b",
-        (F.col("m2") - 2 * F.col("cov") * F.col("m1") + F.col("cov") * F.col("cov")).alias("pi"))
-    pi = each.agg(F.sum("pi").alias("pi"), F.sum(F.when(F.col("a") == F.col("b"), F.col("pi"))).alias("rho"))
-    t = mean.agg(F.max("t").alias("t"))
-    raw = (F.col("pi") - F.col("rho")) / F.col("gamma") / F.col("t")
-    delta = F.when((F.col("n") < 2) | (F.col("gamma") <= 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
-    return gamma.crossJoin(pi).crossJoin(t).select("rbar", "gamma", "pi", "rho", F.coalesce(delta, F.lit(0.0)).alias("delta"))
-
-
-def ledoit_wolf(sample: DataFrame, cov: DataFrame) -> DataFrame:
-    """``a, b, cov`` shrunk toward constant correlation."""
-    full = cut(_with_variances(cov))  # a row a pair of names, read five times
-    s = _intensity(sample, full).select("rbar", "delta")
-    target = F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise(F.col("rbar") * F.sqrt(F.col("va") * F.col("vb")))
-    shrunk = F.when(F.col("delta") > 0, F.col("delta") * target + (1 - F.col("delta")) * F.col("cov")).otherwise(F.col("cov"))
-    return full.crossJoin(F.broadcast(s)).select("a", "b", shrunk.alias("cov"))
-
-
-def risk_contribution(cov: DataFrame, weighted: DataFrame, days: int = YEAR_DAYS) -> DataFrame:
-    """``symbol, weight_pct, vol_pct, mctr, risk_contribution_pct, portfolio_vol_pct`` at the horizon of ``days``."""
-    w = weighted.select("symbol", "weight")
-    rows = cov.join(F.broadcast(w.select(F.col("symbol").alias("b"), F.col("weight").alias("wb"))),
-        "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"), F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("var"))
-    one = rows.join(F.broadcast(w), rows.a == w.symbol)
-    total = one.agg(F.sum(F.col("weight") * F.col("sw")).alias("pvar"))
-    scale = math.sqrt(days)
-    return one.crossJoin(F.broadcast(total)).select(
-        "symbol", (F.col("weight") * 100).alias("weight_pct"), (F.sqrt("var") * scale * 100).alias("vol_pct"), F.try_divide("sw",
-            F.sqrt("pvar")).alias("mctr"),
-        (F.try_divide(F.col("weight") * F.col("sw"), F.col("pvar")) * 100).alias("risk_contribution_pct"),
-            (F.sqrt("pvar") * scale * 100).alias("portfolio_vol_pct"),
-    )
-
-
 def betas(rets: DataFrame, bench: DataFrame, min_rows: int = MIN_BETA_ROWS) -> DataFrame:
     """Adjusted betas, 0.67 raw + 0.33, from ``min_rows`` common days on."""
     both = rets.where("ret is not null").select("symbol", "date",

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import ewma_vol_series, rsi_series
 from tidemark.functions.windows import compounded, every_kth, fill_forward, lag_return, lead_return, rolling_mean, rolling_std, rows_of
-from tidemark.operators import coverage, evaluate, fundamental, macro, pit, rag, risk, scoring, sizing, technical, text
+from tidemark.operators import coverage, evaluate, fundamental, macro, pit, rag, risk, scoring, technical, text, tiles
 from tidemark.lineage import cut
 from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, positions, prices, region_prices, sectors, table, vintages
 from tidemark.streaming import events as streams
@@ -33,14 +32,14 @@ _RET = f"""{_R}, {_DAYS}, lagged AS (SELECT symbol, rp.date, adj_close AS p, day
     WINDOW w AS (PARTITION BY symbol ORDER BY rp.date)),
     rets AS (SELECT symbol, date, CASE WHEN bd = day - 1 THEN ln(p) - ln(bp) END AS log_ret, CASE WHEN bd = day - 1 THEN p / bp - 1 END AS ret FROM
     lagged)"""
-_COMMON = f"""{_RET}, full_days AS (SELECT date FROM rets WHERE log_ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol)
-    FROM rets WHERE log_ret IS NOT NULL)),
-    cs AS (SELECT symbol, date, log_ret AS x, ret FROM rets WHERE date IN (SELECT date FROM full_days)),
-    wt0 AS (SELECT date, pow(0.94, row_number() OVER (ORDER BY date DESC) - 1) AS raw FROM full_days), wt AS (SELECT date, raw / (SELECT sum(raw) FROM
+_EWMA = """wt0 AS (SELECT date, pow(0.94, row_number() OVER (ORDER BY date DESC) - 1) AS raw FROM full_days), wt AS (SELECT date, raw / (SELECT sum(raw) FROM
     wt0) AS w FROM wt0),
     mu AS (SELECT symbol, sum(w * x) AS mu FROM cs JOIN wt USING (date) GROUP BY symbol), cen AS (SELECT symbol, date, w, x - mu AS x FROM cs JOIN wt
     USING (date) JOIN mu USING (symbol)),
     cov AS (SELECT p.symbol AS a, q.symbol AS b, sum(p.w * p.x * q.x) AS cov FROM cen p JOIN cen q ON p.date = q.date GROUP BY p.symbol, q.symbol)"""
+_COMMON = f"""{_RET}, full_days AS (SELECT date FROM rets WHERE log_ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol)
+    FROM rets WHERE log_ret IS NOT NULL)),
+    cs AS (SELECT symbol, date, log_ret AS x, ret FROM rets WHERE date IN (SELECT date FROM full_days)), {_EWMA}"""
 _W = """pos AS (SELECT r_name AS symbol, sum(s_acctbal) AS quantity FROM loc WHERE s_acctbal > 0 GROUP BY r_name),
     wts AS (SELECT symbol, lc * quantity AS mv, lc * quantity / sum(lc * quantity) OVER () AS weight, quantity, lc FROM pos JOIN (SELECT symbol,
     arg_max(close, date) AS lc FROM rp GROUP BY symbol) USING (symbol))"""
@@ -415,18 +414,23 @@ def _book(spark, d):
     return p, macro.weights(positions(spark, d, p), p), risk.returns(p)
 
 
+def _tiles(rets):
+    """The covariance of the book's common sample; so few names are one tile."""
+    return tiles.covariance_tiles(risk.common_sample(rets), n_tiles=1)
+
+
 @query(f"WITH {_COMMON} SELECT a, b, {_r('cov', places=10)} FROM cov")
 def ewma_cov(spark, d):
-    return rounded(risk.ewma_cov(risk.common_sample(_book(spark, d)[2])), 10)
+    return rounded(tiles.entries(_tiles(_book(spark, d)[2])), 10)
 
 
 @query(f"""WITH {_COMMON} SELECT c.a, c.b, {_r('c.cov / sqrt(x.cov * y.cov)', 'rho')} FROM cov c JOIN cov x ON x.a = c.a AND x.b = c.a JOIN cov y ON
     y.a = c.b AND y.b = c.b""")
 def corr_matrix(spark, d):
-    return rounded(risk.correlation(risk.ewma_cov(risk.common_sample(_book(spark, d)[2]))))
+    return rounded(tiles.correlation(_tiles(_book(spark, d)[2])))
 
 
-_LW = f"""{_COMMON}, va AS (SELECT a, cov AS v FROM cov WHERE a = b), fullc AS (SELECT c.a, c.b, c.cov, x.v AS va, y.v AS vb FROM cov c JOIN va x ON
+_LW_STEPS = """va AS (SELECT a, cov AS v FROM cov WHERE a = b), fullc AS (SELECT c.a, c.b, c.cov, x.v AS va, y.v AS vb FROM cov c JOIN va x ON
     x.a = c.a JOIN va y ON y.a = c.b),
     rb AS (SELECT avg(cov / sqrt(va * vb)) AS rbar FROM fullc WHERE a <> b), gm AS (SELECT sum(pow(CASE WHEN a = b THEN cov ELSE rbar * sqrt(va * vb)
     END - cov, 2)) AS gamma FROM fullc, rb),
@@ -434,12 +438,12 @@ _LW = f"""{_COMMON}, va AS (SELECT a, cov AS v FROM cov WHERE a = b), fullc AS (
     cov, 2)) AS pi FROM fl p JOIN fl q ON p.date = q.date JOIN cov ON cov.a = p.symbol AND cov.b = q.symbol GROUP BY ALL),
     ps AS (SELECT sum(pi) AS pi, sum(pi) FILTER (a = b) AS rho FROM pj), lw AS (SELECT rbar, gamma, pi, rho, least(1, greatest(0, (pi - rho) / gamma /
     (SELECT count(*) FROM full_days))) AS delta FROM rb, gm, ps)"""
+_LW = f"{_COMMON}, {_LW_STEPS}"
 
 
 @query(f"WITH {_LW} SELECT {_r('rbar')}, {_r('gamma', places=12)}, {_r('pi', places=9)}, {_r('rho', places=9)}, {_r('delta')} FROM lw")
 def ledoit_wolf(spark, d):
-    s = risk.common_sample(_book(spark, d)[2])
-    out = risk.shrinkage(s, risk.ewma_cov(s))
+    out = tiles.shrinkage(_tiles(_book(spark, d)[2]))
     return out.select(*[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("rbar", 6), ("gamma", 12), ("pi", 9), ("rho", 9), ("delta", 6))])
 
 
@@ -454,8 +458,7 @@ _SH = "sh AS (SELECT a, b, delta * CASE WHEN a = b THEN cov ELSE rbar * sqrt(va
     tot""")
 def risk_contrib(spark, d):
     _, w, r = _book(spark, d)
-    s = risk.common_sample(r)
-    return rounded(risk.risk_contribution(risk.ledoit_wolf(s, risk.ewma_cov(s)), w))
+    return rounded(tiles.risk_contribution(tiles.shrunk(_tiles(r)), w))
 
 
 @query(f"""WITH {_RET}, mp AS (SELECT {_BARS} FROM lineitem GROUP BY CAST(l_shipdate AS DATE)), md AS (SELECT date, adj_close / lag(adj_close) OVER
@@ -536,24 +539,10 @@ def position_values(spark, d):
     SELECT metric, {_r('value')}, CAST(limit_ AS DOUBLE) AS "limit", ok, note FROM ch WHERE value IS NOT NULL""")
 def limits(spark, d):
     p, w, r = _book(spark, d)
-    s = risk.common_sample(r)
-    cov = risk.ledoit_wolf(s, risk.ewma_cov(s))
-    return rounded(risk.limit_checks(risk.risk_contribution(cov, w), risk.var_cvar(risk.portfolio_returns(r, w), 0.99),
+    return rounded(risk.limit_checks(tiles.risk_contribution(tiles.shrunk(_tiles(r)), w), risk.var_cvar(risk.portfolio_returns(r, w), 0.99),
         risk.effective_number(w), risk.liquidity(w, p)))
 
 
-@query()
-def erc_weights(spark, d):
-    _, w, r = _book(spark, d)
-    s = risk.common_sample(r)
-    rows = {(x.a, x.b): x.cov for x in risk.ledoit_wolf(s, risk.ewma_cov(s)).collect()}
-    names = sorted({a for a, _ in rows})
-    cov = np.array([[rows[a, b] for b in names] for a in names])
-    held = {x.symbol: x.weight for x in w.collect()}
-    target = sizing.rebalance(names, np.array([held[n] for n in names]), cov, 1.0)["targets"]
-    return spark.createDataFrame([(n, held[n], target[n]) for n in names], "symbol string, weight double, target double")
-
-
 # Signals
 
 _SIG = f"""{_P}, own AS (SELECT symbol, date, adj_close AS x FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS k FROM prices) WHERE k >= 250),

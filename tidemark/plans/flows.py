@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql as sql_functions
-from tidemark.operators import coverage, evaluate, guidance, history, macro, narrative, pit, rag, risk, scoring, text
+from tidemark.operators import coverage, evaluate, guidance, history, macro, narrative, pit, rag, risk, scoring, text, tiles
 from tidemark.plans import runtime
 from tidemark.plans.catalog import _BARS, _CARD, _COMMON, _F, _GB, _LOC, _LW, _NEWS, _P, _PORT, _RATIOS, _RET, _SERIES, _SH, _SIG, _SW, _W, AS_OF
-from tidemark.plans.catalog import _book, _cards, _event_sql, _made_cards, _r, _signals, query, rounded
+from tidemark.plans.catalog import _book, _cards, _event_sql, _made_cards, _r, _signals, _tiles, query, rounded
 from tidemark.sources import files, sinks
 from tidemark.sources.sinks import replaced_news
 from tidemark.sources.surrogates import fundamentals, headlines, holdings, market_prices, prices, region_prices, sectors, table
@@ -182,8 +182,7 @@ def horizon_risk(spark, d):
 def positions_by_risk(spark, d):
     """Positions as listed, with their place in the list."""
     p, w, r = _book(spark, d)
-    s = risk.common_sample(r)
-    shares = risk.risk_contribution(risk.ledoit_wolf(s, risk.ewma_cov(s)), w).select("symbol", "risk_contribution_pct")
+    shares = tiles.risk_contribution(tiles.shrunk(_tiles(r)), w).select("symbol", "risk_contribution_pct")
     beta = risk.betas(r, risk.returns(market_prices(spark, d)).select("date", "ret"))
     pnl = w.select("symbol", risk.unrealised_pct(F.col("last_close"), F.col("avg_cost")).alias("unrealised_pct"))
     rows = risk.by_risk(shares.join(beta, "symbol", "left").join(pnl, "symbol", "left"))
