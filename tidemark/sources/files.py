@@ -90,11 +90,13 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 class PriceSource(Protocol):
-    """A vendor feed; each method gives rows for one symbol."""
+    """A vendor feed; each method gives rows for one symbol. Dated feeds may also take the days ``since`` and ``until``."""
 
     def bars(self, symbol: str): ...
     def quarters(self, symbol: str): ...
     def news(self, symbol: str): ...
+    def meta(self, symbol: str): ...
+    def ownership(self, symbol: str): ...
 
 
 class MarketFlowSource(Protocol):
