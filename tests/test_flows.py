@@ -232,3 +232,18 @@ def test_retrieval_from_questions_to_answers(spark):
     assert best.chunk == "a" and best.weak == (best.distance > 0.45) and hits.count() == 2
     said = spark.createDataFrame([("revenue growth", "it grew [1], [7] and [1]")], "question string, answer string")
     assert rag.answered(hits, said).first().citations == [1] and rag.answered(hits, said.limit(0)).first().citations == []
+
+
+def test_payloads_are_read_as_variants(spark):
+    """JSON text and variants alike; what isn't JSON, or holds null or empty texts, tells nothing."""
+    texts = ['{"deep": {"headline": "h", "bottom_line": "b"}}', '{"deep": null}', '{"deep": {"headline": ""}}', "{broken", None, "[1]"]
+    rows = spark.createDataFrame([(f"S{i}", i, t) for i, t in enumerate(texts)], "symbol string, run_at int, payload string")
+    want = {"S0": "h — b", "S2": None}
+    assert {r.symbol: r.summary for r in history.deep_summaries(rows).collect()} == want
+    as_variant = rows.withColumn("payload", F.try_parse_json("payload"))
+    assert {r.symbol: r.summary for r in history.deep_summaries(as_variant).collect()} == want
+    said = ['{"revenue_outlook": "up", "other_guidance": ["a", "b"]}', '{"revenue_outlook": "", "other_guidance": []}', '{"margin_outlook": 3}', "x", None]
+    records = spark.createDataFrame([("A", DAY, i, t) for i, t in enumerate(said)], "symbol string, period date, extracted_at int, data string")
+    got = guidance.guidance_history(records).orderBy("extracted_at").collect()
+    assert [(r.extracted_at, r.revenue_outlook, r.margin_outlook, r.other_guidance, r.nth) for r in got] == [(0, "up", None, ["a", "b"], 1), (2, None, "3",
+        None, 2)]

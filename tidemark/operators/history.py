@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.payload import parsed, text_at, there
 from tidemark.operators.pit import latest_by
 from tidemark.operators.scoring import snapshot
 
@@ -61,10 +62,10 @@ def recent_runs(history: DataFrame, limit: int = 30) -> DataFrame:
 
 def deep_summaries(history: DataFrame) -> DataFrame:
     """``symbol, summary``: headline and bottom line of each name's latest run that is a deep read."""
-    deep = F.get_json_object("payload", "$.deep")
-    last = latest_by(history.where(deep.isNotNull()).select("symbol", "run_at", deep.alias("deep")), ["symbol"], F.col("run_at"))
-    part = lambda name: F.nullif(F.get_json_object("deep", f"$.{name}"), F.lit(""))
-    return last.select("symbol", F.nullif(F.concat_ws(" — ", part("headline"), part("bottom_line")), F.lit("")).alias("summary"))
+    rows = parsed(history, "payload", "__v").where(there("__v", "$.deep"))
+    parts = rows.select("symbol", "run_at", text_at("__v", "$.deep.headline").alias("a"), text_at("__v", "$.deep.bottom_line").alias("b"))
+    last = latest_by(parts, ["symbol"], F.col("run_at"))
+    return last.select("symbol", F.nullif(F.concat_ws(" — ", "a", "b"), F.lit("")).alias("summary"))
 
 
 def with_changes(scored: DataFrame, history: DataFrame, changes) -> DataFrame:
