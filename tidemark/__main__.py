@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import sys
 
-from tidemark.plans import flows  # noqa: F401  adds its queries
+from pyspark.sql import functions as F
+
+from tidemark.plans import books, flows, search  # noqa: F401  they add their queries
 from tidemark.plans.catalog import QUERIES
 from tidemark.session import session
 
@@ -24,7 +26,8 @@ def main(args: list[str]) -> int:
         QUERIES["data_check"](session(), args[1]).orderBy("symbol").show(1000, truncate=False)
         return 0
     if args[:1] == ["brief"] and len(args) in (2, 3):
-        for r in QUERIES["briefing"](session(), args[1]).limit(int(args[2]) if len(args) == 3 else 20).collect():
+        asked = QUERIES["cards"](session(), args[1]).orderBy(F.desc_nulls_last("attention"), "symbol")
+        for r in asked.limit(int(args[2]) if len(args) == 3 else 20).collect():
             print(f"{r.symbol:>12}  {r.attention!s:>6}  {r.confidence_level:<6}  {r.alerts}")
         return 0
     print(__doc__, file=sys.stderr)

@@ -711,16 +711,11 @@ def _cards(spark, d, as_of: str | None = None):
     p = pit.panel(prices(spark, d), as_of)
     w = macro.weights(holdings(spark, d), p)
     n = headlines(spark, d).select((F.col("doc_id") % 100).cast("string").alias("symbol"), text.polarity(F.col("text")).alias("polarity"))
-    shares = w.select("symbol", (F.col("weight") * 100).alias("weight_pct"), (F.col("weight") * 1000).alias("risk_contribution_pct"))
+    shares = w.select("symbol", (F.col("weight") * 100).alias("weight_pct"))
     return scoring.build_cards(technical.technical(p), shares, fundamental.fundamental(pit.announced(fundamentals(spark, d), as_of)),
         macro.macro_by_symbol(w, sectors(spark, d)), text.sentiment(n))
 
 
-@query()
-def cards(spark, d):
-    return rounded(scoring.confidence(scoring.attention(_cards(spark, d))), 4)
-
-
 _CARD = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS symbol, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal / 200 END AS rc, CASE WHEN c_custkey % 5 = 0
     THEN NULL WHEN c_custkey % 5 = 1 THEN 'downtrend' WHEN c_custkey % 5 = 2 THEN 'sideways' ELSE 'uptrend' END AS trend,
     CASE c_custkey % 6 WHEN 0 THEN 'overbought' WHEN 1 THEN 'oversold' WHEN 2 THEN 'strong' WHEN 3 THEN 'weak' WHEN 4 THEN 'neutral' END AS momentum,

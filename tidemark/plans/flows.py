@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql as sql_functions
-from tidemark.operators import coverage, evaluate, guidance, history, macro, narrative, pit, rag, risk, scoring, text, tiles
+from tidemark.operators import analysis, coverage, evaluate, guidance, history, macro, narrative, pit, rag, risk, scoring, text, tiles
 from tidemark.plans import runtime
 from tidemark.plans.catalog import _BARS, _CARD, _COMMON, _F, _GB, _LOC, _LW, _NEWS, _P, _PORT, _RATIOS, _RET, _SERIES, _SH, _SIG, _SW, _W, AS_OF
 from tidemark.plans.catalog import _book, _cards, _event_sql, _made_cards, _r, _signals, _tiles, query, rounded
@@ -185,8 +185,7 @@ def positions_by_risk(spark, d):
     shares = tiles.risk_contribution(tiles.shrunk(_tiles(r)), w).select("symbol", "risk_contribution_pct")
     beta = risk.betas(r, risk.returns(market_prices(spark, d)).select("date", "ret"))
     pnl = w.select("symbol", risk.unrealised_pct(F.col("last_close"), F.col("avg_cost")).alias("unrealised_pct"))
-    rows = risk.by_risk(shares.join(beta, "symbol", "left").join(pnl, "symbol", "left"))
-    placed = rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    placed = analysis.placed(shares.join(beta, "symbol", "left").join(pnl, "symbol", "left"))
     places = {"risk_contribution_pct": 6, "beta": 6, "unrealised_pct": 4}
     return placed.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in places.items()}).select("symbol", *places, "place")
 
@@ -288,7 +287,7 @@ def single_name(spark, d):
 
 @query(f"WITH {_CARD} SELECT symbol, row_number() OVER (ORDER BY rc DESC NULLS LAST, symbol) AS place FROM c")
 def ranked_cards(spark, d):
-    return scoring.ordered(_made_cards(spark, d)).select("symbol").coalesce(1).select("symbol", (F.monotonically_increasing_id() + 1).alias("place"))
+    return analysis.placed(_made_cards(spark, d)).select("symbol", "place")
 
 
 @query(f"WITH {_P} SELECT symbol, count(*) AS n_rows FROM prices WHERE contains(lower(symbol), '1') GROUP BY symbol")
