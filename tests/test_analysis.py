@@ -105,3 +105,23 @@ def test_places_over_ranges(spark):
     got = {r.symbol: r.place for r in analysis.placed(df).collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {s: k + 1 for k, (s, _) in enumerate(want)}
+
+
+def test_events_carry_what_the_run_counted(spark, book):
+    """Rows and labels come from the run that makes the cards, read once; a reading no card needs is read for itself."""
+    from tidemark.plans import runtime
+
+    held, feeds = book
+    seen = []
+    cards = runtime.analyse_book(held, feeds, on_event=lambda kind, what: seen.append((kind, what)), first=2)
+    done = {w["agent"]: w for k, w in seen if k == "agent_done"}
+    rows = {r.symbol: r for r in cards.collect()}
+    assert done["technical"]["rows"] == 4 and sum(done["technical"]["measures"].values()) == sum(r.trend != "—" for r in rows.values())
+    assert done["technical"]["note"].startswith("4 names · ") and done["fundamental"]["measures"]["declining"] == 2
+    assert done["risk"]["measures"]["top_symbol"] == min(rows.values(), key=lambda r: r.place).symbol and done["sentiment"]["measures"]["headlines"] == 12
+    assert [w["symbol"] for k, w in seen if k == "card"] == [r.symbol for r in sorted(rows.values(), key=lambda r: r.place)][:2]
+    assert [k for k, _ in seen][-1] == "run_complete" and all("plan_ms" in w for k, w in seen if k == "agent_planned")
+    reg = runtime.Registry([runtime.Agent("used", lambda t: spark.range(5), measures={"most": F.max("id")}), runtime.Agent("unused", lambda t: spark.range(7))])
+    seen.clear()
+    reg.analyse({}, lambda kind, what: seen.append((kind, what)), cards=lambda out: [{"symbol": str(r.id)} for r in out["used"].collect()])
+    assert [(w["rows"], w["measures"]) for k, w in seen if k == "agent_done"] == [(5, {"most": 4}), (7, {})]

@@ -146,8 +146,9 @@ def test_run_events_in_order(spark):
     cards = lambda out: [{"symbol": "A"}, {"symbol": "B"}]
     narrate = lambda card: {"said": card["symbol"]} if card["symbol"] == "A" else 1 / 0
     agents.analyse({"p": spark.range(1)}, lambda kind, what: seen.append(kind), lambda: {"n_holdings": 2}, cards, narrate)
-    assert seen[:2] == ["run_start", "context_loaded"] and seen[2:6] == ["agent_start", "agent_done"] * 2 and seen[6:9] == ["ranking", "card", "card"]
-    assert sorted(seen[9:]) == sorted(["narration_start", "narration_done", "narration_error", "narration_summary",
+    assert seen[:2] == ["run_start", "context_loaded"] and seen[2:6] == ["agent_start", "agent_planned"] * 2
+    assert seen[6:8] == ["agent_done"] * 2 and seen[8:11] == ["ranking", "card", "card"]
+    assert sorted(seen[11:]) == sorted(["narration_start", "narration_done", "narration_error", "narration_summary",
         "run_complete"]) and seen[-1] == "run_complete"
     seen.clear()
     agents.analyse({"p": spark.range(1)}, lambda kind, what: seen.append(kind))

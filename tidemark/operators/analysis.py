@@ -79,22 +79,38 @@ def position_risk(positions: DataFrame, feeds: Feeds, options: Options = Options
     return out.join(risk.betas(rets, market), "symbol", "left")
 
 
+def readings(positions: DataFrame, feeds: Feeds, options: Options = Options()) -> dict[str, DataFrame]:
+    """What each dimension says of the names: ``technical``, ``risk``, and those whose feeds are there of ``fundamental``,
+    ``macro``, ``sentiment``, ``ownership`` and ``guidance``."""
+    known = feeds.known(options.as_of)
+    out = {"technical": technical.technical(known.prices), "risk": position_risk(positions, feeds, options)}
+    if known.quarters is not None:
+        out["fundamental"] = fundamental.fundamental(known.quarters)
+    if known.sectors is not None:
+        out["macro"] = macro.macro_by_symbol(macro.weights(positions, known.prices), known.sectors)
+    if known.news is not None:
+        scored = known.news if "polarity" in known.news.columns else known.news.withColumn("polarity", text.polarity(F.col("text")))
+        out["sentiment"] = text.sentiment(scored)
+    if known.ownership is not None:
+        out["ownership"] = text.ownership(known.ownership)
+    if known.guidance is not None:
+        filings = known.filings if known.filings is not None else known.guidance.select("symbol", "source", F.lit(None).cast("date").alias("filing_date"))
+        out["guidance"] = guidance.latest_guidance(known.guidance, filings, options.as_of)
+    return out
+
+
 def cards(positions: DataFrame, feeds: Feeds, options: Options = Options(), prior: DataFrame | None = None) -> DataFrame:
     """A card for each name with a technical reading: the columns of a flat card, the position's risk, sub-scores,
     ``attention``, ``drivers``, ``confidence``, ``changes`` since the ``prior`` snapshots, ``alerts``, and ``place``, its
     place by share of risk (largest first, names without one last, ties by symbol)."""
-    at_risk = position_risk(positions, feeds, options)
-    known = feeds.known(options.as_of)
-    there = lambda df, made: None if df is None else made(df)
-    news = there(known.news, lambda n: text.sentiment(n if "polarity" in n.columns else n.withColumn("polarity", text.polarity(F.col("text")))))
-    sectors = there(known.sectors, lambda s: macro.macro_by_symbol(macro.weights(positions, known.prices), s))
-    promised = None
-    if known.guidance is not None:
-        filings = known.filings if known.filings is not None else known.guidance.select("symbol", "source", F.lit(None).cast("date").alias("filing_date"))
-        promised = guidance.latest_guidance(known.guidance, filings, options.as_of)
-    flat = scoring.build_cards(technical.technical(known.prices), at_risk, there(known.quarters, fundamental.fundamental), sectors, news,
-        there(known.ownership, text.ownership), promised)
-    extra = at_risk.select("symbol", "vol_pct", "mctr", "portfolio_vol_pct", "beta", "max_drawdown_pct", "market_value", "unrealised_pct")
+    return cards_of(readings(positions, feeds, options), options, prior)
+
+
+def cards_of(read: dict[str, DataFrame], options: Options = Options(), prior: DataFrame | None = None) -> DataFrame:
+    """:func:`cards` from :func:`readings`."""
+    flat = scoring.build_cards(read["technical"], *[read.get(name) for name in ("risk", "fundamental", "macro", "sentiment", "ownership",
+        "guidance")])
+    extra = read["risk"].select("symbol", "vol_pct", "mctr", "portfolio_vol_pct", "beta", "max_drawdown_pct", "market_value", "unrealised_pct")
     scored = scoring.confidence(scoring.attention(flat.join(extra, "symbol", "left"), options.weights))
     if prior is not None:
         scored = scored.join(scoring.changes(scoring.snapshot(scored), prior).select("symbol", "changes"), "symbol", "left")
@@ -105,7 +121,8 @@ def placed(cards_: DataFrame) -> DataFrame:
     """``cards_`` with ``place``, counted without bringing the cards into one task: they are dealt by ranges of their
     order, and each range begins behind the rows of those before."""
     key = F.struct(F.col("risk_contribution_pct").isNull(), -F.coalesce("risk_contribution_pct", F.lit(0.0)), "symbol")
-    dealt = cut(cards_.withColumn("__k", key).repartitionByRange("__k").withColumn("__part", F.spark_partition_id()))
+    # The cards are made once: dealing by ranges looks at the rows twice.
+    dealt = cut(cut(cards_).withColumn("__k", key).repartitionByRange("__k").withColumn("__part", F.spark_partition_id()))
     sums = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))  # a row for each range
     earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))

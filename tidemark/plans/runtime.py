@@ -10,17 +10,40 @@ from dataclasses import dataclass, field
 from queue import Queue
 from threading import Thread
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
+from tidemark.operators import analysis, scoring
+
 
 @dataclass(frozen=True)
 class Agent:
-    """A named reading: a function of the run's tables that gives a DataFrame by symbol."""
+    """A named reading: a function of the run's tables that gives a DataFrame by symbol. ``measures`` are aggregates over
+    its rows, taken while the run reads them; ``note`` words what they and ``rows`` say."""
 
     name: str
     run: Callable[[dict[str, DataFrame]], DataFrame | None]
     scope: str = "per_stock"
+    measures: dict[str, Column] = field(default_factory=dict)
+    note: Callable[[dict], str] | None = None
+
+
+def _observed(df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in measures.items()]), seen
+
+
+def _seen(df: DataFrame, seen: Observation, wait: float = 5.0) -> dict:
+    """What was seen of a table's rows. A run tells it a moment after its end; a table that the run didn't read is
+    read for its own sake."""
+    until = time.monotonic() + wait
+    while not seen._jo.future().isCompleted():
+        if time.monotonic() > until:
+            df.write.format("noop").mode("overwrite").save()
+            break
+        time.sleep(0.02)
+    return seen.get
 
 
 class Registry:
@@ -38,34 +61,103 @@ class Registry:
         cards: Callable[[dict[str, DataFrame]], list[dict]] | None = None, narrate: Callable[[dict], dict] | None = None,
     ) -> dict[str, DataFrame]:
         """Plans of all agents. Events tell the run's progress: run_start, context_loaded with what ``context`` says,
-        agent_start and agent_done with the time taken, then ranking and a card for each of ``cards``, the narration
-        of each card, and run_complete; or error."""
+        agent_start when an agent's plan is made; then, with ``cards``, the plans run, and agent_done tells the rows
+        and measures that this very run counted; ranking and a card for each of ``cards``, the narration of each card,
+        and run_complete; or error. Without ``cards`` nothing runs, and agent_done only says that there is a plan."""
+        began = time.monotonic()
         on_event("run_start", {"agents": [a.name for a in self.agents], "narrate": narrate is not None})
         if context is not None:
             on_event("context_loaded", context())
         out: dict[str, DataFrame] = {}
+        watched: dict[str, Observation] = {}
         for a in self.agents:
+            planning = time.monotonic()
             on_event("agent_start", {"agent": a.name, "scope": a.scope})
-            began = time.monotonic()
             try:
                 got = a.run(tables | out)
             except Exception as e:
                 on_event("error", {"agent": a.name, "error": str(e)})
                 raise
             if got is not None:
-                out[a.name] = got
-            on_event("agent_done", {"agent": a.name, "scope": a.scope, "there": got is not None,
-                "latency_ms": round((time.monotonic() - began) * 1000, 1)})
-        made = cards(out) if cards is not None else []
+                out[a.name], watched[a.name] = _observed(got, a.measures) if cards is not None else (got, None)
+            on_event("agent_planned", {"agent": a.name, "there": got is not None, "plan_ms": round((time.monotonic() - planning) * 1000, 1)})
+        made: list[dict] = []
+        if cards is not None:
+            try:
+                made = cards(out)
+            except Exception as e:
+                on_event("error", {"error": str(e)})
+                raise
+        for a in self.agents:
+            told = {"agent": a.name, "scope": a.scope, "there": a.name in out}
+            if a.name in out and cards is not None:
+                counted = _seen(out[a.name], watched[a.name])
+                told |= {"rows": counted["rows"], "measures": {k: counted[k] for k in a.measures}, "note": a.note(counted) if a.note else "done"}
+            on_event("agent_done", told)
         if cards is not None:
             on_event("ranking", {"order": [c["symbol"] for c in made]})
             for rank, card in enumerate(made, 1):
                 on_event("card", {"rank": rank, **card})
         told = narrated(made, narrate, on_event)
-        on_event("run_complete", {"agents": list(out), "n_cards": len(made), "n_narrated": len(told)})
+        on_event("run_complete", {"agents": list(out), "n_cards": len(made), "n_narrated": len(told),
+            "run_ms": round((time.monotonic() - began) * 1000, 1)})
         return out
 
 
+# The analysis of a book as a run
+
+
+def _labels(column: str, states) -> dict[str, Column]:
+    return {state: F.count_if(F.col(column) == state) for state in states}
+
+
+def _counted(states) -> Callable[[dict], str]:
+    """Counts such as ``2 uptrend · 1 downtrend``, the largest first, those of none left out."""
+    return lambda seen: " · ".join(f"{seen[s]} {s}" for s in sorted(states, key=lambda s: (-seen[s], s)) if seen[s])
+
+
+def _risk_note(seen: dict) -> str:
+    vol, share = (f"{seen[k]:.1f}" if seen[k] is not None else "—" for k in ("vol_pct", "top_risk_pct"))
+    return f"book vol {vol}% · top risk {seen['top_symbol'] or '—'} {share}%"
+
+
+def book_agents(read: dict[str, DataFrame]) -> list[Agent]:
+    """Agents that give the readings of a book (:func:`analysis.readings`), with what a monitor shows of each."""
+    trends, quarters, moods, levels = list(scoring.TREND_SIGNS), list(scoring.GROWTH_SIGNS), list(scoring.SENTIMENT_SIGNS), ["high", "moderate", "low"]
+    risk = {"vol_pct": F.max("portfolio_vol_pct"), "top_risk_pct": F.max("risk_contribution_pct"), "top_symbol": F.max_by("symbol",
+        F.struct("risk_contribution_pct", "symbol")), "beta": F.sum(F.col("weight_pct") / 100 * F.col("beta"))}
+    known = {
+        "risk": (risk, _risk_note),
+        "technical": (_labels("trend", trends), lambda s: f"{s['rows']} names · {_counted(trends)(s)}"),
+        "fundamental": (_labels("earnings_growth", quarters), lambda s: f"{s['rows']} names with quarters on file · earnings {_counted(quarters)(s)}"),
+        "macro": ({"top_sector": F.max_by("sector", F.struct("sector_weight_pct", "sector")), "top_sector_pct": F.max("sector_weight_pct")},
+            lambda s: f"top sector {s['top_sector'] or '—'} {s['top_sector_pct'] or 0:.1f}%"),
+        "sentiment": (_labels("label", moods) | {"headlines": F.sum("n_articles")}, lambda s: f"news flow on {s['rows']} names · {_counted(moods)(s)}"),
+        "ownership": (_labels("institutional", levels), lambda s: f"holdings of {s['rows']} names · {_counted(levels)(s)}"),
+        "guidance": ({}, lambda s: f"guidance of {s['rows']} names"),
+    }
+    scopes = {"risk": "portfolio", "macro": "portfolio"}
+    return [Agent(name, lambda tables, df=df: df, scopes.get(name, "per_stock"), *known.get(name, ({}, None))) for name, df in read.items()]
+
+
+def analyse_book(
+    positions: DataFrame, feeds: analysis.Feeds, options: analysis.Options = analysis.Options(), on_event: Callable[[str, dict],
+        None] = lambda kind, what: None,
+    prior: DataFrame | None = None, first: int = 100, narrate: Callable[[dict], dict] | None = None,
+) -> DataFrame:
+    """The cards of a book (:func:`analysis.cards`), kept as a table, with a run's events: what each reading says in short,
+    then the ``first`` cards by share of risk. Only these cards and a few figures of each reading reach the driver."""
+    made: list[DataFrame] = []
+
+    def ranked(read: dict[str, DataFrame]) -> list[dict]:
+        made.append(cut(analysis.cards_of(read, options, prior)))
+        return [r.asDict(True) for r in made[0].where(F.col("place") <= first).orderBy("place").collect()]
+
+    held = lambda: {"as_of": options.as_of or "latest", "horizon": options.horizon}
+    Registry(book_agents(analysis.readings(positions, feeds, options))).analyse({}, on_event, held, ranked, narrate)
+    return made[0]
+
+
 def narrated(cards: list[dict], narrate: Callable[[dict], dict] | None, on_event: Callable[[str, dict], None], at_once: int = 5) -> dict[str, dict]:
     """Narration by symbol, some cards at once. A card that fails is told and left out; without a callable, or cards,
     it is skipped."""
