@@ -127,9 +127,11 @@ def test_base_spans_on_the_tables(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
 
 
-def test_secrets_held_out_precision_and_recall(spark):
-    """Credentials of a seed that no model sees, put into half of the documents of a table: found ones, false ones."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_secrets_held_out_precision_and_recall(spark, sf):
+    """Credentials of a seed that no model sees, put into half of the documents of a table: found ones, false ones. Each
+    scale has a model of its own, which judges its own documents too."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     model = secrets.fit_on_sample(docs)
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
     rng, drawn = random.Random(77), secrets.drawn_examples(60, seed=99)
@@ -143,8 +145,8 @@ def test_secrets_held_out_precision_and_recall(spark):
     assert sum(hit) >= 0.97 * len(hit)
     capitals = [t.upper() for t in texts]
     false = [t[a:b] for t, (_, found) in zip(texts + capitals, scanner.spans(texts + capitals)) for a, k, b in found if k == 3]
-    assert len(false) <= 2, false
-    assert scan_secrets(docs, model=model).agg({"n_model": "sum"}).first()[0] <= 2
+    assert not false, false
+    assert scan_secrets(docs, model=model).agg({"n_model": "sum"}).first()[0] == 0
 
 
 def test_toxicity_learns_and_spares(spark, make_docs):

@@ -298,12 +298,23 @@ def drawn_numbers(n: int = EXAMPLES, seed: int = 6) -> list[str]:
     return plain + addresses + ["-".join(group(rng.randint(2, 4)) for _ in range(rng.randint(3, 5))) for _ in range(n)]
 
 
+def drawn_names(n: int = EXAMPLES // 4, seed: int = 7) -> list[str]:
+    """Made names that are no secrets by their form: hosts with numbered parts, as in mail addresses, and files."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvwxz") + rng.choice("aeiouy") + rng.choice(("", "", "l", "n", "r", "s")) for _ in range(
+        rng.randint(1, 4)))
+    digits = lambda: "".join(rng.choices(_DIGITS, k=rng.choice((0, 0, 1, 1, 2, 4))))
+    hosts = [".".join([word() + digits() for _ in range(rng.randint(1, 3))] + [rng.choice(("com", "org", "net", "info", word()[:2]))]) for _ in range(n)]
+    files = [word() + word() + digits() + "." + rng.choice(("txt", "html", "pdf", "py", "json")) for _ in range(n)]
+    return [x for x in hosts + files if len(x) >= LEAST_LENGTH]
+
+
 def fit(strings: dict[str, list[str]]) -> SecretModel:
     """Automata of the drawn formats and of the labelled ``strings`` by kind; kind ``ordinary`` is the background, in
-    capitals too, as headings are."""
+    capitals too, as headings are, and with drawn numbers and names, which a small sample may hold none of."""
     labelled = drawn_examples() | {n: strings[n] for n in KINDS[:3] if len(strings.get(n, [])) >= MIN_CREDENTIALS}
     ordinary = strings.get("ordinary", [])
-    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(ordinary + [s.upper() for s in ordinary] + drawn_numbers()))
+    return SecretModel({n: infer(x) for n, x in labelled.items()}, infer(ordinary + [s.upper() for s in ordinary] + drawn_numbers() + drawn_names()))
 
 
 class Scanner:
