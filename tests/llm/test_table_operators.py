@@ -298,3 +298,30 @@ def test_pipeline_runs_each_stage(spark):
     out = corpus_pipeline.run(spark, d)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_rows_of_one_id_are_spread(spark, make_docs):
+    """Half of all rows under a null id, and a quarter under one: no bucket holds them, and nothing is lost."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 30))) + f" {i}" for i in range(800)]
+    rows = [(None, t) for t in texts[:400]] + [(7, t) for t in texts[400:600]] + [(1000 + i, t) for i, t in enumerate(texts[600:])]
+    docs = make_docs([(i, t, "abc"[k % 3]) for k, (i, t) in enumerate(rows)])
+    sharded = shard_documents(docs).collect()
+    assert len(sharded) == 800
+    slots = defaultdict(list)
+    for r in sharded:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in sharded) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    offsets, _, per_source = mix_plan(docs, buckets=16)
+    ends = defaultdict(list)
+    for r in offsets.collect():
+        ends[r.sid].append((r.first_word, r.size))
+    for sid, total in ((r.sid, r.source_size) for r in per_source.collect()):
+        at = 0
+        for first, size in sorted(ends[sid]):
+            assert first == at
+            at += size
+        assert at == total
+    spread = docs.where("doc_id is null").select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(0)), F.lit(16)).alias("b"))
+    assert spread.groupBy("b").count().agg(F.max("count")).first()[0] < 60

@@ -115,12 +115,14 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"),
         F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text).alias("text_hash"),
     )
-    rows = written(rows.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int")), "mix-rows")
+    # Rows of one id, null among them, are spread by their texts.
+    rows = written(rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(buckets)).cast("int")), "mix-rows")
     sums = written(rows.groupBy("source", "b").agg(F.sum("size").alias("words")), "mix-sums")
-    sizes = [(r.source, int(r.words)) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()]
+    sizes = [(r.source, int(r.words)) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()]
     if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"{len(sizes)} sources; a plan holds {MAX_SOURCES} at most")
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     want = targets(sizes, weights, most)
     blocks, wanted, ordered = [], [], sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     for source, words in ordered:
@@ -135,7 +137,7 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
 
     prior = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s_source"), F.col("b").alias("s_b"), F.coalesce(F.sum("words").over(prior), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "b").orderBy("doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "b").orderBy("doc_id", "text_hash", "rid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("b") == F.col("s_b")))
@@ -181,7 +183,8 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     ``taken`` counts the words that the mix takes of the row, repeats included: at most ``most`` times its size,
     as each epoch of slots takes a block once. ``shards`` lists the output shards that hold some of them, ascending
     and comma-joined. Null text has no words; null source is a source of its own, last; repeated rows are rows of
-    their own; an empty table gives no rows. Same input, same seeds, same result.
+    their own; an empty table gives no rows; other columns are not read. Texts of any length are counted by the engine.
+    Same input, same seeds, same result.
     """
     bound_arrow_batches(docs.sparkSession)
     block_words = options.get("block_words", BLOCK_WORDS)
