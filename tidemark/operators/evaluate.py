@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ewm import rsi_series
 from tidemark.functions.windows import average_rank, lag_return, lead_return, rolling_mean, rolling_std, rows_of, value_ranks
+from tidemark.lineage import cut
+from tidemark.operators import pit
 from tidemark.operators.fundamental import features
 from tidemark.operators.pit import as_of_join
-from tidemark.lineage import cut
 
 MIN_HISTORY, MIN_NAMES, MIN_DATES = 250, 4, 8
 COST_BPS = 15.0
@@ -172,10 +173,10 @@ def p_two_sided(t: float | None) -> float | None:
     return None if t is None else math.erfc(abs(t) / math.sqrt(2))
 
 
-def scorecard(long: DataFrame, horizon: int, lag: int | None = None, cost_bps: float = COST_BPS) -> DataFrame:
-    """All scores of each signal in one row."""
+def scorecard(long: DataFrame, horizon: int, lag: int | None = None, cost_bps: float = COST_BPS, step: int | None = None) -> DataFrame:
+    """All scores of each signal in one row; pooled ones over every ``step``-th observation (None: every ``horizon``-th)."""
     ic = newey_west(by_date(long), horizon - 1 if lag is None else lag, F.avg("spread").alias("spread"))
-    return ic.withColumn("net", net_spread(F.col("spread"), cost_bps)).join(pooled(long, horizon), "signal", "left")
+    return ic.withColumn("net", net_spread(F.col("spread"), cost_bps)).join(pooled(long, step or horizon), "signal", "left")
 
 
 def dealt(long: DataFrame) -> DataFrame:
@@ -189,14 +190,25 @@ SURVIVORSHIP = {
 }
 
 
-def evaluate(prices: DataFrame, quarters: DataFrame, horizon: int = 21, cost_bps: float = COST_BPS, declared: bool = False,
-    with_rsi: bool = True) -> DataFrame:
+def evaluate(
+    prices: DataFrame, quarters: DataFrame, horizon: int = 21, cost_bps: float = COST_BPS, declared: bool = False, with_rsi: bool = True,
+    as_of: str | None = None, step: int | None = None, vintage_asof: str | None = None, universe: DataFrame | None = None,
+) -> DataFrame:
     """A row for each price signal (``kind`` price) and fundamental signal (``kind`` fundamental, on every
     ``horizon``-th date and with lag 1), with all scores, ``n_signals``, ``significant`` at 5 %, ``bonferroni_alpha``
-    (5 % over the number of signals), ``survives`` at that, and a note on the universe."""
-    price = scorecard(dealt(price_signals(prices, horizon, with_rsi=with_rsi)), horizon, max(1, horizon - 1), cost_bps).withColumn("kind",
-        F.lit("price"))
-    reported = scorecard(dealt(fundamental_signals(prices, quarters, horizon)), horizon, 1, cost_bps).withColumn("kind", F.lit("fundamental"))
+    (5 % over the number of signals), ``survives`` at that, and a note on the universe.
+
+    ``as_of`` leaves out later bars; quarters need no cut, as one that wasn't public yet meets no date. With ``vintage_asof``
+    ``prices`` are vintages (with ``vintage_date``), and each bar is the one known on that day, so a later restatement
+    doesn't change the result. ``step`` thins the pooled scores apart from the horizon. Only names of ``universe``
+    (``symbol``) are scored, if given: holdings and the declared names.
+    """
+    prices = pit.as_of_filter(prices, "date", as_of) if vintage_asof is None else pit.known_at(prices, vintage_asof, as_of)
+    prices = prices if universe is None else prices.join(universe.select("symbol").distinct(), "symbol", "left_semi")
+    of_prices = dealt(price_signals(prices, horizon, with_rsi=with_rsi))
+    price = scorecard(of_prices, horizon, max(1, horizon - 1), cost_bps, step).withColumn("kind", F.lit("price"))
+    reported = scorecard(dealt(fundamental_signals(prices, quarters, horizon)), horizon, 1, cost_bps, step).withColumn("kind",
+        F.lit("fundamental"))
     rows = cut(price.unionByName(reported))
     n = rows.agg(F.count(F.lit(1)).cast("int").alias("n_signals"))
     each = rows.crossJoin(n).withColumn("bonferroni_alpha", F.round(0.05 / F.col("n_signals"), 4))

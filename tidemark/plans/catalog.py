@@ -675,6 +675,33 @@ def evaluation(spark, d):
     return rounded(evaluate.evaluate(prices(spark, d), fundamentals(spark, d), HORIZON))
 
 
+REPLAYED, RESTATED, STEP = "2000-01-15", "2000-01-01", 3
+_BARS_THEN = f"""prices AS (SELECT symbol, date, close, CASE WHEN volume % 5 = 0 AND date < DATE '1999-06-30' THEN adj_close * 1.01 ELSE adj_close END AS
+    adj_close, volume FROM ({_P.removeprefix('prices AS (').removesuffix(')')}) WHERE date <= DATE '{REPLAYED}' AND CAST(symbol AS INTEGER) % 4 <> 3)"""
+
+
+def _then(sql: str) -> str:
+    """SQL of the back-test on the bars known then, its pooled scores thinned by the step."""
+    line = lambda text: " ".join(text.split("\n"))
+    sql = line(sql).replace(line(_P), line(_BARS_THEN))
+    for p in "pf":
+        sql = sql.replace(f"WHERE k % {HORIZON} = 0),     {p}md", f"WHERE k % {STEP} = 0), {p}md")
+    return sql
+
+
+@query(_then(ORACLE_SQL["evaluation"]))
+def evaluation_replayed(spark, d):
+    """The back-test of three quarters of the names on bars as they were known on one day, with a step of its own."""
+    p = prices(spark, d)
+    first = p.withColumn("vintage_date", F.col("date"))
+    later = p.where("volume % 5 = 0 and date < date'1999-06-30'").withColumns({"adj_close": F.col("adj_close") * 1.01,
+        "vintage_date": F.lit(RESTATED).cast("date")})
+    lost = later.withColumns({"adj_close": F.col("adj_close") * 2, "vintage_date": F.lit("2000-03-01").cast("date")})
+    names = p.select("symbol").where("cast(symbol as int) % 4 <> 3")
+    seen = first.unionByName(later).unionByName(lost)
+    return rounded(evaluate.evaluate(seen, fundamentals(spark, d), HORIZON, as_of=AS_OF, step=STEP, vintage_asof=REPLAYED, universe=names))
+
+
 @query(f"""WITH {_ALL_SIG}, {_chain('psig', HORIZON - 1, 'p')}, n AS (SELECT *, count(*) OVER () AS n FROM psc)
     SELECT signal, {_r('t')}, coalesce(abs(t) > {evaluate.t_for(0.05)!r}, false) AS significant, round(0.05 / n, 4) AS bonferroni_alpha,
     coalesce(abs(t) > {_BEYOND}, false) AS survives FROM n""")
