@@ -1,5 +1,7 @@
 """``python -m tidemark list`` names the queries, ``run NAME SF_DIR [ROWS]`` shows one's result, ``explain NAME SF_DIR`` its
-plan, ``check SF_DIR`` what each symbol has, ``brief SF_DIR [ROWS]`` the names that ask for attention."""
+plan, ``check SF_DIR`` what each symbol has, ``brief SF_DIR [ROWS]`` the names that ask for attention.
+
+Over a store of one's own: holdings, add, remove, ingest, coverage, risk, analyze, briefing, eval, docs, ask (``-h`` tells more)."""
 
 from __future__ import annotations
 
@@ -7,6 +9,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from tidemark import commands
 from tidemark.plans import books, flows, search  # noqa: F401  they add their queries
 from tidemark.plans.catalog import QUERIES
 from tidemark.session import session
@@ -30,6 +33,8 @@ def main(args: list[str]) -> int:
         for r in asked.limit(int(args[2]) if len(args) == 3 else 20).collect():
             print(f"{r.symbol:>12}  {r.attention!s:>6}  {r.confidence_level:<6}  {r.alerts}")
         return 0
+    if args[:1] and args[0] in commands.COMMANDS:
+        return commands.main(session(), args)
     print(__doc__, file=sys.stderr)
     return 2
 

@@ -29,21 +29,19 @@ class Agent:
     note: Callable[[dict], str] | None = None
 
 
-def _observed(df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in measures.items()]), seen
-
-
-def _seen(df: DataFrame, seen: Observation, wait: float = 5.0) -> dict:
-    """What was seen of a table's rows. A run tells it a moment after its end; a table that the run didn't read is
-    read for its own sake."""
-    until = time.monotonic() + wait
-    while not seen._jo.future().isCompleted():
-        if time.monotonic() > until:
-            df.write.format("noop").mode("overwrite").save()
-            break
+def _aggregates(measures: dict[str, Column]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in measures.items()]]
+
+
+def _seen(df: DataFrame, measures: dict[str, Column], watched: Observation, wait: float = 5.0) -> dict:
+    """What a run saw of a table's rows; it tells so a moment after its end. A table that the run didn't read, or that
+    it left out as it knew it to be empty, is read for its own sake."""
+    until, there = time.monotonic() + wait, watched._jo.future()
+    while not there.isCompleted() and time.monotonic() < until:
         time.sleep(0.02)
-    return seen.get
+    if there.isCompleted() and watched._jo.getRow().size():
+        return watched.get
+    return df.agg(*_aggregates(measures)).first().asDict()
 
 
 class Registry:
@@ -70,6 +68,7 @@ class Registry:
             on_event("context_loaded", context())
         out: dict[str, DataFrame] = {}
         watched: dict[str, Observation] = {}
+        bare: dict[str, DataFrame] = {}
         for a in self.agents:
             planning = time.monotonic()
             on_event("agent_start", {"agent": a.name, "scope": a.scope})
@@ -79,7 +78,8 @@ class Registry:
                 on_event("error", {"agent": a.name, "error": str(e)})
                 raise
             if got is not None:
-                out[a.name], watched[a.name] = _observed(got, a.measures) if cards is not None else (got, None)
+                bare[a.name], watched[a.name] = got, Observation()
+                out[a.name] = got.observe(watched[a.name], *_aggregates(a.measures)) if cards is not None else got
             on_event("agent_planned", {"agent": a.name, "there": got is not None, "plan_ms": round((time.monotonic() - planning) * 1000, 1)})
         made: list[dict] = []
         if cards is not None:
@@ -91,7 +91,7 @@ class Registry:
         for a in self.agents:
             told = {"agent": a.name, "scope": a.scope, "there": a.name in out}
             if a.name in out and cards is not None:
-                counted = _seen(out[a.name], watched[a.name])
+                counted = _seen(bare[a.name], a.measures, watched[a.name])
                 told |= {"rows": counted["rows"], "measures": {k: counted[k] for k in a.measures}, "note": a.note(counted) if a.note else "done"}
             on_event("agent_done", told)
         if cards is not None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
 from tidemark.operators.pit import append_new, changed_rows, latest_by, upsert
 
 
@@ -110,5 +111,10 @@ def is_fresh(df: DataFrame, hours: int, stamp: str = "ingested_at") -> DataFrame
     return df.groupBy("symbol").agg((F.max(stamp) > F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours))).alias("fresh"))
 
 
+def cut_then_write(df: DataFrame, path: str) -> None:
+    """Replace a table by rows that are made whole first, so that a failure while they are made leaves it as it was."""
+    cut(df).write.mode("overwrite").parquet(path)
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
