@@ -66,6 +66,22 @@ def value_ranks(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return ranked.select(*keys, column, "k", (F.col("start") + F.col("smaller")).alias("before"))
 
 
+def places(df: DataFrame, order: list[Column], name: str = "place", keys: list[str] | None = None) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in ``order`` within ``keys`` (None: over all rows). Rows are made once, dealt by
+    ranges of (keys, order) and kept with the number of their range; ranges' counts are added up, and only one range at
+    a time is sorted, so no task holds all rows, or all of a key. Rows that tie may come in any order."""
+    keys = keys or []
+    by = {f"__o{i}": c for i, c in enumerate(order)}
+    # Dealing by ranges looks at the rows twice, so they are made before.
+    dealt = cut(cut(df).withColumns(by).repartitionByRange(*keys, *by).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*by))
+    return dealt.withColumn("__n", within).join(starts, [*keys, "__part"]).withColumn(name, F.col("__start") + F.col("__n")).drop("__part", "__n",
+        "__start", *by)
+
+
 def every_kth(df: DataFrame, order: list[str], k: int, keys: list[str]) -> DataFrame:
     """Rows 0, k, 2k, ... of each of ``keys`` in ``order``."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.lineage import cut
+from tidemark.functions.windows import places
 from tidemark.operators import fundamental, guidance, macro, pit, risk, scoring, technical, text, tiles
 
 
@@ -118,16 +118,9 @@ def cards_of(read: dict[str, DataFrame], options: Options = Options(), prior: Da
 
 
 def placed(cards_: DataFrame) -> DataFrame:
-    """``cards_`` with ``place``, counted without bringing the cards into one task: they are dealt by ranges of their
-    order, and each range begins behind the rows of those before."""
-    key = F.struct(F.col("risk_contribution_pct").isNull(), -F.coalesce("risk_contribution_pct", F.lit(0.0)), "symbol")
-    # The cards are made once: dealing by ranges looks at the rows twice.
-    dealt = cut(cut(cards_).withColumn("__k", key).repartitionByRange("__k").withColumn("__part", F.spark_partition_id()))
-    sums = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))  # a row for each range
-    earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__k"))
-    return dealt.join(starts, "__part").withColumn("place", F.col("__start") + within).drop("__k", "__part", "__start")
+    """``cards_`` with ``place``: by share of risk, largest first, those without one last, ties by symbol."""
+    share = F.col("risk_contribution_pct")
+    return places(cards_, [share.isNull(), -share, F.col("symbol")])
 
 
 def portfolio(positions: DataFrame, feeds: Feeds, options: Options = Options()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.payload import parsed, text_at, texts_at
+from tidemark.functions.windows import places
 from tidemark.operators.pit import ANNOUNCEMENT_LAG_DAYS
 
 OUTLOOKS = ("revenue_outlook", "margin_outlook", "demand_commentary")
@@ -44,8 +45,8 @@ def merged_record(data: Column, source: Column, period: Column) -> Column:
 def guidance_history(records: DataFrame, as_of: str | None = None, tie: str = "extracted_at") -> DataFrame:
     """All records with content, oldest first, undated ones last. ``nth`` counts a symbol's records in that order.
 
-    ``data`` is JSON or a variant, parsed once; a record without any outlook and without other guidance is left out, as
-    it promises nothing.
+    ``data`` is JSON or a variant, parsed once; a record without any outlook and without other guidance, or a symbol, is left out,
+    as it promises nothing.
     """
     known = records if as_of is None else records.where(F.col("period").isNull() | (F.col("period") <= F.lit(as_of).cast("date")))
     rows = parsed(known, "data", "__v").withColumns({name: text_at("__v", f"$.{name}") for name in OUTLOOKS} | {"other_guidance": texts_at("__v",
@@ -53,8 +54,8 @@ def guidance_history(records: DataFrame, as_of: str | None = None, tie: str = "e
     some = F.coalesce(F.size("other_guidance"), F.lit(0)) > 0
     for name in OUTLOOKS:
         some = some | F.col(name).isNotNull()
-    order = Window.partitionBy("symbol").orderBy(F.asc_nulls_last("period"), tie)
-    return rows.where(some).withColumn("nth", F.row_number().over(order)).drop("data", "__v")
+    there = rows.where(some & F.col("symbol").isNotNull()).drop("data", "__v")
+    return places(there, [F.col("period").isNull(), F.col("period"), F.col(tie)], "nth", ["symbol"])
 
 
 def actuals(quarters: DataFrame, n: int = 8) -> DataFrame:

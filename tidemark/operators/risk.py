@@ -83,8 +83,8 @@ def ewma_weights(sample: DataFrame, lam: float = LAMBDA) -> DataFrame:
 
 def betas(rets: DataFrame, bench: DataFrame, min_rows: int = MIN_BETA_ROWS) -> DataFrame:
     """Adjusted betas, 0.67 raw + 0.33, from ``min_rows`` common days on."""
-    both = rets.where("ret is not null").select("symbol", "date",
-        "ret").join(F.broadcast(bench.where("ret is not null").select("date", F.col("ret").alias("m"))), "date")
+    both = rets.where("ret is not null").select("symbol", "date", "ret").join(bench.where("ret is not null").select("date",
+        F.col("ret").alias("m")), "date")
     out = both.groupBy("symbol").agg(F.regr_slope("ret", "m").alias("raw"), F.count(F.lit(1)).alias("n"), F.var_samp("m").alias("v"))
     return out.select("symbol", F.when((F.col("n") >= min_rows) & (F.col("v") > 0), F.col("raw") * 0.67 + 0.33).alias("beta"))
 
@@ -111,9 +111,8 @@ def unrealised_pct(last_close: Column, avg_cost: Column) -> Column:
 
 
 def portfolio_returns(rets: DataFrame, weighted: DataFrame) -> DataFrame:
-    sample = common_sample(rets.join(F.broadcast(weighted.select("symbol")), "symbol", "left_semi"), "ret")
-    return sample.join(F.broadcast(weighted.select("symbol", "weight")),
-        "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.col("x")).alias("ret"))
+    sample = common_sample(rets.join(weighted.select("symbol"), "symbol", "left_semi"), "ret")
+    return sample.join(weighted.select("symbol", "weight"), "symbol").groupBy("date").agg(F.sum(F.col("weight") * F.col("x")).alias("ret"))
 
 
 def var_cvar(series: DataFrame, confidence: float, column: str = "ret", least: int = MIN_TAIL_ROWS, keys: list[str] | None = None) -> DataFrame:
@@ -121,7 +120,7 @@ def var_cvar(series: DataFrame, confidence: float, column: str = "ret", least: i
     keys = keys or []
     x = series.where(F.col(column).isNotNull())
     q = x.groupBy(*keys).agg(F.percentile(column, 1 - confidence).alias("q"), F.count(F.lit(1)).alias("n"))
-    joined = x.join(F.broadcast(q), keys) if keys else x.crossJoin(F.broadcast(q))
+    joined = x.join(q, keys) if keys else x.crossJoin(F.broadcast(q))  # without keys q is a single row
     return joined.groupBy(*keys).agg(
         F.when(F.max("n") >= least, -F.max("q")).alias("var"), F.when(F.max("n") >= least,
             -F.avg(F.when(F.col(column) <= F.col("q"), F.col(column)))).alias("cvar")
@@ -132,7 +131,7 @@ def fhs(sigmas: DataFrame) -> DataFrame:
     """Returns of a series rescaled from their own volatility to the last one; null where that is zero."""
     last = sigmas.groupBy("key").agg(F.max_by("sigma", "date").alias("now"))
     z = F.try_divide("ret", "sigma") * F.col("now")
-    return sigmas.join(F.broadcast(last), "key").select("key", "date", F.when(F.col("now") > 0, z).alias("ret"))
+    return sigmas.join(last, "key").select("key", "date", F.when(F.col("now") > 0, z).alias("ret"))
 
 
 def worst_windows(series: DataFrame, days: tuple[int, ...] = STRESS_DAYS) -> DataFrame:
