@@ -26,7 +26,7 @@ CODES = 64
 FIT_ROWS, FIT_QUERIES = 4096, 256
 ROUNDS = 10
 #: Share of the sample's true neighbours that a walk should meet.
-AIM = 0.96
+AIM = 0.98
 #: A walk meets so many rows at least.
 LEAST_ROWS = 64
 ENTRY_BLOCK, LEAST_BLOCK = 16384, 2048
@@ -150,7 +150,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_every``, the ``k`` nearest rows
     found, by the cosine of the original vectors in double precision, ties to smaller ids.
 
-    A walk meets at least the ``share`` of all rows (None: as fitted on the sample, so that 0.96 of the sample's true
+    A walk meets at least the ``share`` of all rows (None: as fitted on the sample, so that 0.98 of the sample's true
     neighbours are met) and LEAST_ROWS rows, so tables of up to that many rows are searched whole.
 
     Rows with a null id or vector, a null or non-finite component, or only zeros take no part. Rows under the query's
