@@ -359,7 +359,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model``.
 
     ``spans`` lists kind:start:end in code points, ends exclusive, by start and then kind. Null and empty texts have
-    no spans; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored.
+    no spans; repeated rows are rows of their own; an empty table gives no rows; other columns are ignored. A text of
+    any length is scanned whole, by the task that reads it.
     """
     bound_arrow_batches(docs.sparkSession)
     model = model or fit_on_sample(docs, id_col, text_col)

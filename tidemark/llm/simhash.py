@@ -207,7 +207,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are one node from the start, so groups of copies cost one row. Null and blank texts have
     fingerprint zero and link like any other; rows with a null id link to nothing and have a null component;
-    repeated rows stay rows of their own; an empty table gives no rows; other columns are ignored.
+    repeated rows stay rows of their own; an empty table gives no rows; other columns are ignored. A text of any
+    length is read whole, by the task that reads it.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
     nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")

@@ -290,7 +290,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of WINDOW words over it also starts in a document with a smaller id. ``kept_text`` is
     the kept words joined by a space where some are kept and some removed, else null; ``whole_sha256`` is the digest
     of all words, joined likewise. Null text has no words; rows with a null id neither lose words nor take any;
-    repeated rows of one id never count as smaller than each other; an empty table gives no rows.
+    repeated rows of one id never count as smaller than each other; an empty table gives no rows; other columns are
+    ignored. A text of any length is read whole, by the task that reads it.
 
     Texts equal word for word are taken together first: the one with the smallest id stands for them, the others
     lose every word if they have a window at all. Tasks pre-aggregate each hash to one row before the shuffle, so

@@ -133,8 +133,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     integer inner products with all other rows; fewer rows give fewer results.
 
     Rows under the query's own id are never its results; of rows that repeat a query id one asks, the others stay
-    candidates of other queries. Vectors of unequal lengths count as padded with zeros. An empty table gives no
-    rows. Queries and candidates meet block by block: each block of queries is dealt to each block of candidates.
+    candidates of other queries. Equal scores go by smaller ids. Vectors of unequal lengths count as padded with zeros.
+    An empty table gives no rows. Other columns are not read. Queries and candidates meet block by block: each block of queries is dealt to each block of candidates.
     """
     rows = written(quantised(vectors, id_col, vector_col), "topk-vectors")
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()

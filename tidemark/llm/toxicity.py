@@ -282,7 +282,8 @@ def judge_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     The model sees texts only. Null and empty texts score by the bias alone; a null id is in no fold and not held
-    out; repeated rows score alike; an empty table gives no rows; other columns are ignored.
+    out; repeated rows score alike; an empty table gives no rows; other columns are ignored. A text of any length is
+    scored whole, by the task that reads it.
     """
     scored = score_texts(docs, fit_on_sample(docs, labels))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False))

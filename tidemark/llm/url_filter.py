@@ -151,7 +151,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A rule's verdict stands. URLs that a rule judges are also the labelled ones: trees fitted on a sample of them, of
     bounded size, with unlisted URLs as weakly allowed, judge all others, null and malformed ones included. With
-    labels of one kind only that verdict is given, with none ``allow``. Repeated rows are rows of their own; an empty
+    labels of one kind only that verdict is given, with none ``allow``. Of fitting rules of equal length the one given
+    last holds. Repeated rows are rows of their own; an empty
     table gives no rows; other columns are not read.
     """
     rows = labelled_rows(pages, id_col, url_col, rules)
