@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import places
-from tidemark.operators import fundamental, guidance, macro, pit, risk, scoring, technical, text, tiles
+from tidemark.operators import factors, fundamental, guidance, macro, pit, risk, scoring, technical, text
 
 
 @dataclass
@@ -66,11 +66,11 @@ def position_risk(positions: DataFrame, feeds: Feeds, options: Options = Options
     feeds = feeds.known(options.as_of)
     weighted = macro.weights(positions, feeds.prices)
     rets = risk.returns(options.sampled(feeds.prices.join(weighted.select("symbol"), "symbol", "left_semi")))
-    cov = tiles.shrunk(tiles.covariance_tiles(risk.common_sample(rets), n_tiles=options.tiles))
+    cov = factors.shrunk(factors.factors(risk.common_sample(rets), n_tiles=options.tiles))
     out = weighted.select("symbol", "market_value", (F.col("weight") * 100).alias("weight_pct"),
         (risk.unrealised_pct(F.col("last_close"), F.col("avg_cost")) if "avg_cost" in positions.columns else F.lit(None).cast("double")).alias(
             "unrealised_pct"))
-    shares = tiles.risk_contribution(cov, weighted, horizon_days(options)).drop("weight_pct")
+    shares = factors.risk_contribution(cov, weighted, horizon_days(options)).drop("weight_pct")
     falls = pit.drawdown(feeds.prices)
     out = out.join(shares, "symbol", "left").join(falls, "symbol", "left")
     if feeds.market is None:
