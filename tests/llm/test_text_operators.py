@@ -374,3 +374,16 @@ def test_near_copies_are_decided_by_their_shingles(spark, make_docs):
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w + [f"u{rng.randrange(10**6)}" for _ in range(k)]))]
         want |= {2 * g} if 500 / (500 + k) >= 0.8 else {2 * g, 2 * g + 1}
     assert {r.doc_id for r in drop_near_copies(make_docs(rows)).collect()} == want
+
+
+def test_near_copies_take_simhash_candidates(spark, make_docs, monkeypatch):
+    """Pairs near by their fingerprints are candidates without any MinHash table, and the sets decide on them."""
+    from tidemark.llm import simhash
+
+    words = [f"word{i}" for i in range(900)]
+    other = [f"else{i}" for i in range(900)]
+    docs = make_docs([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(other)), (4, " ".join([*other[:-1], "changed"]))])
+    nothing = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "candidate_links", lambda *a: nothing)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}

@@ -358,6 +358,15 @@ def candidate_links(met: DataFrame, nodes: DataFrame, similarity: float, large_b
     return rows.mapInArrow(link, "a long, b long").unionByName(hubs)
 
 
+def print_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Links ``a, b`` that tie all nodes (columns ``node, fp``) whose SimHash fingerprints differ in ``max_distance`` bits or
+    less, directly or over others. Nodes of one fingerprint are tied to its smallest."""
+    distinct = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    equal = nodes.select("node", "fp").join(distinct.hint("merge"), "fp").where("node <> first").select(F.col("node").alias("a"),
+        F.col("first").alias("b"))
+    return equal.unionByName(near_links(distinct.select(F.col("first").alias("node"), "fp"), max_distance))
+
+
 def _decide_groups(similarity: float):
     """Links of each group's sets, the group held in one task."""
 
@@ -475,20 +484,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles (A-Z lower-cased, white space as single spaces) have a Jaccard similarity of ``similarity`` or more with
     its own, directly or over others.
 
-    MinHash tables and signatures only find groups of candidates; within a group the sets themselves decide, in one
-    task up to ``group_sets`` sets and GROUP_BYTES, beyond that in parts. Rows of equal sets are one node. Blank texts
+    SimHash fingerprints of the shingles, near by pigeonhole blocks and verified Hamming distance as in
+    :func:`near_components`, and MinHash tables, for pairs whose fingerprints are further apart, find groups of
+    candidates; within a group the sets themselves decide, in one task up to ``group_sets`` sets and GROUP_BYTES, beyond that in parts. Rows of equal sets are one node. Blank texts
     are not near anything; null ids neither; an empty table gives no rows.
     """
     bound_arrow_batches(docs.sparkSession)
 
     def prints(batches):
         for batch in batches:
-            digests, signatures = [], []
+            digests, signatures, prints = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 hashes = shingle_set(text.as_py())
+                prints.append(fingerprint(hashes) if len(hashes) else None)
                 digests.append(set_digest(hashes) if len(hashes) else None)
                 signatures.append(signature(hashes).tobytes() if len(hashes) else None)
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "digest", "sig"])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(prints,
+                pa.int64())], ["doc_id", "digest", "sig", "fp"])
 
     def as_sets(batches):
         """Sets of the nodes; a row whose set isn't that of the digest is another row of the same id."""
@@ -502,10 +514,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 (pa.int64(), pa.int64(), pa.binary()))], ["component", "node", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary").where("digest is not null"), "near-prints")
-    nodes = written(found.groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "near-nodes")
+    found = written(rows.mapInArrow(prints, "doc_id long, digest binary, sig binary, fp long").where("digest is not null"), "near-prints")
+    nodes = written(found.groupBy("digest", "sig", "fp").agg(F.min("doc_id").alias("node")), "near-nodes")
     met = met_nodes(nodes)
-    linked = connected_components(candidate_links(met, nodes, similarity, large_bucket))
+    candidates = candidate_links(met, nodes, similarity, large_bucket).unionByName(print_links(nodes))
+    linked = connected_components(written(candidates, "near-candidates"))
     grouped = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
     members = written(nodes.join(grouped.hint("merge"), "node").select("component", F.col("node").alias("member"), "digest"), "near-members")
     texts = rows.join(members.hint("merge"), F.col("doc_id") == F.col("member")).select("component", "doc_id", "digest", "text")
