@@ -88,3 +88,26 @@ def ewm(rows: DataFrame, keys: list[str], values: dict[str, Column], alpha: floa
         values])
     joined = local.join(starts, [*keys, "__b"]).withColumns({n: F.col(n) + F.col("__p") * ratio * F.col(f"__s_{n}") for n in values})
     return joined.drop("__p", *[f"__x_{n}" for n in values], *[f"__s_{n}" for n in values])
+
+
+def ewm_along(rows: DataFrame, key: str, order: str, values: dict[str, Column], alpha: float) -> DataFrame:
+    """:func:`ewm` for rows that windows bring together by ``key`` anyway: more windows, and no shuffle or join.
+
+    Blocks are as long as the powers of r allow, some 500 / -log(r) rows (6,700 at alpha 1 / 14). Two of them multiply to
+    zero in doubles, so what lies before a block comes from the two blocks before it and, there, from the first x.
+    """
+    ratio = 1 - alpha
+    length = int(500 / -math.log(ratio))
+    w = Window.partitionBy(key).orderBy(order)
+    at = F.row_number().over(w) - 1
+    rows = rows.withColumns({f"__x_{n}": x for n, x in values.items()} | {"__at": at})
+    rows = rows.withColumns({f"__f_{n}": F.first(f"__x_{n}").over(w) for n in values})
+    rows = rows.withColumns({"__b": F.floor(F.col("__at") / length), "__i": F.col("__at") % length}).withColumn("__p", F.pow(F.lit(ratio), F.col("__i")))
+    within = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(alpha * F.col(f"__x_{n}") / F.col("__p")).over(within) * F.col("__p") for n in values})
+    whole = ratio**length
+    back = lambda n, k: F.coalesce(F.max_by(n, "__i").over(Window.partitionBy(key).orderBy("__b").rangeBetween(-k, -k)), F.lit(0.0))
+    seed = lambda n: F.when(F.col("__b") < 2, F.pow(F.lit(whole), F.col("__b")) * F.col(f"__f_{n}")).otherwise(0.0)
+    rows = rows.withColumns({f"__s_{n}": back(n, 1) + whole * back(n, 2) + seed(n) for n in values})
+    rows = rows.withColumns({n: F.col(n) + F.col("__p") * ratio * F.col(f"__s_{n}") for n in values})
+    return rows.drop("__at", "__b", "__i", "__p", *[f"__{c}_{n}" for n in values for c in "xfs"])
